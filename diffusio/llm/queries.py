@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from diffusio.llm import chat, langid, quality, secrets, toxicity, urls
+from diffusio.llm import chat, decontaminate, langid, neardup, packing, quality, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,30 @@ SELECT page_id, host, fetched_at, n AS n_active, key AS matched_key, action, coa
 """
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the queries: that of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest_contamination(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest_matrices(packing.pack_matrices(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_secrets(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -92,6 +116,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op7_secret_scans, op8_language_id, op9_quality_rules, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_url_filters,
+        op3_ngram_jaccard_join,
+        op4_best_fit_packing,
+        op5_benchmark_decontamination,
+        op6_token_binary_output,
+        op7_secret_scans,
+        op8_language_id,
+        op9_quality_rules,
+        op10_toxicity,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL}

@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([(np.frombuffer(bytes(a), dtype=np.int32).astype(np.int64), float(t)) for a, t in zip(got["at"], got["toxic"], strict=True)])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity, the score (0 to 1) of each whole text. No shuffle."""
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """docs with the score (0 to 1) of each whole text in one more column. No shuffle."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     have: list[np.ndarray] = []
@@ -136,4 +136,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     out[lo : lo + n] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pd.Series(out)
 
-    return docs.withColumn("toxicity", scored("text"))
+    return docs.withColumn(into, scored("text"))
