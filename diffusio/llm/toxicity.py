@@ -24,7 +24,7 @@ from diffusio.llm.ftrl import Ftrl
 from diffusio.llm.text import Words, alphanumeric, mix, slices
 from diffusio.session import ship
 
-BUCKETS, SAMPLE, THRESHOLD = 1 << 22, 8000, 0.3
+BUCKETS, SAMPLE, THRESHOLD = 1 << 21, 6000, 0.3
 _SKIPS, _STEMS = (1, 2, 3), (3, 4, 5, 6)
 
 
@@ -48,7 +48,7 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tup
                 same = row[skip:] == row[:-skip]
                 h.append(mix(words.hashes[:-skip] * np.uint64(2 * skip + 1) + words.hashes[skip:])[same])
                 rows.append(row[skip:][same])
-        at = (np.concatenate(h) >> np.uint64(64 - 22)).astype(np.int64)
+        at = (np.concatenate(h) >> np.uint64(64 - 21)).astype(np.int64)
         rows = np.concatenate(rows)
         if wanted is not None:
             some = wanted[at]
