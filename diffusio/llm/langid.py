@@ -3,7 +3,7 @@
 Features are hashed character n-grams (1 to 3) with TF-IDF weights: the share of a text's
 n-grams times the inverse document frequency. Document frequencies are counted over all
 texts to learn from. The weights are learnt by FTRL with elastic-net penalties from at most
-``sample`` texts, those with the least hashes of id, in a fixed order; a part of them only
+``sample`` texts (by id, those with the least hashes), in a fixed order; a part of them only
 sets the temperature. Predictions read whole texts. The model has BUCKETS x languages
 weights at most, which bounds the broadcast.
 
@@ -135,7 +135,10 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> Model:
     texts = texts.where("text IS NOT NULL AND lang IS NOT NULL")
     df, n = _document_frequencies(texts)
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").select("text", "lang").limit(sample).toPandas()
+    # the sample is chosen by id alone, so that no more texts than it has reach the driver
+    chosen = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").toPandas()
+    rows = rows.sort_values(["doc_id", "text", "lang"]).reset_index(drop=True)
     if not len(rows):
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0), 1.0)
     if rows["lang"].nunique() > MOST_LANGUAGES:
