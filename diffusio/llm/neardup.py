@@ -10,13 +10,17 @@ link when d <= EPSILON. The join splits the space by pivots, again and again:
   least 0.8 of the other. (Pivots that are texts of the corpus can't serve here: unrelated
   texts are all at distance 1 of each other, so that windows would copy all texts into all
   regions.)
-* Each region compares its members with one of them. Regions that links have made one
+* Each region compares its members with one of them, the most central by its order. (Two sets
+  whose first shared shingle is s can only link if enough shingles are left after it, which
+  drops most pairs here and below.) Regions that links have made one
   component are done.
 * Larger regions that are left get several of their members as pivots, which create Voronoi
   cells; a member also goes to every cell whose pivot is at most 2 EPSILON farther than its
   nearest, so that by the triangle inequality two linked members share a cell. Cells are
-  regions of the next level. Small regions compare members of different components. Regions
-  that are still large after LEVELS compare what is outside their main component with all.
+  regions of the next level, unless the windows copy so many members that nothing is gained;
+  then the region goes on as it is, with other pivots. Small regions compare members of
+  different components. Regions that are still large after LEVELS compare what is outside
+  their main component with all.
 
 Equal sets are one point from the start. A pair is verified once, exactly, on the hashes of
 its shingles; before that, histograms of hash classes bound the distance from below and drop
@@ -45,7 +49,9 @@ from diffusio.session import ship, written
 
 WORDS, EPSILON = 5, 0.2
 WIDTH_BITS = 21
-SMALL, PIVOTS, LEVELS = 24, 6, 3
+SMALL, PIVOTS, LEVELS = 24, 6, 1
+#: Cells replace their region if together they have at most so many times its members.
+REPLICAS = 1.25
 
 
 def _shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -209,9 +215,11 @@ class _Join:
         pairs = pairs.join(info, "x").join(other, "y")
         if not exact:
             pairs = pairs.where("5 * least(n, m) >= 4 * greatest(n, m)").where(_may_link("hist", "hist2", F.col("n") + F.col("m")))
-        pairs = written(pairs.select("x", "y", "n", "m"), "pairs")
         for d in self.done:
             pairs = pairs.join(d.select("x", "y"), ["x", "y"], "left_anti")
+        pairs = written(pairs.select("x", "y", "n", "m"), "pairs")
+        if pairs.isEmpty():
+            return pairs.select("x", "y", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
         need = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
         for s in self.sets:
             need = need.join(s.select("x"), "x", "left_anti")
@@ -237,16 +245,20 @@ class _Join:
         self.labels = written(seen.join(up.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("x", F.coalesce("d", "c").alias("c")), "labels")
 
     def open(self, regions: DataFrame) -> DataFrame:
-        """Members (s, x, c, size) of the regions (s, x) with more than one component."""
-        members = regions.join(self.labels, "x", "left").select("s", "x", F.coalesce("c", "x").alias("c"))
+        """Members (s, x, n, i, c, size) of the regions (s, x, n, i) with more than one component."""
+        members = regions.join(self.labels, "x", "left").select("s", "x", "n", "i", F.coalesce("c", "x").alias("c"))
         some = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("c").alias("size")).where("lo <> hi")
         return written(members.join(some.select("s", "size"), "s"), "open")
 
 
+#: What two members of a region must satisfy if its shingle is the first that they share: enough are left to share.
+_ENOUGH = "9 * least(n - i, m - j) >= 4 * (n + m)"
+
+
 def _others(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one region and different components."""
-    far = right.select("s", F.col("x").alias("y"), F.col("c").alias("c2"))
-    return left.select("s", "x", "c").join(far, "s").where("c <> c2").select("x", "y")
+    """Pairs (x, y) of one region and different components that may link with its shingle as the first they share."""
+    far = right.select("s", F.col("x").alias("y"), F.col("c").alias("c2"), F.col("n").alias("m"), F.col("i").alias("j"))
+    return left.select("s", "x", "c", "n", "i").join(far, "s").where("c <> c2").where(_ENOUGH).select("x", "y")
 
 
 def _cells(members: DataFrame, pivots: DataFrame, distances: DataFrame) -> DataFrame:
@@ -257,7 +269,8 @@ def _cells(members: DataFrame, pivots: DataFrame, distances: DataFrame) -> DataF
     known = written(known, "distances")
     home = known.groupBy("s", "x").agg(F.min("d").alias("home"))
     slack = 2 * EPSILON + 1e-9
-    return known.join(home, ["s", "x"]).where(F.col("d") <= F.col("home") + slack).select(F.xxhash64("s", "p").alias("s"), "x").distinct()
+    inside = known.join(home, ["s", "x"]).where(F.col("d") <= F.col("home") + slack).select("s", "x", "p")
+    return inside.join(members.select("s", "x", "n", "i"), ["s", "x"]).select(F.xxhash64("s", "p").alias("s"), "x", "n", "i")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,13 +283,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     points = written(points.withColumn("x", F.monotonically_increasing_id()), "points")
     join = _Join(docs, points)
 
-    tokens = points.select("x", F.explode("prefix").alias("s"))
-    made = tokens.groupBy("s").agg(F.count("x").alias("size"), F.min("x").alias("p"), F.bit_xor(F.xxhash64("x")).alias("a"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b")).where("size > 1")
-    once = made.groupBy("size", "p", "a", "b").agg(F.min("s").alias("s"))  # regions of equal members are one
-    regions = written(tokens.join(once.select("s", "p"), "s"), "regions")
-
-    join.verify(regions.select("x", F.col("p").alias("y")))
-    regions = regions.select("s", "x")
+    tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
+    made = tokens.groupBy("s").agg(
+        F.count("x").alias("size"),
+        F.min(F.struct("i", "x", "n")).alias("p"),  # the member with the fewest rarer shingles is the first pivot
+        F.min(F.struct("x", "i")).alias("q"),
+        F.bit_xor(F.xxhash64("x")).alias("a"),
+        F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"),
+    )
+    # regions of equal members are one: that of the first shingle in the order, which any member shows
+    once = made.where("size > 1").groupBy("size", "a", "b", "q.x").agg(F.min(F.struct(F.col("q.i").alias("at"), "s", "p")).alias("r"))
+    regions = written(tokens.join(once.select("r.s", "r.p"), "s"), "regions")
+
+    join.verify(regions.where("x <> p.x").withColumns({"m": F.col("p.n"), "j": F.col("p.i")}).where(_ENOUGH).select("x", F.col("p.x").alias("y")))
+    regions = regions.select("s", "x", "n", "i")
     for level in range(LEVELS + 1):
         members = join.open(regions)
         if members.isEmpty():
@@ -286,17 +306,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if level == LEVELS:
             parts = large.groupBy("s", "c").agg(F.count("x").alias("k"))
             main = parts.groupBy("s").agg(F.max(F.struct("k", "c")).alias("main")).select("s", F.col("main.c").alias("main"))
-            rest = large.join(main, "s").where("c <> main").select("s", "x", "c")
+            rest = large.join(main, "s").where("c <> main").drop("main")
             join.verify(pairs.union(_others(rest, large)))
             break
         join.verify(pairs)
-        large = join.open(large.select("s", "x"))
+        large = join.open(large.select("s", "x", "n", "i"))
         if large.isEmpty():
             break
-        chosen = large.groupBy("s").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("x", F.lit(level * PIVOTS + i)), "x"))["x"] for i in range(PIVOTS)])).alias("p"))
+        chosen = large.groupBy("s").agg(F.array_distinct(F.array(*[F.min(F.struct(F.pmod(F.xxhash64("x"), F.lit(PIVOTS)) != k, "i", "x"))["x"] for k in range(PIVOTS)])).alias("p"))
         pivots = written(chosen.select("s", F.explode("p").alias("p")), "pivots")
         join.verify(large.join(pivots, "s").select("x", F.col("p").alias("y")), exact=True)
-        regions = written(_cells(large, pivots, reduce(DataFrame.unionByName, join.done)), "cells")
+        cells = written(_cells(large, pivots, reduce(DataFrame.unionByName, join.done)), "cells")
+        regions = cells if cells.count() <= REPLICAS * large.count() else large.select("s", "x", "n", "i")
 
     least = join.labels.join(points.select("x", "rep"), "x").groupBy("c").agg(F.min("rep").alias("least"))
     reached = join.labels.join(least, "c").select("x", "least")
