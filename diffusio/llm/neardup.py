@@ -283,8 +283,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     points = written(points.withColumn("x", F.monotonically_increasing_id()), "points")
     join = _Join(docs, points)
 
-    tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
-    made = tokens.groupBy("s").agg(
+    tokens = points.select("x", F.posexplode("prefix").alias("i", "s"))
+    # most shingles have one text: those go first, by counts alone, as all of them are shuffled
+    several = tokens.groupBy("s").agg(F.count("x").alias("size")).where("size > 1").select("s")
+    shared = written(tokens.join(several, "s", "left_semi"), "shared").join(points.select("x", "n"), "x")
+    made = shared.groupBy("s").agg(
         F.count("x").alias("size"),
         F.min(F.struct("i", "x", "n")).alias("p"),  # the member with the fewest rarer shingles is the first pivot
         F.min(F.struct("x", "i")).alias("q"),
@@ -292,8 +295,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"),
     )
     # regions of equal members are one: that of the first shingle in the order, which any member shows
-    once = made.where("size > 1").groupBy("size", "a", "b", "q.x").agg(F.min(F.struct(F.col("q.i").alias("at"), "s", "p")).alias("r"))
-    regions = written(tokens.join(once.select("r.s", "r.p"), "s"), "regions")
+    once = made.groupBy("size", "a", "b", "q.x").agg(F.min(F.struct(F.col("q.i").alias("at"), "s", "p")).alias("r"))
+    regions = written(shared.join(once.select("r.s", "r.p"), "s"), "regions")
 
     join.verify(regions.where("x <> p.x").withColumns({"m": F.col("p.n"), "j": F.col("p.i")}).where(_ENOUGH).select("x", F.col("p.x").alias("y")))
     regions = regions.select("s", "x", "n", "i")
