@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,8 +13,11 @@ from diffusio.graph import Graph, Signal
 from diffusio.operators import fairness, filters as O, postprocess as P
 from diffusio.operators.convergence import RankOrder
 from diffusio.operators.normalize import Normalization, eigdegree
-from diffusio.plans import sql as S
+from diffusio.plans import benchmark as B, recipes as R, sql as S, tuning as T
 from diffusio.plans.fixtures import COMMUNITIES_SQL, GRAPH_SQL, GRAPHS, KEY_SQL, SEED_SQL, SENSITIVE_SQL, communities, key, seeds, sensitive, settled, shown, table
+from diffusio.session import shared_folder
+from diffusio.sources import loaders as L
+from diffusio.streaming.edges import StreamRanker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,7 +277,7 @@ add(
 
 def _fair_personalizer(spark: SparkSession, folder: str) -> DataFrame:
     g = GRAPHS["nat"](spark, folder)
-    ranker = fairness.FairPersonalizer(O.PageRank(0.85, **steps(2)), tol=10.0)
+    ranker = fairness.FairPersonalizer(O.PageRank(0.85, **steps(2)), tol=10.0, buckets=1)
     return shown(ranker.rank(g, seeds(g), sensitive(g)))
 
 
@@ -434,3 +438,64 @@ add(
 )
 add("backend_conv", on("nat", lambda g: conv(g.edges, g.nodes.withColumn("value", (key() % 3).cast("double")), "value").select("id", rounded("value").alias("value"))), f"{NAT} SELECT dst AS id, {S.ROUND.format('sum(w * (CAST(substr(src, 2) AS BIGINT) % 3))')} AS value FROM edges GROUP BY dst")
 add("backend_safe_inv", on("nat", lambda g: g.nodes.withColumn("v", safe_inv((key() % 3).cast("double"))).select("id", rounded("v").alias("value"))), f"{NAT} SELECT id, CASE WHEN {KEY_SQL} % 3 = 0 THEN 0.0::DOUBLE ELSE {S.ROUND.format(f'1.0::DOUBLE / ({KEY_SQL} % 3)')} END AS value FROM nodes")
+
+# ---- tuners, benchmarks, recipes, sources ---------------------------------------------------
+
+
+def tuned(make: Callable[[], T.Tuner]) -> Query:
+    return ranked("nat", make)
+
+
+add("algorithm_selection", tuned(lambda: T.Selection([O.PageRank(0.85, **steps(3)), O.PageRank(0.5, **steps(3)), O.HeatKernel(3, **steps(3))], M.Cos, (0.5,))))
+add("parameter_tuner", tuned(lambda: T.ParameterTuner(highest=[1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=0.1, divide_range=2)))
+add("hop_tuner", tuned(lambda: T.HopTuner(hops=4)))
+
+
+def _results(spark: SparkSession) -> DataFrame:
+    rows = [(f"d{i}", 0.5, 0, a, "auc", ((i * 7 + k * 3) % 5) / 5.0) for i in range(6) for k, a in enumerate("xyz")]
+    return spark.createDataFrame(rows, "dataset string, share double, seed int, algorithm string, measure string, value double")
+
+
+_RESULTS = "WITH results AS (SELECT 'd' || i AS dataset, substr('xyz', k + 1, 1) AS algorithm, ((i * 7 + k * 3) % 5) / 5.0::DOUBLE AS value FROM range(0, 6) t(i), range(0, 3) u(k))"
+
+
+def _benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    g = GRAPHS["nat"](spark, folder)
+    return B.benchmark(spark, {"PPR": O.PageRank(0.85, **steps(3)), "HK": O.HeatKernel(3, **steps(3))}, [("nat", g, seeds(g).df)], {"cos": M.Cos, "mabs": M.Mabs}).withColumn("value", rounded("value"))
+
+
+add("benchmark_table", _benchmark)
+add("benchmark_ranks", lambda spark, folder: B.ranks(_results(spark)).select("dataset", "algorithm", "value"), f"{_RESULTS} SELECT dataset, algorithm, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0::DOUBLE AS value FROM results")
+add("benchmark_average", lambda spark, folder: B.average(_results(spark)).select("dataset", "algorithm", rounded("value").alias("value")), f"{_RESULTS} SELECT dataset, algorithm, value FROM results UNION ALL SELECT 'Average', algorithm, {S.ROUND.format('avg(value)')} FROM results GROUP BY algorithm")
+add("community_partition", on("nat", lambda g: R.partition(_group_scores(g)).select("id", F.col("group_id").cast("long").alias("group_id"))), f"{_SIM} SELECT id, min(group_id) AS group_id FROM (SELECT *, max(value) OVER (PARTITION BY id) AS top FROM gs) WHERE value = top GROUP BY id")
+add("community_detect", on("nat", lambda g: shown(R.detect_community(g, O.PageRank(0.85, **steps(3)), seeds(g), 0.1))))
+add(
+    "link_predict_topk",
+    on("nat", lambda g: R.predict_links(_thin(g), _group_scores(g), 3, "dot").select("src", "dst", rounded("similarity").alias("similarity"))),
+    f"{_SIM}, far AS (SELECT DISTINCT a.id AS u, b.n AS v FROM nb a JOIN nb b ON a.n = b.id WHERE a.id <> b.n AND NOT EXISTS (SELECT 1 FROM nb c WHERE c.id = a.id AND c.n = b.n)), r AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d DESC, v) AS k FROM far JOIN dots USING (u, v)) SELECT u AS src, v AS dst, {S.ROUND.format('d')} AS similarity FROM r WHERE k <= 3",
+)
+
+
+def _embedded(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("features"), F.col("label").cast("long").alias("label"))
+
+
+add("feature_normalize", lambda spark, folder: L.normalized_features(_embedded(spark, folder)).select("id", (F.floor(F.aggregate("features", F.lit(0.0), lambda a, x: a + x) * 1e6 + 0.5) / 1e6).alias("total")), "SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total FROM embeddings")
+add("labels_to_groups", lambda spark, folder: L.groups_of(_embedded(spark, folder)).groupBy("group_id").agg(F.count("id").alias("n")), "SELECT CAST(label AS BIGINT) AS group_id, count(*) AS n FROM embeddings GROUP BY 1")
+add("features_to_groups", lambda spark, folder: L.features_to_groups(_embedded(spark, folder)).groupBy("group_id").agg(F.count("id").alias("n")).select(F.col("group_id").cast("long").alias("group_id"), "n"), "SELECT CAST(i - 1 AS BIGINT) AS group_id, count(*) AS n FROM (SELECT embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] <> 0 GROUP BY 1")
+add("feature_argmax_accuracy", lambda spark, folder: R.accuracy(R.predictions(_embedded(spark, folder)), _embedded(spark, folder).select("id", "label")).select(rounded("value").alias("value")), f"SELECT {S.ROUND.format('avg(CASE WHEN label = list_position(a, list_max(a)) - 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS value FROM (SELECT label, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings)")
+add("one_hot_labels", lambda spark, folder: L.one_hot(_embedded(spark, folder).select("id", "label")).select("id", (F.array_position("labels", F.lit(1.0)) - 1).cast("long").alias("place"), F.size("labels").cast("long").alias("width")), "SELECT CAST(vec_id AS VARCHAR) AS id, dense_rank() OVER (ORDER BY label) - 1 AS place, (SELECT count(DISTINCT label) FROM embeddings) AS width FROM embeddings")
+
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of nations as a stream of files, ranked after each batch."""
+    g = GRAPHS["nat"](spark, folder)
+    place = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    g.edges.select("src", "dst").repartition(2).write.parquet(place)
+    ranker = StreamRanker(O.PageRank(0.85, **steps(3)), seeds, directed=True)
+    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(place)
+    ranker.start(stream, f"{place}-state").awaitTermination()
+    return shown(Signal(ranker.graph, ranker.scores))
+
+
+add("edge_stream", _stream)
