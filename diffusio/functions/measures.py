@@ -17,7 +17,6 @@ from diffusio.graph import Graph, Signal
 from diffusio.operators.normalize import Normalization
 from diffusio.session import written
 
-Y, X = F.col("y"), F.col("x")
 
 
 class Measure:
@@ -67,27 +66,27 @@ def _simple(name: str, value: Callable[[], Column], direction: int = 1, doc: str
     return type(name, (Supervised,), {"value": lambda self: value(), "direction": direction, "__doc__": doc})
 
 
-MaxDifference = _simple("MaxDifference", lambda: F.max(F.abs(Y - X)), -1, "Largest absolute difference.")
-Mabs = _simple("Mabs", lambda: F.avg(F.abs(Y - X)), -1, "Mean absolute difference.")
-RMabs = _simple("RMabs", lambda: F.sum(F.abs(Y - X)) / F.sum(F.abs(Y)), -1, "Absolute difference over absolute known values.")
-MSQ = _simple("MSQ", lambda: F.avg((Y - X) * (Y - X)), -1, "Mean squared difference.")
-MSQRT = _simple("MSQRT", lambda: F.sqrt(F.avg((Y - X) * (Y - X))), -1, "Its root.")
-L1 = _simple("L1", lambda: F.sum(F.abs(Y - X)), -1, "Sum of absolute differences.")
-L2 = _simple("L2", lambda: F.sum((Y - X) * (Y - X)), -1, "Sum of squared differences, without a root.")
-Euclidean = _simple("Euclidean", lambda: F.sqrt(F.sum((Y - X) * (Y - X))), -1, "Its root.")
-BinaryCrossEntropy = _simple("BinaryCrossEntropy", lambda: -F.sum(Y * F.ln(X + EPSILON) + (1 - Y) * F.ln(1 - X + EPSILON)), -1, "Summed over nodes.")
-CrossEntropy = _simple("CrossEntropy", lambda: -F.sum(X * safe_ln(Y)), -1, "Of scores against known shares.")
-Dot = _simple("Dot", lambda: F.sum(X * Y), 1, "Sum of products.")
-Cos = _simple("Cos", lambda: safe_div(F.sum(X * Y), F.sqrt(F.sum(X * X) * F.sum(Y * Y))), 1, "Cosine; 0 for a zero vector.")
-Accuracy = _simple("Accuracy", lambda: 1 - F.avg(F.abs(Y - X)), 1, "1 - the mean absolute difference.")
-Pearson = _simple("Pearson", lambda: F.corr(X, Y), 1, "Correlation.")
+MaxDifference = _simple("MaxDifference", lambda: F.max(F.abs(F.col("y") - F.col("x"))), -1, "Largest absolute difference.")
+Mabs = _simple("Mabs", lambda: F.avg(F.abs(F.col("y") - F.col("x"))), -1, "Mean absolute difference.")
+RMabs = _simple("RMabs", lambda: F.sum(F.abs(F.col("y") - F.col("x"))) / F.sum(F.abs(F.col("y"))), -1, "Absolute difference over absolute known values.")
+MSQ = _simple("MSQ", lambda: F.avg((F.col("y") - F.col("x")) * (F.col("y") - F.col("x"))), -1, "Mean squared difference.")
+MSQRT = _simple("MSQRT", lambda: F.sqrt(F.avg((F.col("y") - F.col("x")) * (F.col("y") - F.col("x")))), -1, "Its root.")
+L1 = _simple("L1", lambda: F.sum(F.abs(F.col("y") - F.col("x"))), -1, "Sum of absolute differences.")
+L2 = _simple("L2", lambda: F.sum((F.col("y") - F.col("x")) * (F.col("y") - F.col("x"))), -1, "Sum of squared differences, without a root.")
+Euclidean = _simple("Euclidean", lambda: F.sqrt(F.sum((F.col("y") - F.col("x")) * (F.col("y") - F.col("x")))), -1, "Its root.")
+BinaryCrossEntropy = _simple("BinaryCrossEntropy", lambda: -F.sum(F.col("y") * F.ln(F.col("x") + EPSILON) + (1 - F.col("y")) * F.ln(1 - F.col("x") + EPSILON)), -1, "Summed over nodes.")
+CrossEntropy = _simple("CrossEntropy", lambda: -F.sum(F.col("x") * safe_ln(F.col("y"))), -1, "Of scores against known shares.")
+Dot = _simple("Dot", lambda: F.sum(F.col("x") * F.col("y")), 1, "Sum of products.")
+Cos = _simple("Cos", lambda: safe_div(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))), 1, "Cosine; 0 for a zero vector.")
+Accuracy = _simple("Accuracy", lambda: 1 - F.avg(F.abs(F.col("y") - F.col("x"))), 1, "1 - the mean absolute difference.")
+Pearson = _simple("Pearson", lambda: F.corr(F.col("x"), F.col("y")), 1, "Correlation.")
 PRule = _simple(
     "PRule",
-    lambda: (lambda a, b, n, s: F.when((a == 0) | (b == 0), 0.0).otherwise(F.least(safe_div(a * (n - s), b * s), safe_div(b * s, a * (n - s)))))(F.sum(X * Y), F.sum(X * (1 - Y)), F.count("x"), F.sum(Y)),
+    lambda: (lambda a, b, n, s: F.when((a == 0) | (b == 0), 0.0).otherwise(F.least(safe_div(a * (n - s), b * s), safe_div(b * s, a * (n - s)))))(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * (1 - F.col("y"))), F.count("x"), F.sum(F.col("y"))),
     1,
     "Mean score of the known group against the mean of others, as a ratio of at most 1.",
 )
-L2Disparity = _simple("L2Disparity", lambda: F.pow(safe_div(F.sum(X * Y), F.avg(Y)) / F.count("x") - safe_div(F.sum(X * (1 - Y)), 1 - F.avg(Y)) / F.count("x"), 2.0), -1, "Squared difference of the group's and others' means.")
+L2Disparity = _simple("L2Disparity", lambda: F.pow(safe_div(F.sum(F.col("x") * F.col("y")), F.avg(F.col("y"))) / F.count("x") - safe_div(F.sum(F.col("x") * (1 - F.col("y"))), 1 - F.avg(F.col("y"))) / F.count("x"), 2.0), -1, "Squared difference of the group's and others' means.")
 
 
 class _Shares(Supervised):
@@ -95,7 +94,7 @@ class _Shares(Supervised):
 
     def of(self, rows):
         tops = rows.agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-        scaled = rows.join(tops, F.lit(True)).select("id", safe_div(X, F.col("mx")).alias("x"), safe_div(Y, F.col("my")).alias("y"))  # one row of maxima
+        scaled = rows.join(tops, F.lit(True)).select("id", safe_div(F.col("x"), F.col("mx")).alias("x"), safe_div(F.col("y"), F.col("my")).alias("y"))  # one row of maxima
         return super().of(scaled)
 
 
@@ -103,21 +102,21 @@ class TPR(_Shares):
     """True positives over known positives."""
 
     def value(self):
-        return safe_div(F.sum(X * Y), F.sum(Y))
+        return safe_div(F.sum(F.col("x") * F.col("y")), F.sum(F.col("y")))
 
 
 class TNR(_Shares):
     """True negatives over known negatives."""
 
     def value(self):
-        return safe_div(F.sum((1 - X) * (1 - Y)), F.sum(1 - Y))
+        return safe_div(F.sum((1 - F.col("x")) * (1 - F.col("y"))), F.sum(1 - F.col("y")))
 
 
 class PPV(_Shares):
     """True positives over predicted ones."""
 
     def value(self):
-        return safe_div(F.sum(X * Y), F.sum(X))
+        return safe_div(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x")))
 
 
 class KLDivergence(Supervised):
@@ -128,8 +127,8 @@ class KLDivergence(Supervised):
     def of(self, rows):
         t = rows.agg(F.sum(F.abs("x")).alias("sx"), F.sum("y").alias("sy"), F.sum("x").alias("tx"), F.count("x").alias("n"))
         n = F.col("n")
-        x = (safe_div(X, F.col("sx")) + EPSILON) / (safe_div(F.col("tx"), F.col("sx")) + n * EPSILON)
-        y = (Y + EPSILON) / (F.col("sy") + n * EPSILON)
+        x = (safe_div(F.col("x"), F.col("sx")) + EPSILON) / (safe_div(F.col("tx"), F.col("sx")) + n * EPSILON)
+        y = (F.col("y") + EPSILON) / (F.col("sy") + n * EPSILON)
         both = rows.join(t, F.lit(True))  # one row of totals
         return both.agg(self.scale(F.sum(x * F.ln(x / y)), F.max("n")).alias("value"))
 
@@ -152,9 +151,9 @@ class AUC(Supervised):
     """Area under the ROC curve; known values above 0 are positives. Raises if all are alike."""
 
     def of(self, rows):
-        ranked = mean_ranks(rows.withColumn("y", (Y > 0).cast("double")), "x", "rank")
+        ranked = mean_ranks(rows.withColumn("y", (F.col("y") > 0).cast("double")), "x", "rank")
         p, n = F.sum("y"), F.count("y")
-        return ranked.agg(F.when((p > 0) & (p < n), safe_div(F.sum(F.col("rank") * Y) - p * (p + 1) / 2, p * (n - p))).alias("value"))
+        return ranked.agg(F.when((p > 0) & (p < n), safe_div(F.sum(F.col("rank") * F.col("y")) - p * (p + 1) / 2, p * (n - p))).alias("value"))
 
     def __call__(self, scores):
         value = self.frame(scores).first()[0]
@@ -187,9 +186,9 @@ class NDCG(Supervised):
 
     def of(self, rows):
         k = self.k or rows.count()
-        top = rows.orderBy(X.desc(), "id").limit(k).withColumn("place", F.row_number().over(Window.orderBy(X.desc(), "id")))
-        ideal = rows.orderBy(Y.desc(), "id").limit(k).withColumn("place", F.row_number().over(Window.orderBy(Y.desc(), "id")))
-        gain = F.sum(Y / F.log2(F.col("place") + 1))
+        top = rows.orderBy(F.col("x").desc(), "id").limit(k).withColumn("place", F.row_number().over(Window.orderBy(F.col("x").desc(), "id")))
+        ideal = rows.orderBy(F.col("y").desc(), "id").limit(k).withColumn("place", F.row_number().over(Window.orderBy(F.col("y").desc(), "id")))
+        gain = F.sum(F.col("y") / F.log2(F.col("place") + 1))
         return top.agg(gain.alias("a")).join(ideal.agg(gain.alias("b")), F.lit(True)).select(safe_div(F.col("a"), F.col("b")).alias("value"))
 
 
