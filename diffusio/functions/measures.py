@@ -12,7 +12,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diffusio.functions.math import EPSILON, conv, safe_div, safe_ln
+from diffusio.functions.math import EPSILON, safe_div, safe_ln
+from diffusio.functions.order import placed, running
 from diffusio.graph import Graph, Signal
 from diffusio.operators.normalize import Normalization
 from diffusio.session import written
@@ -141,9 +142,8 @@ class MKLDivergence(KLDivergence):
 
 def mean_ranks(rows: DataFrame, column: str, as_: str) -> DataFrame:
     """A column of ranks from 1, equal values sharing their mean. Counted by distinct value."""
-    counts = written(rows.groupBy(column).agg(F.count("*").alias("n")), "counts")
-    before = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(F.col(column).alias("_v"), (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(as_))
+    counts = running(rows.groupBy(column).agg(F.count("*").alias("n")), [column], "n", "before")
+    ranks = counts.select(F.col(column).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(as_))
     return rows.join(ranks, rows[column] == F.col("_v")).drop("_v")
 
 
@@ -186,8 +186,8 @@ class NDCG(Supervised):
 
     def of(self, rows):
         k = self.k or rows.count()
-        top = rows.orderBy(F.col("x").desc(), "id").limit(k).withColumn("place", F.row_number().over(Window.orderBy(F.col("x").desc(), "id")))
-        ideal = rows.orderBy(F.col("y").desc(), "id").limit(k).withColumn("place", F.row_number().over(Window.orderBy(F.col("y").desc(), "id")))
+        top = placed(rows, [F.col("x").desc(), "id"]).where(F.col("place") <= k)
+        ideal = placed(rows, [F.col("y").desc(), "id"]).where(F.col("place") <= k)
         gain = F.sum(F.col("y") / F.log2(F.col("place") + 1))
         return top.agg(gain.alias("a")).join(ideal.agg(gain.alias("b")), F.lit(True)).select(safe_div(F.col("a"), F.col("b")).alias("value"))
 
@@ -354,10 +354,7 @@ class LinkAssessment:
     def pairs(self) -> DataFrame:
         """u, v, y: linked pairs, and for each node others drawn by hash of their places."""
         near = self.graph.hops(self.hops).select(F.col("src").alias("u"), F.col("dst").alias("v"))
-        numbered = written(self.graph.nodes.orderBy(F.xxhash64("id"), "id").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "places")
-        before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-        parts = numbered.groupBy("_part").agg(F.count("id").alias("n"), F.min("_at").alias("first")).withColumn("base", F.coalesce(before, F.lit(0)))
-        numbered = written(numbered.join(F.broadcast(parts), "_part").select("id", (F.col("_at") - F.col("first") + F.col("base")).alias("place")), "places")
+        numbered = written(placed(self.graph.nodes, [F.xxhash64("id"), "id"]).select("id", (F.col("place") - 1).alias("place")), "places")
         n = numbered.count()
         draws = numbered.select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(min(self.negatives, n)))).alias("i"))
         draws = draws.select("u", F.pmod(F.xxhash64("u", "i", F.lit(self.seed)), F.lit(n)).alias("place"))

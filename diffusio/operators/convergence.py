@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from statistics import NormalDist
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.functions.math import EPSILON
+from diffusio.functions.order import placed
 
 #: Errors between the last and the new values, as aggregates.
 ERRORS: dict[str, Callable[[Column, Column], Column]] = {
@@ -75,9 +76,8 @@ class RankOrder:
             return self.confidence
         if self.criterion != "rank_gap":
             raise ValueError(f"no criterion {self.criterion}")
-        # distinct values by range of value, so that gaps need one ordered pass per range
-        gap = F.col("v") - F.lag("v").over(Window.orderBy("v"))
-        gaps = state.select(F.col(new).alias("v")).distinct().select(gap.alias("g")).where("g IS NOT NULL")
+        values = placed(state.select(F.col(new).alias("v")).distinct(), ["v"])
+        gaps = values.join(values.select(F.col("v").alias("last"), (F.col("place") + 1).alias("place")), "place").select((F.col("v") - F.col("last")).alias("g"))
         hi, lo, spread, n = gaps.agg(F.max("g"), F.min("g"), F.stddev_pop("g"), F.count("g")).first()
         if n < 2:
             return 1.0

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from diffusio.functions.math import conv, safe_div, safe_inv
 from diffusio.functions.measures import MannWhitneyParity, Mabs, PRule
+from diffusio.functions.order import running
 from diffusio.graph import Graph, Signal
 from diffusio.operators.convergence import Convergence
 from diffusio.operators.postprocess import Postprocessor
@@ -24,10 +25,9 @@ def _taken_evenly(df: DataFrame, mass: float) -> DataFrame:
     for the first k at which it is at most s_k. Sums over values are made by distinct value.
     """
     steps = df.where("value > 0").groupBy("value").agg(F.count("id").alias("n"))
-    up = Window.orderBy("value")
-    before = F.coalesce(F.sum(F.col("n") * F.col("value")).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("n").over(Window.orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    levels = steps.select("value", ((F.lit(mass) - before) / after).alias("level"))
+    total = steps.agg(F.sum("n")).first()[0] or 0
+    sums = running(running(steps, ["value"], "n", "counted"), ["value"], F.col("n") * F.col("value"), "before")
+    levels = sums.select("value", ((F.lit(mass) - F.col("before")) / (F.lit(total) - F.col("counted"))).alias("level"))
     found = levels.where("level <= value").agg(F.min(F.struct("value", "level")).alias("m")).first()["m"]
     level = found["level"] if found is not None else float("inf")
     return df.select("id", F.greatest(F.col("value") - F.lit(level), F.lit(0.0)).alias("value"))

@@ -6,24 +6,18 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from diffusio.functions.math import safe_div
+from diffusio.functions.order import placed
 from diffusio.graph import Graph, Signal
 from diffusio.plans.ranker import Ranker
 from diffusio.session import written
 
 
 def _ordered(signal: Signal) -> DataFrame:
-    """id, value and place (1 is the highest; ties by id), by a distributed sort.
-
-    Ranges of the sorted table are numbered apart, and counts of the ranges before are added.
-    """
-    s = signal.df.orderBy(F.col("value").desc(), "id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    s = written(s, "sorted")
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = s.groupBy("part").agg(F.count("id").alias("n"), F.min("at").alias("first")).withColumn("base", F.coalesce(before, F.lit(0)))
-    return s.join(F.broadcast(parts), "part").select("id", "value", (F.col("at") - F.col("first") + F.col("base") + 1).alias("place"))
+    """id, value and place (1 is the highest; ties by id)."""
+    return placed(signal.df, [F.col("value").desc(), "id"]).select("id", "value", "place")
 
 
 class Postprocessor(Ranker):

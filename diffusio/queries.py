@@ -277,7 +277,7 @@ add(
 
 def _fair_personalizer(spark: SparkSession, folder: str) -> DataFrame:
     g = GRAPHS["nat"](spark, folder)
-    ranker = fairness.FairPersonalizer(O.PageRank(0.85, **steps(2)), tol=10.0, buckets=1)
+    ranker = fairness.FairPersonalizer(O.PageRank(0.85, **steps(2)), tol=10.0, buckets=0)
     return shown(ranker.rank(g, seeds(g), sensitive(g)))
 
 
