@@ -24,7 +24,7 @@ from diffusio.llm.ftrl import Ftrl
 from diffusio.llm.text import Words, alphanumeric, mix, slices
 from diffusio.session import ship
 
-BUCKETS, SAMPLE, THRESHOLD = 1 << 21, 6000, 0.3
+BUCKETS, SAMPLE, THRESHOLD = 1 << 21, 5000, 0.3
 _SKIPS, _STEMS = (1, 2, 3), (3, 4, 5, 6)
 
 
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not len(got):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0, False)
     got = got.sort_values(["doc_id", "toxic", "at"])
-    return fit([(np.frombuffer(bytes(a), dtype=np.int32).astype(np.int64), float(t)) for a, t in zip(got["at"], got["toxic"], strict=True)])
+    return fit([(np.frombuffer(a, dtype=np.int32), float(t)) for a, t in zip(got["at"], got["toxic"], strict=True)])
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
