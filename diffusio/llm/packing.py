@@ -186,7 +186,8 @@ def entries(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
 def piece_table(docs: DataFrame, path: str, capacity: int, end: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of docs (doc_id, text), written once.
 
-    with_ids: the ids too, as 16-bit numbers where the vocabulary allows, else 32-bit.
+    with_ids: the ids too, as 16-bit numbers where the vocabulary allows, else 32-bit, and a
+    number of the row (_row), which is fixed by being written.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,8 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end: int, with_ids: b
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return written(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces")
+    made = docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return written(made.withColumn("_row", F.monotonically_increasing_id()) if with_ids else made, "pieces")
 
 
 def pack(table: DataFrame, capacity: int, method: str) -> DataFrame:
@@ -254,15 +256,8 @@ def pack_matrices(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0
     """
     ship(docs.sparkSession)
     table = piece_table(docs, path, capacity, end, with_ids=True)
-    key = ["doc_id", "piece", "ids_crc32"]
-    places = pack(table.drop("ids"), capacity, "decreasing")
-    # equal rows are numbered on both sides, so that they meet one to one
-    turn = Window.partitionBy(*key).orderBy("piece")
-    ids = table.select(*key, "ids", F.row_number().over(turn).alias("_copy"))
-    places = places.select(F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), F.col("ids_crc32").alias("_crc"), "length", "sequence_id", "offset")
-    places = places.withColumn("_turn", F.row_number().over(Window.partitionBy("_doc", "_piece", "_crc").orderBy("sequence_id", "offset")))
-    same = ids["doc_id"].eqNullSafe(places["_doc"]) & (ids["piece"] == places["_piece"]) & (ids["ids_crc32"] == places["_crc"]) & (ids["_copy"] == places["_turn"])
-    rows = ids.join(places, same).select("sequence_id", "offset", "length", "doc_id", "ids")
+    places = pack(table.drop("ids"), capacity, "decreasing").select("_row", "doc_id", "length", "sequence_id", "offset")
+    rows = table.select("_row", "ids").join(places, "_row").select("sequence_id", "offset", "length", "doc_id", "ids")
     rows = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
