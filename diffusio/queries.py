@@ -65,6 +65,21 @@ add(
 )
 add("two_hop", on("nat", lambda g: Graph(g.edges.where(key("dst") % 7 == key("src") % 5), True).hops(2)), f"{NAT}, e AS (SELECT DISTINCT src, dst FROM edges WHERE CAST(substr(dst, 2) AS BIGINT) % 7 = CAST(substr(src, 2) AS BIGINT) % 5) SELECT src, dst FROM e WHERE src <> dst UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst")
 
+
+def _all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer with every supplier."""
+    c = table(spark, folder, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"))
+    return c.crossJoin(table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("dst")))
+
+
+# Whole tables and graphs: has_edge and two_hop above are thinned by ids, as their fixed SQL is.
+add(
+    "has_edge_whole",
+    lambda spark, folder: GRAPHS["cs"](spark, folder).has_edges(_all_pairs(spark, folder)),
+    f"{CS} SELECT a.src, a.dst, e.src IS NOT NULL AS has_edge FROM (SELECT 'c' || c_custkey AS src, 's' || s_suppkey AS dst FROM customer, supplier) a LEFT JOIN edges e ON e.src = a.src AND e.dst = a.dst",
+)
+add("two_hop_whole", on("cs", lambda g: g.hops(2)), f"{CS} SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst")
+
 # ---- normalization --------------------------------------------------------------------
 
 
@@ -384,9 +399,9 @@ add("measure_disparity", combined(M.Disparity), value_sql("abs(a - 2 * b)", "two
 add("measure_parity", combined(M.Parity), value_sql("1 - abs(a - 2 * b)", "two", _TWO))
 
 
-def _group_scores(g: Graph) -> DataFrame:
-    """group_id, id, value of four made groups of nations."""
-    return g.nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("group_id")).select("group_id", "id", ((key() * (F.col("group_id") + 3) % 7) / 7.0).alias("value"))
+def _group_scores(g: Graph, scale: float = 7.0) -> DataFrame:
+    """group_id, id, value of four made groups of nodes. A scale of 8 makes sums of products exact, so that ties are ties in any order."""
+    return g.nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("group_id")).select("group_id", "id", ((key() * (F.col("group_id") + 3) % 7) / scale).alias("value"))
 
 
 _SIM = f"""WITH {GRAPH_SQL['nat']}, gs AS MATERIALIZED (SELECT i AS group_id, id, (({KEY_SQL} * (i + 3)) % 7) / 7.0::DOUBLE AS value FROM nodes, range(0, 4) t(i)),
@@ -394,6 +409,13 @@ nb AS MATERIALIZED (SELECT DISTINCT src AS id, dst AS n FROM edges WHERE CAST(su
 dots AS MATERIALIZED (SELECT a.id AS u, b.id AS v, sum(a.value * b.value) AS d, sqrt(sum(a.value * a.value) * sum(b.value * b.value)) AS n FROM gs a JOIN gs b USING (group_id) GROUP BY 1, 2)"""
 
 
+def _sim_whole(graph: str, scale: float) -> str:
+    """_SIM over all edges of a graph."""
+    return f"""WITH {GRAPH_SQL[graph]}, gs AS MATERIALIZED (SELECT i AS group_id, id, (({KEY_SQL} * (i + 3)) % 7) / {scale}::DOUBLE AS value FROM nodes, range(0, 4) t(i)),
+nb AS MATERIALIZED (SELECT DISTINCT src AS id, dst AS n FROM edges),
+dots AS MATERIALIZED (SELECT a.id AS u, b.id AS v, sum(a.value * b.value) AS d, sqrt(sum(a.value * a.value) * sum(b.value * b.value)) AS n FROM gs a JOIN gs b USING (group_id) GROUP BY 1, 2)"""
+
+
 def _thin(g: Graph) -> Graph:
     return Graph(g.edges.where(key("dst") % 7 <= 3), True, g.nodes)
 
@@ -403,7 +425,12 @@ add(
     on("nat", lambda g: M.ClusteringCoefficient(_thin(g)).frame(_group_scores(g)).select(rounded("value").alias("value"))),
     f"{_SIM}, wedge AS (SELECT a.n AS u, b.n AS v FROM nb a JOIN nb b ON a.id = b.id) SELECT {S.ROUND.format('sum(CASE WHEN dots.n = 0 THEN 0 ELSE d / dots.n END) / count(l.id)')} AS value FROM wedge JOIN dots USING (u, v) LEFT JOIN nb l ON l.id = wedge.u AND l.n = wedge.v",
 )
-add("measure_link_auc", lambda spark, folder: _one(spark, (lambda g: M.LinkAssessment(_thin(g), hops=1, negatives=8)(_group_scores(g)))(GRAPHS["nat"](spark, folder))))
+add(
+    "measure_clustering_whole",
+    on("nat", lambda g: M.ClusteringCoefficient(g).frame(_group_scores(g)).select(rounded("value").alias("value"))),
+    f"{_sim_whole('nat', 7.0)}, wedge AS (SELECT a.n AS u, b.n AS v FROM nb a JOIN nb b ON a.id = b.id) SELECT {S.ROUND.format('sum(CASE WHEN dots.n = 0 THEN 0 ELSE d / dots.n END) / count(l.id)')} AS value FROM wedge JOIN dots USING (u, v) LEFT JOIN nb l ON l.id = wedge.u AND l.n = wedge.v",
+)
+add("measure_link_auc", lambda spark, folder: _one(spark, (lambda g: M.LinkAssessment(g, hops=1, negatives=8)(_group_scores(g)))(GRAPHS["cs"](spark, folder))))
 add("similarity_dot", on("nat", lambda g: M.similarities(g.neighbors().select(F.col("id").alias("u"), F.col("neighbor").alias("v")), _group_scores(g), "dot").select("u", "v", rounded("similarity").alias("similarity"))), f"{_SIM} SELECT u, v, {S.ROUND.format('d')} AS similarity FROM dots JOIN (SELECT DISTINCT src AS u, dst AS v FROM edges) USING (u, v)")
 
 
@@ -474,6 +501,11 @@ add(
     on("nat", lambda g: R.predict_links(_thin(g), _group_scores(g), 3, "dot").select("src", "dst", rounded("similarity").alias("similarity"))),
     f"{_SIM}, far AS (SELECT DISTINCT a.id AS u, b.n AS v FROM nb a JOIN nb b ON a.n = b.id WHERE a.id <> b.n AND NOT EXISTS (SELECT 1 FROM nb c WHERE c.id = a.id AND c.n = b.n)), r AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d DESC, v) AS k FROM far JOIN dots USING (u, v)) SELECT u AS src, v AS dst, {S.ROUND.format('d')} AS similarity FROM r WHERE k <= 3",
 )
+add(
+    "link_predict_whole",
+    on("cs", lambda g: R.predict_links(g, _group_scores(g, 8.0), 3, "dot").select("src", "dst", rounded("similarity").alias("similarity"))),
+    f"{_sim_whole('cs', 8.0)}, two AS (SELECT DISTINCT a.id AS u, b.n AS v FROM nb a JOIN nb b ON a.n = b.id WHERE a.id <> b.n), far AS (SELECT u, v FROM two LEFT JOIN nb ON nb.id = u AND nb.n = v WHERE nb.id IS NULL), r AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d DESC, v) AS k FROM far JOIN dots USING (u, v)) SELECT u AS src, v AS dst, {S.ROUND.format('d')} AS similarity FROM r WHERE k <= 3",
+)
 
 
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:
