@@ -3,9 +3,12 @@
 Everything is DataFrame functions. Measures of each text are computed once and written as a
 table. Each (language, source) gets KLL sketches of its measures over all its rows; the
 sketches of a language are merged from those of its sources. A measure's fence is
-``q75 + reach * max(q75 - q25, spread)`` (and mirrored below), so that a clean group loses
-nothing whatever its level is; groups with fewer than ``least`` rows take the fence of their
-language, and small languages that of the corpus. Thresholds are then joined to the rows.
+``high + reach * max(high - low, spread)`` (and mirrored below), with two quantiles of the
+measure, so that a clean group loses nothing whatever its level is. Repeats are 0 in most
+rows, so their quantiles are the median and the 9th decile, of rows within the base cutoff
+alone, and their spread puts the fence of a group without repeats at half the cutoff. Groups
+with fewer than ``least`` rows take the fence of their language, and small languages that of
+the corpus. Thresholds are then joined to the rows.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources
 are groups of their own; repeated rows are each kept or not alike; an empty table gives no
@@ -22,9 +25,11 @@ from diffusio.session import written
 _SPACE = "\t\n\x0b\x0c\r"
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
-#: measure: (smallest spread taken as meaningful, whether too small a value fails as well)
-MEASURES = {"symbols": (0.05, False), "dup_lines": (0.1, False), "repeats": (0.07, False), "word_length": (1.0, True)}
 WINDOW, LEAST_WORDS, MOST_REPEAT_PERCENT = 5, 10, 20
+#: How many spreads beyond the quantile a fence is.
+REACH = 3.0
+#: measure: (smallest spread taken as meaningful, whether too small a value fails as well, the two quantiles)
+MEASURES = {"symbols": (0.05, False, (0.25, 0.75)), "dup_lines": (0.1, False, (0.25, 0.75)), "repeats": (MOST_REPEAT_PERCENT / 100 / 2 / REACH, False, (0.5, 0.9)), "word_length": (1.0, True, (0.25, 0.75))}
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -68,9 +73,15 @@ def _values() -> dict[str, Column]:
     }
 
 
-def fences(measured: DataFrame, reach: float = 3.0, least: int = 100, k: int = 200) -> DataFrame:
-    """For each (lang, source): low_* and high_* of each measure, from merged sketches of all rows."""
+def _repetitive() -> Column:
+    """Whether a row fails the base cutoff on repeats."""
+    return 100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words")
+
+
+def fences(measured: DataFrame, reach: float = REACH, least: int = 100, k: int = 200) -> DataFrame:
+    """For each (lang, source): low and high of each measure, from merged sketches of all rows (for repeats, of those within the base cutoff)."""
     values = _values()
+    values["repeats"] = F.when(~_repetitive(), values["repeats"])
     own = written(measured.groupBy("lang", "source").agg(F.count("n_words").alias("n"), *[F.kll_sketch_agg_double(v, F.lit(k)).alias(m) for m, v in values.items()]), "sketches")
 
     def merged(*by: str) -> DataFrame:
@@ -78,8 +89,8 @@ def fences(measured: DataFrame, reach: float = 3.0, least: int = 100, k: int = 2
 
     def fenced(df: DataFrame, *by: str) -> DataFrame:
         out = [*by, "n"]
-        for m, (spread, both) in MEASURES.items():
-            q1, q3 = (F.when(F.kll_sketch_get_n_double(m) > 0, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in (0.25, 0.75))
+        for m, (spread, both, quantiles) in MEASURES.items():
+            q1, q3 = (F.when(F.kll_sketch_get_n_double(m) > 0, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in quantiles)
             width = reach * F.greatest(q3 - q1, F.lit(spread))
             out.append(F.struct((q1 - width if both else F.lit(float("-inf"))).alias("low"), (q3 + width).alias("high")).alias(m))
         return df.select(*out)
@@ -92,14 +103,14 @@ def fences(measured: DataFrame, reach: float = 3.0, least: int = 100, k: int = 2
     return rows.select("a.lang", "a.source", *pick)
 
 
-def quality(docs: DataFrame, reach: float = 3.0, least: int = 100) -> DataFrame:
+def quality(docs: DataFrame, reach: float = REACH, least: int = 100) -> DataFrame:
     """documents' measures, base_failed and kept.
 
     kept: not base_failed, and each measure within the fences of the row's language and source.
     """
     measured = written(measure(docs), "measures")
     limits = fences(measured, reach, least).select(F.col("lang").alias("l"), F.col("source").alias("s"), *MEASURES)
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
+    base = (F.col("n_words") < LEAST_WORDS) | _repetitive()
     inside = F.lit(True)
     for m, v in _values().items():
         inside = inside & F.coalesce((v >= F.col(m)["low"]) & (v <= F.col(m)["high"]), F.lit(True))
