@@ -63,6 +63,16 @@ class Supervised(Measure):
         raise NotImplementedError
 
 
+def of_columns(measure: Supervised, rows: DataFrame, scores: Sequence[Column]) -> list[float]:
+    """A measure of each of several scores of rows (id, y, ...): one aggregation, if the measure is an aggregate of rows."""
+    if type(measure).of is not Supervised.of:
+        found = [measure.of(rows.select("id", "y", c.alias("x"))).first()[0] for c in scores]
+        return [float(v or 0.0) for v in found]
+    each = rows.select("y", F.posexplode(F.array(*scores)).alias("k", "x"))
+    found = {r["k"]: r["value"] for r in each.groupBy("k").agg(measure.value().alias("value")).collect()}
+    return [float(found.get(k) or 0.0) for k in range(len(scores))]
+
+
 def _simple(name: str, value: Callable[[], Column], direction: int = 1, doc: str = "") -> type[Supervised]:
     return type(name, (Supervised,), {"value": lambda self: value(), "direction": direction, "__doc__": doc})
 

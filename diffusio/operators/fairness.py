@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.functions.math import conv, safe_div, safe_inv
-from diffusio.functions.measures import MannWhitneyParity, Mabs, PRule
+from diffusio.functions.measures import MannWhitneyParity, Mabs, PRule, Supervised, of_columns
 from diffusio.functions.order import running
 from diffusio.graph import Graph, Signal
 from diffusio.operators.convergence import Convergence
+from diffusio.operators.filters import PageRank
 from diffusio.operators.postprocess import Postprocessor
 from diffusio.plans.optimize import optimize
 from diffusio.plans.ranker import Ranker
@@ -96,9 +97,13 @@ class FairPersonalizer(Ranker):
         self.base, self.target, self.buckets, self.retain_weight, self.prule_weight = base, target, buckets, retain_weight, prule_weight
         self.max_residual, self.skew, self.error, self.parity, self.tol = max_residual, skew, error, parity, tol
 
-    def edited(self, p: Signal, s: Signal, ranks: Signal, params: list[float]) -> Signal:
+    def rows(self, p: Signal, s: Signal, ranks: Signal) -> DataFrame:
+        """id, value (personalization), s (sensitive) and r (ranks over their maximum)."""
         top = ranks.max() or 1.0
-        rows = p.df.join(s.df.withColumnRenamed("value", "s"), "id").join(ranks.df.select("id", (F.col("value") / top).alias("r")), "id")
+        return p.df.join(s.df.withColumnRenamed("value", "s"), "id").join(ranks.df.select("id", (F.col("value") / top).alias("r")), "id")
+
+    def edit(self, params: list[float]) -> Column:
+        """The edited personalization of rows()."""
         gap = F.col("r") - F.col("value")
         gap = gap if self.skew else F.abs(gap)
         out = F.lit(0.0) if self.buckets else F.col("r")
@@ -106,7 +111,10 @@ class FairPersonalizer(Ranker):
             q = params[4 * i : 4 * i + 4]
             a, b = F.col("s") * (q[0] - q[1]) + q[1], F.col("s") * (q[2] - q[3]) + q[3]
             out = out + (1 - a) * F.exp(b * gap) + a * F.exp(-b * gap)
-        return Signal(p.graph, rows.select("id", ((1 - params[-1]) * out + params[-1] * F.col("value")).alias("value")))
+        return (1 - params[-1]) * out + params[-1] * F.col("value")
+
+    def edited(self, p: Signal, s: Signal, ranks: Signal, params: list[float]) -> Signal:
+        return Signal(p.graph, self.rows(p, s, ranks).select("id", self.edit(params).alias("value")))
 
     def rank(self, graph, signal=None, sensitive: Any = None, **more):
         p, s = Signal.of(graph, signal).stored(), Signal.of(graph, sensitive).stored()
@@ -121,7 +129,20 @@ class FairPersonalizer(Ranker):
             ranks = base.rank(graph, self.edited(p, s, original, params), **more).stored()
             return -self.retain_weight * error(ranks) * error.direction - self.prule_weight * min(self.target, fair(ranks))
 
-        best = optimize(loss, [1, 1, 5, 5] * self.buckets + [self.max_residual], [0, 0, -5, -5] * self.buckets + [0], deviation_tol=self.tol, divide_range=2, partitions=10)
+        together = isinstance(base, PageRank) and base.ranks_many() and all(isinstance(m, Supervised) for m in (error, fair)) and not more
+        before = written(self.rows(p, s, original), "before") if together else None
+
+        def many(candidates: list[list[float]]) -> list[float]:
+            names = [f"x{i}" for i in range(len(candidates))]
+            edits = before.select("id", *[self.edit(params).alias(c) for c, params in zip(names, candidates, strict=True)])
+            ranks = written(base.rank_many(graph, edits), "ranks")
+            found = []
+            for m in (error, fair):
+                rows = m.rows(ranks.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(ranks, "id")
+                found.append(of_columns(m, rows, [F.col(c) for c in names]))
+            return [-self.retain_weight * e * error.direction - self.prule_weight * min(self.target, f) for e, f in zip(*found, strict=True)]
+
+        best = optimize(loss, [1, 1, 5, 5] * self.buckets + [self.max_residual], [0, 0, -5, -5] * self.buckets + [0], deviation_tol=self.tol, divide_range=2, partitions=10, many=many if together else None)
         return base.rank(graph, self.edited(p, s, original, best), **more)
 
 

@@ -139,6 +139,30 @@ class PageRank(Recursive):
     def formula(self, k):
         return self.alpha * F.col("r_in") + (1 - self.alpha) * F.col("p")
 
+    def ranks_many(self) -> bool:
+        """Whether rank_many() can stand for rank()."""
+        c = self.convergence
+        return type(self) is PageRank and isinstance(c, Convergence) and c.error == "iters" and isinstance(self.quotient, bool) and not (self.eigenvectors or self.dropout or self.before)
+
+    def rank_many(self, graph: Graph, table: DataFrame) -> DataFrame:
+        """Ranks of each column of a table (id, ...) as a personalization of its own; all are moved in one step."""
+        names = [c for c in table.columns if c != "id"]
+        table = written(table, "many")
+        norms = table.agg(*[F.sum(F.abs(c)).alias(c) for c in names]).first()
+        p = {c: F.col(c) / (norms[c] or 1.0) for c in names}
+        edges = self.normalization.edges(graph)
+        state = table.select("id", *[p[c].alias(f"p_{c}") for c in names], *[p[c].alias(c) for c in names])
+        for _ in range(self.convergence.max_iters - 1):
+            arrived = conv(edges, state.select("id", *names), *names).select("id", *[F.col(c).alias(f"{c}_in") for c in names])
+            joined = state.drop(*names).join(arrived, "id", "left").fillna(0.0, [f"{c}_in" for c in names])
+            new = [(self.alpha * F.col(f"{c}_in") + (1 - self.alpha) * F.col(f"p_{c}")).alias(c) for c in names]
+            state = written(joined.select("id", *[f"p_{c}" for c in names], *new), "many")
+            if self.quotient:
+                totals = state.agg(*[F.sum(c).alias(c) for c in names]).first()
+                state = state.select("id", *[f"p_{c}" for c in names], *[(F.col(c) / (totals[c] or 1.0)).alias(c) for c in names])
+        scale = {c: (norms[c] or 0.0) if self.preserve_norm else 1.0 for c in names}
+        return state.select("id", *[(F.col(c) * scale[c]).alias(c) for c in names])
+
 
 class DijkstraRank(Recursive):
     """The larger of a score and the degraded moved one."""

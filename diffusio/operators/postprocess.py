@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from diffusio.functions.math import safe_div
 from diffusio.functions.order import placed
 from diffusio.graph import Graph, Signal
+from diffusio.operators.convergence import NotConverged
 from diffusio.plans.ranker import Ranker
 from diffusio.session import written
 
@@ -242,7 +243,7 @@ class SeedOversampling(Ranker):
 
 
 class BoostedSeedOversampling(Ranker):
-    """Adds weighted scores of oversampled seeds until the weight settles."""
+    """Adds weighted scores of oversampled seeds until the weight settles; raises if it doesn't within max_iters."""
 
     def __init__(self, base: Ranker, objective: str = "partial", source: str = "previous", tol: float = 0.001, max_iters: int = 100):
         if objective not in ("partial", "naive") or source not in ("previous", "original"):
@@ -265,6 +266,6 @@ class BoostedSeedOversampling(Ranker):
             weight = (a - b) / square if self.objective == "partial" else 0.5 - 0.5 * b / square
             total = total.zip(new, lambda x, y, w=weight: x + w * y).stored()
             if abs(weight - last) <= self.tol:
-                break
+                return total
             last = weight
-        return total
+        raise NotConverged(f"the weight of boosting has not settled within {self.max_iters} iterations")

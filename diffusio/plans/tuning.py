@@ -9,7 +9,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from diffusio.functions.measures import AUC, Cos, Measure
+from diffusio.functions.measures import AUC, Cos, Measure, of_columns
 from diffusio.graph import Graph, Signal
 from diffusio.operators.filters import GenericFilter, HeatKernel, PageRank, lanczos
 from diffusio.operators.normalize import Normalization
@@ -84,7 +84,10 @@ class ParameterTuner(Tuner):
                 loss = lambda w, rows=rows, m=measure: -m.direction * float(m.of(rows.select("id", "y", _mixed([1.0, *w]).alias("x"))).first()[0] or 0.0)
             else:
                 loss = lambda w, t=training, m=measure: -m.direction * m(self.make(w).rank(graph, t, **more).stored())
-            found.append(self.optimizer(loss, self.highest, self.lowest, **self.options))
+            options = self.options
+            if self.make is None and self.optimizer is optimize:
+                options = {"many": lambda ws, rows=rows, m=measure: [-m.direction * v for v in of_columns(m, rows, [_mixed([1.0, *w]) for w in ws])], **options}
+            found.append(self.optimizer(loss, self.highest, self.lowest, **options))
         best = [float(x) for x in np.mean(found, axis=0)]
         ranker = self.make(best) if self.make else GenericFilter([1.0, *best], normalization=self.normalization, error="iters", max_iters=len(best) + 2) >> Normalize()
         return ranker, p
@@ -123,7 +126,7 @@ class HopTuner(Tuner):
             rows = m.rows(columns.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(columns, "id")
             names = [c for c in columns.columns if c != "id"]
             rows = written(rows, "hops")
-            values.append([float(m.of(rows.select("id", "y", F.col(c).alias("x"))).first()[0] or 0.0) for c in names])
+            values.append(of_columns(m, rows, [F.col(c) for c in names]))
         weights = np.mean(values, axis=0)
         if self.smooth:
             weights = np.array([weights[i : i + self.smooth + 1].mean() for i in range(len(weights))])

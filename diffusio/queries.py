@@ -267,7 +267,7 @@ _BY = "(SELECT value FROM scores WHERE scores.id = nodes.id)"
 add("oversample_safe", oversampled("safe"), _oversampled_sql(f"CASE WHEN {_BY} >= (SELECT min(value) FROM scores WHERE {SEED_SQL} = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
 add("oversample_neighbors", oversampled("neighbors"), _oversampled_sql(f"CASE WHEN {SEED_SQL} = 1 OR EXISTS (SELECT 1 FROM seedy WHERE seedy.dst = nodes.id) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", f"{_NAT}, seedy AS (SELECT DISTINCT dst FROM edges JOIN (SELECT id FROM nodes WHERE {SEED_SQL} = 1) t ON src = t.id)"))
 add("oversample_top", oversampled("top"), _oversampled_sql(f"CASE WHEN {SEED_SQL} = 1 OR {_BY} >= (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value DESC, id) AS r FROM scores) WHERE r = least((SELECT count(*) FROM nodes), CAST(floor((SELECT count(*) FROM nodes)::DOUBLE * (SELECT count(*) FROM nodes) / (SELECT count(*) FROM edges)) AS BIGINT))) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
-add("boosted_oversample", ranked("nat", lambda: P.BoostedSeedOversampling(O.PageRank(0.85, **steps(3)), max_iters=6)))
+add("boosted_oversample", ranked("cs", lambda: P.BoostedSeedOversampling(O.PageRank(0.85, **steps(3)))))
 
 # ---- fairness ---------------------------------------------------------------------------
 
@@ -291,8 +291,8 @@ add(
 
 
 def _fair_personalizer(spark: SparkSession, folder: str) -> DataFrame:
-    g = GRAPHS["nat"](spark, folder)
-    ranker = fairness.FairPersonalizer(O.PageRank(0.85, **steps(2)), tol=10.0, buckets=0)
+    g = GRAPHS["cs"](spark, folder)
+    ranker = fairness.FairPersonalizer(O.PageRank(0.85, **steps(2)))
     return shown(ranker.rank(g, seeds(g), sensitive(g)))
 
 
@@ -474,8 +474,8 @@ def tuned(make: Callable[[], T.Tuner]) -> Query:
 
 
 add("algorithm_selection", tuned(lambda: T.Selection([O.PageRank(0.85, **steps(3)), O.PageRank(0.5, **steps(3)), O.HeatKernel(3, **steps(3))], M.Cos, (0.5,))))
-add("parameter_tuner", tuned(lambda: T.ParameterTuner(highest=[1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=0.1, divide_range=2)))
-add("hop_tuner", tuned(lambda: T.HopTuner(hops=4)))
+add("parameter_tuner", ranked("cs", lambda: T.ParameterTuner(measure=M.Cos, training=0.5)))
+add("hop_tuner", ranked("cs", lambda: T.HopTuner()))
 
 
 def _results(spark: SparkSession) -> DataFrame:
