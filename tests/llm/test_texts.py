@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -194,7 +195,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -204,13 +204,29 @@ def test_token_ids():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids(text)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n \t" * 400_000 + "b<|endoftext|>", "é" + " " * 1_000_000 + "!", "a" * 10_000_000])
+def test_token_ids_of_long_runs(text):
+    assert np.array_equal(np.frombuffer(tokens.encoder(tokenizer_path()).encode(text), "<u4"), reference_ids()(text))
+
+
+def test_token_ids_around_cut_runs(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG_BLANKS", 3)
+    monkeypatch.setattr(tokens, "_RUN", re.compile(f"[{tokens.BLANK}]{{3,}}"))
+    ids, enc, rng = reference_ids(), tokens.encoder(tokenizer_path()), random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice([" ", " ", "\n", "\t", "a", "'s", "1", "!", "\x85", "\xa0", "\x1c", "\u200b", "é", "<|endoftext|>"]) for _ in range(rng.randrange(25)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids(text)
+
+
 def packed_rows(spark):
     rows = [(i, t) for i, t in enumerate([*ODD, None, *[" ".join(words(n)) for n in (5, 40, 300, 300, 300, 700)]])]
-    rows += [rows[-1], (None, "x y")]
-    return rows, spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
+    rows += [rows[-1], (None, "x y"), (700, " " * 1_000_000 + "x")]
+    return rows, spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, length int, _task int")
 
 
-def test_pack_documents(spark):
+@pytest.mark.parametrize("small", [packing.BASES_BYTES, 0])
+def test_pack_documents(spark, monkeypatch, small):
+    monkeypatch.setattr(packing, "BASES_BYTES", small)  # 0: counts of tasks are joined by shuffling
     rows, df = packed_rows(spark)
     ids, capacity = reference_ids(), 64
     got = packing.pack_documents(df, tokenizer_path(), capacity).collect()
