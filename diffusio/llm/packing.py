@@ -2,8 +2,14 @@
 
 A packing is made on the histogram of lengths, which has at most ``capacity`` entries for
 any corpus: it says which sets of lengths share a sequence and how often. The pieces of each
-length are numbered in Spark, and a piece's number and length give its sequence and place.
-The driver sees the histogram only.
+length are numbered, and a piece's number and length give its sequence and place. A number is
+a piece's rank among those of its length that the same task has cut, which is written with
+it, and the count of those of all tasks before. So places are found without a shuffle of
+pieces: what is shuffled are the tasks' counts, at most ``capacity`` of them a task.
+
+What reaches the driver is the histogram; what is sent out is its plan (a few rows a length)
+and, if it has at most BASES_BYTES, the table of counts before each task. A larger table of
+counts (some 16,000 tasks at the default) is joined by shuffling instead.
 
 Two ways to pack a histogram:
 
@@ -24,12 +30,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from diffusio.llm.tokens import encoder, pieces, tokenized
 from diffusio.session import ship, written
 
-SALTS = 64
+BASES_BYTES = 1 << 28
 Pattern = tuple  # () or (pattern, length, how many)
 
 
@@ -186,40 +193,49 @@ def entries(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
 def piece_table(docs: DataFrame, path: str, capacity: int, end: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of docs (doc_id, text), written once.
 
-    with_ids: the ids too, as 16-bit numbers where the vocabulary allows, else 32-bit, and a
-    number of the row (_row), which is fixed by being written.
+    _task and _rank: the task that cut the piece, and how many of its length it had cut before.
+    with_ids: the ids too, as 16-bit numbers where the vocabulary allows, else 32-bit.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u2" if max(encoder(path).size - 1, end) < 1 << 16 else "<u4"
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * with_ids)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "_task", "_rank", *["ids"] * with_ids]
+        task, had = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows: list[tuple] = []
             for doc, tokens in zip(b.column("doc_id").to_pylist(), tokenized(b.column("text"), path, end), strict=True):
-                rows += [(doc, k, start, len(p) // 4, crc32(p), *[np.frombuffer(p, "<u4").astype(kind).tobytes()] * with_ids) for k, (start, p) in enumerate(pieces(tokens, capacity))]
+                for k, (start, p) in enumerate(pieces(tokens, capacity)):
+                    n = len(p) // 4
+                    rows.append((doc, k, start, n, crc32(p), task, had[n], *[np.frombuffer(p, "<u4").astype(kind).tobytes()] * with_ids))
+                    had[n] += 1
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    made = docs.select("doc_id", "text").mapInArrow(cut, schema)
-    return written(made.withColumn("_row", F.monotonically_increasing_id()) if with_ids else made, "pieces")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long" + ", ids binary" * with_ids
+    return written(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces")
 
 
-def pack(table: DataFrame, capacity: int, method: str) -> DataFrame:
-    """A piece table with sequence_id and offset.
+def _bases(sizes: DataFrame, capacity: int) -> DataFrame:
+    """_task and how many pieces of each length (0 to capacity) the tasks before it have cut."""
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    known = sizes.select("_task", "length", F.coalesce(before, F.lit(0)).alias("base"))
 
-    Numbers within a length are given within SALTS shares of it, each of which is a window
-    of its own, so that a length which many copies have is spread.
-    """
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    sizes = written(salted.groupBy("length", "_salt").agg(F.count("length").alias("n")), "sizes")  # capacity x SALTS rows at most
+    def dense(task: pa.Table) -> pa.Table:
+        base = np.zeros(capacity + 1, dtype=np.int64)
+        base[task["length"].to_numpy()] = task["base"].to_numpy()
+        return pa.table({"_task": task["_task"][:1], "bases": pa.array([base], pa.list_(pa.int64()))})
+
+    return known.groupBy("_task").applyInArrow(dense, "_task int, bases array<long>")
+
+
+def pack(table: DataFrame, capacity: int, method: str) -> DataFrame:
+    """A piece table with sequence_id and offset in place of _task and _rank."""
+    sizes = written(table.groupBy("_task", "length").agg(F.count("length").alias("n")), "sizes")
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
     sent = table.sparkSession.sparkContext.broadcast(entries(plan(counts, capacity, method)))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    numbered = salted.withColumn("_rank", rank).join(F.broadcast(bases), ["length", "_salt"])
+    bases = written(_bases(sizes, capacity), "bases")
+    small = bases.count() * 8 * (capacity + 1) <= BASES_BYTES
 
     @F.arrow_udf("sequence_id long, offset long")
     def placed(length: pa.Array, number: pa.Array) -> pa.Array:
@@ -229,8 +245,11 @@ def pack(table: DataFrame, capacity: int, method: str) -> DataFrame:
         at = r - e[:, 1]
         return pa.StructArray.from_arrays([pa.array(e[:, 2] + at // e[:, 3]), pa.array(e[:, 4] + at % e[:, 3] * n)], names=["sequence_id", "offset"])
 
-    found = numbered.withColumn("_at", placed("length", F.col("_rank") + F.col("_base")))
-    return found.select(*table.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    number = F.col("_rank") + F.get("bases", F.col("length").cast("int"))
+    numbered = table.join(F.broadcast(bases) if small else bases, "_task").withColumn("_number", number).drop("bases")
+    found = numbered.withColumn("_at", placed("length", "_number"))
+    kept = [c for c in table.columns if c not in ("_task", "_rank")]
+    return found.select(*kept, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -238,8 +257,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end: int =
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     Each text's ids are followed by ``end``. Defined cases: a null or empty text is the id
-    ``end`` alone; repeated rows are packed each; an empty table gives no rows; other columns
-    are not read.
+    ``end`` alone; texts of any length are cut whole; repeated rows, and rows without id, are
+    packed each; pieces of equal length take places in the order of tasks and rows; an empty
+    table gives no rows; other columns are not read, whatever their names.
     """
     ship(docs.sparkSession)
     return pack(piece_table(docs, path, capacity, end), capacity, "dominance")
@@ -252,12 +272,11 @@ def pack_matrices(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0
     padded), width (bytes of a number), cu_seqlens (cumulative segment lengths from 0) and
     positions_reset (the same without the end: where positions start at 0 again), doc_ids.
     Overlong texts are cut losslessly. Cases as in pack_documents. Ids are stored with their
-    pieces and travel in two shuffles, by piece and by sequence.
+    pieces and travel in one shuffle, by sequence.
     """
     ship(docs.sparkSession)
     table = piece_table(docs, path, capacity, end, with_ids=True)
-    places = pack(table.drop("ids"), capacity, "decreasing").select("_row", "doc_id", "length", "sequence_id", "offset")
-    rows = table.select("_row", "ids").join(places, "_row").select("sequence_id", "offset", "length", "doc_id", "ids")
+    rows = pack(table, capacity, "decreasing").select("sequence_id", "offset", "length", "doc_id", "ids")
     rows = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
