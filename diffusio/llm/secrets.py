@@ -5,15 +5,22 @@ reported only if the candidate decodes:
 
 * ``jwt``: three URL-safe base64 parts, of which the first is a JSON header that names an
   algorithm and the second a JSON object;
-* ``pem``: the body between private-key lines is base64 of DER whose nested lengths fit,
-  or of an OpenSSH key whose length-prefixed fields fit;
-* ``der``: a base64 or hex run that decodes to such a DER key outside of PEM lines;
+* ``pem``: the body between private-key lines is base64 of a DER private key or of an OpenSSH
+  key, or, below headers that say so, of cipher text in whole blocks;
+* ``der``: a base64 or hex run that decodes to a DER private key outside of PEM lines;
 * ``ssh``: a base64 or hex run that decodes to an OpenSSH private key.
 
-Spans are code points of the whole text, end exclusive. Spans of one structural kind do not
-overlap; a ``der`` or ``ssh`` span inside a ``pem`` or ``jwt`` span is left out. Defined
-cases: a null text is empty and has no spans; repeated rows repeat their result; an empty
-table gives no rows; other columns of the input are not read.
+A base64 or hex run that decodes to text with a confirmed ``pem`` or ``jwt`` in it is of that
+kind. DER private keys are told apart by what they hold: PKCS#1 and DSA (a version and as many
+INTEGERs as the form has), PKCS#8 (version, algorithm, OCTET STRING), SEC1 (version 1, OCTET
+STRING) and encrypted PKCS#8 (a password-based algorithm, OCTET STRING). Nested lengths must
+fill their parents. Public keys and certificates are not secrets and match none of these.
+
+Spans are code points of the whole text, end exclusive. Structural spans do not overlap each
+other: ``pem`` and ``jwt`` go before runs. Defined cases: a null text is empty and has no
+spans; whole texts of any length are scanned in one pass a kind; rows without id and repeated
+rows give their result each; ties in start go by kind; an empty table gives no rows; other
+columns of the input are not read (scan_secrets) or kept as they are (redact).
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,11 +45,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched as a whole, so the least length may stand here
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
+#: The object identifiers of password-based encryption (PKCS#5 and PKCS#12) as DER.
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 _WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z0-9-]+:[^\n]*\n)*+)([A-Za-z0-9+/=\s]*+)-----END \1-----")
 _RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_RUN16 = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
+_RUN16 = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9a-fA-F]{48,})(?![0-9A-Za-z])")
 _SSH = b"openssh-key-v1\0"
 
 
@@ -75,21 +86,48 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
+def _members(data: bytes, at: int, end: int, most: int = 16) -> list[tuple[int, int, int]] | None:
+    """The values that fill a place, if they do and are at most so many."""
+    out: list[tuple[int, int, int]] = []
+    while at < end:
+        value = _der(data, at, end)
+        if value is None or len(out) == most:
+            return None
+        out.append(value)
+        at = value[2]
+    return out
+
+
+def _algorithm(data: bytes, value: tuple[int, int, int]) -> bytes | None:
+    """The object identifier at the head of an algorithm's SEQUENCE."""
+    inner = _members(data, value[1], value[2]) if value[0] == SEQUENCE else None
+    return data[inner[0][1] : inner[0][2]] if inner and inner[0][0] == OBJECT else None
+
+
 def is_key_der(data: bytes) -> bool:
-    """A SEQUENCE that is the whole data, whose members fill it, a version INTEGER first, and key material."""
+    """Whether all of the data is one private key of a known form."""
     top = _der(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data):
+    if not top or top[0] != SEQUENCE or top[2] != len(data):
         return False
-    at, tags, material = top[1], [], 0
-    while at < top[2]:
-        member = _der(data, at, top[2])
-        if not member:
-            return False
-        tags.append(member[0])
-        if member[0] in (0x02, 0x03, 0x04):
-            material = max(material, member[2] - member[1])
-        at = member[2]
-    return len(tags) >= 2 and (tags[0] == 0x02 or tags[0] == 0x30) and material >= 16
+    values = _members(data, top[1], top[2])
+    if not values or len(values) < 2:
+        return False
+    tags, sizes = [t for t, _, _ in values], [e - a for _, a, e in values]
+    if tags[0] == SEQUENCE:  # encrypted PKCS#8
+        name = _algorithm(data, values[0])
+        return tags == [SEQUENCE, OCTETS] and name is not None and name.startswith(PASSWORD_BASED) and sizes[1] >= 16
+    if tags[0] != INTEGER or sizes[0] != 1:
+        return False
+    version = data[values[0][1]]
+    if tags[1] == OCTETS:  # SEC1
+        return version == 1 and sizes[1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if tags[1] == SEQUENCE:  # PKCS#8
+        return version <= 1 and tags[2:3] == [OCTETS] and sizes[2] >= 16 and _algorithm(data, values[1]) is not None and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:])
+    plain = tags[:9] == [INTEGER] * 9 and (version, tags[9:]) in ((0, []), (1, [SEQUENCE]))  # PKCS#1
+    return (plain or (version == 0 and tags == [INTEGER] * 6)) and sizes[1] >= 32  # or DSA
 
 
 def is_key_ssh(data: bytes) -> bool:
@@ -111,10 +149,37 @@ def is_key_ssh(data: bytes) -> bool:
     return 1 <= keys <= 16 and all(field() for _ in range(keys + 1))
 
 
-def _key(data: bytes | None) -> str | None:
+def _is_key(data: bytes | None) -> bool:
+    return bool(data) and (is_key_ssh(data) or is_key_der(data))
+
+
+def _is_pem(m: re.Match) -> bool:
+    body = _base64(re.sub(r"\s+", "", m[3]))
+    if "Proc-Type: 4,ENCRYPTED" in m[2] and "DEK-Info:" in m[2]:
+        return bool(body) and len(body) % 8 == 0
+    return _is_key(body)
+
+
+def _is_jwt(m: re.Match) -> bool:
+    header = _object(m[1])
+    return bool(header) and isinstance(header.get("alg"), str) and _object(m[2]) is not None and (bool(m[3]) or header["alg"] == "none")
+
+
+def _run_kind(data: bytes | None) -> str | None:
+    """The kind of a decoded run."""
     if not data or len(data) < 24:
         return None
-    return "ssh" if is_key_ssh(data) else "der" if is_key_der(data) else None
+    if is_key_ssh(data):
+        return "ssh"
+    if is_key_der(data):
+        return "der"
+    if data.isascii() and (b"PRIVATE KEY-----" in data or b"ey" in data):
+        text = data.decode("ascii")
+        if any(map(_is_pem, _PEM.finditer(text))):
+            return "pem"
+        if any(map(_is_jwt, _JWT.finditer(text))):
+            return "jwt"
+    return None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -131,19 +196,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) that decoding confirms."""
     out: list[tuple[int, int, str]] = []
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            header = _object(m[1])
-            if header and isinstance(header.get("alg"), str) and _object(m[2]) is not None and (m[3] or header["alg"] == "none"):
-                out.append((m.start(), m.end(), "jwt"))
+
+    def add(found: list[tuple[int, int, str]]) -> None:
+        """Those that overlap none of the spans so far."""
+        out.sort()
+        starts = [a for a, _, _ in out]
+        free = []
+        for a, b, kind in found:
+            at = bisect_right(starts, a)
+            if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or out[at][0] >= b):
+                free.append((a, b, kind))
+        out.extend(free)
+
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _key(_base64(re.sub(r"\s+", "", m[2])))]
-    outer = list(out)
-    for pattern, decode in ((_RUN64, _base64), (_RUN16, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            kind = _key(decode(m[0]))
-            if kind and not any(a < m.end() and m.start() < b for a, b, _ in outer):
-                out.append((m.start(), m.end(), kind))
+        add([(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _is_pem(m)])
+    if "ey" in text:
+        add([(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _is_jwt(m)])
+    add([(m.start(), m.end(), k) for m in _RUN16.finditer(text) if len(m[1]) % 2 == 0 and (k := _run_kind(bytes.fromhex(m[1])))])
+    add([(m.start(), m.end(), k) for m in _RUN64.finditer(text) if (k := _run_kind(_base64(m[0])))])
     return out
 
 
@@ -184,7 +254,8 @@ def digest_secrets(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """documents with each secret span (overlapping ones joined) replaced by ``[SECRET]``; n_chars follows. No row goes.
 
-    Null texts stay null.
+    Null texts stay null, with the n_chars that they have; empty texts, repeated rows and rows
+    without id stay; an empty table stays empty; n_chars and other columns may be missing.
     """
     ship(docs.sparkSession)
 

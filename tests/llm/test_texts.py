@@ -1,7 +1,5 @@
-"""Near duplicates, decontamination, secrets, packing, language and toxicity against plain versions."""
+"""Near duplicates, decontamination, packing, language and toxicity against plain versions."""
 
-import base64
-import json
 import random
 import re
 import zlib
@@ -9,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from diffusio.llm import decontaminate, langid, neardup, packing, secrets, tokens, toxicity
+from diffusio.llm import decontaminate, langid, neardup, packing, tokens, toxicity
 from diffusio.llm.queries import tokenizer_path
 from tests.llm.plain import components, contamination
 
@@ -89,44 +87,6 @@ def test_contamination(spark, block):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
-def der(tag, body):
-    n = len(body)
-    size = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
-    return bytes([tag]) + size + body
-
-
-KEY = der(0x30, der(0x02, b"\0") + der(0x02, bytes(range(1, 129))) + der(0x02, b"\1\0\1"))
-
-
-def part(x):
-    return base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
-
-
-def test_secret_structures():
-    b64 = base64.b64encode(KEY).decode()
-    jwt = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.{part(b'x' * 32)}"
-    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64[:64]}\n{b64[64:]}\n-----END RSA PRIVATE KEY-----"
-    field = lambda x: len(x).to_bytes(4, "big") + x
-    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"k" * 40) + field(b"s" * 60)).decode()
-    kinds = lambda t: [k for _, _, k in secrets.scan_text(t)]
-    assert kinds(f"é {jwt} x") == ["jwt"] and kinds(f"{pem}") == ["pem"] and kinds(f"a {b64} b") == ["der"] and kinds(f"a {ssh} b") == ["ssh"]
-    assert "der" in kinds(KEY.hex()) and "hex" in kinds(KEY.hex())
-    for fake in (jwt.replace("eyJ", "eyK"), f"{part({'typ': 'x'})}.{part({})}.abc", pem.replace(b64[:8], "AAAAAAAA"), base64.b64encode(KEY[:-1]).decode(), base64.b64encode(bytes(200)).decode()):
-        assert kinds(fake) == [], fake
-
-
-def test_secret_base(spark):
-    rows = [(1, 'é password = "abcdefghijkl" AKIAABCDEFGHIJKLMN 0123456789abcdef'), (2, None), (3, "TOKEN:short api-key=zzzzzzzzzzzzzz"), (4, "secret=abc password=abcdefghijklmn")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")
-    got = {r["doc_id"]: r for r in secrets.digest_secrets(secrets.scan_secrets(df)).collect()}
-    assert got[1]["spans"] == "assign:2:26,access:28:46,hex:47:63"
-    assert [got[2][k] for k in ("n_assign", "n_access", "n_hex", "spans")] == [0, 0, 0, ""]
-    assert got[3]["spans"] == "" and got[4]["spans"] == "assign:11:34"
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
-    assert clean[1] == 'é [SECRET]" [SECRET] [SECRET]' and clean[2] is None
-    assert secrets.scan_secrets(df.limit(0)).count() == 0
-
-
 def check_plan(counts, capacity, patterns):
     used = {}
     for p, n in patterns:
