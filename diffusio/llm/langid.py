@@ -3,13 +3,17 @@
 Features are hashed character n-grams (1 to 3) with TF-IDF weights: the share of a text's
 n-grams times the inverse document frequency. Document frequencies are counted over all
 texts to learn from. The weights are learnt by FTRL with elastic-net penalties from at most
-``sample`` texts (by id, those with the least hashes), in a fixed order; a part of them only
-sets the temperature. Predictions read whole texts. The model has BUCKETS x languages
-weights at most, which bounds the broadcast.
+``sample`` rows (those with the least hashes of id, text and label), in a fixed order; a part
+of them only sets the temperature. Their features are made on the executors and are all that
+reaches the driver: at most BUCKETS numbers a row, however long its text is. Predictions read
+whole texts. The model has BUCKETS x languages weights at most, which bounds the broadcast.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without texts
-to learn from, every text is ``und``; repeated rows are predicted alike; an empty table
-gives no rows; of the columns only id, text and label are read, the label for learning only.
+to learn from, every text is ``und``; repeated rows are predicted alike and learnt from once;
+rows of one id with different texts are all learnt from; ties of score go to the language
+that sorts first; rows without id are predicted, not learnt from; an empty table gives no
+rows; of the columns only id, text and label are read, the label for learning only, and
+those to keep may have any names.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.llm.ftrl import Ftrl, softmax, temperature
@@ -100,15 +105,15 @@ class Model:
         return self.languages[best], float(p[best])
 
 
-def fit(rows: pd.DataFrame, idf: np.ndarray, epochs: int = 4, alpha: float = 0.5, l1: float = 1e-4, l2: float = 1e-3) -> Model:
-    """Learn from text and lang of a bounded table; every fifth row sets the temperature."""
-    languages = sorted(rows["lang"].unique())
-    labels = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    features = [counts(t) for t in rows["text"]]
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epochs: int = 4, alpha: float = 0.5, l1: float = 1e-4, l2: float = 1e-3) -> Model:
+    """Learn from (buckets, shares, language) of a bounded sample; every fifth row sets the temperature."""
+    languages = sorted({x for _, _, x in rows})
+    number = {x: i for i, x in enumerate(languages)}
+    labels = np.array([number[x] for _, _, x in rows])
     model = Ftrl(BUCKETS + 1, len(languages), alpha=alpha, l1=l1, l2=l2)  # the last feature is the bias
 
     def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
-        at, share = features[i]
+        at, share, _ = rows[i]
         return np.append(at, BUCKETS), np.append(share * idf[at] * SCALE, 1.0)
 
     held = np.arange(len(rows)) % 5 == 4
@@ -125,25 +130,40 @@ def fit(rows: pd.DataFrame, idf: np.ndarray, epochs: int = 4, alpha: float = 0.5
     out = Model(languages, np.ascontiguousarray((w[:-1] * idf[:, None] * SCALE).astype(np.float32)), w[-1], 1.0)
     check = np.flatnonzero(held)
     if len(check):
-        out.heat = temperature(np.array([out.scores(rows["text"].iloc[i]) for i in check]), labels[check])
+        out.heat = temperature(np.array([out.bias + rows[i][1] @ out.table[rows[i][0]] for i in check]), labels[check])
     return out
 
 
 def train(texts: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from (doc_id, text, lang); rows without text or lang are passed over."""
+    """A model from (doc_id, text, lang); rows without id, text or lang are passed over.
+
+    Rows (id, hash of the text, language) are chosen first, so that no text is shuffled; at
+    most ``sample`` of them are broadcast, and as many rows of features come back.
+    """
     ship(texts.sparkSession)
-    texts = texts.where("text IS NOT NULL AND lang IS NOT NULL")
+    texts = texts.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     df, n = _document_frequencies(texts)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # the sample is chosen by id alone, so that no more texts than it has reach the driver
-    chosen = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").toPandas()
-    rows = rows.sort_values(["doc_id", "text", "lang"]).reset_index(drop=True)
-    if not len(rows):
+    rows = texts.withColumn("t", F.xxhash64("text"))
+    chosen = rows.where("doc_id IS NOT NULL").select("doc_id", "t", "lang").distinct()
+    chosen = chosen.orderBy(F.xxhash64("doc_id", "t"), "doc_id", "t", "lang").limit(sample)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in filter(len, batches):
+            parts = [counts(t) for t in b.column("text").to_pylist()]
+            at, share = ([x.astype(kind).tobytes() for x in c] for kind, c in zip(("<i4", "<f8"), zip(*parts, strict=True), strict=True))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "t", "lang")), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["doc_id", "t", "lang", "at", "share"])
+
+    found = rows.join(F.broadcast(chosen), ["doc_id", "t", "lang"]).select("doc_id", "t", "lang", "text").mapInArrow(made, "doc_id long, t long, lang string, at binary, share binary")
+    found = found.groupBy("doc_id", "t", "lang").agg(F.min("at").alias("at"), F.min("share").alias("share"))
+    got = found.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "t", "lang")])
+    if not len(got):
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0), 1.0)
-    if rows["lang"].nunique() > MOST_LANGUAGES:
+    languages = got["lang"].to_pylist()
+    if len(set(languages)) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return fit(rows, idf)
+    at, share = ([np.frombuffer(x.as_buffer(), dtype=kind) for x in got[c]] for c, kind in (("at", "<i4"), ("share", "<f8")))
+    return fit(list(zip(at, share, languages, strict=True)), idf)
 
 
 def identify(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
@@ -155,5 +175,5 @@ def identify(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    rows = docs.select(*keep, predicted("text").alias("p"))
-    return rows.select(*[c for c in rows.columns if c != "p"], "p.lang_pred", "p.score")
+    rows = docs.select(F.struct(*keep).alias("kept"), predicted("text").alias("found"))
+    return rows.select("kept.*", "found.*")

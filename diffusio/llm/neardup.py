@@ -1,37 +1,41 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-Sets are points under the Jaccard distance d = 1 - |x & y| / |x | y|, a metric. Two texts
-link when d <= EPSILON. The join splits the space by pivots, again and again:
-
-* Level 0. The pivots are single shingles {s}, at distance 1 - 1/|x| of every set that holds
-  s and 1 of all others. All shingles of x tie for its nearest pivot; one global order, rare
-  ones first, breaks the ties. The window of x are the regions of its first
-  |x| - ceil(0.8 |x|) + 1 shingles: two linked sets share one of them, as each holds at
-  least 0.8 of the other. (Pivots that are texts of the corpus can't serve here: unrelated
-  texts are all at distance 1 of each other, so that windows would copy all texts into all
-  regions.)
-* Each region compares its members with one of them, the most central by its order. (Two sets
-  whose first shared shingle is s can only link if enough shingles are left after it, which
-  drops most pairs here and below.) Regions that links have made one
-  component are done.
-* Larger regions that are left get several of their members as pivots, which create Voronoi
-  cells; a member also goes to every cell whose pivot is at most 2 EPSILON farther than its
-  nearest, so that by the triangle inequality two linked members share a cell. Cells are
-  regions of the next level, unless the windows copy so many members that nothing is gained;
-  then the region goes on as it is, with other pivots. Small regions compare members of
-  different components. Regions that are still large after LEVELS compare what is outside
-  their main component with all.
-
-Equal sets are one point from the start. A pair is verified once, exactly, on the hashes of
-its shingles; before that, histograms of hash classes bound the distance from below and drop
-nearly all unrelated pairs. All steps are Spark joins on written tables; nothing but counts
-reaches the driver, except the sketch of shingle frequencies (WIDTH counters), which only
-orders shingles: any order gives exact results.
+Sets are points under the Jaccard distance d(x, y) = 1 - |x & y| / |x | y|, a metric. Two
+texts link when d <= EPSILON. Regions are split by pivots until they fit into a task:
+
+* Level 0: pivots are pooled sets. A pivot P is the union of the sets of some texts, and the
+  distance of x from P is that from the nearest set which P contains, x & P, so
+  d(x, P) = |x - P| / |x|. Distances from a pool obey the triangle inequality,
+  |d(x, P) - d(y, P)| <= d(x, y). Each text is in the pool of the most frequent of its
+  window shingles, at distance 0, which makes the pools' Voronoi regions; so a text at
+  d(y, P) <= EPSILON is replicated into the region of P, and linked texts share a region.
+  (Single texts can't be pivots here: unrelated texts are all at distance about 1 of each
+  other, so that windows would copy all texts into all regions.) The window test is decided
+  by a text's EPSILON |x| + 1 first shingles in one global order, rare ones first: if P
+  misses all of these, d(x, P) > EPSILON. The order, the sizes and the places of shared
+  shingles prune further: enough shingles must be left for a link.
+* Texts that no other one of their region can link with, by a lower bound of d from histograms
+  of hash classes, are left out. Nothing but small numbers has been shuffled so far.
+* A region of more than CELL_ROWS texts or CELL_SHINGLES shingles is divided in Spark: some of
+  its texts are pivots, and each text's distances from them are computed, which finds all
+  links of the pivots. Texts that these links join with the region's main component are
+  settled: links between two of them add nothing. Settled texts go to the cell of their
+  nearest pivot; the others to every cell whose pivot is at most 2 EPSILON farther than
+  their nearest, so that each still meets whatever it may link with. Cells without unsettled
+  texts are done; others are regions of the next level. A cell that windows have not made
+  smaller is cut into salted parts, and each two parts are a region.
+* A region that fits is divided in the same way, by two pivots at a time, in one task.
+
+Equal sets are one point from the start. All distances are exact, from the hashes of whole
+sets. Steps are Spark joins on written tables; what reaches the driver are counts of rows and
+the sketch of shingle frequencies (WIDTH counters), which only orders shingles: any order
+gives exact results.
 
 Defined cases: a text of fewer than five words, but not none, has one shingle; null texts
-and texts without words link with nothing; repeated rows are copies, and rows of equal id
-are judged by their texts; rows without id link nothing, and have the component of the
-copies that they have; an empty table gives no rows; other columns are not read.
+and texts without words link with nothing; texts of any length count whole; repeated rows are
+copies, and rows of equal id are judged by their texts; rows without id link as others do,
+and the component of rows none of which has an id is null; an empty table gives no rows;
+other columns are not read (near_duplicates) or kept, whatever their names (keep_one).
 """
 
 from __future__ import annotations
@@ -42,16 +46,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.llm.text import Words, grams, mix, not_space, slices
 from diffusio.session import ship, written
 
 WORDS, EPSILON = 5, 0.2
 WIDTH_BITS = 21
-SMALL, PIVOTS, LEVELS = 24, 6, 1
-#: Cells replace their region if together they have at most so many times its members.
-REPLICAS = 1.25
+#: What fits into a task: texts and shingles of one region.
+CELL_ROWS, CELL_SHINGLES = 256, 1 << 22
+#: Pivots of a division in Spark, and shares of a region that are measured apart.
+PIVOTS, SALTS = 8, 16
+_SLACK = 2 * EPSILON + 1e-9
 
 
 def _shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,7 +74,7 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << WIDTH_BITS, dtype=np.uint32)
         for b in batches:
             for _, _, h, _ in _shingles(b.column(0)):
-                np.add.at(total, (h >> shift).astype(np.int64), 1)
+                total += np.bincount((h >> shift).astype(np.int64), minlength=len(total)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counts"])
 
     def summed(parts: Iterator) -> Iterator[bytes]:
@@ -114,8 +120,12 @@ def _histogram(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), d1, d2 (digests of the set), prefix (its window) and hist."""
+    """doc_id, h (hash of the text), n (distinct shingles), d1, d2 (digests of the set), prefix (its window) and hist."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,52 +139,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 at = np.repeat(bounds[:-1] - ends[:-1], take) + np.arange(ends[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at].view(np.int64)))
                 hist = pa.array([_histogram(h[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), prefix, hist], names=["doc_id", "n", "d1", "d2", "prefix", "hist"])
-
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n long, d1 long, d2 long, prefix array<long>, hist binary")
-
-
-def _full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """x and its whole set, sorted, for points (x, rep, d1, d2)."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            want1, want2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
-            for lo, hi, h, bounds in _shingles(b.column("text")):
-                h, bounds = _distinct(h, bounds, None)
-                d1, d2 = _digests(h, bounds)
-                own = np.flatnonzero((d1 == want1[lo:hi]) & (d2 == want2[lo:hi]))
-                sets = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([b.column("x").take(pa.array(own + lo)), pa.array(sets, pa.binary())], names=["x", "members"])
-
-    rows = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep")).select("x", "d1", "d2", "text")
-    return rows.mapInArrow(made, "x long, members binary").groupBy("x").agg(F.first("members").alias("members"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), prefix, hist], names=["doc_id", "h", "n", "d1", "d2", "prefix", "hist"])
 
-
-@F.arrow_udf(T.BooleanType())
-def _may_link(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
-    """Whether the difference of histograms leaves a link possible. n: the sum of sizes."""
-    out = []
-    for x, y, total in zip(a, b, n.to_pylist(), strict=True):
-        x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8).astype(np.int32) for v in (x, y))
-        if len(x) > len(y):
-            x, y = y, x
-        y = y.reshape(-1, len(x)).sum(axis=0)  # classes are hashes modulo powers of two
-        out.append(9 * int(np.abs(x - y).sum()) <= total)
-    return pa.array(out, pa.bool_())
-
-
-@F.arrow_udf(T.LongType())
-def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many members two sorted sets share."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        out.append(int((y[at] == x).sum()))
-    return pa.array(out, pa.int64())
+    return docs.select("doc_id", "text", _text_hash().alias("h")).mapInArrow(made, "doc_id long, h long, n long, d1 long, d2 long, prefix array<long>, hist binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -198,132 +165,274 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-class _Join:
-    """The state of one join: points, their labels, and the pairs that are verified."""
-
-    def __init__(self, docs: DataFrame, points: DataFrame):
-        self.docs, self.points = docs, points
-        self.labels = points.select("x", F.col("x").alias("c")).limit(0)
-        self.sets: list[DataFrame] = []
-        self.done: list[DataFrame] = []
-
-    def verify(self, pairs: DataFrame, exact: bool = False) -> DataFrame:
-        """x < y, d for pairs (x, y); without exact, only for those that may link. None is verified twice."""
-        info = self.points.select("x", "n", "hist")
-        other = info.select(F.col("x").alias("y"), F.col("n").alias("m"), F.col("hist").alias("hist2"))
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x < y").distinct()
-        pairs = pairs.join(info, "x").join(other, "y")
-        if not exact:
-            pairs = pairs.where("5 * least(n, m) >= 4 * greatest(n, m)").where(_may_link("hist", "hist2", F.col("n") + F.col("m")))
-        for d in self.done:
-            pairs = pairs.join(d.select("x", "y"), ["x", "y"], "left_anti")
-        pairs = written(pairs.select("x", "y", "n", "m"), "pairs")
-        if pairs.isEmpty():
-            return pairs.select("x", "y", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
-        need = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
-        for s in self.sets:
-            need = need.join(s.select("x"), "x", "left_anti")
-        self.sets.append(written(_full_sets(self.docs, self.points.select("x", "rep", "d1", "d2").join(need, "x")), "sets"))
-        sets = reduce(DataFrame.unionByName, self.sets)
-        both = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("members").alias("members2")), "y")
-        shared = both.select("x", "y", "n", "m", _shared("members", "members2").alias("k"))
-        d = 1 - F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-        self.done.append(written(shared.select("x", "y", d.alias("d"), (100 * F.col("k") >= 80 * (F.col("n") + F.col("m") - F.col("k"))).alias("linked")), "verified"))
-        self.link(self.done[-1].where("linked"))
-        return self.done[-1]
-
-    def link(self, links: DataFrame) -> None:
-        """Unite the components of new links."""
-        own, far = self.labels.select("x", F.col("c").alias("a")), self.labels.select(F.col("x").alias("y"), F.col("c").alias("b"))
-        links = links.select("x", "y").join(own, "x", "left").join(far, "y", "left")
-        edges = links.select("x", "y", F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
-        edges = written(edges, "links")
-        if edges.isEmpty():
-            return
-        up = connected(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        seen = self.labels.unionByName(edges.select("x", F.col("a").alias("c"))).unionByName(edges.select(F.col("y").alias("x"), F.col("b").alias("c"))).distinct()
-        self.labels = written(seen.join(up.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("x", F.coalesce("d", "c").alias("c")), "labels")
+def _full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """x and its whole set, sorted, for points (x, rep, h, d1, d2)."""
 
-    def open(self, regions: DataFrame) -> DataFrame:
-        """Members (s, x, n, i, c, size) of the regions (s, x, n, i) with more than one component."""
-        members = regions.join(self.labels, "x", "left").select("s", "x", "n", "i", F.coalesce("c", "x").alias("c"))
-        some = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("c").alias("size")).where("lo <> hi")
-        return written(members.join(some.select("s", "size"), "s"), "open")
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            want1, want2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
+            for lo, hi, h, bounds in _shingles(b.column("text")):
+                h, bounds = _distinct(h, bounds, None)
+                d1, d2 = _digests(h, bounds)
+                own = np.flatnonzero((d1 == want1[lo:hi]) & (d2 == want2[lo:hi]))
+                sets = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([b.column("x").take(pa.array(own + lo)), pa.array(sets, pa.binary())], names=["x", "members"])
+
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), _text_hash().alias("h"), "text").join(need.withColumn("rep", F.coalesce("rep", F.lit(0))), ["rep", "h"])
+    return rows.select("x", "d1", "d2", "text").mapInArrow(made, "x long, members binary").groupBy("x").agg(F.first("members").alias("members"))
 
 
-#: What two members of a region must satisfy if its shingle is the first that they share: enough are left to share.
-_ENOUGH = "9 * least(n - i, m - j) >= 4 * (n + m)"
+def _by_region(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[list]]]:
+    """Regions, which are sorted, with their columns' values."""
+    now, rows = None, [[] for _ in columns]
+    for b in batches:
+        values = [b.column(c).to_pylist() for c in columns]
+        for i, r in enumerate(b.column("r").to_pylist()):
+            if r != now and rows[0]:
+                yield now, rows
+                rows = [[] for _ in columns]
+            now = r
+            for own, v in zip(rows, values, strict=True):
+                own.append(v[i])
+    if rows[0]:
+        yield now, rows
 
 
-def _others(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one region and different components that may link with its shingle as the first they share."""
-    far = right.select("s", F.col("x").alias("y"), F.col("c").alias("c2"), F.col("n").alias("m"), F.col("i").alias("j"))
-    return left.select("s", "x", "c", "n", "i").join(far, "s").where("c <> c2").where(_ENOUGH).select("x", "y")
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("r").sortWithinPartitions("r")
 
 
-def _cells(members: DataFrame, pivots: DataFrame, distances: DataFrame) -> DataFrame:
-    """Regions of the next level: Voronoi cells with their windows."""
-    near = members.join(pivots, "s").select("s", "x", "p")
-    apart = near.select("s", F.col("x").alias("z"), F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y"), "p")
-    known = apart.join(distances.select("x", "y", "d"), ["x", "y"], "left").select("s", F.col("z").alias("x"), "p", F.when(F.col("z") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"))
-    known = written(known, "distances")
-    home = known.groupBy("s", "x").agg(F.min("d").alias("home"))
-    slack = 2 * EPSILON + 1e-9
-    inside = known.join(home, ["s", "x"]).where(F.col("d") <= F.col("home") + slack).select("s", "x", "p")
-    return inside.join(members.select("s", "x", "n", "i"), ["s", "x"]).select(F.xxhash64("s", "p").alias("s"), "x", "n", "i")
+def _partnered(cells: DataFrame) -> DataFrame:
+    """r, x of those members (r, x, n, hist) that may link with another one of their region, by sizes and histograms."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, (x, n, hist) in _by_region(batches, "x", "n", "hist"):
+            classes = min(map(len, hist))  # classes are hashes modulo powers of two, so that they fold
+            h = np.array([np.frombuffer(v, dtype=np.uint8).reshape(-1, classes).sum(axis=0, dtype=np.int32) for v in hist])
+            n = np.array(n)
+            may = [((9 * np.abs(h - h[i]).sum(axis=1) <= n + n[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))).sum() > 1 for i in range(len(x))]
+            some = [v for v, m in zip(x, may, strict=True) if m]
+            yield pa.RecordBatch.from_arrays([pa.array([r] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["r", "x"])
+
+    return _dealt(cells).mapInArrow(made, "r long, x long")
+
+
+class _Region:
+    """The sets of a region in one task, and the links that are found between them."""
+
+    def __init__(self, sets: list[bytes], settled: list[bool]):
+        self.sizes = np.array([len(v) // 8 for v in sets])
+        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        _, self.flat = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(self.flat) + 1, dtype=bool)
+        self.label = np.arange(len(sets))  # settled texts are one component already
+        self.label[np.array(settled)] = min((i for i, s in enumerate(settled) if s), default=0)
+        self.links: list[tuple[int, int]] = []
+
+    def distances(self, p: int, at: np.ndarray) -> np.ndarray:
+        """Distances of some members from member p; links are recorded."""
+        own = self.flat[self.bounds[p] : self.bounds[p + 1]]
+        self.mark[own] = True
+        flat = np.concatenate([self.flat[self.bounds[i] : self.bounds[i + 1]] for i in at])
+        sizes = self.sizes[at]
+        shared = np.add.reduceat(self.mark[flat].astype(np.int64), np.cumsum(sizes) - sizes)
+        self.mark[own] = False
+        union = sizes + self.sizes[p] - shared
+        for i in at[100 * shared >= 80 * union]:
+            if self.label[i] != self.label[p]:
+                self.links.append((p, int(i)))
+                self.label[self.label == self.label[i]] = self.label[p]
+        return 1 - shared / union
+
+    def join(self, at: np.ndarray) -> None:
+        """Find links until the components of these members are known: divide them by two pivots, and join the cells."""
+        todo = [at]
+        while todo:
+            at = todo.pop()
+            while len(at) > 1:
+                names, counts = np.unique(self.label[at], return_counts=True)
+                if len(names) == 1:
+                    break
+                apart = np.flatnonzero(self.label[at] != names[counts.argmax()])
+                p = at[apart[0]]
+                at = at[at != p]
+                d = self.distances(int(p), at)
+                q = at[d.argmax()]
+                d, at = d[at != q], at[at != q]
+                if not len(at):
+                    break
+                e = self.distances(int(q), at)
+                names, counts = np.unique(self.label[at], return_counts=True)
+                settled = self.label[at] == names[counts.argmax()]
+                left = np.where(settled, d <= e, d <= e + _SLACK)
+                right = np.where(settled, d > e, e <= d + _SLACK)
+                if left.all() or right.all():
+                    continue  # one cell holds all: go on with other pivots
+                todo.append(at[left])
+                at = at[right]
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is linked in regions (r, x, settled, members) that fit into a task."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (x, settled, sets) in _by_region(batches, "x", "settled", "members"):
+            region = _Region(sets, settled)
+            region.join(np.arange(len(x)))
+            if region.links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in side], pa.int64()) for side in zip(*region.links, strict=True)], names=["a", "b"])
+
+    return _dealt(rows).mapInArrow(made, "a long, b long")
+
+
+def _measured(rows: DataFrame, level: int) -> DataFrame:
+    """For rows (r, x, settled, members) of regions that don't fit: r, x, mask, pivots (their x) and d, the distances from them.
+
+    mask has a bit for each pivot that x links with, and one more if it is settled.
+    """
+    order = F.xxhash64("x", F.lit(level))
+    best = [F.min(F.struct("settled", F.pmod(order, F.lit(PIVOTS)) != k, order.alias("o"), "x"))["x"] for k in range(PIVOTS)]
+    chosen = rows.groupBy("r").agg(F.array_distinct(F.array(*best)).alias("p")).select("r", F.explode("p").alias("x"))
+    pivots = rows.select("r", "x", "members").join(chosen, ["r", "x"]).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("x", "members"))).alias("pivots"))  # PIVOTS at most
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(pivots, ["r", "salt"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, distances, masks = [], [], []
+            for own, there, settled in zip(b.column("members"), b.column("pivots").to_pylist(), b.column("settled").to_pylist(), strict=True):
+                own, out, mask = np.frombuffer(own.as_buffer(), dtype=np.uint64), [], settled << PIVOTS
+                for k, p in enumerate(there):
+                    far = np.frombuffer(p["members"], dtype=np.uint64)
+                    shared = int((far[np.minimum(np.searchsorted(far, own), len(far) - 1)] == own).sum())
+                    union = len(own) + len(far) - shared
+                    mask |= (100 * shared >= 80 * union) << k
+                    out.append(1 - shared / union)
+                names.append([p["x"] for p in there])
+                distances.append(out)
+                masks.append(mask)
+            yield pa.RecordBatch.from_arrays([b.column("r"), b.column("x"), pa.array(masks, pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))], names=["r", "x", "mask", "pivots", "d"])
+
+    return written(both.select("r", "x", "settled", "members", "pivots").mapInArrow(made, "r long, x long, mask int, pivots array<long>, d array<double>"), "distances")
+
+
+def _main(groups: pa.Table) -> pa.Table:
+    """Of a region's sets of linked pivots (mask, k: how many texts), the pivots of the main component, as a mask."""
+    masks, counts = groups["mask"].to_pylist(), groups["k"].to_pylist()
+    known = 1 << PIVOTS  # stands for the texts that were settled before
+    parts: list[list[int]] = []
+    for m, k in zip(masks, counts, strict=True):
+        near = [p for p in parts if p[0] & m]
+        parts = [p for p in parts if not p[0] & m] + [[reduce(int.__or__, (p[0] for p in near), m), k + sum(p[1] for p in near)]]
+    main = max(parts, key=lambda p: (bool(p[0] & known), p[1], p[0]), default=[0, 0])
+    return pa.table({"r": groups["r"][:1], "main": pa.array([main[0]], pa.int32()), "size": pa.array([sum(counts)], pa.int64())})
+
+
+def _divided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the pivots of regions that don't fit, and the regions' cells (r, x, settled, parts)."""
+    measured = _measured(rows, level)
+    links = measured.select("x", "mask", F.posexplode("pivots").alias("k", "p")).where("shiftright(mask, k) & 1 = 1 AND p <> x").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    main = measured.groupBy("r", "mask").agg(F.count("x").alias("k")).where("mask > 0").groupBy("r").applyInArrow(_main, "r long, main int, size long")
+    sizes = measured.groupBy("r").agg(F.count("x").alias("whole"))
+    now = measured.where(~F.array_contains("pivots", F.col("x"))).join(main.drop("size"), "r").join(sizes, "r")
+    now = now.withColumn("settled", F.col("mask").bitwiseAND(F.col("main")) != 0)
+    least = F.array_min("d")
+    home = F.array(F.array_position("d", least).cast("int") - 1)
+    window = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda k: F.get("d", k) <= least + _SLACK)
+    cells = now.select("r", "whole", "x", "settled", F.explode(F.when(F.col("settled"), home).otherwise(window)).alias("k"))
+    cells = written(cells.select(F.xxhash64("r", "k", F.lit(level)).alias("r"), "whole", "x", "settled"), "cells")
+    kept = cells.groupBy("r").agg(F.min("settled").alias("done"), F.count("x").alias("rows"), F.max("whole").alias("whole")).where("NOT done AND rows > 1")
+    # a cell that is about as large as its region is cut into salted parts
+    parts = F.when(F.col("rows") > 0.9 * F.col("whole"), F.ceil(2 * F.col("rows") / CELL_ROWS)).otherwise(1).cast("int")
+    return written(links, "links"), cells.drop("whole").join(kept.select("r", parts.alias("parts")), "r")
+
+
+def _salted(cells: DataFrame) -> DataFrame:
+    """Cells (r, x, settled, parts) of several parts as regions of two parts each."""
+    own = F.pmod(F.xxhash64("x", F.lit("part")), F.col("parts")).cast("int")
+    rows = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(F.xxhash64("r", F.least("own", "other"), F.greatest("own", "other")).alias("r"), "x", "settled")
+
+
+def pooled_cells(points: DataFrame) -> DataFrame:
+    """Level 0: r, x of all members of regions of more than one text, for points (x, n, prefix)."""
+    tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
+    # most shingles have one text: those go first, by counts alone, as all of them are shuffled
+    several = tokens.groupBy("s").agg(F.count("x").alias("size")).where("size > 1")
+    shared = written(tokens.join(several, "s"), "shared")
+    # two sets whose first shared shingle is at places i and j link only if 9 min(n - i, m - j) >= 4 (n + m);
+    # of a shingle's or pool's members, the least m and the greatest 5 m - 9 j decide whether any can
+    reach = (F.min("n").alias("lo"), F.max(5 * F.col("n") - 9 * F.col("i")).alias("far"))
+    enough = "9 * (n - i) >= 4 * (n + lo) AND far >= 4 * n"
+    left = shared.join(shared.groupBy("s").agg(*reach), "s").where(enough).select("s", "x", "n", "i", "size")
+    again = left.groupBy("s").agg(F.count("x").alias("k")).where("k > 1").select("s")
+    left = written(left.join(again, "s", "left_semi"), "shared")
+    home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r")), "homes")
+    pools = left.join(home, "x").groupBy("s", "r").agg(*reach)
+    cells = left.join(pools, "s").where(enough).select("r", "x").unionByName(home.select("r", "x")).distinct()
+    cells = written(cells, "cells")
+    return cells.join(cells.groupBy("r").agg(F.count("x").alias("k")).where("k > 1").select("r"), "r", "left_semi")
+
+
+def _fitting(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (r, x, ...) with n and hist, those that fit into a task and those that don't."""
+    rows = cells.join(points.select("x", "n", "hist"), "x")
+    fits = rows.groupBy("r").agg(((F.count("x") <= CELL_ROWS) & (F.sum("n") <= CELL_SHINGLES)).alias("fits"))
+    rows = written(rows.join(fits, "r"), "regions")
+    return rows.where("fits").drop("fits"), rows.where("NOT fits").drop("fits")
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, d1, d2), points (x, rep, d1, d2), labels (x, c) of linked points."""
+    sets = written(shingle_sets(docs), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one")
+    points = sets.where("n > 0").groupBy("d1", "d2").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
+    points = points.select("d1", "d2", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("h"), "n", "prefix", "hist", F.monotonically_increasing_id().alias("x"))
+    points = written(points, "points")
+
+    small, large = _fitting(pooled_cells(points), points)
+    ready = [written(_partnered(small.select("r", "x", "n", "hist")), "partners").withColumn("settled", F.lit(False))]
+    large = large.select("r", "x", F.lit(False).alias("settled"))
+    need = ready[0].select("x").union(large.select("x")).distinct()
+    full = written(_full_sets(docs, points.select("x", "rep", "h", "d1", "d2").join(need, "x")), "sets")
+    links, level = [], 0
+    while not large.isEmpty():
+        found, cells = _divided(written(large.join(full, "x").select("r", "x", "settled", "members"), "large"), level)
+        links.append(found)
+        cells = written(cells, "cells")
+        ready.append(_salted(cells.where("parts > 1")))
+        small, large = _fitting(cells.where("parts = 1").drop("parts"), points)
+        ready.append(small.select("r", "x", "settled"))
+        large, level = large.select("r", "x", "settled"), level + 1
+    rows = reduce(DataFrame.unionByName, [r.select("r", "x", "settled") for r in ready])
+    links.append(written(_joined(rows.join(full, "x").select("r", "x", "settled", "members")), "links"))
+    edges = reduce(DataFrame.unionByName, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = connected(edges).select(F.col("v").alias("x"), "c")
+    return sets.select("doc_id", "h", "n", "d1", "d2"), points.select("x", "rep", "d1", "d2"), labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_shingles and component_id, the least id that links reach."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select("doc_id", "text")
-    sets = written(shingle_sets(docs), "shingles")
-    points = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
-    points = written(points.withColumn("x", F.monotonically_increasing_id()), "points")
-    join = _Join(docs, points)
+    ship(docs.sparkSession)
+    rows, points, labels = _classes(docs.select("doc_id", "text"))
+    least = labels.join(points.select("x", "rep"), "x").groupBy("c").agg(F.min("rep").alias("least"))
+    reached = labels.join(least, "c").select("x", "least")
+    known = points.join(reached, "x", "left").select("d1", "d2", F.coalesce("least", "rep").alias("component"))
+    found = rows.join(known, ["d1", "d2"], "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
-    tokens = points.select("x", F.posexplode("prefix").alias("i", "s"))
-    # most shingles have one text: those go first, by counts alone, as all of them are shuffled
-    several = tokens.groupBy("s").agg(F.count("x").alias("size")).where("size > 1").select("s")
-    shared = written(tokens.join(several, "s", "left_semi"), "shared").join(points.select("x", "n"), "x")
-    made = shared.groupBy("s").agg(
-        F.count("x").alias("size"),
-        F.min(F.struct("i", "x", "n")).alias("p"),  # the member with the fewest rarer shingles is the first pivot
-        F.min(F.struct("x", "i")).alias("q"),
-        F.bit_xor(F.xxhash64("x")).alias("a"),
-        F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"),
-    )
-    # regions of equal members are one: that of the first shingle in the order, which any member shows
-    once = made.groupBy("size", "a", "b", "q.x").agg(F.min(F.struct(F.col("q.i").alias("at"), "s", "p")).alias("r"))
-    regions = written(shared.join(once.select("r.s", "r.p"), "s"), "regions")
-
-    join.verify(regions.where("x <> p.x").withColumns({"m": F.col("p.n"), "j": F.col("p.i")}).where(_ENOUGH).select("x", F.col("p.x").alias("y")))
-    regions = regions.select("s", "x", "n", "i")
-    for level in range(LEVELS + 1):
-        members = join.open(regions)
-        if members.isEmpty():
-            break
-        small, large = members.where(f"size <= {SMALL}"), members.where(f"size > {SMALL}")
-        pairs = _others(small, small).where("x < y")
-        if level == LEVELS:
-            parts = large.groupBy("s", "c").agg(F.count("x").alias("k"))
-            main = parts.groupBy("s").agg(F.max(F.struct("k", "c")).alias("main")).select("s", F.col("main.c").alias("main"))
-            rest = large.join(main, "s").where("c <> main").drop("main")
-            join.verify(pairs.union(_others(rest, large)))
-            break
-        join.verify(pairs)
-        large = join.open(large.select("s", "x", "n", "i"))
-        if large.isEmpty():
-            break
-        chosen = large.groupBy("s").agg(F.array_distinct(F.array(*[F.min(F.struct(F.pmod(F.xxhash64("x"), F.lit(PIVOTS)) != k, "i", "x"))["x"] for k in range(PIVOTS)])).alias("p"))
-        pivots = written(chosen.select("s", F.explode("p").alias("p")), "pivots")
-        join.verify(large.join(pivots, "s").select("x", F.col("p").alias("y")), exact=True)
-        cells = written(_cells(large, pivots, reduce(DataFrame.unionByName, join.done)), "cells")
-        regions = cells if cells.count() <= REPLICAS * large.count() else large.select("s", "x", "n", "i")
-
-    least = join.labels.join(points.select("x", "rep"), "x").groupBy("c").agg(F.min("rep").alias("least"))
-    reached = join.labels.join(least, "c").select("x", "least")
-    known = points.select("d1", "d2", "x", "rep").join(reached, "x", "left").select("d1", "d2", F.coalesce("least", "rep").alias("component"))
-    rows = sets.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the least id (rows without id come last), then of the least text hash.
+
+    Of rows that are equal in id and text, the one with the least hash of all columns stays.
+    Rows without words link with nothing, and all stay.
+    """
+    ship(docs.sparkSession)
+    rows, points, labels = _classes(docs.select("doc_id", "text"))
+    named = rows.where("n > 0").join(points.select("d1", "d2", "x"), ["d1", "d2"]).join(labels, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    kept = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("k")).select("k.*")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), _text_hash().alias("h"), has_words.alias("words"))
+    one = keyed.where("words").drop("words").join(kept, ["none", "id", "h"]).groupBy("none", "id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(keyed.where("NOT words").select("row.*"))

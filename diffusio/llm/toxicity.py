@@ -1,14 +1,17 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct words and word stems (first bytes, for inflected languages), pairs
-of neighbours and pairs one or two words apart (skip-grams) of a whole text, hashed to BUCKETS; each counts once a text, however often it occurs. Learning
-uses at most ``sample`` labelled rows, those with the least hashes of id, in a fixed order;
-their features are made on the executors. L1 leaves few weights, which are sent out as
-sorted arrays; BUCKETS bounds them.
+of neighbours and pairs one or two words apart (skip-grams) of a whole text, hashed to
+BUCKETS; each counts once a text, however often it occurs. Learning uses at most ``sample``
+labelled rows, those with the least hashes of id, text and label, in a fixed order; their
+features are made on the executors and are all that reaches the driver. L1 leaves few
+weights, which are sent out as sorted arrays; BUCKETS bounds them.
 
 Defined cases: a null or empty text has the score of the bias alone; without labels every
-score is 0; repeated rows score alike; several labels of a row each count in learning, null
-ones don't; an empty table gives no rows; other columns are not read.
+score is 0; repeated rows score alike and count once in learning; rows of one id with
+different texts all take its labels; several labels of a row each count, null ones don't;
+rows without id are scored, not learnt from; an empty table gives no rows; other columns are
+kept in scoring (a column of the result's name is replaced) and not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from diffusio.llm.ftrl import Ftrl
 from diffusio.llm.text import Words, alphanumeric, mix, slices
 from diffusio.session import ship
 
-BUCKETS, SAMPLE, THRESHOLD = 1 << 21, 5000, 0.3
+BITS, SAMPLE, THRESHOLD = 22, 8000, 0.3
+BUCKETS = 1 << BITS
 _SKIPS, _STEMS = (1, 2, 3), (3, 4, 5, 6)
 
 
@@ -48,7 +52,7 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tup
                 same = row[skip:] == row[:-skip]
                 h.append(mix(words.hashes[:-skip] * np.uint64(2 * skip + 1) + words.hashes[skip:])[same])
                 rows.append(row[skip:][same])
-        at = (np.concatenate(h) >> np.uint64(64 - 21)).astype(np.int64)
+        at = (np.concatenate(h) >> np.uint64(64 - BITS)).astype(np.int64)
         rows = np.concatenate(rows)
         if wanted is not None:
             some = wanted[at]
@@ -74,7 +78,7 @@ class Model:
         return out
 
 
-def fit(rows: list[tuple[np.ndarray, float]], epochs: int = 8, alpha: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> Model:
+def fit(rows: list[tuple[np.ndarray, float]], epochs: int = 8, alpha: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> Model:
     """Learn from (distinct features, label) pairs."""
     model = Ftrl(BUCKETS, 1, alpha=alpha, l1=l1, l2=l2)
     bias = Ftrl(1, 1, alpha=alpha, l1=0.0, l2=0.0)
@@ -87,52 +91,53 @@ def fit(rows: list[tuple[np.ndarray, float]], epochs: int = 8, alpha: float = 1.
             g = np.array([[p - label]])
             model.step(at, w, np.broadcast_to(g, (len(at), 1)))
             bias.step(zero, b, g)
-    w = model.weights()[:, 0]
-    some = np.flatnonzero(w)
-    return Model(some, w[some].astype(np.float32), float(bias.weights()[0, 0]))
+    some = np.flatnonzero(np.abs(model.z[:, 0]) > l1)
+    return Model(some, model.weights(some)[:, 0].astype(np.float32), float(bias.weights()[0, 0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
-    Null labels are passed over, null texts are empty. The sample of labels is chosen by id
-    alone, so that no text is shuffled; it has at most ``sample`` rows and is broadcast.
+    Rows (id, hash of the text, label) are chosen first, so that no text is shuffled; at most
+    ``sample`` of them are broadcast, and as many rows of features come back.
     """
     ship(docs.sparkSession)
-    chosen = labels.where("toxic IS NOT NULL").select("doc_id", "toxic").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    known = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    chosen = rows.select("doc_id", "t").distinct().join(known, "doc_id")
+    chosen = chosen.orderBy(F.xxhash64("doc_id", "t"), "doc_id", "t", "toxic").limit(sample)
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "t"]).select("doc_id", "t", "toxic", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, at, row, n in features(b.column("text")):
                 bounds = np.searchsorted(row, np.arange(n + 1))
-                parts = [at[bounds[i] : bounds[i + 1]].astype(np.int32).tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), b.column("toxic").slice(lo, n).cast(pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "toxic", "at"])
+                parts = [at[bounds[i] : bounds[i + 1]].astype("<i4").tobytes() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, n) for c in ("doc_id", "t", "toxic")), pa.array(parts, pa.binary())], names=["doc_id", "t", "toxic", "at"])
 
-    got = rows.mapInArrow(made, "doc_id long, toxic int, at binary").toPandas()
+    found = rows.mapInArrow(made, "doc_id long, t long, toxic int, at binary").groupBy("doc_id", "t", "toxic").agg(F.min("at").alias("at"))
+    got = found.toArrow().sort_by([("doc_id", "ascending"), ("t", "ascending"), ("toxic", "ascending")])
     if not len(got):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0, False)
-    got = got.sort_values(["doc_id", "toxic", "at"])
-    return fit([(np.frombuffer(a, dtype=np.int32), float(t)) for a, t in zip(got["at"], got["toxic"], strict=True)])
+    at = [np.frombuffer(x.as_buffer(), dtype="<i4") for x in got["at"]]
+    return fit(list(zip(at, got["toxic"].to_numpy().astype(float), strict=True)))
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
     """docs with the score (0 to 1) of each whole text in one more column. No shuffle."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    have: list[np.ndarray] = []
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
-        if m.known and not have:
-            have.append(m.table())
+        table = m.table()
+        wanted = table != 0
         for t in texts:
             out = np.zeros(len(t))
             if m.known:
-                for lo, at, row, n in features(pa.array(t, pa.string()), have[0] != 0):
-                    total = m.bias + np.bincount(row, weights=have[0][at], minlength=n)
+                for lo, at, row, n in features(pa.array(t, pa.string()), wanted):
+                    total = m.bias + np.bincount(row, weights=table[at], minlength=n)
                     out[lo : lo + n] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pd.Series(out)
 

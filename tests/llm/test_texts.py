@@ -38,9 +38,9 @@ def corpus():
     return [(i * 3 + 1, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("small", [neardup.SMALL, 3])
-def test_near_duplicates(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("fits", [neardup.CELL_ROWS, 12, 3])
+def test_near_duplicates(spark, monkeypatch, fits):
+    monkeypatch.setattr(neardup, "CELL_ROWS", fits)  # few: regions are divided by pivots in Spark, and cut into parts
     rows = corpus()
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, x int")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
