@@ -7,13 +7,16 @@ match, every 13-word window that covers it is looked up among the items' windows
 extends hits to all of the shared span. Items of fewer than 13 words have one window, all
 their words, and are looked up at every position.
 
-The items' index is broadcast. Its size is checked: it holds at most BLOCK_WORDS words;
-a larger benchmark is cut into blocks of that size, each joined in turn, and their hits are
-united. Documents are not shuffled for one block.
+The items' index is broadcast. It holds at most BLOCK_WORDS words: a larger benchmark is read
+in blocks that are closed before they pass that size, each joined in turn, and their hits are
+united. Items of more than half a block are cut into pieces that overlap by 12 words, so that
+no window is lost. Documents are not shuffled for one block.
 
 Defined cases: null texts and null items have no words and hit nothing; items without words
-are ignored; repeated rows are judged alike; equal item_ids count once; empty tables give
-no hits; all columns of documents are kept, and results are in one column of given name.
+are ignored; texts and items of any length are read whole; repeated rows, and rows without
+id, are judged each; equal item_ids count once, a null one is named "null"; empty tables give
+no hits; all columns of documents are kept, whatever their names, but one of the given name of
+the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -156,15 +159,16 @@ def _bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.append(new[1:], len(rows))
 
 
-def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """name, n and hashes (of the words) of the items that have words."""
+def _items(benchmark: DataFrame, item: str, text: str, most: int) -> DataFrame:
+    """name, n and hashes (of the words) of the items that have words, in pieces of at most so many words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offsets in slices(b.column("text")):
                 w = Words(buf, offsets, alphanumeric())
-                parts = [w.hashes[w.bounds[i] : w.bounds[i + 1]] for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([b.column("name").slice(lo, hi - lo), pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["name", "n", "hashes"])
+                whole = [(b.column("name")[i].as_py(), w.hashes[w.bounds[i - lo] : w.bounds[i - lo + 1]]) for i in range(lo, hi)]
+                parts = [(name, h[a : a + most]) for name, h in whole for a in range(0, max(1, len(h) - SPAN + 1), most - SPAN + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in parts], pa.string()), pa.array([len(h) for _, h in parts], pa.int64()), pa.array([h.tobytes() for _, h in parts], pa.binary())], names=["name", "n", "hashes"])
 
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.coalesce(text, F.lit("")).alias("text"))
     return rows.mapInArrow(hashed, "name string, n long, hashes binary").where("n > 0")
@@ -201,21 +205,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, into: str = "conta
     """
     spark = docs.sparkSession
     ship(spark)
-    items = written(_items(benchmark, item, "text"), "items")
+    items = written(_items(benchmark, item, "text", max(block_words // 2, 2 * SPAN)), "items")
     total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // block_words) or 1
 
-    def index(k: int) -> Index:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "hashes"), F.lit(blocks)) == k)
-        return Index([(r["name"], np.frombuffer(bytes(r["hashes"]), dtype=np.uint64)) for r in part.toLocalIterator()])
-
-    if blocks == 1:
-        found = docs.withColumn(into, _judge(index(0), spark.sparkContext)(F.col(text)))
+    def indexes() -> Iterator[Index]:
+        block: list[tuple[str, np.ndarray]] = []
+        size = 0
+        for r in items.toLocalIterator():
+            if size + r["n"] > block_words and block:
+                yield Index(block)
+                block, size = [], 0
+            block.append((r["name"], np.frombuffer(bytes(r["hashes"]), dtype=np.uint64)))
+            size += r["n"]
+        yield Index(block)
+
+    if total <= block_words:
+        found = docs.withColumn(into, _judge(next(indexes()), spark.sparkContext)(F.col(text)))
     else:
         rows = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "documents")
         parts = None
-        for k in range(blocks):
-            part = written(rows.select("_row", _judge(index(k), spark.sparkContext)(F.col(f"_doc.{text}")).alias("r")), "hits")
+        for index in indexes():
+            part = written(rows.select("_row", _judge(index, spark.sparkContext)(F.col(f"_doc.{text}")).alias("r")), "hits")
             parts = part if parts is None else parts.unionByName(part)
         one = parts.groupBy("_row").agg(F.max("r.n_words").alias("n_words"), F.collect_list("r.hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("r.items")))).alias("items"))
         one = one.select("_row", F.struct("n_words", _united(F.col("hits")).alias("hits"), "items").alias("_found"))

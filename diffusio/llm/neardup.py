@@ -21,9 +21,11 @@ texts link when d <= EPSILON. Regions are split by pivots until they fit into a
   links of the pivots. Texts that these links join with the region's main component are
   settled: links between two of them add nothing. Settled texts go to the cell of their
   nearest pivot; the others to every cell whose pivot is at most 2 EPSILON farther than
-  their nearest, so that each still meets whatever it may link with. Cells without unsettled
-  texts are done; others are regions of the next level. A cell that windows have not made
-  smaller is cut into salted parts, and each two parts are a region.
+  their nearest, so that each still meets whatever it may link with. Pivots are unsettled
+  texts, those with the fewest shingles of their own, which link with most. Cells without unsettled
+  texts are done; others are regions of the next level. A region of which windows put more
+  than nine tenths into one cell is cut into salted parts instead, and each two parts are a
+  region.
 * A region that fits is divided in the same way, by two pivots at a time, in one task.
 
 Equal sets are one point from the start. All distances are exact, from the hashes of whole
@@ -203,18 +205,23 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _partnered(cells: DataFrame) -> DataFrame:
-    """r, x of those members (r, x, n, hist) that may link with another one of their region, by sizes and histograms."""
+    """Members (r, x, settled) of regions (r, x, settled, n, hist) that may link with another one, by sizes and histograms."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, (x, n, hist) in _by_region(batches, "x", "n", "hist"):
+        for r, (x, settled, n, hist) in _by_region(batches, "x", "settled", "n", "hist"):
             classes = min(map(len, hist))  # classes are hashes modulo powers of two, so that they fold
             h = np.array([np.frombuffer(v, dtype=np.uint8).reshape(-1, classes).sum(axis=0, dtype=np.int32) for v in hist])
-            n = np.array(n)
-            may = [((9 * np.abs(h - h[i]).sum(axis=1) <= n + n[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))).sum() > 1 for i in range(len(x))]
-            some = [v for v, m in zip(x, may, strict=True) if m]
-            yield pa.RecordBatch.from_arrays([pa.array([r] * len(some), pa.int64()), pa.array(some, pa.int64())], names=["r", "x"])
+            n, known = np.array(n), np.array(settled)
+            some = []
+            for i in range(len(x)):
+                may = (9 * np.abs(h - h[i]).sum(axis=1) <= n + n[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+                may[i] = False
+                if (may & ~known).any() if settled[i] else may.any():
+                    some.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([r] * len(some), pa.int64()), pa.array([x[i] for i in some], pa.int64()), pa.array([settled[i] for i in some], pa.bool_())], names=["r", "x", "settled"])
 
-    return _dealt(cells).mapInArrow(made, "r long, x long")
+    made_of = _dealt(cells.select("r", "x", "settled", "n", "hist")).mapInArrow(made, "r long, x long, settled boolean")
+    return written(made_of, "partners")
 
 
 class _Region:
@@ -223,7 +230,8 @@ class _Region:
     def __init__(self, sets: list[bytes], settled: list[bool]):
         self.sizes = np.array([len(v) // 8 for v in sets])
         self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
-        _, self.flat = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True)
+        _, self.flat, often = np.unique(np.frombuffer(b"".join(sets), dtype=np.uint64), return_inverse=True, return_counts=True)
+        self.central = np.add.reduceat(often[self.flat], self.bounds[:-1]) / self.sizes  # how usual a text's shingles are here
         self.mark = np.zeros(len(self.flat) + 1, dtype=bool)
         self.label = np.arange(len(sets))  # settled texts are one component already
         self.label[np.array(settled)] = min((i for i, s in enumerate(settled) if s), default=0)
@@ -253,8 +261,8 @@ class _Region:
                 names, counts = np.unique(self.label[at], return_counts=True)
                 if len(names) == 1:
                     break
-                apart = np.flatnonzero(self.label[at] != names[counts.argmax()])
-                p = at[apart[0]]
+                apart = at[self.label[at] != names[counts.argmax()]] if counts.max() > 1 else at
+                p = apart[self.central[apart].argmax()]
                 at = at[at != p]
                 d = self.distances(int(p), at)
                 q = at[d.argmax()]
@@ -286,12 +294,12 @@ def _joined(rows: DataFrame) -> DataFrame:
 
 
 def _measured(rows: DataFrame, level: int) -> DataFrame:
-    """For rows (r, x, settled, members) of regions that don't fit: r, x, mask, pivots (their x) and d, the distances from them.
+    """For rows (r, x, settled, at, members) of regions that don't fit: r, x, mask, pivots (their x) and d, the distances from them.
 
     mask has a bit for each pivot that x links with, and one more if it is settled.
     """
     order = F.xxhash64("x", F.lit(level))
-    best = [F.min(F.struct("settled", F.pmod(order, F.lit(PIVOTS)) != k, order.alias("o"), "x"))["x"] for k in range(PIVOTS)]
+    best = [F.min(F.struct("settled", F.pmod(order, F.lit(PIVOTS)) != k, "at", order.alias("o"), "x"))["x"] for k in range(PIVOTS)]
     chosen = rows.groupBy("r").agg(F.array_distinct(F.array(*best)).alias("p")).select("r", F.explode("p").alias("x"))
     pivots = rows.select("r", "x", "members").join(chosen, ["r", "x"]).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("x", "members"))).alias("pivots"))  # PIVOTS at most
     pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -339,23 +347,29 @@ def _divided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     least = F.array_min("d")
     home = F.array(F.array_position("d", least).cast("int") - 1)
     window = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda k: F.get("d", k) <= least + _SLACK)
-    cells = now.select("r", "whole", "x", "settled", F.explode(F.when(F.col("settled"), home).otherwise(window)).alias("k"))
-    cells = written(cells.select(F.xxhash64("r", "k", F.lit(level)).alias("r"), "whole", "x", "settled"), "cells")
-    kept = cells.groupBy("r").agg(F.min("settled").alias("done"), F.count("x").alias("rows"), F.max("whole").alias("whole")).where("NOT done AND rows > 1")
-    # a cell that is about as large as its region is cut into salted parts
-    parts = F.when(F.col("rows") > 0.9 * F.col("whole"), F.ceil(2 * F.col("rows") / CELL_ROWS)).otherwise(1).cast("int")
-    return written(links, "links"), cells.drop("whole").join(kept.select("r", parts.alias("parts")), "r")
+    now = written(now.select("r", "whole", "x", "settled", F.when(F.col("settled"), home).otherwise(window).alias("k")), "windows")
+    cells = now.select("r", "whole", "x", "settled", F.explode("k").alias("k"))
+    sizes = written(cells.groupBy("r", "k").agg(F.count("x").alias("rows"), F.max("whole").alias("whole"), F.min("settled").alias("done")), "sizes")
+    whole = sizes.groupBy("r").agg((F.max("rows") > 0.9 * F.max("whole")).alias("whole"), F.min("done").alias("done")).where("whole AND NOT done").select("r")
+    one = sizes.where("NOT done AND rows > 1").select("r", "k").join(whole, "r", "left_anti")
+    cells = cells.join(one, ["r", "k"]).select(F.xxhash64("r", "k", F.lit(level)).alias("r"), "x", "settled", F.lit(1).alias("parts"))
+    parts = F.ceil(2 * F.col("whole") / CELL_ROWS).cast("int")
+    uncut = now.join(whole, "r", "left_semi").select(F.xxhash64("r", F.lit(level)).alias("r"), "x", "settled", parts.alias("parts"))
+    return written(links, "links"), written(cells.unionByName(uncut), "cells")
 
 
 def _salted(cells: DataFrame) -> DataFrame:
-    """Cells (r, x, settled, parts) of several parts as regions of two parts each."""
+    """Regions (r, x, settled, parts) of several parts as regions of two parts each."""
     own = F.pmod(F.xxhash64("x", F.lit("part")), F.col("parts")).cast("int")
     rows = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.select(F.xxhash64("r", F.least("own", "other"), F.greatest("own", "other")).alias("r"), "x", "settled")
 
 
-def pooled_cells(points: DataFrame) -> DataFrame:
-    """Level 0: r, x of all members of regions of more than one text, for points (x, n, prefix)."""
+def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level 0, for points (x, n, prefix): r, x of all members of regions of more than one text; x, at.
+
+    at: the place of a text's first shingle that others have, in the order that puts rare ones first.
+    """
     tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
     # most shingles have one text: those go first, by counts alone, as all of them are shuffled
     several = tokens.groupBy("s").agg(F.count("x").alias("size")).where("size > 1")
@@ -367,11 +381,11 @@ def pooled_cells(points: DataFrame) -> DataFrame:
     left = shared.join(shared.groupBy("s").agg(*reach), "s").where(enough).select("s", "x", "n", "i", "size")
     again = left.groupBy("s").agg(F.count("x").alias("k")).where("k > 1").select("s")
     left = written(left.join(again, "s", "left_semi"), "shared")
-    home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r")), "homes")
-    pools = left.join(home, "x").groupBy("s", "r").agg(*reach)
+    home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r"), F.min("i").alias("at")), "homes")
+    pools = left.join(home.select("x", "r"), "x").groupBy("s", "r").agg(*reach)
     cells = left.join(pools, "s").where(enough).select("r", "x").unionByName(home.select("r", "x")).distinct()
     cells = written(cells, "cells")
-    return cells.join(cells.groupBy("r").agg(F.count("x").alias("k")).where("k > 1").select("r"), "r", "left_semi")
+    return cells.join(cells.groupBy("r").agg(F.count("x").alias("k")).where("k > 1").select("r"), "r", "left_semi"), home.select("x", "at")
 
 
 def _fitting(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -390,21 +404,20 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     points = points.select("d1", "d2", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("h"), "n", "prefix", "hist", F.monotonically_increasing_id().alias("x"))
     points = written(points, "points")
 
-    small, large = _fitting(pooled_cells(points), points)
-    ready = [written(_partnered(small.select("r", "x", "n", "hist")), "partners").withColumn("settled", F.lit(False))]
-    large = large.select("r", "x", F.lit(False).alias("settled"))
-    need = ready[0].select("x").union(large.select("x")).distinct()
-    full = written(_full_sets(docs, points.select("x", "rep", "h", "d1", "d2").join(need, "x")), "sets")
+    cells, places = pooled_cells(points)
+    small, large = _fitting(cells.withColumn("settled", F.lit(False)), points)
+    ready, large = [_partnered(small)], large.select("r", "x", "settled")
+    need = points.select("x", "rep", "h", "d1", "d2").join(ready[0].select("x").union(large.select("x")).distinct(), "x")
+    full = written(_full_sets(docs, need).join(places, "x"), "sets")
     links, level = [], 0
     while not large.isEmpty():
-        found, cells = _divided(written(large.join(full, "x").select("r", "x", "settled", "members"), "large"), level)
+        found, cells = _divided(written(large.join(full, "x"), "large"), level)
         links.append(found)
-        cells = written(cells, "cells")
-        ready.append(_salted(cells.where("parts > 1")))
         small, large = _fitting(cells.where("parts = 1").drop("parts"), points)
-        ready.append(small.select("r", "x", "settled"))
+        parts = _salted(cells.where("parts > 1")).join(points.select("x", "n", "hist"), "x")
+        ready.append(_partnered(small.unionByName(parts)))
         large, level = large.select("r", "x", "settled"), level + 1
-    rows = reduce(DataFrame.unionByName, [r.select("r", "x", "settled") for r in ready])
+    rows = reduce(DataFrame.unionByName, ready)
     links.append(written(_joined(rows.join(full, "x").select("r", "x", "settled", "members")), "links"))
     edges = reduce(DataFrame.unionByName, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = connected(edges).select(F.col("v").alias("x"), "c")

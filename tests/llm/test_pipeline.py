@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as C
 from diffusio.llm import secrets, toxicity
 from tests.llm.plain import components, contamination
+from tests.llm.test_texts import pieces_of, reference_ids
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -56,6 +57,35 @@ def test_stages(spark, tmp_path):
         if name == "secrets":
             assert set(texts) == set(before) and not any(secrets.scan_text(t or "") for t in texts.values())
             assert all(texts[i] == t for i, t in before.items() if not secrets.scan_text(t or ""))
-    packed = C.STAGES[-1][1](spark, now, str(tmp_path))
-    assert {r["doc_id"] for r in packed.collect()} == set(texts)
+    packed = sorted((r["doc_id"] or -1, r["start"], r["length"]) for r in C.STAGES[-1][1](spark, now, str(tmp_path)).collect())
+    ids = reference_ids()
+    assert packed == sorted((r["doc_id"] or -1, a, n) for r in rows for a, n in pieces_of(len(ids(r["text"])) + 1, 2048))
     assert toxicity.THRESHOLD == 0.3 and C.ORACLE_SQL is None
+
+
+ROWS = [(1, "A " * 9), (5, "a " * 9), (5, "z y x w v u"), (7, "q r s"), (7, "q r s"), (None, "q r s"), (None, "o n l y"), (None, "o n l y"), (8, ""), (8, ""), (9, None)]
+
+
+def kept(spark, rows, folder):
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, row int, toxicity int, contamination string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    out = {}
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, df, str(folder))
+        assert got.columns == df.columns
+        out[name] = sorted(((r["doc_id"] or 0, r["text"], r["row"], r["toxicity"], r["contamination"]) for r in got.collect()), key=str)
+    return df, out
+
+
+def test_rows_are_judged_not_ids(spark, tmp_path):
+    _, out = kept(spark, ROWS, tmp_path)
+    said = [(i, t) for i, t, *_ in out["near_duplicates"]]
+    assert said == sorted([(1, "A " * 9), (5, "z y x w v u"), (7, "q r s"), (0, "o n l y"), (8, ""), (8, ""), (9, None)], key=str)
+    everything = sorted(((i or 0, t, 1, 2, "x") for i, t in ROWS), key=str)
+    assert out["toxicity"] == out["decontamination"] == out["secrets"] == everything
+
+
+def test_empty_tables(spark, tmp_path):
+    df, out = kept(spark, [], tmp_path)
+    assert set(map(len, out.values())) == {0} and C.STAGES[-1][1](spark, df, str(tmp_path)).count() == 0

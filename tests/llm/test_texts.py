@@ -1,11 +1,14 @@
 """Near duplicates, decontamination, packing, language and toxicity against plain versions."""
 
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from diffusio.llm import decontaminate, langid, neardup, packing, tokens, toxicity
 from diffusio.llm.queries import tokenizer_path
@@ -69,20 +72,21 @@ def test_winnow_guarantee():
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 60])
 def test_contamination(spark, block):
     rng = random.Random(3)
-    items = [(i, " ".join(words(rng.choice([1, 4, 12, 13, 14, 40]), rng))) for i in range(30)] + [(30, None), (31, "- - -"), (3, "extra item of equal id")]
+    items = [(i, " ".join(words(rng.choice([1, 4, 12, 13, 14, 40, 100]), rng))) for i in range(30)] + [(30, None), (31, "- - -"), (3, "extra item of equal id")]
     items.append((32, items[5][1]))
     docs = [(0, None), (1, ""), (2, "...")]
     for k in range(60):
         said = (items[rng.randrange(30)][1]).split()
         cut = said[rng.randrange(3) :][: rng.choice([12, 13, 30])]
         docs.append((3 + k, " ".join(words(rng.randrange(60), rng)) + " " + ", ".join(cut).upper() + " " + " ".join(words(rng.randrange(60), rng))))
-    df = spark.createDataFrame([(i, t, 1) for i, t in docs + docs[-1:]], "doc_id long, text string, r int")
+    docs.append((99, " ".join(words(300_000, rng)) + " " + items[0][1] + " " + items[7][1]))
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs + docs[-1:]], "doc_id long, text string, r int, _row int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_contamination(df, bench, block_words=block).collect()
     assert len(got) == len(docs) + 1
     for r in got:
         c = r["contamination"]
-        assert (c["n_words"], c["n_hit"], c["items"], c["contaminated"]) == contamination(dict(docs)[r["doc_id"]], items)
+        assert r["_row"] == 2 and (c["n_words"], c["n_hit"], c["items"], c["contaminated"]) == contamination(dict(docs)[r["doc_id"]], items)
     assert decontaminate.find_contamination(df, bench.limit(0)).where("contamination.n_hit > 0").count() == 0
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
@@ -262,3 +266,56 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[902] > 0.5 and got[900] == got[901]
     empty = toxicity.train(docs, known.limit(0))
     assert {r["toxicity"] for r in toxicity.score(docs, empty).collect()} == {0.0}
+
+
+SHIPPED = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SHIPPED), reason="needs the shipped tables")
+def test_near_duplicates_of_shipped_tables(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SHIPPED}/documents.parquet").select("doc_id", "text")
+    seen = {}
+    real = neardup.pooled_cells
+
+    def watched(points):
+        cells, places = real(points)
+        by_text = cells.groupBy("x").agg(F.count("r").alias("k"))
+        seen["regions"], seen["copied"] = cells.select("r").distinct().count(), by_text.where("k > 1").count()
+        return cells, places
+
+    monkeypatch.setattr(neardup, "pooled_cells", watched)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert seen["regions"] > 5 and seen["copied"] > 0  # pools make regions, and windows copy texts into several
+
+
+def plain_links(sets):
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)}
+
+
+def same(edges, n, first=()):
+    up = list(range(n))
+    for a, b in [*first, *edges]:
+        x, y = up[a], up[b]
+        up = [y if v == x else v for v in up]
+    return {(i, j) for i in range(n) for j in range(i) if up[i] == up[j]}
+
+
+@given(st.lists(st.tuples(st.frozensets(st.integers(1, 30), min_size=1, max_size=24), st.booleans()), min_size=2, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_regions_find_what_is_linked(members):
+    sets = [s for s, _ in members]
+    settled = [i for i, (_, s) in enumerate(members) if s]
+    known = [(settled[0], i) for i in settled[1:]]
+    region = neardup._Region([np.array(sorted(s), dtype=np.uint64).tobytes() for s in sets], [s for _, s in members])
+    region.join(np.arange(len(sets)))
+    assert same(region.links, len(sets), known) == same(plain_links(sets), len(sets), known)
+    assert set(map(lambda e: (max(e), min(e)), region.links)) <= plain_links(sets)
+
+
+def test_long_texts_are_near_duplicates(spark):
+    rng = random.Random(12)
+    long = words(150_000, rng)
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-9], *words(9, rng)])), (3, " ".join(long[:75_000])), (4, "x" * 3_000_000), (5, "x " * 1_000_000), (6, "X\tx x x x")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
