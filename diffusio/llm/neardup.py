@@ -22,10 +22,11 @@ texts link when d <= EPSILON. Regions are split by pivots until they fit into a
   settled: links between two of them add nothing. Settled texts go to the cell of their
   nearest pivot; the others to every cell whose pivot is at most 2 EPSILON farther than
   their nearest, so that each still meets whatever it may link with. Pivots are unsettled
-  texts, those with the fewest shingles of their own, which link with most. Cells without unsettled
+  texts, those with the most usual shingles, which link with most. Cells without unsettled
   texts are done; others are regions of the next level. A region of which windows put more
-  than nine tenths into one cell is cut into salted parts instead, and each two parts are a
-  region.
+  than nine tenths into one cell is cut into salted parts instead: its settled texts are dealt
+  out, and its unsettled ones, mostly few by then, go to each part. (If they are many, they
+  are dealt out too, and each two parts are a region.)
 * A region that fits is divided in the same way, by two pivots at a time, in one task.
 
 Equal sets are one point from the start. All distances are exact, from the hashes of whole
@@ -59,6 +60,8 @@ WIDTH_BITS = 21
 CELL_ROWS, CELL_SHINGLES = 256, 1 << 22
 #: Pivots of a division in Spark, and shares of a region that are measured apart.
 PIVOTS, SALTS = 8, 16
+#: How many rows of a few numbers are broadcast (some 100 bytes each in memory); more are shuffled.
+SENT_ROWS = 1_000_000
 _SLACK = 2 * EPSILON + 1e-9
 
 
@@ -168,7 +171,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """x and its whole set, sorted, for points (x, rep, h, d1, d2)."""
+    """x, at and members, the whole set, sorted, for points (x, at, rep, h, d1, d2), one row each."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,11 +180,22 @@ def _full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
                 h, bounds = _distinct(h, bounds, None)
                 d1, d2 = _digests(h, bounds)
                 own = np.flatnonzero((d1 == want1[lo:hi]) & (d2 == want2[lo:hi]))
-                sets = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([b.column("x").take(pa.array(own + lo)), pa.array(sets, pa.binary())], names=["x", "members"])
+                sets, at = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.array(own + lo)
+                yield pa.RecordBatch.from_arrays([b.column("x").take(at), b.column("at").take(at), pa.array(sets, pa.binary())], names=["x", "at", "members"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), _text_hash().alias("h"), "text").join(need.withColumn("rep", F.coalesce("rep", F.lit(0))), ["rep", "h"])
-    return rows.select("x", "d1", "d2", "text").mapInArrow(made, "x long, members binary").groupBy("x").agg(F.first("members").alias("members"))
+    keys = docs.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), _text_hash().alias("h"), "text")
+    rows = keys.join(_sent(need.withColumn("rep", F.coalesce("rep", F.lit(0)))), ["rep", "h"])
+    full = written(rows.select("x", "at", "d1", "d2", "text").mapInArrow(made, "x long, at double, members binary"), "sets")
+    return full if full.count() == need.count() else written(full.groupBy("x").agg(F.first("at").alias("at"), F.first("members").alias("members")), "sets")
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table of small rows, to be broadcast if it has at most SENT_ROWS of them, else joined by shuffling."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
+def _with_sets(rows: DataFrame, full: DataFrame) -> DataFrame:
+    return full.join(_sent(written(rows, "rows")), "x")
 
 
 def _by_region(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[list]]]:
@@ -336,8 +350,8 @@ def _main(groups: pa.Table) -> pa.Table:
     return pa.table({"r": groups["r"][:1], "main": pa.array([main[0]], pa.int32()), "size": pa.array([sum(counts)], pa.int64())})
 
 
-def _divided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of the pivots of regions that don't fit, and the regions' cells (r, x, settled, parts)."""
+def _divided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of the pivots of regions that don't fit; the regions' cells and, of those that windows don't cut, parts (r, x, settled)."""
     measured = _measured(rows, level)
     links = measured.select("x", "mask", F.posexplode("pivots").alias("k", "p")).where("shiftright(mask, k) & 1 = 1 AND p <> x").select(F.col("x").alias("a"), F.col("p").alias("b"))
     main = measured.groupBy("r", "mask").agg(F.count("x").alias("k")).where("mask > 0").groupBy("r").applyInArrow(_main, "r long, main int, size long")
@@ -352,23 +366,29 @@ def _divided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     sizes = written(cells.groupBy("r", "k").agg(F.count("x").alias("rows"), F.max("whole").alias("whole"), F.min("settled").alias("done")), "sizes")
     whole = sizes.groupBy("r").agg((F.max("rows") > 0.9 * F.max("whole")).alias("whole"), F.min("done").alias("done")).where("whole AND NOT done").select("r")
     one = sizes.where("NOT done AND rows > 1").select("r", "k").join(whole, "r", "left_anti")
-    cells = cells.join(one, ["r", "k"]).select(F.xxhash64("r", "k", F.lit(level)).alias("r"), "x", "settled", F.lit(1).alias("parts"))
-    parts = F.ceil(2 * F.col("whole") / CELL_ROWS).cast("int")
-    uncut = now.join(whole, "r", "left_semi").select(F.xxhash64("r", F.lit(level)).alias("r"), "x", "settled", parts.alias("parts"))
-    return written(links, "links"), written(cells.unionByName(uncut), "cells")
+    cells = cells.join(one, ["r", "k"]).select(F.xxhash64("r", "k", F.lit(level)).alias("r"), "x", "settled")
+    return written(links, "links"), written(cells, "cells"), _salted(now.join(whole, "r", "left_semi").select(F.xxhash64("r", F.lit(level)).alias("r"), "x", "settled"))
 
 
-def _salted(cells: DataFrame) -> DataFrame:
-    """Regions (r, x, settled, parts) of several parts as regions of two parts each."""
-    own = F.pmod(F.xxhash64("x", F.lit("part")), F.col("parts")).cast("int")
-    rows = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select(F.xxhash64("r", F.least("own", "other"), F.greatest("own", "other")).alias("r"), "x", "settled")
+def _salted(rows: DataFrame) -> DataFrame:
+    """Regions (r, x, settled) as parts in which every unsettled text meets all others."""
+    half = CELL_ROWS / 2
+    own = rows.groupBy("r").agg(F.ceil(F.count_if("settled") / half).cast("int").alias("b"), F.ceil(F.count_if(~F.col("settled")) / half).cast("int").alias("c"))
+    rows = rows.join(own, "r")
+    salt = F.xxhash64("x", F.lit("part"))
+    mine = F.pmod(salt, F.when(F.col("settled"), F.col("b")).otherwise(F.col("c"))).cast("int")
+    # kinds of parts: b settled ones with c unsettled ones, and unsettled ones with each other
+    mixed = F.when(F.col("settled"), F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(mine.alias("u"), k.alias("v"))))
+    mixed = mixed.otherwise(F.when(F.col("b") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("b"), F.lit(1)) - 1), lambda k: F.struct(k.alias("u"), mine.alias("v")))).otherwise(F.array()))
+    pairs = F.when(F.col("settled") | ((F.col("c") == 1) & (F.col("b") > 0)), F.array()).otherwise(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct((-1 - F.least(k, mine)).alias("u"), F.greatest(k, mine).alias("v"))))
+    out = rows.withColumn("part", F.explode(F.concat(mixed, pairs)))
+    return out.select(F.xxhash64("r", "part.u", "part.v").alias("r"), "x", "settled")
 
 
 def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Level 0, for points (x, n, prefix): r, x of all members of regions of more than one text; x, at.
 
-    at: the place of a text's first shingle that others have, in the order that puts rare ones first.
+    at: the less, the more usual a text's window shingles are among the others, which makes it central.
     """
     tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
     # most shingles have one text: those go first, by counts alone, as all of them are shuffled
@@ -381,7 +401,7 @@ def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = shared.join(shared.groupBy("s").agg(*reach), "s").where(enough).select("s", "x", "n", "i", "size")
     again = left.groupBy("s").agg(F.count("x").alias("k")).where("k > 1").select("s")
     left = written(left.join(again, "s", "left_semi"), "shared")
-    home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r"), F.min("i").alias("at")), "homes")
+    home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r"), (-F.sum("size") / F.first("n")).alias("at")), "homes")
     pools = left.join(home.select("x", "r"), "x").groupBy("s", "r").agg(*reach)
     cells = left.join(pools, "s").where(enough).select("r", "x").unionByName(home.select("r", "x")).distinct()
     cells = written(cells, "cells")
@@ -408,17 +428,16 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     small, large = _fitting(cells.withColumn("settled", F.lit(False)), points)
     ready, large = [_partnered(small)], large.select("r", "x", "settled")
     need = points.select("x", "rep", "h", "d1", "d2").join(ready[0].select("x").union(large.select("x")).distinct(), "x")
-    full = written(_full_sets(docs, need).join(places, "x"), "sets")
+    full = _full_sets(docs, written(need.join(places, "x"), "need"))
     links, level = [], 0
     while not large.isEmpty():
-        found, cells = _divided(written(large.join(full, "x"), "large"), level)
+        found, cells, parts = _divided(written(_with_sets(large, full), "large"), level)
         links.append(found)
-        small, large = _fitting(cells.where("parts = 1").drop("parts"), points)
-        parts = _salted(cells.where("parts > 1")).join(points.select("x", "n", "hist"), "x")
-        ready.append(_partnered(small.unionByName(parts)))
+        small, large = _fitting(cells, points)
+        ready.append(_partnered(small.unionByName(parts.join(points.select("x", "n", "hist"), "x"))))
         large, level = large.select("r", "x", "settled"), level + 1
     rows = reduce(DataFrame.unionByName, ready)
-    links.append(written(_joined(rows.join(full, "x").select("r", "x", "settled", "members")), "links"))
+    links.append(written(_joined(_with_sets(rows, full).select("r", "x", "settled", "members")), "links"))
     edges = reduce(DataFrame.unionByName, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = connected(edges).select(F.col("v").alias("x"), "c")
     return sets.select("doc_id", "h", "n", "d1", "d2"), points.select("x", "rep", "d1", "d2"), labels
