@@ -8,7 +8,9 @@ measure, so that a clean group loses nothing whatever its level is. Repeats are
 rows, so their quantiles are the median and the 9th decile, of rows within the base cutoff
 alone, and their spread puts the fence of a group without repeats at half the cutoff. Groups
 with fewer than ``least`` rows take the fence of their language, and small languages that of
-the corpus. Thresholds are then joined to the rows.
+the corpus. Thresholds are then joined to the rows. Sketches keep some values at random: with
+k = 200 a quantile's rank is off by a percent or two, so that a row right at a fence may be
+kept in one run and not in another; the base rules are exact.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources
 are groups of their own; repeated rows are each kept or not alike; an empty table gives no

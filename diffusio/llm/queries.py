@@ -68,6 +68,7 @@ SELECT page_id, host, fetched_at, n AS n_active, key AS matched_key, action, coa
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -79,19 +80,23 @@ def tokenizer_path() -> str:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest_contamination(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as matrices of 2048 ids, by checksums and listings."""
     return packing.digest_matrices(packing.pack_matrices(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in all documents."""
     return secrets.digest_secrets(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
@@ -103,6 +108,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents."""
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
