@@ -405,14 +405,15 @@ def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     pools = left.join(home.select("x", "r"), "x").groupBy("s", "r").agg(*reach)
     cells = left.join(pools, "s").where(enough).select("r", "x").unionByName(home.select("r", "x")).distinct()
     cells = written(cells, "cells")
-    return cells.join(cells.groupBy("r").agg(F.count("x").alias("k")).where("k > 1").select("r"), "r", "left_semi"), home.select("x", "at")
+    several = written(cells.groupBy("r").agg(F.count("x").alias("k")).where("k > 1").select("r"), "regions")
+    return written(cells.join(_sent(several), "r"), "cells"), home.select("x", "at")
 
 
 def _fitting(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells (r, x, ...) with n and hist, those that fit into a task and those that don't."""
-    rows = cells.join(points.select("x", "n", "hist"), "x")
+    rows = written(points.select("x", "n", "hist").join(_sent(cells), "x"), "members")
     fits = rows.groupBy("r").agg(((F.count("x") <= CELL_ROWS) & (F.sum("n") <= CELL_SHINGLES)).alias("fits"))
-    rows = written(rows.join(fits, "r"), "regions")
+    rows = rows.join(_sent(written(fits, "regions")), "r")
     return rows.where("fits").drop("fits"), rows.where("NOT fits").drop("fits")
 
 
@@ -427,14 +428,14 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cells, places = pooled_cells(points)
     small, large = _fitting(cells.withColumn("settled", F.lit(False)), points)
     ready, large = [_partnered(small)], large.select("r", "x", "settled")
-    need = points.select("x", "rep", "h", "d1", "d2").join(ready[0].select("x").union(large.select("x")).distinct(), "x")
-    full = _full_sets(docs, written(need.join(places, "x"), "need"))
+    need = written(ready[0].select("x").union(large.select("x")).distinct().join(places, "x"), "need")
+    full = _full_sets(docs, written(points.select("x", "rep", "h", "d1", "d2").join(_sent(need), "x"), "need"))
     links, level = [], 0
     while not large.isEmpty():
         found, cells, parts = _divided(written(_with_sets(large, full), "large"), level)
         links.append(found)
         small, large = _fitting(cells, points)
-        ready.append(_partnered(small.unionByName(parts.join(points.select("x", "n", "hist"), "x"))))
+        ready.append(_partnered(small.unionByName(points.select("x", "n", "hist").join(_sent(written(parts, "parts")), "x"))))
         large, level = large.select("r", "x", "settled"), level + 1
     rows = reduce(DataFrame.unionByName, ready)
     links.append(written(_joined(_with_sets(rows, full).select("r", "x", "settled", "members")), "links"))
