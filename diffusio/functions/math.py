@@ -23,9 +23,17 @@ def safe_ln(a: Column) -> Column:
 
 
 def conv(edges: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
-    """For each target: the sums of columns of its sources times the weights. One shuffle by target after the join by source."""
-    sums = [F.sum(F.col(c) * F.col("w")).alias(c) for c in columns]
-    return edges.join(values.select(F.col("id").alias("src"), *columns), "src").groupBy(F.col("dst").alias("id")).agg(*sums)
+    """For each target: the sums of columns of its sources times the weights. One shuffle by target after the join by source.
+
+    Edges with a column part have the edges of large sources in several parts (normalize.py);
+    the values of these sources are repeated for each.
+    """
+    sums, values, keys = [F.sum(F.col(c) * F.col("w")).alias(c) for c in columns], values.select(F.col("id").alias("src"), *columns), ["src"]
+    if "part" in edges.columns:
+        hubs = edges.where("part > 0").groupBy("src").agg((F.max("part") + 1).alias("parts"))  # a row for each part's size of edges at most
+        values = values.join(F.broadcast(hubs), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        keys = ["src", "part"]
+    return edges.join(values, keys).groupBy(F.col("dst").alias("id")).agg(*sums)
 
 
 def rounded(column: str) -> Column:

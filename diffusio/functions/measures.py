@@ -6,6 +6,7 @@ the one-row table that it reads. ``direction`` is 1 if more is better, else -1.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -30,6 +31,34 @@ class Measure:
         value = self.frame(scores).first()[0]
         return float(value) if value is not None else 0.0
 
+    # adapters: this measure where something that makes measures is expected
+    def as_supervised(self) -> Callable[..., Measure]:
+        """Makes copies with given known values and exclusions."""
+        return lambda known=None, exclude=None: self._with(known=known, exclude=exclude)
+
+    def as_unsupervised(self) -> Callable[..., Measure]:
+        """Makes copies for a given graph."""
+        return lambda graph=None: self._with(graph=graph)
+
+    def as_is(self) -> Callable[..., Measure]:
+        """Gives this measure whatever it is asked for."""
+        return lambda *args, **options: self
+
+    def _with(self, **changed: Any) -> Measure:
+        out = copy.copy(self)
+        out.__dict__.update(changed)
+        return out
+
+
+class Utility:
+    """Makes a supervised measure whose known values are the excluded ones (each may be transformed first)."""
+
+    def __init__(self, measure: Callable[..., Measure], known: Callable[[Any], Any] = lambda x: x, excluded: Callable[[Any], Any] = lambda x: x):
+        self.measure, self.known, self.excluded = measure, known, excluded
+
+    def __call__(self, known: Any = None, exclude: Any = None) -> Measure:
+        return self.measure(self.known(exclude), self.excluded(exclude))
+
 
 def _df(x: Any) -> DataFrame:
     return x.df if isinstance(x, Signal) else x
@@ -278,19 +307,38 @@ class Modularity(_OnGraph):
         return t.select(F.coalesce(safe_div(F.col("i") - safe_div(F.col("d") * F.col("d"), F.col("m")), F.col("m")), F.lit(0.0)).alias("value"))
 
 
+#: Fixed value: how sharp the smooth hinge is.
+SHARPNESS = 30.0
+
+
+def _hinge(x: float) -> float:
+    """About max(x, 0)."""
+    return max(x, 0.0) + math.log1p(math.exp(-abs(x) * SHARPNESS)) / SHARPNESS
+
+
 class Combined(Measure):
-    """Several measures, each clipped to its limits (0 to 1 unless given), with weights."""
+    """Several measures, each clipped to its limits (0 to 1 unless given), with weights.
 
-    def __init__(self, measures: Sequence[Measure], weights: Sequence[float] | None = None, limits: Sequence[tuple[float, float]] | None = None):
+    smooth: clip by a smooth hinge, whose slope never jumps, in place of the corners.
+    """
+
+    def __init__(self, measures: Sequence[Measure] = (), weights: Sequence[float] | None = None, limits: Sequence[tuple[float, float]] | None = None, smooth: bool = False):
+        self.smooth = smooth
         self.measures = list(measures)
         self.weights = [1.0] * len(self.measures) if weights is None else list(weights)
         self.limits = [(0.0, 1.0)] * len(self.measures) if limits is None else list(limits)
 
     def add(self, measure: Measure, weight: float = 1.0, least: float = -math.inf, most: float = math.inf) -> Combined:
-        return type(self)([*self.measures, measure], [*self.weights, weight], [*self.limits, (least, most)])
+        return type(self)([*self.measures, measure], [*self.weights, weight], [*self.limits, (least, most)], self.smooth)
+
+    def clipped(self, x: float, least: float, most: float) -> float:
+        if not self.smooth:
+            return min(max(x, least), most)
+        x = x if math.isinf(least) else least + _hinge(x - least)
+        return x if math.isinf(most) else most - _hinge(most - x)
 
     def __call__(self, scores):
-        return self.combine([min(max(m(scores), a), b) if w else 0.0 for m, w, (a, b) in zip(self.measures, self.weights, self.limits, strict=True)])
+        return self.combine([self.clipped(m(scores), a, b) if w else 0.0 for m, w, (a, b) in zip(self.measures, self.weights, self.limits, strict=True)])
 
     def combine(self, values: list[float]) -> float:
         raise NotImplementedError

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from diffusio.functions.math import safe_div
-from diffusio.session import written
+from diffusio.session import bucketed, written
 
 
 class Graph:
@@ -26,6 +26,7 @@ class Graph:
         self.edges, self.directed = edges.select("src", "dst", F.col("w").cast("double").alias("w")), directed
         ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select(F.col("dst").alias("id"))).distinct()
         self.nodes = ends if nodes is None else nodes.select("id").distinct()
+        self._given = nodes is not None
         self._made: dict[Any, Any] = {}
 
     @property
@@ -48,9 +49,10 @@ class Graph:
         return cls.from_edges(spark.createDataFrame(rows, "a string, b string, w double"), directed, "w")
 
     def stored(self) -> Graph:
-        """The same graph as written tables, edges laid out by source."""
-        edges = self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-        return Graph(written(edges.repartition("src"), "edges"), self.directed, written(self.nodes, "nodes"))
+        """The same graph as written tables, edges in buckets by source."""
+        edges = bucketed(self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges", "src")
+        nodes = self.nodes if self._given else Graph(edges, self.directed).nodes
+        return Graph(edges, self.directed, written(nodes, "nodes"))
 
     def add_edges(self, pairs: DataFrame) -> Graph:
         """Edges that are there already are not added again."""
@@ -122,6 +124,8 @@ class Signal:
 
     def __init__(self, graph: Graph, df: DataFrame):
         self.graph, self.df = graph, df.select("id", F.col("value").cast("double").alias("value"))
+        #: Of what a filter returns: the iteration at which it stopped.
+        self.iterations: int | None = None
 
     @classmethod
     def of(cls, graph: Graph, values: Any = None) -> Signal:

@@ -46,8 +46,15 @@ class Convergence:
     def start(self) -> None:
         self.iteration = 0
 
-    def stop(self, state: DataFrame, old: str | None, new: str) -> bool:
-        """Whether to stop before another step; state has the values before (none at first) and after the last one."""
+    def wanted(self, old: str, new: str) -> dict[str, Column]:
+        """What the job that writes a step's values may compute for stop()."""
+        return {} if self.error == "iters" else {"error": ERRORS[self.error](F.col(old), F.col(new))}
+
+    def stop(self, state: DataFrame, old: str | None, new: str, seen: dict[str, Any] | None = None) -> bool:
+        """Whether to stop before another step; state has the values before (none at first) and after the last one.
+
+        seen: what wanted() has asked for, if it is known.
+        """
         self.iteration += 1
         if self.iteration >= self.max_iters:
             if self.error == "iters" or not self.raises:
@@ -55,7 +62,7 @@ class Convergence:
             raise NotConverged(f"no convergence within {self.max_iters} iterations")
         if old is None or self.error == "iters" or self.iteration % self.every:
             return False
-        error = state.agg(ERRORS[self.error](F.col(old), F.col(new))).first()[0]
+        error = seen["error"] if seen and "error" in seen else state.agg(ERRORS[self.error](F.col(old), F.col(new))).first()[0]
         return error is not None and error <= (0 if self.tol is None else max(self.tol, EPSILON))
 
 
@@ -83,7 +90,10 @@ class RankOrder:
             return 1.0
         return 1 - (hi - lo) / (NormalDist().inv_cdf(self.confidence) * spread * n) if spread else -math.inf if hi > lo else 1.0
 
-    def stop(self, state: DataFrame, old: str | None, new: str) -> bool:
+    def wanted(self, old: str, new: str) -> dict[str, Column]:
+        return {}
+
+    def stop(self, state: DataFrame, old: str | None, new: str, seen: dict[str, Any] | None = None) -> bool:
         self.iteration += 1
         walks = sum(self.alpha**n / n for n in range(1, self.iteration + 1)) / -math.log(1 - self.alpha)
         return walks >= self.needed(state, new)

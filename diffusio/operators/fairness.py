@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.functions.math import conv, safe_div, safe_inv
-from diffusio.functions.measures import MannWhitneyParity, Mabs, PRule, Supervised, of_columns
+from diffusio.functions.measures import AM, TNR, TPR, MannWhitneyParity, Mabs, Mistreatment, PRule, Supervised, of_columns
 from diffusio.functions.order import running
 from diffusio.graph import Graph, Signal
 from diffusio.operators.convergence import Convergence
@@ -41,13 +41,16 @@ class AdHocFairness(Postprocessor):
     method B (or mult): both sides are scaled.
     """
 
+    inputs = ("sensitive",)
+
     def __init__(self, base: Ranker | None = None, method: str = "O", target: float = 1.0):
         if method.upper() not in ("O", "LFPRO", "B", "MULT"):
             raise ValueError(f"no method {method}")
         self.base, self.method, self.target = base, method.upper(), target
 
     def rank(self, graph, signal=None, sensitive: Any = None, **more):
-        out = Signal.of(graph, signal) if self.base is None else self.base.rank(graph, signal, **more)
+        self.checked(more)
+        out = Signal.of(graph, signal) if self.base is None else self.base.passed(graph, signal, {**more, "sensitive": sensitive})
         return self.transform(out, sensitive=sensitive)
 
     def transform(self, signal, sensitive: Any = None, **more):
@@ -69,6 +72,8 @@ class AdHocFairness(Postprocessor):
 class FairWalk(Ranker):
     """The base ranker on edges weighted by 1 / phi in the group and 1 / (1 - phi) outside, by source."""
 
+    inputs = ("sensitive",)
+
     def __init__(self, base: Ranker):
         self.base = base
 
@@ -79,7 +84,8 @@ class FairWalk(Ranker):
         edges = graph.edges.join(side, "src").select("src", "dst", (F.col("w") * F.col("side")).alias("w"))
         fair = Graph(edges, graph.directed, graph.nodes)
         p = Signal.of(graph, signal)
-        out = self.base.rank(fair, p.df, **more)
+        self.checked(more)
+        out = self.base.passed(fair, p.df, more)
         return Signal(graph, out.df)
 
     def transform(self, signal, **more):
@@ -90,9 +96,13 @@ class FairPersonalizer(Ranker):
     """Searches for an edit of the personalization whose ranks are fair and stay near the original ones.
 
     The edit has four parameters a bucket and one residual weight. parity: impact (pRule),
-    U (Mann-Whitney) or a function of the ranks. Each candidate is one run of the base.
+    U (Mann-Whitney), TPR or TNR (the difference between groups, of all nodes as known ones),
+    mistreatment (the mean of TPR of all nodes and TNR of the personalization) or a function
+    of the ranks. Each candidate is one run of the base.
     """
 
+    inputs = ("sensitive",)
+
     def __init__(self, base: Ranker, target: float = 1.0, buckets: int = 1, retain_weight: float = 1.0, prule_weight: float = 1.0, max_residual: float = 1.0, skew: bool = False, error: Callable = Mabs, parity: str | Callable = "impact", tol: float = 1e-6):
         self.base, self.target, self.buckets, self.retain_weight, self.prule_weight = base, target, buckets, retain_weight, prule_weight
         self.max_residual, self.skew, self.error, self.parity, self.tol = max_residual, skew, error, parity, tol
@@ -118,15 +128,23 @@ class FairPersonalizer(Ranker):
 
     def rank(self, graph, signal=None, sensitive: Any = None, **more):
         p, s = Signal.of(graph, signal).stored(), Signal.of(graph, sensitive).stored()
-        original = self.base.rank(graph, p, **more).stored()
-        base = self.base
+        self.checked(more)
+        base, ranks = self.base, self.base.passed(graph, p, more)
+        original = ranks.stored()
         if isinstance(getattr(base, "convergence", None), Convergence):  # as many steps for each candidate
-            base = base.with_(convergence=Convergence(error="iters", max_iters=base.convergence.iteration))
-        fair = {"impact": lambda: PRule(s), "U": lambda: MannWhitneyParity(s)}[self.parity]() if isinstance(self.parity, str) else self.parity
+            base = base.with_(convergence=Convergence(error="iters", max_iters=ranks.iterations))
+        kinds = {
+            "impact": lambda: PRule(s),
+            "U": lambda: MannWhitneyParity(s),
+            "TPR": lambda: Mistreatment(None, s, measure=TPR),
+            "TNR": lambda: Mistreatment(None, s, measure=TNR),
+            "mistreatment": lambda: AM([Mistreatment(None, s, measure=TPR), Mistreatment(p, s, measure=TNR)]),
+        }
+        fair = kinds[self.parity]() if isinstance(self.parity, str) else self.parity
         error = self.error(original)
 
         def loss(params: list[float]) -> float:
-            ranks = base.rank(graph, self.edited(p, s, original, params), **more).stored()
+            ranks = base.passed(graph, self.edited(p, s, original, params), more).stored()
             return -self.retain_weight * error(ranks) * error.direction - self.prule_weight * min(self.target, fair(ranks))
 
         together = isinstance(base, PageRank) and base.ranks_many() and all(isinstance(m, Supervised) for m in (error, fair)) and not more
@@ -143,7 +161,7 @@ class FairPersonalizer(Ranker):
             return [-self.retain_weight * e * error.direction - self.prule_weight * min(self.target, f) for e, f in zip(*found, strict=True)]
 
         best = optimize(loss, [1, 1, 5, 5] * self.buckets + [self.max_residual], [0, 0, -5, -5] * self.buckets + [0], deviation_tol=self.tol, divide_range=2, partitions=10, many=many if together else None)
-        return base.rank(graph, self.edited(p, s, original, best), **more)
+        return base.passed(graph, self.edited(p, s, original, best), more)
 
 
 def group_flow(graph: Graph, sensitive: Signal) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Each step is one join of the state with the edges by source, one grouped sum by target, and
 one projection with the filter's formula; the state is written to the shared folder, which
-keeps plans short and recoverable. Several signals travel as columns of one state.
+keeps plans short and recoverable. Edges lie in buckets by source and aren't shuffled. Sums
+and errors of a step come from the job that writes it; the state before the last is deleted.
+Plans hold no state of a run: what a run carries is in its table.
 """
 
 from __future__ import annotations
@@ -10,17 +12,17 @@ from __future__ import annotations
 import copy
 from collections.abc import Callable, Sequence
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.functions.math import conv, safe_div, safe_inv
 from diffusio.graph import Graph, Signal
-from diffusio.operators.convergence import Convergence
+from diffusio.operators.convergence import Convergence, NotConverged
 from diffusio.operators.normalize import Normalization
 from diffusio.plans.ranker import Ranker, configured
-from diffusio.session import written
+from diffusio.session import Steps, written
 
 
 class GraphFilter(Ranker):
@@ -59,7 +61,12 @@ class GraphFilter(Ranker):
         """New values of columns at iteration k (from 1)."""
         raise NotImplementedError
 
-    def settle(self, state: DataFrame, graph: Graph) -> DataFrame:
+    def observed(self) -> dict[str, Column]:
+        """Aggregates of a new state that settle() needs."""
+        return {}
+
+    def settle(self, state: DataFrame, graph: Graph, seen: dict[str, Any]) -> DataFrame:
+        """The state after a step as the next one sees it; seen has what was observed."""
         return state
 
     def end(self, state: DataFrame) -> Column:
@@ -68,7 +75,10 @@ class GraphFilter(Ranker):
     def adjacency(self, graph: Graph, more: dict) -> DataFrame:
         return self.normalization.edges(graph)
 
+    inputs = ("warm_start",)
+
     def rank(self, graph, signal=None, warm_start: Any = None, **more):
+        self.checked(more)
         p = Signal.of(graph, signal)
         if self.before is not None:
             p = self.before.rank(graph, p)
@@ -82,11 +92,15 @@ class GraphFilter(Ranker):
             state = state.withColumn("r", F.col("p"))
         else:
             state = state.join(Signal.of(graph, warm_start).df.withColumnRenamed("value", "r"), "id")
-        state = written(self.start(graph, edges, state, more), "state")
+        steps = Steps()
+        state, seen = steps.written(self.start(graph, edges, state, more), "state", **self.observed())
+        state = self.begun(state, seen)
         convergence = copy.copy(self.convergence)
         convergence.start()
-        old = None
-        while not convergence.stop(state, old, "r"):
+        old, seen = None, {}
+        # errors can be observed as a state is written if nothing changes it afterwards
+        late = type(self).settle is not GraphFilter.settle and bool(getattr(self, "quotient", True))
+        while not convergence.stop(state, old, "r", seen):
             k, old = convergence.iteration, "old"
             e = edges.where(F.rand(k) >= self.dropout).withColumn("w", F.col("w") / (1 - self.dropout)) if self.dropout else edges
             names = self.moved()
@@ -95,10 +109,16 @@ class GraphFilter(Ranker):
             changed = self.step(k)
             kept = [c for c in state.columns if c not in ("id", "old") and c not in changed]
             state = joined.select("id", F.col("r").alias("old"), *kept, *[v.cast("double").alias(c) for c, v in changed.items()])
-            state = self.settle(written(state, "state"), graph)
-        self.convergence.iteration = convergence.iteration
+            state, seen = steps.written(state, "state", **self.observed(), **({} if late else convergence.wanted("old", "r")))
+            state = self.settle(state, graph, seen)
         out = state.select("id", self.end(state).alias("value"))
-        return Signal(graph, out.select("id", (F.col("value") * norm).alias("value")) if self.preserve_norm else out)
+        found = Signal(graph, out.select("id", (F.col("value") * norm).alias("value")) if self.preserve_norm else out)
+        found.iterations = convergence.iteration
+        return found
+
+    def begun(self, state: DataFrame, seen: dict[str, Any]) -> DataFrame:
+        """The first state as the first step sees it."""
+        return state
 
 
 class Recursive(GraphFilter):
@@ -118,14 +138,15 @@ class Recursive(GraphFilter):
     def step(self, k):
         return {"r": self.formula(k)}
 
-    def settle(self, state, graph):
+    def observed(self):
+        return {"total": F.sum("r")} if self.quotient is True else {}
+
+    def settle(self, state, graph, seen):
         if isinstance(self.quotient, Ranker):
             new = self.quotient.transform(Signal(graph, state.select("id", F.col("r").alias("value"))))
             state = written(state.drop("r").join(new.df.withColumnRenamed("value", "r"), "id"), "state")
-        elif self.quotient:
-            total = state.agg(F.sum("r")).first()[0]
-            if total:
-                state = state.withColumn("r", F.col("r") / total)
+        elif self.quotient and seen["total"]:
+            state = state.withColumn("r", F.col("r") / seen["total"])
         return state.withColumn("p", F.col("r")) if self.eigenvectors else state
 
 
@@ -150,15 +171,15 @@ class PageRank(Recursive):
         table = written(table, "many")
         norms = table.agg(*[F.sum(F.abs(c)).alias(c) for c in names]).first()
         p = {c: F.col(c) / (norms[c] or 1.0) for c in names}
-        edges = self.normalization.edges(graph)
+        edges, steps = self.normalization.edges(graph), Steps()
         state = table.select("id", *[p[c].alias(f"p_{c}") for c in names], *[p[c].alias(c) for c in names])
         for _ in range(self.convergence.max_iters - 1):
             arrived = conv(edges, state.select("id", *names), *names).select("id", *[F.col(c).alias(f"{c}_in") for c in names])
             joined = state.drop(*names).join(arrived, "id", "left").fillna(0.0, [f"{c}_in" for c in names])
             new = [(self.alpha * F.col(f"{c}_in") + (1 - self.alpha) * F.col(f"p_{c}")).alias(c) for c in names]
-            state = written(joined.select("id", *[f"p_{c}" for c in names], *new), "many")
+            state, totals = steps.written(joined.select("id", *[f"p_{c}" for c in names], *new), "many", **({f"t{i}": F.sum(c) for i, c in enumerate(names)} if self.quotient else {}))
             if self.quotient:
-                totals = state.agg(*[F.sum(c).alias(c) for c in names]).first()
+                totals = {c: totals[f"t{i}"] for i, c in enumerate(names)}
                 state = state.select("id", *[f"p_{c}" for c in names], *[(F.col(c) / (totals[c] or 1.0)).alias(c) for c in names])
         scale = {c: (norms[c] or 0.0) if self.preserve_norm else 1.0 for c in names}
         return state.select("id", *[(F.col(c) * scale[c]).alias(c) for c in names])
@@ -192,6 +213,8 @@ def _with_degrees(state: DataFrame, edges: DataFrame) -> DataFrame:
 class AbsorbingWalks(Recursive):
     """Walks absorbed at a node in proportion to absorption * (1 - alpha) / alpha. Degrees are of the normalized edges."""
 
+    inputs = ("warm_start", "absorption")
+
     def __init__(self, alpha: float = 1 - 1e-6, **options: Any):
         super().__init__(**options)
         self.alpha = alpha
@@ -268,6 +291,7 @@ class ClosedForm(GraphFilter):
         return {"r": F.col("r") + self.coefficients(k)[-1] * F.col("t"), "t": F.col("t_in")}
 
     def rank(self, graph, signal=None, **more):
+        self.checked(more)
         if self.chebyshev:
             return self._chebyshev(graph, signal, **more)
         return self._krylov(graph, signal) if self.krylov else super().rank(graph, signal, **more)
@@ -302,6 +326,8 @@ class ClosedForm(GraphFilter):
             return p
         p = (p / norm).stored()
         base, h = lanczos(self.normalization.edges(graph), p.df.withColumnRenamed("value", "v0"), self.krylov)
+        if (error := krylov_error(self.normalization.edges(graph), base, h)) > KRYLOV_ERROR:
+            raise NotConverged(f"{self.krylov} dimensions are too few: a moved signal is missed by {error}")
         convergence, power, result, n = copy.copy(self.convergence), np.eye(len(h)), np.zeros_like(h), 0
         last = None
         convergence.start()
@@ -321,10 +347,11 @@ class ClosedForm(GraphFilter):
         """id, h0..h(n-1): the normalized signal moved 0, 1, ... times, kept for reuse by tuners."""
         p = Signal.of(graph, signal).normalized()
         edges = self.normalization.edges(graph)
-        state = written(p.df.withColumnRenamed("value", "h0"), "hops")
+        steps = Steps()
+        state, _ = steps.written(p.df.withColumnRenamed("value", "h0"), "hops")
         for i in range(1, n):
             moved = conv(edges, state.select("id", F.col(f"h{i - 1}").alias(f"h{i}")), f"h{i}")
-            state = written(state.join(moved, "id", "left").fillna(0.0, [f"h{i}"]), "hops")
+            state, _ = steps.written(state.join(moved, "id", "left").fillna(0.0, [f"h{i}"]), "hops")
         return state
 
 
@@ -366,28 +393,31 @@ class FairPageRank(Recursive):
     """Locally fair PageRank. rank() needs ``sensitive``; quotient as for others.
 
     target: the ratio aimed at between the group's share and that of others.
-    redistributor: None (even), "original" (by PageRank with column normalization) or a ranker.
+    redistributor: None (even), "original" (PageRank of the personalization with column
+    normalization and the same stopping rule) or a ranker, which gets the personalization too.
+    balance (an extension): give the group its share of the personalization first.
     """
 
-    def __init__(self, alpha: float = 0.85, target: float = 1.0, redistributor: Any = None, fix_personalization: bool = True, **options: Any):
+    inputs = ("warm_start", "sensitive")
+
+    def __init__(self, alpha: float = 0.85, target: float = 1.0, redistributor: Any = None, balance: bool = False, **options: Any):
         super().__init__(**options)
-        self.alpha, self.target, self.redistributor, self.fix_personalization = alpha, target, redistributor, fix_personalization
+        self.alpha, self.target, self.redistributor, self.balance = alpha, target, redistributor, balance
 
     def rank(self, graph, signal=None, sensitive=None, **more):
-        s = Signal.of(graph, sensitive).stored()
-        if self.fix_personalization:
-            p = Signal.of(graph, signal)
+        s, p = Signal.of(graph, sensitive).stored(), Signal.of(graph, signal)
+        if self.balance:
             phi = s.sum() / graph.number_of_nodes() * self.target
             p = p.normalized()
             red = (p * s).sum()
             blue = p.sum() - red
             if red and blue:
-                signal = p.zip(s, lambda v, x: v * x * (phi / red) + v * (1 - x) * ((1 - phi) / blue))
-        return super().rank(graph, signal, sensitive=s, **more)
+                p = p.zip(s, lambda v, x: v * x * (phi / red) + v * (1 - x) * ((1 - phi) / blue))
+        return super().rank(graph, p, sensitive=_Inputs(s, p), **more)
 
     def adjacency(self, graph, more):
         raw = Normalization("none").edges(graph)
-        s = more["sensitive"]
+        s, p = more["sensitive"]
         n = graph.number_of_nodes()
         phi = s.sum() / n * self.target
         both = s.df.select("id", F.col("value").alias("red"), (1 - F.col("value")).alias("blue"))
@@ -399,33 +429,46 @@ class FairPageRank(Recursive):
         scale = F.when(low, (1 - phi) * safe_inv(F.col("blue"))).when(high, phi * safe_inv(F.col("red"))).otherwise(1.0)
         d_red = F.when(low, phi - (1 - phi) * a).when(rest, phi).otherwise(0.0)
         d_blue = F.when(high, (1 - phi) - phi * b).when(rest, 1 - phi).otherwise(0.0)
-        base = Signal.of(graph) if self.redistributor is None else (PageRank(self.alpha, normalization="col") if self.redistributor == "original" else self.redistributor).rank(graph, s)
+        ranker = PageRank(self.alpha, normalization="col", convergence=copy.copy(self.convergence)) if self.redistributor == "original" else self.redistributor
+        base = Signal.of(graph) if ranker is None else ranker.rank(graph, p)
         x = both.join(base.df, "id").select("id", (F.col("red") * F.col("value")).alias("xr"), (F.col("blue") * F.col("value")).alias("xb"))
         total = x.agg(F.sum("xr"), F.sum("xb")).first()
         x = x.select("id", (F.col("xr") / (total[0] or 1.0)).alias("xr"), (F.col("xb") / (total[1] or 1.0)).alias("xb"))
         more["tables"] = written(out.select("id", scale.alias("scale"), d_red.alias("dr"), d_blue.alias("db")).join(x, "id"), "fair")
         scaled = raw.join(more["tables"].select(F.col("id").alias("src"), "scale"), "src")
-        return written(scaled.select("src", "dst", (F.col("w") * F.col("scale")).alias("w")).repartition("src"), "fair-edges")
+        return Normalization.stored(scaled.select("src", "dst", (F.col("w") * F.col("scale")).alias("w")))
 
     def start(self, graph, edges, state, more):
-        self._sums = (0.0, 0.0)
-        return self._summed(state.join(more["tables"].drop("scale"), "id"))
+        return state.join(more["tables"].drop("scale"), "id")
 
-    def _summed(self, state: DataFrame) -> DataFrame:
-        self._sums = tuple(float(x or 0) for x in state.agg(F.sum(F.col("r") * F.col("dr")), F.sum(F.col("r") * F.col("db"))).first())
-        return state
+    # the two sums over all nodes that a step needs are columns of the state before it
+    def observed(self):
+        return {**super().observed(), "red": F.sum(F.col("r") * F.col("dr")), "blue": F.sum(F.col("r") * F.col("db"))}
 
-    def formula(self, k):
-        red, blue = self._sums
-        return self.alpha * (F.col("r_in") + red * F.col("xr") + blue * F.col("xb")) + (1 - self.alpha) * F.col("p")
+    def begun(self, state, seen):
+        return state.withColumns({"red": F.lit(float(seen["red"] or 0)), "blue": F.lit(float(seen["blue"] or 0))})
 
-    def settle(self, state, graph):
-        return self._summed(super().settle(state, graph))
+    def settle(self, state, graph, seen):
+        scale = seen["total"] if self.quotient is True and seen["total"] else 1.0
+        out = super().settle(state, graph, seen)
+        if isinstance(self.quotient, Ranker):
+            seen = out.agg(*[v.alias(k) for k, v in self.observed().items()]).first().asDict()
+        return self.begun(out, {k: (seen[k] or 0) / scale for k in ("red", "blue")})
+
+    def formula(self, k):
+        return self.alpha * (F.col("r_in") + F.col("red") * F.col("xr") + F.col("blue") * F.col("xb")) + (1 - self.alpha) * F.col("p")
 
     def end(self, state):
         return F.col("r") - (1 - self.alpha) * F.col("p")
 
 
+class _Inputs(NamedTuple):
+    """What FairPageRank's edges depend on: the sensitive group and the personalization."""
+
+    sensitive: Signal
+    personalization: Signal
+
+
 def _orthonormal(state: DataFrame, edges: DataFrame, i: int) -> DataFrame:
     moved = conv(edges, state.select("id", F.col(f"v{i}").alias("m")), "m")
     return state.join(moved, "id", "left").fillna(0.0, ["m"])
@@ -434,12 +477,13 @@ def _orthonormal(state: DataFrame, edges: DataFrame, i: int) -> DataFrame:
 def lanczos(edges: DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
     """An orthonormal basis v0.. of the Krylov space of start (id, v0) and the tridiagonal matrix of the edges in it."""
     norm = start.agg(F.sqrt(F.sum(F.col("v0") * F.col("v0")))).first()[0]
-    state = written(start.select("id", (F.col("v0") / norm).alias("v0")), "basis")
+    steps = Steps(4)  # two tables a dimension
+    state, _ = steps.written(start.select("id", (F.col("v0") / norm).alias("v0")), "basis")
     alphas: list[float] = []
     betas: list[float] = []
     for j in range(dims):
-        moved = written(_orthonormal(state, edges, j), "basis")
-        alphas.append(float(moved.agg(F.sum(F.col(f"v{j}") * F.col("m"))).first()[0]))
+        moved, seen = steps.written(_orthonormal(state, edges, j), "basis", alpha=F.sum(F.col(f"v{j}") * F.col("m")))
+        alphas.append(float(seen["alpha"]))
         if j == dims - 1:
             break
         left = F.col("m") - alphas[j] * F.col(f"v{j}")
@@ -450,26 +494,38 @@ def lanczos(edges: DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, n
         if beta < 1e-12:
             break
         betas.append(beta)
-        state = written(moved.withColumn(f"v{j + 1}", F.col("m") / beta).drop("m"), "basis")
+        state, _ = steps.written(moved.withColumn(f"v{j + 1}", F.col("m") / beta).drop("m"), "basis")
     n = len(alphas)
     h = np.diag(alphas) + np.diag(betas[: n - 1], 1) + np.diag(betas[: n - 1], -1)
     return state, h
 
 
+#: Fixed value: the most that the mean error of a moved signal may be.
+KRYLOV_ERROR = 0.01
+
+
+def krylov_error(edges: DataFrame, base: DataFrame, h: np.ndarray) -> float:
+    """The mean error of the first basis vector after a move, as the basis and its matrix have it."""
+    moved = _orthonormal(base, edges, 0)
+    held = reduce(lambda a, b: a + b, [F.col(f"v{i}") * float(h[i, 0]) for i in range(len(h))])
+    return float(moved.agg(F.avg(F.abs(F.col("m") - held))).first()[0] or 0.0)
+
+
 def arnoldi(edges: DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
     """A basis by modified Gram-Schmidt; the first vector has absolute sum 1. Returns it and its coefficients."""
     norm = start.agg(F.sum(F.abs("v0"))).first()[0]
-    state = written(start.select("id", (F.col("v0") / norm).alias("v0")), "basis")
+    steps = Steps(4)  # two tables a dimension
+    state, _ = steps.written(start.select("id", (F.col("v0") / norm).alias("v0")), "basis")
     h = np.zeros((dims, dims))
     for k in range(1, dims):
-        moved = written(_orthonormal(state, edges, k - 1), "basis")
+        moved, _ = steps.written(_orthonormal(state, edges, k - 1), "basis")
         for j in range(k):
             h[j, k - 1] = float(moved.agg(F.sum(F.col(f"v{j}") * F.col("m"))).first()[0])
             moved = moved.withColumn("m", F.col("m") - float(h[j, k - 1]) * F.col(f"v{j}"))
         h[k, k - 1] = float(moved.agg(F.sqrt(F.sum(F.col("m") * F.col("m")))).first()[0])
         if h[k, k - 1] < 1e-12:
             break
-        state = written(moved.withColumn(f"v{k}", F.col("m") / float(h[k, k - 1])).drop("m"), "basis")
+        state, _ = steps.written(moved.withColumn(f"v{k}", F.col("m") / float(h[k, k - 1])).drop("m"), "basis")
     return state, h
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from diffusio.functions.math import conv, safe_inv
 from diffusio.graph import Graph, Signal
-from diffusio.session import written
+from diffusio.session import Steps, bucketed
 
+#: How many edges of one source may be in one bucket.
+HUB = 1_000_000
 Edges = Callable[[DataFrame], DataFrame]
 
 
@@ -30,8 +32,21 @@ class Normalization:
     reduction: Edges | None = None
 
     def edges(self, graph: Graph) -> DataFrame:
-        """src, dst, w, kept for the graph."""
-        return graph.remembered(self, lambda: written(self._made(graph).repartition("src"), "adjacency"))
+        """src, dst, w, kept for the graph in buckets by source, so that a step doesn't shuffle edges.
+
+        If a source has more than HUB edges, all sources of that kind have them in several
+        parts, numbered in one more column.
+        """
+        return graph.remembered(self, lambda: self.stored(self._made(graph)))
+
+    @staticmethod
+    def stored(edges: DataFrame) -> DataFrame:
+        kept = bucketed(edges, "adjacency", "src")
+        sizes = kept.groupBy("src").agg(F.ceil(F.count("dst") / HUB).cast("int").alias("parts")).where("parts > 1")
+        if sizes.isEmpty():
+            return kept
+        split = kept.join(F.broadcast(sizes), "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        return bucketed(split, "adjacency", "src", "part")
 
     def _made(self, graph: Graph) -> DataFrame:
         e = graph.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -62,15 +77,15 @@ class Normalization:
 def eigdegree(graph: Graph, tol: float = 1e-16, max_iters: int = 1000) -> DataFrame:
     """Degrees (id, d) by power iteration: the eigenvalue over the squared eigenvector."""
     e = graph.remembered("raw", lambda: Normalization("none").edges(graph))
-    v, last = graph.nodes.withColumn("v", F.lit(1.0)), float("inf")
+    v, last, states = graph.nodes.withColumn("v", F.lit(1.0)), float("inf"), Steps()
+    norm = float(graph.number_of_nodes()) ** 0.5
     for _ in range(max_iters):
-        norm = v.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
         moved = conv(e, v.select("id", (F.col("v") / norm).alias("v")), "v")
-        v = written(graph.nodes.join(moved, "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v")), "eigenvector")
-        value = v.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
+        v, seen = states.written(graph.nodes.join(moved, "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v")), "eigenvector", value=F.sqrt(F.sum(F.col("v") * F.col("v"))))
+        value = seen["value"]
         if not value or abs(value - last) <= max(tol, 1e-12):
             break
-        last = value
+        last = norm = value
     return v.select("id", F.when(F.col("v") == 0, 0.0).otherwise(F.lit(value) * value * value / (F.col("v") * F.col("v"))).alias("d"))
 
 

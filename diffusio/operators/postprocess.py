@@ -28,8 +28,9 @@ class Postprocessor(Ranker):
         raise NotImplementedError
 
     def rank(self, graph, signal=None, **more):
+        self.checked(more)
         signal = Signal.of(graph, signal)
-        out = signal if self.base is None else self.base.rank(graph, signal, **more)
+        out = signal if self.base is None else self.base.passed(graph, signal, more)
         return self.transform(out, personalization=signal)
 
     def after(self, base):
@@ -231,15 +232,15 @@ class SeedOversampling(Ranker):
         assert_binary(seeds)
         if self.method == "neighbors":
             near = graph.neighbors().join(seeds.df.where("value = 1").select("id"), "id", "left_semi").select(F.col("neighbor").alias("id"))
-            return self.base.rank(graph, Signal.of(graph, near.union(seeds.df.where("value = 1").select("id")).distinct()), **more)
-        scores = self.base.rank(graph, seeds, **more).stored()
+            return self.base.passed(graph, Signal.of(graph, near.union(seeds.df.where("value = 1").select("id")).distinct()), more)
+        scores = self.base.passed(graph, seeds, more).stored()
         if self.method == "safe":
             least = _least_of_seeds(scores, seeds)
-            return self.base.rank(graph, scores.map(lambda x: F.when(x >= least, 1.0).otherwise(0.0)), **more)
+            return self.base.passed(graph, scores.map(lambda x: F.when(x >= least, 1.0).otherwise(0.0)), more)
         n = graph.number_of_nodes()
         top = min(n, int(n * n / graph.number_of_edges()))
         least = _ordered(scores).where(F.col("place") == max(top, 1)).first()["value"]
-        return self.base.rank(graph, scores.zip(seeds, lambda x, s: F.when((x >= least) | (s == 1), 1.0).otherwise(0.0)), **more)
+        return self.base.passed(graph, scores.zip(seeds, lambda x, s: F.when((x >= least) | (s == 1), 1.0).otherwise(0.0)), more)
 
 
 class BoostedSeedOversampling(Ranker):
@@ -254,12 +255,12 @@ class BoostedSeedOversampling(Ranker):
         seeds = Signal.of(graph, signal)
         top = seeds.max()
         start = seeds.map(lambda x: x / top) if top else seeds
-        total = self.base.rank(graph, start, **more).stored()
+        total = self.base.passed(graph, start, more).stored()
         now, last = start, 1.0
         for _ in range(self.max_iters - 1):
             least = _least_of_seeds(total, now if self.source == "previous" else seeds)
             now = total.map(lambda x, t=least: F.when(x >= t, 1.0).otherwise(0.0)).stored()
-            new = self.base.rank(graph, now, **more).stored()
+            new = self.base.passed(graph, now, more).stored()
             both = now.df.join(new.df.withColumnRenamed("value", "n"), "id").join(total.df.withColumnRenamed("value", "t"), "id")
             r, n, t = F.col("value"), F.col("n"), F.col("t")
             a, b, square = both.agg(F.sum(r * n * n), F.sum(r * t * n), F.sum(n * n)).first()

@@ -74,6 +74,28 @@ def average(results: DataFrame) -> DataFrame:
     return results.unionByName(mean)
 
 
+def scores(results: DataFrame) -> DataFrame:
+    """The values alone."""
+    return results.select("value")
+
+
+#: Quantiles of the studentized range over the root of 2 at 5 percent, for 2 to 10 algorithms.
+NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
+
+
+def nemenyi(results: DataFrame) -> DataFrame:
+    """algorithm, other, difference of their mean ranks, least (the critical difference), differ: the Nemenyi test at 5 percent."""
+    ranked = ranks(results)
+    mean = ranked.groupBy("algorithm").agg(F.avg("value").alias("rank"), F.count("value").alias("n"))
+    k = mean.count()
+    if not 2 <= k <= len(NEMENYI) + 1:
+        raise ValueError(f"quantiles are known for 2 to {len(NEMENYI) + 1} algorithms")
+    both = mean.join(mean.select(F.col("algorithm").alias("other"), F.col("rank").alias("far")), F.col("algorithm") < F.col("other"))
+    least = F.lit(NEMENYI[k - 2]) * F.sqrt(k * (k + 1) / (6.0 * F.col("n")))
+    out = both.select("algorithm", "other", F.abs(F.col("rank") - F.col("far")).alias("difference"), least.alias("least"))
+    return out.withColumn("differ", F.col("difference") > F.col("least"))
+
+
 def as_dict(results: DataFrame) -> dict[str, dict[str, float]]:
     """value by dataset and algorithm."""
     out: dict[str, dict[str, float]] = {}

@@ -28,10 +28,18 @@ def nations(spark: SparkSession, folder: str) -> Graph:
     return Graph.from_edges(pairs.select(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b"), "w"), True, "w").stored()
 
 
-GRAPHS = {"cs": customer_supplier, "nat": nations}
+def regions(spark: SparkSession, folder: str) -> Graph:
+    """Undirected, unweighted: nations and their regions."""
+    return Graph.from_edges(table(spark, folder, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b")).distinct()).stored()
+
+
+GRAPHS = {"cs": customer_supplier, "nat": nations, "reg": regions}
 GRAPH_SQL = {
     "cs": """pairs AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 edges AS MATERIALIZED (SELECT a AS src, b AS dst, 1.0::DOUBLE AS w FROM pairs UNION ALL SELECT b, a, 1.0::DOUBLE FROM pairs),
+nodes AS MATERIALIZED (SELECT DISTINCT src AS id FROM edges)""",
+    "reg": """pairs AS MATERIALIZED (SELECT DISTINCT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation),
+edges AS MATERIALIZED (SELECT a AS src, b AS dst, 1.0::DOUBLE AS w FROM pairs UNION ALL SELECT b, a, 1.0::DOUBLE FROM pairs),
 nodes AS MATERIALIZED (SELECT DISTINCT src AS id FROM edges)""",
     "nat": """edges AS MATERIALIZED (SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, count(*)::DOUBLE AS w
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),

@@ -20,9 +20,30 @@ class Ranker:
     a quotient. ``a & b`` adds outputs and ``~a`` negates. Operands are never changed.
     """
 
+    #: Names of further options of rank().
+    inputs: tuple[str, ...] = ()
+
     def rank(self, graph: Graph, signal: Any = None, **more: Any) -> Signal:
         raise NotImplementedError
 
+    def known(self) -> set[str]:
+        """Options that rank() or that of any ranker inside takes."""
+        out = set(self.inputs)
+        for v in vars(self).values():
+            for part in v if isinstance(v, (list, tuple)) else [v]:
+                if isinstance(part, Ranker):
+                    out |= part.known()
+        return out
+
+    def checked(self, more: dict[str, Any]) -> None:
+        """Raise for options that nothing in the plan takes."""
+        if unknown := sorted(set(more) - self.known()):
+            raise TypeError(f"{type(self).__name__} takes no {', '.join(unknown)}")
+
+    def passed(self, graph: Graph, signal: Any, more: dict[str, Any]) -> Signal:
+        """rank() with those of the options that it takes."""
+        return self.rank(graph, signal, **{k: v for k, v in more.items() if k in self.known()})
+
     def __call__(self, graph: Graph, signal: Any = None, **more: Any) -> Signal:
         return self.rank(graph, signal, **more)
 
@@ -55,7 +76,10 @@ class Ranker:
         return " ".join([type(self).__name__, *(f"{k}={v}" for k, v in sorted(vars(self).items()) if isinstance(v, (int, float, str)) and not k.startswith("_"))])
 
     def propagate(self, graph: Graph, features: DataFrame) -> DataFrame:
-        """Each value column of features (id, ...) ranked by itself."""
+        """Each value column of features (id, ...) ranked by itself; all move in one state where the ranker can do so."""
+        if (many := getattr(self, "ranks_many", None)) and many():
+            whole = graph.nodes.join(features, "id", "left")
+            return self.rank_many(graph, whole.fillna(0.0, [c for c in whole.columns if c != "id"]))
         out = graph.nodes
         for c in (c for c in features.columns if c != "id"):
             got = self.rank(graph, Signal.of(graph, features.select("id", features[c].alias("value"))))
@@ -70,8 +94,9 @@ class Chain(Ranker):
         self.steps = steps
 
     def rank(self, graph, signal=None, **more):
+        self.checked(more)
         for s in self.steps:
-            signal = s.rank(graph, signal, **more)
+            signal = s.passed(graph, signal, more)
             graph = signal.graph
         return signal
 
@@ -84,7 +109,8 @@ class Add(Ranker):
         self.parts = parts
 
     def rank(self, graph, signal=None, **more):
-        first, *rest = (p.rank(graph, signal, **more) for p in self.parts)
+        self.checked(more)
+        first, *rest = (p.passed(graph, signal, more) for p in self.parts)
         for r in rest:
             first = first + r
         return first
@@ -98,7 +124,8 @@ class Neg(Ranker):
         self.base = base
 
     def rank(self, graph, signal=None, **more):
-        return -self.base.rank(graph, signal, **more)
+        self.checked(more)
+        return -self.base.passed(graph, signal, more)
 
     def describe(self):
         return f"minus ({self.base.describe()})"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from diffusio.functions.measures import Conductance, similarities
@@ -22,9 +20,15 @@ def detect_community(graph: Graph, ranker: Ranker, seeds: Signal, tol: float = 0
 
 
 def group_scores(graph: Graph, ranker: Ranker, groups: DataFrame) -> DataFrame:
-    """group_id, id, value: a run for each of a few groups (group_id, id)."""
+    """group_id, id, value for each of a few groups (group_id, id): one run for all where the ranker can do so, else one each."""
     out: DataFrame | None = None
-    for row in groups.select("group_id").distinct().orderBy("group_id").collect():
+    names = groups.select("group_id").distinct().orderBy("group_id").collect()
+    if (many := getattr(ranker, "ranks_many", None)) and many():
+        members = groups.join(graph.nodes, "id", "left_semi").groupBy("id").agg(*[F.max((F.col("group_id") == r[0]).cast("double")).alias(f"g{i}") for i, r in enumerate(names)])
+        found = ranker.rank_many(graph, graph.nodes.join(members, "id", "left").fillna(0.0))
+        rows = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("group_id"), F.col(f"g{i}").alias("value")) for i, r in enumerate(names)])).alias("v")
+        return found.select("id", rows).select("v.group_id", "id", "v.value")
+    for row in names:
         chosen = groups.where(F.col("group_id") == row[0]).select("id").join(graph.nodes, "id", "left_semi")
         one = ranker.rank(graph, Signal.of(graph, chosen)).df.select(F.lit(row[0]).alias("group_id"), "id", "value")
         out = one if out is None else out.unionByName(one)

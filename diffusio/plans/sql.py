@@ -28,7 +28,7 @@ def adjacency(graph: str, kind: str, loops: float = 0.0) -> str:
 
 def diffusion(
     graph: str, kind: str, steps: int, formula: Callable[[int], str], *, quotient: bool = True, columns: dict[str, str] | None = None, tables: str = "", join: tuple[str, ...] = (), moved: str = "r",
-    seed: str = SEED_SQL, start: str | None = None, follow: Callable[[int], dict[str, str]] | None = None, end: str = "r", loops: float = 0.0, name: str = "scores", m: str = "m", prefix: str = "s", head: str | None = None,
+    seed: str = SEED_SQL, start: str | None = None, follow: Callable[[int], dict[str, str]] | None = None, end: str = "r", loops: float = 0.0, name: str = "scores", m: str = "m", prefix: str = "s", head: str | None = None, nodes: str = "nodes",
 ) -> str:
     """A chain whose last table (id, value) has a filter's scores.
 
@@ -40,7 +40,7 @@ def diffusion(
     names = "".join(f", {c}" for c in columns)
     first = "".join(f", {v} AS {c}" for c, v in columns.items())
     s = prefix
-    out = [head, f"{s}q AS MATERIALIZED (SELECT id, {seed} AS v FROM nodes)", f"{s}n AS MATERIALIZED (SELECT sum(abs(v)) AS norm FROM {s}q)"]
+    out = [head, f"{s}q AS MATERIALIZED (SELECT id, {seed} AS v FROM {nodes})", f"{s}n AS MATERIALIZED (SELECT sum(abs(v)) AS norm FROM {s}q)"]
     if tables:
         out.append(tables)
     joined = "".join(f" JOIN {t} USING (id)" for t in join)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.functions.measures import AUC, Cos, Measure, of_columns
 from diffusio.graph import Graph, Signal
-from diffusio.operators.filters import GenericFilter, HeatKernel, PageRank, lanczos
+from diffusio.operators.filters import GenericFilter, HeatKernel, PageRank, arnoldi
 from diffusio.operators.normalize import Normalization
 from diffusio.operators.postprocess import Normalize, Tautology
 from diffusio.plans.optimize import optimize
@@ -39,7 +39,7 @@ class Tuner(Ranker):
 
     def rank(self, graph, signal=None, **more):
         ranker, p = self.tune(graph, signal, **more)
-        return ranker.rank(graph, p, **more)
+        return ranker.passed(graph, p, more)
 
 
 class Selection(Tuner):
@@ -56,7 +56,7 @@ class Selection(Tuner):
             training, validation = halves(p, share, self.seed)
             measure = self.measure(validation, exclude=training)
             for i, r in enumerate(self.rankers):
-                worst[i] = min(worst[i], measure.direction * measure(r.rank(graph, training, **more).stored()))
+                worst[i] = min(worst[i], measure.direction * measure(r.passed(graph, training, more).stored()))
         return self.rankers[int(np.argmax(worst))], p
 
 
@@ -65,9 +65,11 @@ class ParameterTuner(Tuner):
 
     By default make gives hop weights (the first is 1). Their hops are propagated once for
     each fold and kept as columns; each candidate is then one linear combination.
+    combined: rank with all seeds in the end, not with those of the last fold's training alone.
     """
 
-    def __init__(self, make: Callable[[list[float]], Ranker] | None = None, highest: Sequence[float] = (1.0,) * 40, lowest: Sequence[float] | None = None, measure: Callable[..., Measure] = AUC, training: float = 0.9, folds: int = 1, optimizer: Callable = optimize, normalization: Normalization | str = "auto", seed: int = 0, **options: Any):
+    def __init__(self, make: Callable[[list[float]], Ranker] | None = None, highest: Sequence[float] = (1.0,) * 40, lowest: Sequence[float] | None = None, measure: Callable[..., Measure] = AUC, training: float = 0.9, folds: int = 1, optimizer: Callable = optimize, normalization: Normalization | str = "auto", seed: int = 0, combined: bool = True, **options: Any):
+        self.combined = combined
         self.make, self.highest, self.lowest = make, list(highest), lowest
         self.measure, self.training, self.folds, self.optimizer, self.normalization, self.seed = measure, training, folds, optimizer, normalization, seed
         self.options = {"deviation_tol": 1e-6, **options}
@@ -79,18 +81,18 @@ class ParameterTuner(Tuner):
             training, validation = halves(p, self.training, self.seed + fold)
             measure = self.measure(validation, exclude=training)
             if self.make is None:
-                hops = GenericFilter(normalization=self.normalization).hop_columns(graph, training, len(self.highest) + 1).cache()
-                rows = measure.rows(hops.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(hops, "id").cache()
+                hops = GenericFilter(normalization=self.normalization).hop_columns(graph, training, len(self.highest) + 1)
+                rows = written(measure.rows(hops.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(hops, "id"), "hops")
                 loss = lambda w, rows=rows, m=measure: -m.direction * float(m.of(rows.select("id", "y", _mixed([1.0, *w]).alias("x"))).first()[0] or 0.0)
             else:
-                loss = lambda w, t=training, m=measure: -m.direction * m(self.make(w).rank(graph, t, **more).stored())
+                loss = lambda w, t=training, m=measure: -m.direction * m(self.make(w).passed(graph, t, more).stored())
             options = self.options
             if self.make is None and self.optimizer is optimize:
                 options = {"many": lambda ws, rows=rows, m=measure: [-m.direction * v for v in of_columns(m, rows, [_mixed([1.0, *w]) for w in ws])], **options}
             found.append(self.optimizer(loss, self.highest, self.lowest, **options))
         best = [float(x) for x in np.mean(found, axis=0)]
         ranker = self.make(best) if self.make else GenericFilter([1.0, *best], normalization=self.normalization, error="iters", max_iters=len(best) + 2) >> Normalize()
-        return ranker, p
+        return ranker, p if self.combined else training
 
 
 def _mixed(weights: Sequence[float]) -> Column:
@@ -98,41 +100,58 @@ def _mixed(weights: Sequence[float]) -> Column:
 
 
 class HopTuner(Tuner):
-    """Each hop's weight is how well it alone predicts the other half of seeds, averaged over both halves.
+    """A hop's weight is how well it alone, from one half of the training seeds, predicts the seeds kept apart.
 
     basis: hops themselves ("krylov") or an orthonormal basis of them ("arnoldi").
-    smooth: of each weight, the mean with that many after it.
+    autoregression: each hop's measures are replaced by what so many later ones predict, with
+    one set of coefficients that is fitted by least squares.
+    offset: a measure; the number from 0 to 1 that added to all weights gives most of it.
     """
 
-    def __init__(self, measure: Callable[..., Measure] = Cos, hops: int = 20, basis: str = "krylov", smooth: int = 0, normalization: Normalization | str = "auto", seed: int = 0):
+    def __init__(self, measure: Callable[..., Measure] = Cos, hops: int = 20, basis: str = "krylov", autoregression: int = 0, offset: Callable[..., Measure] | None = None, normalization: Normalization | str = "auto", seed: int = 0):
         if basis not in ("krylov", "arnoldi"):
             raise ValueError(f"no basis {basis}")
-        self.measure, self.hops, self.basis, self.smooth, self.normalization, self.seed = measure, hops, basis, smooth, normalization, seed
+        self.measure, self.hops, self.basis, self.autoregression, self.offset, self.normalization, self.seed = measure, hops, basis, autoregression, offset, normalization, seed
 
     def _columns(self, graph: Graph, signal: Signal) -> DataFrame:
+        """id, h0, h1, ...: the signal's terms in the basis."""
+        n_terms = self.hops + self.autoregression
         if self.basis == "krylov":
-            return GenericFilter(normalization=self.normalization).hop_columns(graph, signal, self.hops)
+            return GenericFilter(normalization=self.normalization).hop_columns(graph, signal, n_terms)
         n = self.normalization if isinstance(self.normalization, Normalization) else Normalization(self.normalization)
-        base, _ = lanczos(n.edges(graph), signal.df.withColumnRenamed("value", "v0"), self.hops)
+        base, _ = arnoldi(n.edges(graph), signal.df.withColumnRenamed("value", "v0"), n_terms)
         return base.select("id", *[F.col(c).alias(f"h{c[1:]}") for c in base.columns if c != "id"])
 
     def tune(self, graph, signal=None, **more):
         p = Signal.of(graph, signal).stored()
-        a, b = halves(p, 0.5, self.seed)
+        training, validation = halves(p, 0.8, self.seed)
         values = []
-        for training, validation in ((a, b), (b, a)):
-            columns = self._columns(graph, training)
-            m = self.measure(validation, exclude=training)
-            rows = m.rows(columns.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(columns, "id")
-            names = [c for c in columns.columns if c != "id"]
-            rows = written(rows, "hops")
-            values.append(of_columns(m, rows, [F.col(c) for c in names]))
-        weights = np.mean(values, axis=0)
-        if self.smooth:
-            weights = np.array([weights[i : i + self.smooth + 1].mean() for i in range(len(weights))])
+        for part in halves(training, 0.5, self.seed + 1):
+            columns = self._columns(graph, part)
+            values.append(self._measured(self.measure(validation, exclude=part), columns, [F.col(c) for c in columns.columns if c != "id"]))
+        weights = _smoothed(np.array(values).T, self.autoregression)[: self.hops]
+        if self.offset is not None:
+            top, columns, m = max(weights) or 1.0, self._columns(graph, training), self.offset(validation, exclude=training)
+            weights = weights / top
+            added = lambda ts: [-m.direction * v for v in self._measured(m, columns, [_mixed(weights + t[0]) for t in ts])]
+            weights = weights + optimize(lambda t: added([t])[0], [1.0], [0.0], deviation_tol=0.005, parameter_tol=1.0, divide_range=1.1, many=added)[0]
         if np.abs(weights).sum():
             weights = weights / np.abs(weights).mean()
         if self.basis == "krylov":
             return GenericFilter(list(weights), normalization=self.normalization, error="iters", max_iters=len(weights) + 1), p
-        value = _mixed(weights)
-        return Tautology(), Signal(graph, self._columns(graph, p).select("id", value.alias("value")))
+        return Tautology(), Signal(graph, self._columns(graph, p).select("id", _mixed(weights).alias("value")))
+
+    def _measured(self, m: Measure, columns: DataFrame, scores: list[Column]) -> list[float]:
+        rows = written(m.rows(columns.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(columns, "id"), "hops")
+        return of_columns(m, rows, scores)
+
+
+def _smoothed(values: np.ndarray, lag: int) -> np.ndarray:
+    """The mean of measures (hop, part) over parts, after each is predicted by the lag ones after it, if there are any."""
+    mean = values.mean(axis=0)
+    off = values - mean
+    if lag and len(off) > lag + 1:
+        later = np.stack([off[1 + j : len(off) - lag + 1 + j] for j in range(lag)], axis=-1)  # hop, part, lag
+        window = np.linalg.lstsq(later.reshape(-1, lag), off[: len(off) - lag].reshape(-1), rcond=None)[0]
+        off = np.concatenate([later @ window, off[len(off) - lag :]])
+    return off.mean(axis=1) + mean.mean()

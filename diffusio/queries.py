@@ -50,8 +50,8 @@ add("symmetrize", on("cs", lambda g: g.edges), f"{CS} SELECT src, dst, w FROM ed
 add("neighbors", on("nat", lambda g: g.neighbors()), f"{NAT} SELECT DISTINCT src AS id, dst AS neighbor FROM edges")
 add(
     "has_edge",
-    on("cs", lambda g: g.has_edges(g.nodes.where((F.substring("id", 1, 1) == "c") & (key() < 40)).select(F.col("id").alias("src")).withColumn("dst", F.explode(F.array(*[F.lit(f"s{i}") for i in range(1, 9)]))))),
-    f"{CS} SELECT a.id AS src, b.dst, e.src IS NOT NULL AS has_edge FROM nodes a JOIN (SELECT 's' || i AS dst FROM range(1, 9) t(i)) b ON true LEFT JOIN edges e ON e.src = a.id AND e.dst = b.dst WHERE substr(a.id, 1, 1) = 'c' AND CAST(substr(a.id, 2) AS BIGINT) < 40",
+    on("reg", lambda g: g.has_edges(g.nodes.select(F.col("id").alias("src")).crossJoin(g.nodes.select(F.col("id").alias("dst"))))),  # 30 nodes, whatever the scale
+    f"WITH {GRAPH_SQL['reg']} SELECT a.id AS src, b.id AS dst, e.src IS NOT NULL AS has_edge FROM nodes a JOIN nodes b ON true LEFT JOIN edges e ON e.src = a.id AND e.dst = b.id",
 )
 add("edge_weights_sum", on("nat", lambda g: g.edges.groupBy("src").agg(F.sum("w").alias("w"))), f"{NAT} SELECT src, sum(w) AS w FROM edges GROUP BY src")
 add("graph_counts", on("cs", lambda g: g.nodes.agg(F.count("id").alias("n_nodes")).join(g.edges.agg((F.count("src") / 2).cast("long").alias("n_edges")), F.lit(True))), f"{CS} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT CAST(count(*) / 2 AS BIGINT) FROM edges) AS n_edges")
@@ -63,7 +63,7 @@ add(
     lambda spark, folder: GRAPHS["nat"](spark, folder).remove_intra_edges(table(spark, folder, "nation").select(F.col("n_regionkey").alias("group_id"), F.concat(F.lit("n"), "n_nationkey").alias("id"))).edges,
     f"{NAT} SELECT src, dst, w FROM edges JOIN nation a ON src = 'n' || a.n_nationkey JOIN nation b ON dst = 'n' || b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey",
 )
-add("two_hop", on("nat", lambda g: Graph(g.edges.where(key("dst") % 7 == key("src") % 5), True).hops(2)), f"{NAT}, e AS (SELECT DISTINCT src, dst FROM edges WHERE CAST(substr(dst, 2) AS BIGINT) % 7 = CAST(substr(src, 2) AS BIGINT) % 5) SELECT src, dst FROM e WHERE src <> dst UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst")
+add("two_hop", on("reg", lambda g: g.hops(2)), f"WITH {GRAPH_SQL['reg']} SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst")
 
 
 def _all_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _all_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return c.crossJoin(table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("dst")))
 
 
-# Whole tables and graphs: has_edge and two_hop above are thinned by ids, as their fixed SQL is.
+# The same on the customers and suppliers.
 add(
     "has_edge_whole",
     lambda spark, folder: GRAPHS["cs"](spark, folder).has_edges(_all_pairs(spark, folder)),
@@ -141,8 +141,9 @@ add(
     S.shown(S.diffusion("cs", "symmetric", 4, lambda k: f"r + {_W[k - 1]!r}::DOUBLE * t", quotient=False, columns={"t": "p", "b": "0.0::DOUBLE"}, moved="t", start="0.0::DOUBLE", follow=lambda k: {"t": "x" if k < 2 else "2 * x - t", "b": "t"})),
 )
 add("warm_start_k", ranked("cs", lambda: O.PageRank(0.85, **steps(3)), warm_start=lambda g: Signal(g, g.nodes.withColumn("value", F.lit(0.001)))), S.shown(S.pagerank(start="0.001::DOUBLE")))
-add("eigenvector_k", ranked("cs", lambda: O.PageRank(0.85, eigenvectors=True, **steps(3))), None)
-add("personalized_filter_k", ranked("cs", lambda: O.PageRank(0.85, **steps(2)) >> O.HeatKernel(3, **steps(2))), None)
+add("eigenvector_k", ranked("cs", lambda: O.PageRank(0.85, eigenvectors=True, **steps(3))), S.shown(S.diffusion("cs", "symmetric", 3, lambda k: "0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * r")))
+_FIRST = S.pagerank(steps=2, name="one", prefix="a")
+add("personalized_filter_k", ranked("cs", lambda: O.PageRank(0.85, **steps(2)) >> O.HeatKernel(3, **steps(2))), S.shown(S.closed("cs", "symmetric", O.HeatKernel(3).coefficients(2), seed="(SELECT value FROM one WHERE one.id = nodes.id)", head=_FIRST)))
 add("custom_filter_k", ranked("cs", lambda: O.CustomFilter(lambda k: 0.5 * F.col("r_in") + 0.25 * F.col("r") + 0.25 * F.col("p"), quotient=False, **steps(3))), S.shown(S.diffusion("cs", "symmetric", 3, lambda k: "0.5::DOUBLE * x + 0.25::DOUBLE * r + 0.25::DOUBLE * p", quotient=False)))
 add("pagerank_laplacian_k", ranked("nat", lambda: O.PageRank(0.5, quotient=False, normalization="laplacian", **steps(3))), S.shown(S.pagerank("nat", "laplacian", 3, 0.5, quotient=False)))
 
@@ -157,7 +158,29 @@ def _propagate(spark: SparkSession, folder: str) -> DataFrame:
 _F1 = S.diffusion("nat", "col", 2, lambda k: "0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * p", quotient=False, seed=f"({KEY_SQL} % 3)::DOUBLE", name="one", prefix="a")
 _F2 = S.diffusion("nat", "col", 2, lambda k: "0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * p", quotient=False, seed=f"({KEY_SQL} % 4)::DOUBLE", name="two", prefix="b", head=_F1)
 add("propagate_features_k", _propagate, f"{_F2} SELECT id, {S.ROUND.format('one.value')} AS f0, {S.ROUND.format('two.value')} AS f1 FROM one JOIN two USING (id)")
-add("lfpr_k", ranked("cs", lambda: O.FairPageRank(0.85, fix_personalization=False, quotient=False, **steps(3)), sensitive=sensitive), None)
+
+
+def _fair_sql(base: str, head: str) -> str:
+    """Locally fair PageRank of three steps after a head with raw edges; base is what is redistributed by, of n (id, v)."""
+    tables = f"""sens AS MATERIALIZED (SELECT id, {SENSITIVE_SQL} AS s FROM nodes), phi AS MATERIALIZED (SELECT sum(s) / count(*) AS phi FROM sens),
+flow AS MATERIALIZED (SELECT dst AS id, sum(w * s) AS red, sum(w * (1 - s)) AS blue FROM raw JOIN sens ON src = id GROUP BY dst),
+kinds AS MATERIALIZED (SELECT id, s, coalesce(red, 0) AS red, coalesce(blue, 0) AS blue, phi, coalesce(red, 0) < phi * (coalesce(red, 0) + coalesce(blue, 0)) AS low, {base} AS v FROM sens LEFT JOIN flow USING (id), phi),
+fair AS MATERIALIZED (SELECT id,
+  CASE WHEN low THEN (CASE WHEN blue = 0 THEN 0 ELSE (1 - phi) / blue END) WHEN red <> 0 THEN phi / red ELSE 1.0::DOUBLE END AS scale,
+  CASE WHEN low THEN phi - (CASE WHEN blue = 0 THEN 0 ELSE (1 - phi) * (red / blue) END) WHEN red = 0 THEN phi ELSE 0.0::DOUBLE END AS dr0,
+  CASE WHEN low THEN 0.0::DOUBLE WHEN red <> 0 THEN (1 - phi) - phi * (blue / red) ELSE 1 - phi END AS db0,
+  s * v / (SELECT sum(s * v) FROM kinds) AS xr0, (1 - s) * v / (SELECT sum((1 - s) * v) FROM kinds) AS xb0 FROM kinds),
+fm AS MATERIALIZED (SELECT src, dst, w * scale AS w FROM raw JOIN fair ON src = id)"""
+    sums = lambda k: f"(SELECT sum(r * dr) FROM f{k - 1}) * xr + (SELECT sum(r * db) FROM f{k - 1}) * xb"
+    return S.diffusion("cs", "none", 3, lambda k: f"0.85::DOUBLE * (x + {sums(k)}) + 0.15000000000000002::DOUBLE * p", quotient=False, tables=tables, join=("fair",), columns={"dr": "dr0", "db": "db0", "xr": "xr0", "xb": "xb0"}, m="fm", prefix="f", end="r - 0.15000000000000002::DOUBLE * p", head=head)
+
+
+add("lfpr_k", ranked("cs", lambda: O.FairPageRank(0.85, quotient=False, **steps(3)), sensitive=sensitive), S.shown(_fair_sql("1.0::DOUBLE", S.adjacency("cs", "none"))))
+add(
+    "lfpr_original_k",
+    ranked("cs", lambda: O.FairPageRank(0.85, redistributor="original", quotient=False, **steps(3)), sensitive=sensitive),
+    S.shown(_fair_sql("(SELECT value FROM one WHERE one.id = sens.id)", S.pagerank("cs", "col", 3, name="one", prefix="a"))),
+)
 
 # ---- filters that stop by themselves ----------------------------------------------------
 
@@ -405,7 +428,7 @@ def _group_scores(g: Graph, scale: float = 7.0) -> DataFrame:
 
 
 _SIM = f"""WITH {GRAPH_SQL['nat']}, gs AS MATERIALIZED (SELECT i AS group_id, id, (({KEY_SQL} * (i + 3)) % 7) / 7.0::DOUBLE AS value FROM nodes, range(0, 4) t(i)),
-nb AS MATERIALIZED (SELECT DISTINCT src AS id, dst AS n FROM edges WHERE CAST(substr(dst, 2) AS BIGINT) % 7 <= 3),
+nb AS MATERIALIZED (SELECT DISTINCT src AS id, dst AS n FROM edges),
 dots AS MATERIALIZED (SELECT a.id AS u, b.id AS v, sum(a.value * b.value) AS d, sqrt(sum(a.value * a.value) * sum(b.value * b.value)) AS n FROM gs a JOIN gs b USING (group_id) GROUP BY 1, 2)"""
 
 
@@ -416,14 +439,18 @@ nb AS MATERIALIZED (SELECT DISTINCT src AS id, dst AS n FROM edges),
 dots AS MATERIALIZED (SELECT a.id AS u, b.id AS v, sum(a.value * b.value) AS d, sqrt(sum(a.value * a.value) * sum(b.value * b.value)) AS n FROM gs a JOIN gs b USING (group_id) GROUP BY 1, 2)"""
 
 
-def _thin(g: Graph) -> Graph:
-    return Graph(g.edges.where(key("dst") % 7 <= 3), True, g.nodes)
+def _closed(g: Graph) -> Graph:
+    """A graph with its two-step pairs as edges, which closes triangles."""
+    return Graph(g.hops(2).withColumn("w", F.lit(1.0)), True, g.nodes)
+
+
+_CLOSED = _sim_whole("reg", 7.0).replace("(SELECT DISTINCT src AS id, dst AS n FROM edges)", "(SELECT src AS id, dst AS n FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst)")
 
 
 add(
     "measure_clustering_coefficient",
-    on("nat", lambda g: M.ClusteringCoefficient(_thin(g)).frame(_group_scores(g)).select(rounded("value").alias("value"))),
-    f"{_SIM}, wedge AS (SELECT a.n AS u, b.n AS v FROM nb a JOIN nb b ON a.id = b.id) SELECT {S.ROUND.format('sum(CASE WHEN dots.n = 0 THEN 0 ELSE d / dots.n END) / count(l.id)')} AS value FROM wedge JOIN dots USING (u, v) LEFT JOIN nb l ON l.id = wedge.u AND l.n = wedge.v",
+    on("reg", lambda g: M.ClusteringCoefficient(_closed(g)).frame(_group_scores(g)).select(rounded("value").alias("value"))),
+    f"{_CLOSED}, wedge AS (SELECT a.n AS u, b.n AS v FROM nb a JOIN nb b ON a.id = b.id) SELECT {S.ROUND.format('sum(CASE WHEN dots.n = 0 THEN 0 ELSE d / dots.n END) / count(l.id)')} AS value FROM wedge JOIN dots USING (u, v) LEFT JOIN nb l ON l.id = wedge.u AND l.n = wedge.v",
 )
 add(
     "measure_clustering_whole",
@@ -460,7 +487,7 @@ def _multi_un(spark: SparkSession, folder: str) -> DataFrame:
 add("measure_multi_unsupervised", _multi_un, f"{_SIM}, e AS (SELECT a.group_id, sum(w * a.value * b.value) AS i FROM edges JOIN gs a ON src = a.id JOIN gs b ON dst = b.id AND a.group_id = b.group_id GROUP BY 1), n AS (SELECT group_id, sum(value) * sum(value) - sum(value * value) AS n FROM gs GROUP BY 1) SELECT {S.ROUND.format('avg(i / n)')} AS value FROM e JOIN n USING (group_id) WHERE group_id < 3")
 add(
     "split_groups",
-    lambda spark, folder: M.split(communities(spark, folder), 0.5)[0].groupBy("group_id").agg(F.count("id").alias("n")),
+    lambda spark, folder: M.split(communities(spark, folder), 0.5)[0].groupBy("group_id").agg(F.count("id").alias("n")),  # which members is by hash, which SQL engines don't share
     f"WITH {COMMUNITIES_SQL} SELECT group_id, CAST(floor(count(*) * 0.5) AS BIGINT) AS n FROM groups GROUP BY 1",
 )
 add("backend_conv", on("nat", lambda g: conv(g.edges, g.nodes.withColumn("value", (key() % 3).cast("double")), "value").select("id", rounded("value").alias("value"))), f"{NAT} SELECT dst AS id, {S.ROUND.format('sum(w * (CAST(substr(src, 2) AS BIGINT) % 3))')} AS value FROM edges GROUP BY dst")
@@ -478,12 +505,31 @@ add("parameter_tuner", ranked("cs", lambda: T.ParameterTuner(measure=M.Cos, trai
 add("hop_tuner", ranked("cs", lambda: T.HopTuner()))
 
 
-def _results(spark: SparkSession) -> DataFrame:
-    rows = [(f"d{i}", 0.5, 0, a, "auc", ((i * 7 + k * 3) % 5) / 5.0) for i in range(6) for k, a in enumerate("xyz")]
-    return spark.createDataFrame(rows, "dataset string, share double, seed int, algorithm string, measure string, value double")
+def _results(spark: SparkSession, folder: str) -> DataFrame:
+    """Three filters on two graphs, with all seeds known: share 1, so that SQL can follow."""
+    graphs = {n: GRAPHS[n](spark, folder) for n in ("nat", "reg")}
+    kinds = {"HK": O.HeatKernel(3, **steps(2)), "PPR": O.PageRank(0.85, **steps(2)), "low": O.LowPass(_W, **steps(2))}
+    return B.benchmark(spark, kinds, [(n, g, settled(seeds(g)).df) for n, g in graphs.items()], {"cos": M.Cos}, shares=(1,)).withColumn("value", rounded("value"))
+
 
+def _results_sql() -> str:
+    """results (dataset, algorithm, value) of the same runs."""
+    chains, rows = [], []
+    for n, kind in (("nat", "col"), ("reg", "symmetric")):
+        runs = {
+            "HK": lambda **o: S.closed(n, kind, O.HeatKernel(3).coefficients(2), **o),  # noqa: B023
+            "PPR": lambda **o: S.pagerank(n, kind, 2, **o),  # noqa: B023
+            "low": lambda **o: S.diffusion(n, kind, 2, lambda k: f"{_W[k - 1]!r}::DOUBLE * x + {1 - _W[k - 1]!r}::DOUBLE * p", **o),  # noqa: B023
+        }
+        head = S.adjacency(n, kind).removeprefix("WITH ")
+        for i, (a, run) in enumerate(runs.items()):
+            head = run(head=head, name=f"r{i}", prefix=f"q{i}_")
+            rows.append(f"SELECT '{n}' AS dataset, '{a}' AS algorithm, {S.ROUND.format('sum(value * y) / sqrt(sum(value * value) * sum(y * y))')} AS value FROM r{i} JOIN seen USING (id)")
+        chains.append(f"SELECT * FROM (WITH {head}, seen AS (SELECT id, {SEED_SQL} AS y FROM nodes) {' UNION ALL '.join(rows[-3:])})")
+    return f"WITH results AS ({' UNION ALL '.join(chains)})"
 
-_RESULTS = "WITH results AS (SELECT 'd' || i AS dataset, substr('xyz', k + 1, 1) AS algorithm, ((i * 7 + k * 3) % 5) / 5.0::DOUBLE AS value FROM range(0, 6) t(i), range(0, 3) u(k))"
+
+_RESULTS = _results_sql()
 
 
 def _benchmark(spark: SparkSession, folder: str) -> DataFrame:
@@ -492,14 +538,14 @@ def _benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 
 add("benchmark_table", _benchmark)
-add("benchmark_ranks", lambda spark, folder: B.ranks(_results(spark)).select("dataset", "algorithm", "value"), f"{_RESULTS} SELECT dataset, algorithm, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0::DOUBLE AS value FROM results")
-add("benchmark_average", lambda spark, folder: B.average(_results(spark)).select("dataset", "algorithm", rounded("value").alias("value")), f"{_RESULTS} SELECT dataset, algorithm, value FROM results UNION ALL SELECT 'Average', algorithm, {S.ROUND.format('avg(value)')} FROM results GROUP BY algorithm")
+add("benchmark_ranks", lambda spark, folder: B.ranks(_results(spark, folder)).select("dataset", "algorithm", "value"), f"{_RESULTS} SELECT dataset, algorithm, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0::DOUBLE AS value FROM results")
+add("benchmark_average", lambda spark, folder: B.average(_results(spark, folder)).select("dataset", "algorithm", rounded("value").alias("value")), f"{_RESULTS} SELECT dataset, algorithm, value FROM results UNION ALL SELECT 'Average', algorithm, {S.ROUND.format('avg(value)')} FROM results GROUP BY algorithm")
 add("community_partition", on("nat", lambda g: R.partition(_group_scores(g)).select("id", F.col("group_id").cast("long").alias("group_id"))), f"{_SIM} SELECT id, min(group_id) AS group_id FROM (SELECT *, max(value) OVER (PARTITION BY id) AS top FROM gs) WHERE value = top GROUP BY id")
 add("community_detect", on("nat", lambda g: shown(R.detect_community(g, O.PageRank(0.85, **steps(3)), seeds(g), 0.1))))
 add(
     "link_predict_topk",
-    on("nat", lambda g: R.predict_links(_thin(g), _group_scores(g), 3, "dot").select("src", "dst", rounded("similarity").alias("similarity"))),
-    f"{_SIM}, far AS (SELECT DISTINCT a.id AS u, b.n AS v FROM nb a JOIN nb b ON a.n = b.id WHERE a.id <> b.n AND NOT EXISTS (SELECT 1 FROM nb c WHERE c.id = a.id AND c.n = b.n)), r AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d DESC, v) AS k FROM far JOIN dots USING (u, v)) SELECT u AS src, v AS dst, {S.ROUND.format('d')} AS similarity FROM r WHERE k <= 3",
+    on("reg", lambda g: R.predict_links(g, _group_scores(g, 8.0), 3, "dot").select("src", "dst", rounded("similarity").alias("similarity"))),
+    f"{_sim_whole('reg', 8.0)}, far AS (SELECT DISTINCT a.id AS u, b.n AS v FROM nb a JOIN nb b ON a.n = b.id WHERE a.id <> b.n AND NOT EXISTS (SELECT 1 FROM nb c WHERE c.id = a.id AND c.n = b.n)), r AS (SELECT u, v, d, row_number() OVER (PARTITION BY u ORDER BY d DESC, v) AS k FROM far JOIN dots USING (u, v)) SELECT u AS src, v AS dst, {S.ROUND.format('d')} AS similarity FROM r WHERE k <= 3",
 )
 add(
     "link_predict_whole",
@@ -512,22 +558,114 @@ def _embedded(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("features"), F.col("label").cast("long").alias("label"))
 
 
-add("feature_normalize", lambda spark, folder: L.normalized_features(_embedded(spark, folder)).select("id", (F.floor(F.aggregate("features", F.lit(0.0), lambda a, x: a + x) * 1e6 + 0.5) / 1e6).alias("total")), "SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total FROM embeddings")
-add("labels_to_groups", lambda spark, folder: L.groups_of(_embedded(spark, folder)).groupBy("group_id").agg(F.count("id").alias("n")), "SELECT CAST(label AS BIGINT) AS group_id, count(*) AS n FROM embeddings GROUP BY 1")
-add("features_to_groups", lambda spark, folder: L.features_to_groups(_embedded(spark, folder)).groupBy("group_id").agg(F.count("id").alias("n")).select(F.col("group_id").cast("long").alias("group_id"), "n"), "SELECT CAST(i - 1 AS BIGINT) AS group_id, count(*) AS n FROM (SELECT embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] <> 0 GROUP BY 1")
+_CELLS = "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(unnest(range(0, len(embedding))) AS BIGINT) AS place, unnest(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS x, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS total FROM embeddings"
+
+
+def _cells(features: DataFrame) -> DataFrame:
+    return features.select("id", F.posexplode("features").alias("place", "v")).select("id", F.col("place").cast("long").alias("place"), (F.floor(F.col("v") * 1e6 + 0.5) / 1e6).alias("v"))
+
+
+add("feature_normalize", lambda spark, folder: _cells(L.normalized_features(_embedded(spark, folder))), f"SELECT id, place, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE floor(x / total * 1e6 + 0.5) / 1e6 END AS v FROM ({_CELLS})")
+add("labels_to_groups", lambda spark, folder: L.groups_of(_embedded(spark, folder)), "SELECT DISTINCT CAST(label AS BIGINT) AS group_id, CAST(vec_id AS VARCHAR) AS id FROM embeddings")
+add("features_to_groups", lambda spark, folder: L.features_to_groups(_embedded(spark, folder)).select(F.col("group_id").cast("long").alias("group_id"), "id"), f"SELECT place AS group_id, id FROM ({_CELLS}) WHERE x <> 0")
 add("feature_argmax_accuracy", lambda spark, folder: R.accuracy(R.predictions(_embedded(spark, folder)), _embedded(spark, folder).select("id", "label")).select(rounded("value").alias("value")), f"SELECT {S.ROUND.format('avg(CASE WHEN label = list_position(a, list_max(a)) - 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS value FROM (SELECT label, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings)")
 add("one_hot_labels", lambda spark, folder: L.one_hot(_embedded(spark, folder).select("id", "label")).select("id", (F.array_position("labels", F.lit(1.0)) - 1).cast("long").alias("place"), F.size("labels").cast("long").alias("width")), "SELECT CAST(vec_id AS VARCHAR) AS id, dense_rank() OVER (ORDER BY label) - 1 AS place, (SELECT count(DISTINCT label) FROM embeddings) AS width FROM embeddings")
 
 
+# ---- files: derived tables are written in each format and read again ---------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _nation_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("region"))
+
+
+def _read_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    place = _place(spark, "pairs")
+    L.write_pairs(GRAPHS["cs"](spark, folder).edges, place)
+    return L.read_pairs(spark, place)
+
+
+def _read_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of customers, of which those in the graph of orders are kept; a group's number is its line."""
+    place = _place(spark, "groups")
+    L.write_groups(communities(spark, folder), place)
+    return L.read_groups(spark, place, GRAPHS["cs"](spark, folder).nodes).select(F.col("group_id").cast("long").alias("group_id"), "id")
+
+
+def _read_features(spark: SparkSession, folder: str) -> DataFrame:
+    place = _place(spark, "features")
+    L.write_features(_embedded(spark, folder), place)
+    return _cells(L.normalized_features(L.read_features(spark, place)))
+
+
+def _read_feature_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs, groups and features in one folder: the features of nodes with their groups."""
+    place, names = _place(spark, "dataset"), _nation_names(spark, folder)
+    L.write_pairs(GRAPHS["reg"](spark, folder).edges, f"{place}/pairs.txt")
+    L.write_groups(names.select(F.col("region").alias("group_id"), "id"), f"{place}/groups.txt")
+    L.write_features(names.select("id", F.array(key().cast("double") + 1, key("region").cast("double") + 1).alias("features")), f"{place}/features.txt")
+    _, features, groups = L.read_feature_dataset(spark, place)
+    return _cells(features).join(groups, "id").select("id", "place", "v", F.col("group_id").cast("long").alias("group_id"))
+
+
+def _read_gml(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes with their values, then edges, of one GML file a part."""
+    place, g = _place(spark, "gml"), GRAPHS["reg"](spark, folder)
+    nodes = g.nodes.select(F.format_string('node [\n id %s\n value "%s"\n ]', "id", F.substring("id", 1, 1)).alias("value"))
+    nodes.union(g.edges.select(F.format_string("edge [\n source %s\n target %s\n ]", "src", "dst"))).write.text(place)
+    nodes, edges = L.read_gml(spark, place)
+    return nodes.select(F.col("id").alias("a"), F.col("value").alias("b")).unionByName(edges)
+
+
+def _product_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as products of a region, similar to the next one."""
+    place = _place(spark, "products")
+    rows = _nation_names(spark, folder).select(F.format_string("Id: 1\nASIN: %s\n  group: %s\n  similar: 1  n%d\n\n", "id", "region", (key() + 1) % 25).alias("value"))
+    rows.write.text(place)
+    return L.read_product_records(spark, place)
+
+
+def _read_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with a flag for a positive balance and their segment as a text."""
+    place = _place(spark, "profiles")
+    rows = table(spark, folder, "customer").select(F.concat_ws("\t", F.concat(F.lit("c"), "c_custkey"), F.when(F.col("c_acctbal") > 0, "1").otherwise("0"), F.concat(F.lit("likes "), F.lower("c_mktsegment"), F.lit(" best"))).alias("value"))
+    rows.write.text(place)
+    return L.read_profile_groups(spark, place, {"solvent": 1}, {"building": 2, "machinery": 2})
+
+
+add("read_pairs", _read_pairs, f"{CS} SELECT src AS a, dst AS b FROM edges")
+add("read_groups", _read_groups, f"{CS}, {COMMUNITIES_SQL} SELECT dense_rank() OVER (ORDER BY group_id) - 1 AS group_id, id FROM groups WHERE id IN (SELECT id FROM nodes)")
+add("read_features", _read_features, ORACLE_SQL["feature_normalize"])
+_NATIONS = "SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS region, n_nationkey + 1.0::DOUBLE AS f0, n_regionkey + 1.0::DOUBLE AS f1 FROM nation"
+_LINE = "dense_rank() OVER (ORDER BY region) - 1"
+add("read_feature_dataset", _read_feature_dataset, f"SELECT id, CAST(place AS BIGINT) AS place, floor((CASE WHEN place = 0 THEN f0 ELSE f1 END) / (f0 + f1) * 1e6 + 0.5) / 1e6 AS v, group_id FROM (SELECT *, {_LINE} AS group_id FROM ({_NATIONS})), range(0, 2) t(place)")
+add("read_gml", _read_gml, f"WITH {GRAPH_SQL['reg']} SELECT id AS a, substr(id, 1, 1) AS b FROM nodes UNION ALL SELECT src, dst FROM edges")
+add("read_product_pairs", lambda spark, folder: _product_records(spark, folder)[0], "SELECT 'n' || n_nationkey AS a, 'n' || ((n_nationkey + 1) % 25) AS b FROM nation")
+add("read_product_groups", lambda spark, folder: _product_records(spark, folder)[1], "SELECT 'r' || n_regionkey AS group_id, 'n' || n_nationkey AS id FROM nation")
+add("read_profile_groups", _read_profiles, "SELECT 'solvent' AS group_id, 'c' || c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION ALL SELECT lower(c_mktsegment), 'c' || c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+
+
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges of nations as a stream of files, ranked after each batch."""
-    g = GRAPHS["nat"](spark, folder)
-    place = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
-    g.edges.select("src", "dst").repartition(2).write.parquet(place)
-    ranker = StreamRanker(O.PageRank(0.85, **steps(3)), seeds, directed=True)
-    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(place)
-    ranker.start(stream, f"{place}-state").awaitTermination()
-    return shown(Signal(ranker.graph, ranker.scores))
+    """Edges of nations as a stream of two files (even sources first), ranked after each; then a restart finds no more."""
+    edges, place = GRAPHS["nat"](spark, folder).edges.select("src", "dst"), _place(spark, "pairs")
+    for part in (0, 1):
+        edges.where(key("src") % 2 == part).coalesce(1).write.mode("append").parquet(place)
+    for _ in range(2):
+        ranker = StreamRanker(O.PageRank(0.85, **steps(3)), seeds, directed=True)
+        stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(place)
+        ranker.start(stream, f"{place}-state").awaitTermination()
+    return shown(Signal(ranker.graph(spark), ranker.scores(spark)))
+
+
+def _batch_sql(n: int, where: str) -> str:
+    """Normalized edges m<n> and nodes<n> of the unweighted edges of nations that a condition keeps."""
+    return f"""e{n} AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE {where}), nodes{n} AS MATERIALIZED (SELECT src AS id FROM e{n} UNION SELECT dst FROM e{n}),
+m{n} AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e{n})"""
 
 
-add("edge_stream", _stream)
+_ONE = S.pagerank(m="m1", nodes="nodes1", name="one", prefix="a", head=f"{NAT},\n{_batch_sql(1, 'CAST(substr(src, 2) AS BIGINT) % 2 = 0')},\n{_batch_sql(2, 'true')}")
+add("edge_stream", _stream, S.shown(S.pagerank(m="m2", nodes="nodes2", name="two", head=_ONE, start="coalesce((SELECT value FROM one WHERE one.id = sp.id), 0)"), "two"))

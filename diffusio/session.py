@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -15,12 +17,14 @@ _SHIPPED: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local runs, tests) is a temporary folder made and set.
+    Only where it is unset and the master is local (tests) is a temporary folder made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-diffusio-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -33,11 +37,62 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, so that a lost executor costs tasks of one step only, and
     lets several readers share one computation.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return _kept(df, _path(df.sparkSession, name))
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Write df as written() does, dealt into buckets by keys and sorted in them.
+
+    Joins and groups by the keys read the buckets as they are: df isn't shuffled again. The
+    table is an external one of the session's catalog, with its files in the shared folder.
+    """
+    spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", _path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+class Steps:
+    """The states of an iteration: each is written, and the one before the last is deleted.
+
+    The last but one is kept so that a job which still reads it can recover.
+    """
+
+    def __init__(self, keep: int = 2):
+        self.keep, self._paths = keep, []
+
+    def written(self, df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict[str, Any]]:
+        """The written state, and aggregates of it that the same job computes."""
+        path, seen = _path(df.sparkSession, name), None
+        if aggregates:
+            seen = Observation()
+            df = df.observe(seen, *[v.alias(k) for k, v in aggregates.items()])
+        out = _kept(df, path)
+        self._paths.append(path)
+        if len(self._paths) > self.keep:
+            deleted(df.sparkSession, self._paths.pop(0))
+        return out, (seen.get if seen is not None else {})
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application (``addPyFile``)."""
     app = spark.sparkContext.applicationId

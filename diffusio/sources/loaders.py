@@ -5,12 +5,13 @@ Lines are read by Spark's text source, so files may be of any size and in any st
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from diffusio.functions.math import safe_div
 from diffusio.graph import Graph
+from diffusio.session import exists, written
 
 #: Datasets by name: which files they have. Files are expected under the data folder; nothing is downloaded.
 REGISTRY: dict[str, dict[str, str]] = {}
@@ -21,11 +22,30 @@ def register(name: str, **files: str) -> None:
     REGISTRY[name] = {"pairs": "pairs.txt", "groups": "groups.txt", **files}
 
 
+#: Names of the usual datasets that have pairs and groups, and of those that are small.
+USUAL = ("dblp", "youtube", "livejournal", "friendster", "orkut", "eucore", "citeseer", "highschool", "pokec", "polblogs", "polbooks", "maven", "amazon", "graph5", "graph9", "bigraph", "blockmodel", "synthfeats", "pubmed", "cora")
+SMALL = ("bigraph", "blockmodel", "citeseer", "eucore", "graph5", "graph9")
+
+
+def resolve(spark: SparkSession, name: str, folders: Sequence[str]) -> str:
+    """The dataset's folder: that in the first of these folders which has it."""
+    for folder in folders:
+        if exists(spark, f"{folder}/{name}"):
+            return f"{folder}/{name}"
+    raise FileNotFoundError(f"no {name} in {', '.join(folders)}")
+
+
+def available(spark: SparkSession, folders: Sequence[str], names: Sequence[str] = USUAL) -> list[str]:
+    """Those of the datasets that are there."""
+    return [n for n in names if any(exists(spark, f"{folder}/{n}") for folder in folders)]
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (its place) and words; comment lines start with # and are left out, as are empty ones."""
-    rows = spark.read.text(path).where("NOT startswith(value, '#')")
+    """line (its place: file, start of the split, number in it) and words; comment lines (#) and empty ones are left out."""
+    rows = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("number"))
     words = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
-    return rows.select(F.monotonically_increasing_id().alias("line"), words.alias("words")).where("size(words) > 0")
+    rows = rows.where("NOT startswith(value, '#')")
+    return rows.select(F.struct("file_path", "file_block_start", "number").alias("line"), words.alias("words")).where("size(words) > 0")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +59,7 @@ def read_groups(spark: SparkSession, path: str, nodes: DataFrame, least: float =
     Words that aren't nodes are dropped. Groups with fewer than ``least`` members (a share of
     nodes below 1) go, then the first ``skip``, and at most ``most`` stay.
     """
-    found = _lines(spark, path).select("line", F.explode("words").alias("id")).distinct().join(nodes.select("id"), "id", "left_semi")
+    found = written(_lines(spark, path).select("line", F.explode("words").alias("id")).distinct().join(nodes.select("id"), "id", "left_semi"), "groups")
     size = least * nodes.count() if least < 1 else least
     kept = found.groupBy("line").agg(F.count("id").alias("n")).where(F.col("n") >= size).orderBy("line").limit(skip + most)
     kept = kept.withColumn("group_id", F.row_number().over(Window.orderBy("line")) - 1 - skip).where("group_id >= 0")
@@ -89,6 +109,13 @@ def one_hot(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.join(numbered, label).select("id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k == F.col("_k")).cast("double")).alias("labels"))
 
 
+def read_feature_dataset(spark: SparkSession, folder: str, groups: str | None = "groups.txt", **limits) -> tuple[Graph, DataFrame, DataFrame | None]:
+    """A graph of pairs.txt, its nodes' features of features.txt with rows that sum to 1, and its groups."""
+    graph, found = read_graph(spark, folder, groups=groups, **limits)
+    features = normalized_features(read_features(spark, f"{folder}/features.txt"))
+    return graph, features.join(graph.nodes, "id", "left_semi"), found
+
+
 def load_multiple(spark: SparkSession, folder: str, names: list[str] | None = None, **limits) -> Iterator[tuple[str, Graph, DataFrame]]:
     """(name, graph, groups) of registered datasets with groups."""
     for name in names or REGISTRY:
@@ -105,11 +132,11 @@ def load_all_communities(spark: SparkSession, folder: str, names: list[str] | No
             yield f"{name}{row[0]}", graph, groups.where(F.col("group_id") == row[0]).select("id")
 
 
-def load_one_community(spark: SparkSession, folder: str, names: list[str] | None = None, **limits) -> Iterator[tuple[str, Graph, DataFrame]]:
-    """(name, graph, id) of each dataset's last group."""
+def load_one_community(spark: SparkSession, folder: str, names: list[str] | None = None, group: int | None = None, **limits) -> Iterator[tuple[str, Graph, DataFrame]]:
+    """(name, graph, id) of one group of each dataset, the last one unless another is given."""
     for name, graph, groups in load_multiple(spark, folder, names, **limits):
-        last = groups.agg(F.max("group_id")).first()[0]
-        yield name, graph, groups.where(F.col("group_id") == last).select("id")
+        chosen = groups.agg(F.max("group_id")).first()[0] if group is None else group
+        yield name, graph, groups.where(F.col("group_id") == chosen).select("id")
 
 
 def load_graphs(spark: SparkSession, folder: str, names: list[str] | None = None) -> Iterator[Graph]:
@@ -149,5 +176,10 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def write_groups(groups: DataFrame, path: str) -> None:
-    """One line a group; a group is a line, so it must fit in a row."""
-    groups.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list("id")), "\t").alias("value")).select("value").write.text(path)
+    """One line a group, in the order of group_id; a group is a line of the format, so it must fit in a row."""
+    groups.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list("id")), "\t").alias("value")).orderBy("group_id").select("value").write.text(path)
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """Lines of an id and its features (id, features)."""
+    features.select(F.concat_ws("\t", "id", F.array_join(F.transform("features", lambda x: x.cast("string")), "\t")).alias("value")).write.text(path)

@@ -40,7 +40,7 @@ def test_rounds_at_once():
     loss = lambda w: (w[0] - 0.3) ** 2 + (w[1] - 0.6) ** 4
     rounds = []
     many = lambda ws: rounds.append(len(ws)) or [loss(w) for w in ws]
-    assert optimize(None, [1, 1], many=many) == optimize(loss, [1, 1]) and set(rounds) == {5}
+    assert optimize(None, [1, 1], many=many) == optimize(loss, [1, 1]) and max(rounds) == 5
 
 
 def test_queries_take_defaults_on_customers_and_suppliers(spark, monkeypatch):

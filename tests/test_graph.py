@@ -1,7 +1,11 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from diffusio.functions.math import conv
 from diffusio.graph import Graph, Signal
-from diffusio.operators import fairness, filters as O, postprocess as P
+from diffusio.operators import fairness, filters as O, normalize, postprocess as P
 from diffusio.operators.convergence import Convergence, NotConverged, RankOrder
 from diffusio.operators.normalize import Normalization
 
@@ -47,8 +51,9 @@ def test_signals(spark):
 
 def test_known_scores(five):
     f = O.PageRank(0.85)
-    scores = f(five, ["A", "B"]).to_dict()
-    assert f.convergence.iteration == 19
+    got = f(five, ["A", "B"])
+    scores = got.to_dict()
+    assert got.iterations == 19
     for node, value in {"B": 0.5173091321819129, "D": 0.24969444089457765, "E": 0.3415804634807899}.items():
         assert scores[node] == pytest.approx(value, abs=1e-14)
 
@@ -90,8 +95,37 @@ def test_combinations(five):
 
 def test_rank_order_stops_early(five):
     f = O.PageRank(0.85, convergence=RankOrder(0.85, 0.98, "fraction_of_walks"))
-    f(five, ["A", "B"])
-    assert f.convergence.iteration < 19
+    assert f(five, ["A", "B"]).iterations < 19
+
+
+def test_unknown_options_are_refused(five):
+    f = O.PageRank(0.85, **steps(2))
+    for ranker in (f, f >> P.Normalize(), f & f, ~f, O.HeatKernel(3, chebyshev=True, **steps(2)), f >> fairness.AdHocFairness()):
+        with pytest.raises(TypeError):
+            ranker.rank(five, ["A"], nonsense=1)
+    near((f >> fairness.AdHocFairness()).rank(five, ["A"], sensitive=["B"]).to_dict(), fairness.AdHocFairness(f).rank(five, ["A"], sensitive=["B"]).to_dict())
+
+
+def test_steps_read_edges_in_buckets(spark):
+    """Edges aren't shuffled by a step, and each step leaves two states."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph = Graph.from_pairs(spark, [(i, (i * 7 + 1) % 50) for i in range(50)]).stored()
+        edges = Normalization("symmetric").edges(graph)
+        plan = conv(edges, graph.nodes.withColumn("value", F.lit(1.0)), "value")._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and not re.search(r"Exchange hashpartitioning\(src#\d+, 4\)[^\n]*\n[^\n]*\n?[^\n]*FileScan parquet[^\n]*dst", plan)
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2  # the values by source, the sums by target
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    pairs = [("hub", i) for i in range(40)] + [(i, i + 1) for i in range(40)]
+    whole = O.PageRank(0.85, **steps(3))(Graph.from_pairs(spark, pairs).stored(), ["hub"]).to_dict()
+    monkeypatch.setattr(normalize, "HUB", 7)
+    graph = Graph.from_pairs(spark, pairs).stored()
+    assert Normalization().edges(graph).agg(F.max("part")).first()[0] > 0
+    near(O.PageRank(0.85, **steps(3))(graph, ["hub"]).to_dict(), whole)
 
 
 def test_laplacian_and_symmetric_are_identity(five):

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from diffusio.functions import measures as M
@@ -91,3 +92,28 @@ def test_tuners(spark):
     assert results.count() == 2 and "rings" in B.printed(results) and B.as_dict(B.average(results)).keys() == {"rings", "Average"}
     found = R.detect_community(g, O.PageRank(0.9, error="iters", max_iters=8), p, 0.1)
     assert M.AUC(known)(found) > 0.9
+
+
+def test_adapters_and_smooth_limits(spark):
+    graph = Graph.from_pairs(spark, ["AB", "BC"])
+    x, y = Signal.of(graph, {"A": 1, "B": 0, "C": 1}), Signal.of(graph, ["A"])
+    m = M.Mabs(y)
+    assert m.as_supervised()(x)(x) == 0 and m.as_is()(x)(x) == m(x) and M.Utility(M.Mabs)(y, None)(x) == M.Mabs(None)(x)
+    sharp, smooth = (M.AM([m], limits=[(0.2, 0.9)], smooth=s) for s in (False, True))
+    for v in (-1.0, 0.0, 0.2, 0.5, 0.9, 3.0):
+        assert abs(sharp.clipped(v, 0.2, 0.9) - smooth.clipped(v, 0.2, 0.9)) < 0.03
+    assert smooth.clipped(5.0, float("-inf"), float("inf")) == 5.0
+
+
+def test_nemenyi(spark):
+    rows = [(f"d{i}", 0.5, 0, a, "auc", v) for i in range(12) for a, v in (("x", 0.9), ("y", 0.5), ("z", 0.1))]
+    results = spark.createDataFrame(rows, "dataset string, share double, seed int, algorithm string, measure string, value double")
+    got = {(r["algorithm"], r["other"]): (r["difference"], round(r["least"], 3), r["differ"]) for r in B.nemenyi(results).collect()}
+    assert got == {("x", "y"): (1.0, 0.956, True), ("x", "z"): (2.0, 0.956, True), ("y", "z"): (1.0, 0.956, True)}
+    assert B.scores(results).count() == 36
+
+
+def test_autoregression_predicts_a_geometric_series():
+    values = np.stack([0.5 ** np.arange(12), 2 * 0.5 ** np.arange(12)], axis=1)
+    plain, smooth = T._smoothed(values, 0), T._smoothed(values, 2)
+    assert plain == pytest.approx(values.mean(axis=1)) and smooth == pytest.approx(plain, abs=0.02)

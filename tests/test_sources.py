@@ -1,3 +1,5 @@
+import pytest
+
 from diffusio.graph import Graph, Signal
 from diffusio.operators import filters as O
 from diffusio.sources import loaders as L
@@ -55,5 +57,35 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("a string, b string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     r.start(stream, str(tmp_path / "state")).awaitTermination()
     whole = O.PageRank(0.3, tol=1e-7)(Graph.from_pairs(spark, ["AB", "BC", "CD"]), ["A"]).to_dict()
-    got = {x["id"]: x["value"] for x in r.scores.collect()}
+    got = {x["id"]: x["value"] for x in r.scores(spark).collect()}
     assert seen and all(abs(got[k] - whole[k]) < 1e-5 for k in whole)
+
+
+def test_a_restarted_stream_goes_on_with_all_edges(spark, tmp_path):
+    def run(*pairs):
+        spark.createDataFrame([tuple(p) for p in pairs], "a string, b string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        r = StreamRanker(O.PageRank(0.3, tol=1e-7), lambda g: Signal.of(g, ["A"]))
+        r.start(spark.readStream.schema("a string, b string").parquet(str(tmp_path / "in")), str(tmp_path / "state")).awaitTermination()
+        return r
+
+    run("AB", "BC")
+    r = run("CD", "AB")
+    assert r.graph(spark).number_of_edges() == 3
+    whole = O.PageRank(0.3, tol=1e-7)(Graph.from_pairs(spark, ["AB", "BC", "CD"]), ["A"]).to_dict()
+    got = {x["id"]: x["value"] for x in r.scores(spark).collect()}
+    assert all(abs(got[k] - v) < 1e-4 for k, v in whole.items())
+
+
+def test_folders_and_feature_datasets(spark, tmp_path):
+    place = tmp_path / "second" / "graph5"
+    place.mkdir(parents=True)
+    (place / "pairs.txt").write_text("A B\nB C\n")
+    (place / "groups.txt").write_text("A B\nC")
+    (place / "features.txt").write_text("A 1 3\nB 2\nX 1")
+    folders = [str(tmp_path / "first"), str(tmp_path / "second")]
+    assert L.resolve(spark, "graph5", folders) == str(place) and L.available(spark, folders) == ["graph5"] and "graph5" in L.SMALL
+    with pytest.raises(FileNotFoundError):
+        L.resolve(spark, "graph9", folders)
+    graph, features, groups = L.read_feature_dataset(spark, str(place), least=1)
+    assert {r["id"]: r["features"] for r in features.collect()} == {"A": [0.25, 0.75], "B": [1.0, 0.0]}
+    assert sorted(tuple(r) for r in groups.collect()) == [(0, "A"), (0, "B"), (1, "C")] and graph.number_of_nodes() == 3
