@@ -8,8 +8,9 @@ it, and the count of those of all tasks before. So places are found without a sh
 pieces: what is shuffled are the tasks' counts, at most ``capacity`` of them a task.
 
 What reaches the driver is the histogram; what is sent out is its plan (a few rows a length)
-and, if it has at most BASES_BYTES, the table of counts before each task. A larger table of
-counts (some 16,000 tasks at the default) is joined by shuffling instead.
+and, if it takes at most BASES_BYTES, the table of counts before each task, which is gathered
+as one array for that. A larger table of counts (of more than some 4,000 tasks) is joined by
+shuffling instead.
 
 Two ways to pack a histogram:
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from diffusio.llm.tokens import encoder, pieces, tokenized
 from diffusio.session import ship, written
 
-BASES_BYTES = 1 << 28
+BASES_BYTES = 1 << 26
 Pattern = tuple  # () or (pattern, length, how many)
 
 
@@ -216,38 +217,40 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end: int, with_ids: b
     return written(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces")
 
 
-def _bases(sizes: DataFrame, capacity: int) -> DataFrame:
-    """_task and how many pieces of each length (0 to capacity) the tasks before it have cut."""
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    known = sizes.select("_task", "length", F.coalesce(before, F.lit(0)).alias("base"))
-
-    def dense(task: pa.Table) -> pa.Table:
-        base = np.zeros(capacity + 1, dtype=np.int64)
-        base[task["length"].to_numpy()] = task["base"].to_numpy()
-        return pa.table({"_task": task["_task"][:1], "bases": pa.array([base], pa.list_(pa.int64()))})
-
-    return known.groupBy("_task").applyInArrow(dense, "_task int, bases array<long>")
-
-
 def pack(table: DataFrame, capacity: int, method: str) -> DataFrame:
     """A piece table with sequence_id and offset in place of _task and _rank."""
     sizes = written(table.groupBy("_task", "length").agg(F.count("length").alias("n")), "sizes")
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
     sent = table.sparkSession.sparkContext.broadcast(entries(plan(counts, capacity, method)))
-    bases = written(_bases(sizes, capacity), "bases")
-    small = bases.count() * 8 * (capacity + 1) <= BASES_BYTES
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    bases = written(sizes.select("_task", "length", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    tasks = (bases.agg(F.max("_task")).first()[0] or 0) + 1
 
-    @F.arrow_udf("sequence_id long, offset long")
-    def placed(length: pa.Array, number: pa.Array) -> pa.Array:
+    def places(n: np.ndarray, r: np.ndarray) -> pa.Array:
         p, shift = sent.value, np.int64(1) << np.int64(46)
-        n, r = length.to_numpy(zero_copy_only=False), number.to_numpy(zero_copy_only=False)
         e = p[np.searchsorted(p[:, 0] * shift + p[:, 1], n * shift + r, "right") - 1]
         at = r - e[:, 1]
         return pa.StructArray.from_arrays([pa.array(e[:, 2] + at // e[:, 3]), pa.array(e[:, 4] + at % e[:, 3] * n)], names=["sequence_id", "offset"])
 
-    number = F.col("_rank") + F.get("bases", F.col("length").cast("int"))
-    numbered = table.join(F.broadcast(bases) if small else bases, "_task").withColumn("_number", number).drop("bases")
-    found = numbered.withColumn("_at", placed("length", "_number"))
+    if tasks * (capacity + 1) * 8 <= BASES_BYTES:
+        known = bases.toArrow()
+        dense = np.zeros((tasks, capacity + 1), dtype=np.int64)
+        dense[known["_task"].to_numpy(), known["length"].to_numpy()] = known["base"].to_numpy()
+        base = table.sparkSession.sparkContext.broadcast(dense)
+
+        @F.arrow_udf("sequence_id long, offset long")
+        def placed(task: pa.Array, length: pa.Array, rank: pa.Array) -> pa.Array:
+            t, n, r = (c.to_numpy(zero_copy_only=False) for c in (task, length, rank))
+            return places(n, r + base.value[t, n])
+
+        found = table.withColumn("_at", placed("_task", "length", "_rank"))
+    else:
+
+        @F.arrow_udf("sequence_id long, offset long")
+        def placed_at(length: pa.Array, number: pa.Array) -> pa.Array:
+            return places(*(c.to_numpy(zero_copy_only=False) for c in (length, number)))
+
+        found = table.join(bases, ["_task", "length"]).withColumn("_at", placed_at("length", F.col("_rank") + F.col("base")))
     kept = [c for c in table.columns if c not in ("_task", "_rank")]
     return found.select(*kept, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
