@@ -31,21 +31,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage, so that a lost executor costs tasks of one step only, and
-    lets several readers share one computation.
+    lets several readers share one computation. options: those of the Parquet writer.
     """
-    return _kept(df, _path(df.sparkSession, name))
+    return _kept(df, _path(df.sparkSession, name), **options)
 
 
 def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _kept(df: DataFrame, path: str, **options: str) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
