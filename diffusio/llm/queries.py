@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from diffusio.llm import chat, decontaminate, langid, neardup, packing, quality, secrets, toxicity, urls
+from diffusio.llm import alignment, chat, decontaminate, exactdup, langid, manifest, neardup, packing, quality, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -121,6 +121,64 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_crc() % 4 == 2).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two vocabularies in all documents."""
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, a fifth of them tampered with."""
+    return manifest.digest_proofs(manifest.prove(_table(spark, sf_dir, "documents"), manifest.lowered()))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
+    return exactdup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("n_chars")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM w
+"""
+
+# trees by levels, then for each document the fold of its levels; crc32 of the digits by its table
+OP12_SQL = """
+WITH RECURSIVE crc_bits AS (SELECT range AS i, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS v FROM crc_bits WHERE k = 8),
+crc AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295 AS v FROM documents
+  UNION ALL SELECT doc_id, s, k + 1, xor(v // 256, (SELECT t.v FROM crc_table t)[CAST(xor(v, ascii(s[k + 1])) % 256 AS INTEGER) + 1]) FROM crc WHERE k < length(s)),
+hit AS (SELECT DISTINCT doc_id FROM crc WHERE k = length(s) AND xor(v, 4294967295) % 5 = 0),
+fields AS (SELECT d.doc_id, source,
+  coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS body,
+  CASE WHEN h.doc_id IS NULL THEN coalesce(strlen(text) || ':' || text, '-') ELSE coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') END AS seen
+  FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id),
+leaves AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || seen) AS seen, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM fields),
+nodes AS (SELECT source, 0 AS level, pos, n AS size, leaf AS digest FROM leaves
+  UNION ALL SELECT source, level + 1, pos // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE size > 1 GROUP BY source, level, pos // 16, size),
+tops AS (SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1),
+over AS (SELECT 0 AS level, pos, size, digest FROM tops
+  UNION ALL SELECT level + 1, pos // 16, (size + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM over WHERE size > 1 GROUP BY level, pos // 16, size),
+runs AS (SELECT source, level, pos // 16 AS run, size, list(digest ORDER BY pos) AS kids FROM nodes WHERE size > 1 GROUP BY source, level, pos // 16, size),
+over_runs AS (SELECT level, pos // 16 AS run, list(digest ORDER BY pos) AS kids FROM over WHERE size > 1 GROUP BY level, pos // 16, size),
+fold AS (SELECT doc_id, source, leaf, pos, 0 AS level, seen AS digest, '' AS siblings FROM leaves
+  UNION ALL SELECT doc_id, f.source, leaf, f.pos // 16, f.level + 1,
+    sha256(array_to_string(kids[: f.pos % 16], '') || digest || array_to_string(kids[f.pos % 16 + 2 :], '')), siblings || array_to_string(kids[: f.pos % 16], '') || array_to_string(kids[f.pos % 16 + 2 :], '')
+  FROM fold f JOIN runs r ON f.source IS NOT DISTINCT FROM r.source AND f.level = r.level AND f.pos // 16 = r.run),
+low AS (SELECT f.doc_id, f.leaf, f.digest, f.siblings, t.digest AS subroot, t.pos FROM fold f JOIN tops t ON f.source IS NOT DISTINCT FROM t.source JOIN nodes x ON x.source IS NOT DISTINCT FROM f.source AND x.size = 1 AND x.level = f.level),
+high AS (SELECT doc_id, leaf, subroot, pos, 0 AS level, digest, siblings FROM low
+  UNION ALL SELECT doc_id, leaf, subroot, h.pos // 16, h.level + 1,
+    sha256(array_to_string(kids[: h.pos % 16], '') || digest || array_to_string(kids[h.pos % 16 + 2 :], '')), siblings || array_to_string(kids[: h.pos % 16], '') || array_to_string(kids[h.pos % 16 + 2 :], '')
+  FROM high h JOIN over_runs r ON h.level = r.level AND h.pos // 16 = r.run)
+SELECT doc_id, leaf, subroot, o.digest AS root, sha256(siblings) AS proof_sha256, h.digest AS folded_root, h.digest = o.digest AS verified
+FROM high h JOIN over o ON o.size = 1 AND o.level = h.level
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -134,6 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality_rules,
         op10_toxicity,
+        op11_cross_tokenizer_alignment,
+        op12_merkle_manifest,
+        op13_exact_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op12_merkle_manifest": OP12_SQL, "op13_exact_dedup": OP13_SQL}

@@ -28,7 +28,7 @@ _RUN = re.compile(f"[{BLANK}]{{{LONG_BLANKS},}}")
 _encoders: dict[str, Encoder] = {}
 
 
-def _byte_of() -> dict[str, int]:
+def byte_values() -> dict[str, int]:
     """The character that stands for each byte: itself if it is visible, else one from 256 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     out = {chr(b): b for b in visible}
@@ -44,7 +44,7 @@ class Encoder:
         added = vocabulary.get("added_tokens", [])
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("special tokens that take in their surroundings")
-        byte, self._special = _byte_of(), {t["content"]: t["id"] for t in added}
+        byte, self._special = byte_values(), {t["content"]: t["id"] for t in added}
         ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t not in self._special}
         self._bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if added else None
@@ -53,11 +53,12 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids, each as 4 bytes, little-endian."""
         if self._cut is None or not any(s in text for s in self._special):
-            return self._plain(text)
+            return self.encode_plain(text)
         parts = self._cut.split(text)  # texts and special tokens in turn
-        return b"".join(array("I", [self._special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts) if p)
+        return b"".join(array("I", [self._special[p]]).tobytes() if k % 2 else self.encode_plain(p) for k, p in enumerate(parts) if p)
 
-    def _plain(self, text: str) -> bytes:
+    def encode_plain(self, text: str) -> bytes:
+        """As encode(), but strings of special tokens are plain text."""
         if len(text) < LONG_BLANKS:
             return array("I", self._bpe.encode_ordinary(text)).tobytes()
         out, at = array("I"), 0
