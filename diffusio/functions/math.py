@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed value: the smallest step of a double at 1.
@@ -22,17 +24,28 @@ def safe_ln(a: Column) -> Column:
     return F.when(a == 0, F.lit(float("-inf"))).otherwise(F.ln(F.when(a > 0, a)))
 
 
-def conv(edges: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+class Adjacency(NamedTuple):
+    """Edges as a step wants them: rows (src, dst, w) in buckets by source; plain: the same for other uses.
+
+    hubs (src, parts): sources whose edges are in several parts, numbered in the column part; None if there are none.
+    """
+
+    rows: DataFrame
+    plain: DataFrame
+    hubs: DataFrame | None = None
+
+
+def conv(edges: DataFrame | Adjacency, values: DataFrame, *columns: str) -> DataFrame:
     """For each target: the sums of columns of its sources times the weights. One shuffle by target after the join by source.
 
-    Edges with a column part have the edges of large sources in several parts (normalize.py);
-    the values of these sources are repeated for each.
+    The values of sources whose edges are in several parts are repeated for each.
     """
     sums, values, keys = [F.sum(F.col(c) * F.col("w")).alias(c) for c in columns], values.select(F.col("id").alias("src"), *columns), ["src"]
-    if "part" in edges.columns:
-        hubs = edges.where("part > 0").groupBy("src").agg((F.max("part") + 1).alias("parts"))  # a row for each part's size of edges at most
-        values = values.join(F.broadcast(hubs), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        keys = ["src", "part"]
+    if isinstance(edges, Adjacency):
+        if edges.hubs is not None:  # a row for each part's size of edges at most
+            values = values.join(F.broadcast(edges.hubs), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            keys = ["src", "part"]
+        edges = edges.rows
     return edges.join(values, keys).groupBy(F.col("dst").alias("id")).agg(*sums)
 
 

@@ -13,10 +13,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diffusio.functions.math import EPSILON, safe_div, safe_ln
+from diffusio.functions.math import EPSILON, conv, safe_div, safe_ln
 from diffusio.functions.order import placed, running
 from diffusio.graph import Graph, Signal
-from diffusio.operators.normalize import Normalization
 from diffusio.session import written
 
 
@@ -102,6 +101,19 @@ def of_columns(measure: Supervised, rows: DataFrame, scores: Sequence[Column]) -
     return [float(found.get(k) or 0.0) for k in range(len(scores))]
 
 
+def of_slots(measures: Sequence[Supervised], values: DataFrame, known: DataFrame, n: int) -> list[list[float]]:
+    """Measures of each of n slots of values (id, value: array) against known (id, y: array), a known value for each measure.
+
+    Measures that are aggregates of rows come from one aggregation, the others from one each.
+    """
+    rows = values.join(known, "id")
+    if any(type(m).of is not Supervised.of for m in measures):
+        return [of_columns(m, rows.select(F.col("y")[j].alias("y"), "id", "value"), [F.col("value")[i] for i in range(n)]) for j, m in enumerate(measures)]
+    each = rows.select("y", F.posexplode("value").alias("k", "x")).select("k", "x", F.posexplode("y").alias("j", "y"))
+    found = {(r["j"], r["k"]): r for r in each.groupBy("k", "j").agg(*[m.value().alias(f"v{j}") for j, m in enumerate(measures)]).collect()}
+    return [[float((found[j, k][f"v{j}"] if (j, k) in found else None) or 0.0) for k in range(n)] for j in range(len(measures))]
+
+
 def _simple(name: str, value: Callable[[], Column], direction: int = 1, doc: str = "") -> type[Supervised]:
     return type(name, (Supervised,), {"value": lambda self: value(), "direction": direction, "__doc__": doc})
 
@@ -179,20 +191,46 @@ class MKLDivergence(KLDivergence):
     direction, scale = 1, staticmethod(lambda total, n: -total / n)
 
 
-def mean_ranks(rows: DataFrame, column: str, as_: str) -> DataFrame:
-    """A column of ranks from 1, equal values sharing their mean. Counted by distinct value."""
-    counts = running(rows.groupBy(column).agg(F.count("*").alias("n")), [column], "n", "before")
-    ranks = counts.select(F.col(column).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(as_))
-    return rows.join(ranks, rows[column] == F.col("_v")).drop("_v")
+def mean_ranks(counts: DataFrame, column: str, as_: str, by: Sequence[str] = ()) -> DataFrame:
+    """counts (by, column, n, ...), a row for each value with its number of rows, with the rank that these rows share, from 1 in each group."""
+    order = running(counts, [*by, column], "n", "_before")
+    if by:
+        first = order.groupBy(*by).agg(F.min("_before").alias("_first"))
+        order = order.join(first, list(by)).withColumn("_before", F.col("_before") - F.col("_first")).drop("_first")
+    return order.withColumn(as_, F.col("_before") + (F.col("n") + 1) / 2).drop("_before")
+
+
+def auc_by(rows: DataFrame, *by: str) -> DataFrame:
+    """The area under the ROC curve of rows (by, x, y) in each group, null if known values are alike.
+
+    Rows are counted by value first; groups of any size are in ranges of one order of (group, value).
+    """
+    y = (F.col("y") > 0).cast("double")
+    counts = rows.groupBy(*by, "x").agg(F.count("x").alias("n"), F.sum(y).alias("y"))
+    p, n = F.sum("y"), F.sum("n")
+    area = safe_div(F.sum(F.col("rank") * F.col("y")) - p * (p + 1) / 2, p * (n - p))
+    return mean_ranks(counts, "x", "rank", by).groupBy(*by).agg(F.when((p > 0) & (p < n), area).alias("value"))
+
+
+def ndcg_by(rows: DataFrame, k: int | None, *by: str) -> DataFrame:
+    """Discounted gain of the top k of rows (by, id, x, y) by x over that of the top k by y, in each group."""
+    found = None
+    for c, as_ in (("x", "a"), ("y", "b")):
+        order = placed(rows, [*by, F.col(c).desc(), "id"])
+        if by:
+            first = order.groupBy(*by).agg((F.min("place") - 1).alias("_first"))
+            order = order.join(first, list(by)).withColumn("place", F.col("place") - F.col("_first"))
+        top = order if k is None else order.where(F.col("place") <= k)
+        gain = top.groupBy(*by).agg(F.sum(F.col("y") / F.log2(F.col("place") + 1)).alias(as_))
+        found = gain if found is None else found.join(gain, list(by) if by else F.lit(True))
+    return found.select(*by, safe_div(F.col("a"), F.col("b")).alias("value"))
 
 
 class AUC(Supervised):
     """Area under the ROC curve; known values above 0 are positives. Raises if all are alike."""
 
     def of(self, rows):
-        ranked = mean_ranks(rows.withColumn("y", (F.col("y") > 0).cast("double")), "x", "rank")
-        p, n = F.sum("y"), F.count("y")
-        return ranked.agg(F.when((p > 0) & (p < n), safe_div(F.sum(F.col("rank") * F.col("y")) - p * (p + 1) / 2, p * (n - p))).alias("value"))
+        return auc_by(rows)
 
     def __call__(self, scores):
         value = self.frame(scores).first()[0]
@@ -212,8 +250,14 @@ class Spearman(Supervised):
     """Correlation of mean ranks."""
 
     def of(self, rows):
-        ranked = mean_ranks(mean_ranks(rows, "x", "rx"), "y", "ry")
-        return ranked.agg(F.corr("rx", "ry").alias("value"))
+        pairs, ranks = rows.groupBy("x", "y").agg(F.count("x").alias("n")), {}
+        for c in ("x", "y"):
+            ranks[c] = mean_ranks(pairs.groupBy(c).agg(F.sum("n").alias("n")), c, f"r{c}").drop("n")
+        ranked = pairs.join(ranks["x"], "x").join(ranks["y"], "y")
+        n, a, b = F.col("n"), F.col("rx"), F.col("ry")
+        total, sa, sb = F.sum(n), F.sum(n * a), F.sum(n * b)
+        spread = F.sqrt((total * F.sum(n * a * a) - sa * sa) * (total * F.sum(n * b * b) - sb * sb))
+        return ranked.agg(F.when(spread > 0, (total * F.sum(n * a * b) - sa * sb) / spread).alias("value"))
 
 
 class NDCG(Supervised):
@@ -224,11 +268,7 @@ class NDCG(Supervised):
         self.k = k
 
     def of(self, rows):
-        k = self.k or rows.count()
-        top = placed(rows, [F.col("x").desc(), "id"]).where(F.col("place") <= k)
-        ideal = placed(rows, [F.col("y").desc(), "id"]).where(F.col("place") <= k)
-        gain = F.sum(F.col("y") / F.log2(F.col("place") + 1))
-        return top.agg(gain.alias("a")).join(ideal.agg(gain.alias("b")), F.lit(True)).select(safe_div(F.col("a"), F.col("b")).alias("value"))
+        return ndcg_by(rows, self.k)
 
 
 class Mistreatment(Measure):
@@ -252,8 +292,15 @@ class _OnGraph(Measure):
     def __init__(self, graph: Graph | None = None):
         self.graph = graph
 
-    def edges(self, scores: Signal) -> DataFrame:
-        return Normalization("none").edges(self.graph or scores.graph)
+    def flows(self, scores: DataFrame) -> DataFrame:
+        """w (incoming weight), a (of it, by the sources' values) and b (its own value) of each node with edges; edges aren't shuffled by their second end."""
+        graph, own = self.graph, scores.select("id", F.col("value").alias("b"))
+        came = conv(graph.edges, scores.select("id", F.lit(1.0).alias("w_in"), F.col("value").alias("a")), "w_in", "a")
+        return came.join(own, "id").select(F.col("w_in").alias("w"), "a", "b")
+
+    def on(self, scores: Signal) -> _OnGraph:
+        """The same measure for the graph of these scores, if it has none."""
+        return self if self.graph is not None else self._with(graph=scores.graph)
 
 
 class Conductance(_OnGraph):
@@ -271,12 +318,12 @@ class Conductance(_OnGraph):
             if not self.autofix:
                 raise ValueError(f"scores must be at most {self.top}")
             scores = scores * (self.top / most)
-        s, d = scores.df.select(F.col("id").alias("src"), F.col("value").alias("a")), scores.df.select(F.col("id").alias("dst"), F.col("value").alias("b"))
-        e = self.edges(scores).join(s, "src").join(d, "dst")
+        measure = self.on(scores)
+        e = measure.flows(scores.df)
         w, a, b, m = F.col("w"), F.col("a"), F.col("b"), F.lit(float(self.top))
-        inside, outside, cut, back = F.sum(w * a * b), F.sum(w * (m - a) * (m - b)), F.sum(w * a * (m - b)), F.sum(w * (m - a) * b)
+        inside, outside, cut, back = F.sum(a * b), F.sum((m * w - a) * (m - b)), F.sum(a * (m - b)), F.sum((m * w - a) * b)
         internal = inside if self.cut_only else F.least(inside, outside)
-        directed = (self.graph or scores.graph).directed
+        directed = measure.graph.directed
         ext, int_ = (cut, internal) if directed else (cut + back, 2 * internal)
         out = e.agg(F.coalesce(ext, F.lit(0.0)).alias("e"), F.coalesce(int_, F.lit(0.0)).alias("i"))
         return out.select(F.when((F.col("e") == 0) | (F.col("i") == 0), float("inf")).otherwise(F.col("e") / F.col("i")).alias("value"))
@@ -286,8 +333,7 @@ class Density(_OnGraph):
     """Score-weighted edges over score-weighted pairs."""
 
     def frame(self, scores):
-        s, d = scores.df.select(F.col("id").alias("src"), F.col("value").alias("a")), scores.df.select(F.col("id").alias("dst"), F.col("value").alias("b"))
-        e = self.edges(scores).join(s, "src").join(d, "dst").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("i"))
+        e = self.on(scores).flows(scores.df).agg(F.sum(F.col("a") * F.col("b")).alias("i"))
         n = scores.df.agg((F.sum("value") * F.sum("value") - F.sum(F.col("value") * F.col("value"))).alias("n"))
         return e.join(n, F.lit(True)).select(safe_div(F.coalesce("i", F.lit(0.0)), F.col("n")).alias("value"))
 
@@ -301,9 +347,7 @@ class Modularity(_OnGraph):
 
     def frame(self, scores):
         v = scores.df.select("id", (F.col("value") / self.top).alias("v"))
-        e = self.edges(scores)
-        pairs = e.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
-        t = pairs.agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("i"), F.sum(F.col("w") * F.col("a")).alias("d"), F.sum("w").alias("m"))
+        t = self.on(scores).flows(v.withColumnRenamed("v", "value")).agg(F.sum(F.col("a") * F.col("b")).alias("i"), F.sum("a").alias("d"), F.sum("w").alias("m"))
         return t.select(F.coalesce(safe_div(F.col("i") - safe_div(F.col("d") * F.col("d"), F.col("m")), F.col("m")), F.lit(0.0)).alias("value"))
 
 
@@ -377,7 +421,7 @@ class Parity(Disparity):
 
 
 class OverGroups:
-    """The mean of a measure over groups of scores; known (if given) by group too."""
+    """The mean of a measure over groups of scores; known (if given) by group too. For groups in a table of any number see by_group()."""
 
     def __init__(self, measure: Callable[..., Measure], known: dict[Any, Any] | None = None, exclude: dict[Any, Any] | None = None):
         self.measure, self.known, self.exclude = measure, known, exclude
@@ -388,6 +432,26 @@ class OverGroups:
         return sum(values) / len(values)
 
 
+def by_group(measure: Supervised, scores: DataFrame, known: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """group_id and value: a measure of all groups of scores (group_id, id, value) in one plan.
+
+    known (group_id, id, value): 0 where there is no row; exclude (group_id, id): rows that are left out. Ranks are
+    places in one order of (group, value), so no group is one task. The measure's own known values take no part.
+    """
+    rows = scores.select("group_id", "id", F.col("value").alias("x")).join(known.select("group_id", "id", F.col("value").alias("y")), ["group_id", "id"], "left").fillna(0.0, ["y"])
+    if exclude is not None:
+        rows = rows.join(exclude.select("group_id", "id"), ["group_id", "id"], "left_anti")
+    if type(measure).of is Supervised.of:
+        return rows.groupBy("group_id").agg(measure.value().alias("value"))
+    if type(measure) is MannWhitneyParity:
+        return auc_by(rows, "group_id").select("group_id", (1 - 2 * F.abs(0.5 - F.col("value"))).alias("value"))
+    if type(measure) is AUC:
+        return auc_by(rows, "group_id")
+    if isinstance(measure, NDCG):
+        return ndcg_by(rows, measure.k, "group_id")
+    raise TypeError(f"{type(measure).__name__} has no form by group")
+
+
 def similarities(pairs: DataFrame, scores: DataFrame, kind: str = "cos") -> DataFrame:
     """pairs (u, v) with the similarity of their rows of scores (group_id, id, value)."""
     if kind not in ("cos", "dot"):
@@ -426,18 +490,59 @@ class LinkAssessment:
         return float(AUC().of(written(rows, "pairs")).first()[0])
 
 
+def closed_wedges(neighbors: DataFrame) -> DataFrame:
+    """One row with n: the ordered triples (v, u, t) with u and t neighbours of v and t one of u, for neighbors (id, neighbor) in any directions.
+
+    Triangles of different nodes are found at their node of least degree, so a node with very many
+    neighbours makes no pairs of them; the six orders of a triangle are then told by its directions.
+    """
+    arcs = neighbors.select(F.col("id").alias("s"), F.col("neighbor").alias("t")).distinct()
+    loops, arcs = arcs.where("s = t").select("s"), arcs.where("s <> t")
+    ahead = (F.col("s") < F.col("t")).cast("int")
+    sides = written(arcs.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.max(ahead).alias("ab"), F.max(1 - ahead).alias("ba")), "sides")
+    degree = sides.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("x").alias("d"))
+    both = sides.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
+    low = F.struct("da", "a") < F.struct("db", "b")
+    from_low = both.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"), F.when(low, F.col("ab")).otherwise(F.col("ba")).alias("out"), F.when(low, F.col("ba")).otherwise(F.col("ab")).alias("back"))
+    from_low = written(from_low, "oriented")
+    one = from_low.select("x", F.col("y").alias("a"), F.col("out").alias("xa"), F.col("back").alias("ax"))
+    two = from_low.select("x", F.col("y").alias("b"), F.col("out").alias("xb"), F.col("back").alias("bx"))
+    triangles = one.join(two, "x").where("a < b").join(sides, ["a", "b"])
+    c = F.col
+    # v is each corner in turn: both arcs from it, and the third between the others in either direction
+    orders = c("xa") * c("xb") * (c("ab") + c("ba")) + c("ax") * c("ab") * (c("xb") + c("bx")) + c("bx") * c("ba") * (c("xa") + c("ax"))
+    looped = loops.select(F.col("s").alias("x"))
+    into = arcs.join(looped.withColumnRenamed("x", "t"), "t")  # v -> u -> u
+    out = arcs.join(looped.withColumnRenamed("x", "s"), "s")  # v -> v -> t
+    mutual = out.join(arcs.select(F.col("s").alias("t"), F.col("t").alias("s")), ["s", "t"])  # v -> u -> v, with v -> v
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    parts = triangles.agg(F.coalesce(F.sum(orders), F.lit(0)).cast("long").alias("n"))
+    for df in (into, out, mutual, looped):
+        parts = parts.unionByName(count(df))
+    return parts.agg(F.sum("n").alias("n"))
+
+
 class ClusteringCoefficient:
-    """Sum of similarities of pairs of neighbours of a node over how many such pairs are linked."""
+    """Sum of similarities of pairs of neighbours of a node over how many such pairs are linked.
+
+    The sum over pairs is the squared length of the sum of the neighbours' rows (of length 1 for
+    cos), so pairs are never made.
+    """
 
     def __init__(self, graph: Graph, similarity: str = "cos"):
+        if similarity not in ("cos", "dot"):
+            raise ValueError(f"no similarity {similarity}")
         self.graph, self.similarity = graph, similarity
 
     def frame(self, scores: DataFrame) -> DataFrame:
         n = self.graph.neighbors()
-        wedges = n.select("id", F.col("neighbor").alias("u")).join(n.select("id", F.col("neighbor").alias("v")), "id").groupBy("u", "v").agg(F.count("id").alias("k"))
-        links = n.select(F.col("id").alias("u"), F.col("neighbor").alias("v"), F.lit(1).alias("linked"))
-        rows = similarities(wedges, scores, self.similarity).join(links, ["u", "v"], "left")
-        return rows.agg(F.sum(F.col("k") * F.col("similarity")).alias("a"), F.sum(F.when(F.col("linked") == 1, F.col("k"))).alias("b")).select(F.coalesce(safe_div(F.col("a"), F.col("b").cast("double")), F.lit(0.0)).alias("value"))
+        rows = scores.select("group_id", F.col("id").alias("neighbor"), "value")
+        if self.similarity == "cos":
+            size = rows.groupBy("neighbor").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+            rows = rows.join(size, "neighbor").select("group_id", "neighbor", safe_div(F.col("value"), F.col("size")).alias("value"))
+        sums = n.join(rows, "neighbor").groupBy("id", "group_id").agg(F.sum("value").alias("v"))
+        a = sums.agg(F.sum(F.col("v") * F.col("v")).alias("a"))
+        return a.join(closed_wedges(n), F.lit(True)).select(F.coalesce(safe_div(F.col("a"), F.col("n").cast("double")), F.lit(0.0)).alias("value"))
 
     def __call__(self, scores: DataFrame) -> float:
         return float(self.frame(scores).first()[0])

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from diffusio.functions.math import safe_div
-from diffusio.session import bucketed, written
+from diffusio.session import written
 
 
 class Graph:
@@ -49,8 +49,8 @@ class Graph:
         return cls.from_edges(spark.createDataFrame(rows, "a string, b string, w double"), directed, "w")
 
     def stored(self) -> Graph:
-        """The same graph as written tables, edges in buckets by source."""
-        edges = bucketed(self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges", "src")
+        """The same graph as written tables, with parallel edges added up."""
+        edges = written(self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
         nodes = self.nodes if self._given else Graph(edges, self.directed).nodes
         return Graph(edges, self.directed, written(nodes, "nodes"))
 

@@ -8,15 +8,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diffusio.functions.math import conv, safe_div, safe_inv
-from diffusio.functions.measures import AM, TNR, TPR, MannWhitneyParity, Mabs, Mistreatment, PRule, Supervised, of_columns
+from diffusio.functions.measures import AM, TNR, TPR, MannWhitneyParity, Mabs, Mistreatment, PRule, Supervised, of_slots
 from diffusio.functions.order import running
 from diffusio.graph import Graph, Signal
 from diffusio.operators.convergence import Convergence
-from diffusio.operators.filters import PageRank
+from diffusio.operators.filters import GraphFilter, rank_slots
 from diffusio.operators.postprocess import Postprocessor
 from diffusio.plans.optimize import optimize
 from diffusio.plans.ranker import Ranker
-from diffusio.session import written
+from diffusio.session import scope, written
 
 
 def _taken_evenly(df: DataFrame, mass: float) -> DataFrame:
@@ -147,17 +147,19 @@ class FairPersonalizer(Ranker):
             ranks = base.passed(graph, self.edited(p, s, original, params), more).stored()
             return -self.retain_weight * error(ranks) * error.direction - self.prule_weight * min(self.target, fair(ranks))
 
-        together = isinstance(base, PageRank) and base.ranks_many() and all(isinstance(m, Supervised) for m in (error, fair)) and not more
-        before = written(self.rows(p, s, original), "before") if together else None
+        measures = [error, fair]
+        together = isinstance(base, GraphFilter) and base.ranks_many() and all(isinstance(m, Supervised) and m.exclude is None for m in measures) and not more
+        if together:
+            before = written(self.rows(p, s, original), "before")
+            y = [m.rows(original).select("id", F.col("y").alias(f"y{j}")) for j, m in enumerate(measures)]
+            known = written(y[0].join(y[1], "id").select("id", F.array("y0", "y1").alias("y")), "known")
 
         def many(candidates: list[list[float]]) -> list[float]:
-            names = [f"x{i}" for i in range(len(candidates))]
-            edits = before.select("id", *[self.edit(params).alias(c) for c, params in zip(names, candidates, strict=True)])
-            ranks = written(base.rank_many(graph, edits), "ranks")
-            found = []
-            for m in (error, fair):
-                rows = m.rows(ranks.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(ranks, "id")
-                found.append(of_columns(m, rows, [F.col(c) for c in names]))
+            """The candidates of a turn are slots of one state, and one job measures them."""
+            with scope(graph.spark):
+                edits = before.select("id", F.array(*[self.edit(c) for c in candidates]).alias("p"))
+                ranks, _ = rank_slots([base] * len(candidates), graph, edits)
+                found = of_slots(measures, ranks, known, len(candidates))
             return [-self.retain_weight * e * error.direction - self.prule_weight * min(self.target, f) for e, f in zip(*found, strict=True)]
 
         best = optimize(loss, [1, 1, 5, 5] * self.buckets + [self.max_residual], [0, 0, -5, -5] * self.buckets + [0], deviation_tol=self.tol, divide_range=2, partitions=10, many=many if together else None)

@@ -17,26 +17,91 @@ from typing import Any, NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from diffusio.functions.math import conv, safe_div, safe_inv
+from diffusio.functions.math import Adjacency, conv, safe_div, safe_inv
 from diffusio.graph import Graph, Signal
-from diffusio.operators.convergence import Convergence, NotConverged
+from diffusio.operators.convergence import ERRORS, Convergence, NotConverged
 from diffusio.operators.normalize import Normalization
 from diffusio.plans.ranker import Ranker, configured
 from diffusio.session import Steps, written
 
 
+#: A column by its name: of the state, or of one slot of it.
+At = Callable[[str], Column]
+#: Signals that are moved in one state at most; more are moved in several.
+SLOTS = 64
+
+
+def dropped(edges: DataFrame, share: float, k: int, seed: int = 0) -> DataFrame:
+    """edges without a share of them, the rest weighted up. Which go depends on (source, target, k, seed) alone.
+
+    The draw is the first 32 bits of the MD5 of these, joined by tabs, so any retry and any layout give the same.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat_ws("\t", "src", "dst", F.lit(str(k)), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+    return edges.where(draw >= int(share * (1 << 32))).withColumn("w", F.col("w") / (1 - share))
+
+
+def rank_slots(filters: Sequence[GraphFilter], graph: Graph, table: DataFrame, **more: Any) -> tuple[DataFrame, list[int]]:
+    """Ranks (id, value: array) of many signals at once: slot i of table (id, p: array) by filter i.
+
+    The filters are of one class and normalization and differ in their parameters. A step is one
+    join and one shuffle of sums for all slots; a slot whose filter has converged is no longer moved.
+    Also returns the iterations of each slot.
+    """
+    lead, n = filters[0], len(filters)
+    if any(type(f) is not type(lead) or not f.ranks_many() or (f.normalization, f.preserve_norm, getattr(f, "quotient", None)) != (lead.normalization, lead.preserve_norm, getattr(lead, "quotient", None)) for f in filters):
+        raise ValueError("filters of one state need one class, normalization and quotient")
+    lead.checked(more)
+    slots, steps = range(n), Steps()
+    whole = graph.nodes.join(table.select("id", "p"), "id", "left").select("id", F.coalesce("p", F.array(*[F.lit(0.0)] * n)).cast("array<double>").alias("p"))
+    edges = lead.adjacency(graph, more)
+    state, norms = steps.written(lead.start(graph, edges, whole.withColumn("r", F.col("p")), more), "slots", **{f"n{i}": F.sum(F.abs(F.col("p")[i])) for i in slots})
+    norm = [norms[f"n{i}"] or 1.0 for i in slots]
+    state = state.withColumn("p", F.array(*[F.col("p")[i] / norm[i] for i in slots])).withColumn("r", F.col("p"))
+    shared = set(state.columns) - {"p", "r"}  # columns of nodes, the same for all slots
+    at = [lambda name, i=i: F.col(name) if name in shared else F.col(f"{name}_{i}") if name.endswith("_in") else F.col(name)[i] for i in slots]
+    begun = [f.first(at[i]) for i, f in enumerate(filters)]
+    state = state.withColumns({name: F.array(*[b[name].cast("double") for b in begun]) for name in begun[0]})
+    stops = [copy.copy(f.convergence) for f in filters]
+    for s in stops:
+        s.start()
+    live, errors = list(slots), None
+    while live := [i for i in live if not stops[i].stop(state, None if errors is None else "old", "r", {} if errors is None else {"error": errors[i]})]:
+        k = stops[live[0]].iteration
+        columns = {f"{name}_in_{i}": filters[i].moving(name, at[i]) for name in lead.moved() for i in live}
+        arrived = conv(edges, state.select("id", *[v.alias(c) for c, v in columns.items()]), *columns)
+        joined = state.drop("old").join(arrived, "id", "left").fillna(0.0, list(columns))
+        changed = {i: filters[i].step(k, at[i]) for i in live}
+        names = list(changed[live[0]])
+        new = [F.array(*[changed[i][c].cast("double") if i in changed else F.col(c)[i] for i in slots]).alias(c) for c in names]
+        kept = [c for c in state.columns if c not in ("id", "old", *names)]
+        totals = getattr(lead, "quotient", False) is True
+        watched = [i for i in live if stops[i].error != "iters"]
+        seeing = {f"t{i}": F.sum(F.col("r")[i]) for i in live} if totals else {}
+        if not totals:
+            seeing |= {f"e{i}": ERRORS[stops[i].error](F.col("old")[i], F.col("r")[i]) for i in watched}
+        state, seen = steps.written(joined.select("id", F.col("r").alias("old"), *kept, *new), "slots", **seeing)
+        if totals:
+            state = state.withColumn("r", F.array(*[F.col("r")[i] / seen[f"t{i}"] if i in changed and seen[f"t{i}"] else F.col("r")[i] for i in slots]))
+            if watched:
+                seen = state.agg(*[ERRORS[stops[i].error](F.col("old")[i], F.col("r")[i]).alias(f"e{i}") for i in watched]).first().asDict()
+        errors = {i: seen[f"e{i}"] if i in watched else None for i in live}
+    value = F.array(*[f.end(at[i]) * (norm[i] if f.preserve_norm else 1.0) for i, f in enumerate(filters)])
+    return state.select("id", value.alias("value")), [s.iteration for s in stops]
+
+
 class GraphFilter(Ranker):
     """The loop. Subclasses give step(), the columns r (scores), t (state) and others of a new state.
 
-    dropout: share of edges left out of each step, with the rest weighted up.
+    dropout: share of edges left out of each step, with the rest weighted up; which ones goes by
+    a hash of edge, step and seed.
     """
 
-    def __init__(self, normalization: Normalization | str = "auto", convergence: Any = None, preserve_norm: bool = True, before: Ranker | None = None, dropout: float = 0.0, **convergence_options: Any):
+    def __init__(self, normalization: Normalization | str = "auto", convergence: Any = None, preserve_norm: bool = True, before: Ranker | None = None, dropout: float = 0.0, dropout_seed: int = 0, **convergence_options: Any):
         if convergence is not None and convergence_options:
             raise TypeError(f"unknown or repeated options {sorted(convergence_options)}")
         self.normalization = normalization if isinstance(normalization, Normalization) else Normalization(normalization)
         self.convergence = convergence if convergence is not None else Convergence(**convergence_options)
-        self.preserve_norm, self.before, self.dropout = preserve_norm, before, dropout
+        self.preserve_norm, self.before, self.dropout, self.dropout_seed = preserve_norm, before, dropout, dropout_seed
 
     def __add__(self, x: Any) -> Ranker:
         return configured(self, x)
@@ -44,20 +109,24 @@ class GraphFilter(Ranker):
     def after(self, base: Ranker) -> Ranker:
         return self.with_(before=base)
 
-    # what subclasses define
-    def start(self, graph: Graph, edges: DataFrame, state: DataFrame, more: dict) -> DataFrame:
-        """The state (id, p, r) with further columns."""
+    # What subclasses define. Formulas take columns by c(name), so that they hold for one signal and for each slot of many.
+    def start(self, graph: Graph, edges: Any, state: DataFrame, more: dict) -> DataFrame:
+        """The state (id, p, r) with further columns of nodes, which no step changes."""
         return state
 
+    def first(self, c: At) -> dict[str, Column]:
+        """Columns of the first state besides p and r."""
+        return {}
+
     def moved(self) -> list[str]:
         """Columns that are moved along the edges; each arrives as <name>_in."""
         return ["r"]
 
-    def moving(self, column: str) -> Column:
+    def moving(self, column: str, c: At) -> Column:
         """What of a column is moved."""
-        return F.col(column)
+        return c(column)
 
-    def step(self, k: int) -> dict[str, Column]:
+    def step(self, k: int, c: At) -> dict[str, Column]:
         """New values of columns at iteration k (from 1)."""
         raise NotImplementedError
 
@@ -69,11 +138,11 @@ class GraphFilter(Ranker):
         """The state after a step as the next one sees it; seen has what was observed."""
         return state
 
-    def end(self, state: DataFrame) -> Column:
-        return F.col("r")
+    def end(self, c: At) -> Column:
+        return c("r")
 
-    def adjacency(self, graph: Graph, more: dict) -> DataFrame:
-        return self.normalization.edges(graph)
+    def adjacency(self, graph: Graph, more: dict) -> Adjacency:
+        return self.normalization.adjacency(graph)
 
     inputs = ("warm_start",)
 
@@ -93,7 +162,8 @@ class GraphFilter(Ranker):
         else:
             state = state.join(Signal.of(graph, warm_start).df.withColumnRenamed("value", "r"), "id")
         steps = Steps()
-        state, seen = steps.written(self.start(graph, edges, state, more), "state", **self.observed())
+        state = self.start(graph, edges, state, more)
+        state, seen = steps.written(state.withColumns(self.first(F.col)), "state", **self.observed())
         state = self.begun(state, seen)
         convergence = copy.copy(self.convergence)
         convergence.start()
@@ -102,16 +172,16 @@ class GraphFilter(Ranker):
         late = type(self).settle is not GraphFilter.settle and bool(getattr(self, "quotient", True))
         while not convergence.stop(state, old, "r", seen):
             k, old = convergence.iteration, "old"
-            e = edges.where(F.rand(k) >= self.dropout).withColumn("w", F.col("w") / (1 - self.dropout)) if self.dropout else edges
+            e = edges._replace(rows=dropped(edges.rows, self.dropout, k, self.dropout_seed)) if self.dropout else edges
             names = self.moved()
-            arrived = conv(e, state.select("id", *[self.moving(c).alias(c) for c in names]), *names)
+            arrived = conv(e, state.select("id", *[self.moving(c, F.col).alias(c) for c in names]), *names)
             joined = state.drop("old").join(arrived.select("id", *[F.col(c).alias(f"{c}_in") for c in names]), "id", "left").fillna(0.0, [f"{c}_in" for c in names])
-            changed = self.step(k)
+            changed = self.step(k, F.col)
             kept = [c for c in state.columns if c not in ("id", "old") and c not in changed]
             state = joined.select("id", F.col("r").alias("old"), *kept, *[v.cast("double").alias(c) for c, v in changed.items()])
             state, seen = steps.written(state, "state", **self.observed(), **({} if late else convergence.wanted("old", "r")))
             state = self.settle(state, graph, seen)
-        out = state.select("id", self.end(state).alias("value"))
+        out = state.select("id", self.end(F.col).alias("value"))
         found = Signal(graph, out.select("id", (F.col("value") * norm).alias("value")) if self.preserve_norm else out)
         found.iterations = convergence.iteration
         return found
@@ -120,6 +190,20 @@ class GraphFilter(Ranker):
         """The first state as the first step sees it."""
         return state
 
+    def ranks_many(self) -> bool:
+        """Whether many signals can be ranked in the slots of one state."""
+        return isinstance(self.convergence, Convergence) and isinstance(getattr(self, "quotient", True), bool) and not (self.dropout or self.before)
+
+    def rank_many(self, graph: Graph, table: DataFrame, **more: Any) -> DataFrame:
+        """Ranks of each column of a table (id, ...) as a personalization of its own."""
+        names = [c for c in table.columns if c != "id"]
+        out = graph.nodes
+        for at in range(0, len(names), SLOTS):
+            some = names[at : at + SLOTS]
+            ranks, _ = rank_slots([self] * len(some), graph, table.select("id", F.array(*some).alias("p")), **more)
+            out = out.join(ranks.select("id", *[F.col("value")[i].alias(c) for i, c in enumerate(some)]), "id") if len(names) > SLOTS else ranks.select("id", *[F.col("value")[i].alias(c) for i, c in enumerate(some)])
+        return out
+
 
 class Recursive(GraphFilter):
     """r <- formula(r), then the quotient: True divides by the (signed) sum, a postprocessor is applied, False is nothing.
@@ -131,12 +215,15 @@ class Recursive(GraphFilter):
         super().__init__(*args, **options)
         self.quotient, self.eigenvectors = quotient, eigenvectors
 
-    def formula(self, k: int) -> Column:
+    def formula(self, k: int, c: At) -> Column:
         """New scores from r_in (moved scores), r, p and further columns."""
         raise NotImplementedError
 
-    def step(self, k):
-        return {"r": self.formula(k)}
+    def step(self, k, c):
+        return {"r": self.formula(k, c)}
+
+    def ranks_many(self):
+        return super().ranks_many() and not self.eigenvectors
 
     def observed(self):
         return {"total": F.sum("r")} if self.quotient is True else {}
@@ -157,32 +244,8 @@ class PageRank(Recursive):
         super().__init__(**options)
         self.alpha = alpha
 
-    def formula(self, k):
-        return self.alpha * F.col("r_in") + (1 - self.alpha) * F.col("p")
-
-    def ranks_many(self) -> bool:
-        """Whether rank_many() can stand for rank()."""
-        c = self.convergence
-        return type(self) is PageRank and isinstance(c, Convergence) and c.error == "iters" and isinstance(self.quotient, bool) and not (self.eigenvectors or self.dropout or self.before)
-
-    def rank_many(self, graph: Graph, table: DataFrame) -> DataFrame:
-        """Ranks of each column of a table (id, ...) as a personalization of its own; all are moved in one step."""
-        names = [c for c in table.columns if c != "id"]
-        table = written(table, "many")
-        norms = table.agg(*[F.sum(F.abs(c)).alias(c) for c in names]).first()
-        p = {c: F.col(c) / (norms[c] or 1.0) for c in names}
-        edges, steps = self.normalization.edges(graph), Steps()
-        state = table.select("id", *[p[c].alias(f"p_{c}") for c in names], *[p[c].alias(c) for c in names])
-        for _ in range(self.convergence.max_iters - 1):
-            arrived = conv(edges, state.select("id", *names), *names).select("id", *[F.col(c).alias(f"{c}_in") for c in names])
-            joined = state.drop(*names).join(arrived, "id", "left").fillna(0.0, [f"{c}_in" for c in names])
-            new = [(self.alpha * F.col(f"{c}_in") + (1 - self.alpha) * F.col(f"p_{c}")).alias(c) for c in names]
-            state, totals = steps.written(joined.select("id", *[f"p_{c}" for c in names], *new), "many", **({f"t{i}": F.sum(c) for i, c in enumerate(names)} if self.quotient else {}))
-            if self.quotient:
-                totals = {c: totals[f"t{i}"] for i, c in enumerate(names)}
-                state = state.select("id", *[f"p_{c}" for c in names], *[(F.col(c) / (totals[c] or 1.0)).alias(c) for c in names])
-        scale = {c: (norms[c] or 0.0) if self.preserve_norm else 1.0 for c in names}
-        return state.select("id", *[(F.col(c) * scale[c]).alias(c) for c in names])
+    def formula(self, k, c):
+        return self.alpha * c("r_in") + (1 - self.alpha) * c("p")
 
 
 class DijkstraRank(Recursive):
@@ -192,8 +255,8 @@ class DijkstraRank(Recursive):
         super().__init__(**options)
         self.degradation = degradation
 
-    def formula(self, k):
-        return F.greatest(F.col("r"), F.col("r_in") * self.degradation)
+    def formula(self, k, c):
+        return F.greatest(c("r"), c("r_in") * self.degradation)
 
 
 class BiasedKernel(Recursive):
@@ -201,12 +264,12 @@ class BiasedKernel(Recursive):
         super().__init__(**options)
         self.alpha, self.t = alpha, t
 
-    def formula(self, k):
-        return F.col("p") + (self.alpha * self.t / k) * F.col("r_in") * F.col("p") - F.col("r")
+    def formula(self, k, c):
+        return c("p") + (self.alpha * self.t / k) * c("r_in") * c("p") - c("r")
 
 
-def _with_degrees(state: DataFrame, edges: DataFrame) -> DataFrame:
-    d = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"))
+def _with_degrees(state: DataFrame, edges: Adjacency) -> DataFrame:
+    d = edges.rows.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"))
     return state.join(d, "id", "left").fillna(0.0, ["d"])
 
 
@@ -224,8 +287,8 @@ class AbsorbingWalks(Recursive):
         state = _with_degrees(state, edges).join(absorption, "id")
         return state.withColumn("a", F.col("value") * ((1 - self.alpha) / self.alpha)).drop("value")
 
-    def formula(self, k):
-        return safe_div(F.col("r_in") * F.col("d") + F.col("p") * F.col("a"), F.col("a") + F.col("d"))
+    def formula(self, k, c):
+        return safe_div(c("r_in") * c("d") + c("p") * c("a"), c("a") + c("d"))
 
 
 class SymmetricAbsorbing(Recursive):
@@ -236,11 +299,11 @@ class SymmetricAbsorbing(Recursive):
     def start(self, graph, edges, state, more):
         return _with_degrees(state, edges).withColumn("a", (1 + F.sqrt(1 + 4 * F.col("d"))) / 2)
 
-    def moving(self, column):
-        return safe_div(F.col(column), F.col("a"))
+    def moving(self, column, c):
+        return safe_div(c(column), c("a"))
 
-    def formula(self, k):
-        return (F.col("r_in") * F.col("d") + F.col("p") * F.col("a")) / (F.col("a") + F.col("d"))
+    def formula(self, k, c):
+        return (c("r_in") * c("d") + c("p") * c("a")) / (c("a") + c("d"))
 
 
 class Impulse(Recursive):
@@ -253,17 +316,56 @@ class Impulse(Recursive):
     def at(self, k: int) -> float:
         return self.params[k - 1] if k <= len(self.params) else 0.0
 
-    def formula(self, k):
-        return self.at(k) * F.col("r_in") + (1 - self.at(k)) * F.col("r")
+    def formula(self, k, c):
+        return self.at(k) * c("r_in") + (1 - self.at(k)) * c("r")
 
 
 class LowPass(Impulse):
     """a * moved + (1 - a) * p with the k-th parameter a; unchanged beyond them."""
 
-    def formula(self, k):
+    def formula(self, k, c):
         if k > len(self.params):
-            return F.col("r")
-        return self.at(k) * F.col("r_in") + (1 - self.at(k)) * F.col("p")
+            return c("r")
+        return self.at(k) * c("r_in") + (1 - self.at(k)) * c("p")
+
+
+class HopStore:
+    """Signals moved 0, 1, ... times, kept for filters that weight them: a table of id, h0, h1, ... for each key.
+
+    A key is the graph, the normalization and the content of the signal. A table is extended when
+    more hops are asked for. keep: for how many keys tables are kept; the one used longest ago goes.
+    """
+
+    def __init__(self, keep: int = 1):
+        self.keep = keep
+        #: How many times signals have been moved so far.
+        self.moves = 0
+        self._held: dict[Any, tuple[Graph, DataFrame, list[dict[str, float]]]] = {}
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+    def columns(self, graph: Graph, normalization: Normalization, p: Signal, n: int) -> tuple[DataFrame, list[dict[str, float]]]:
+        """id and h0 to h(n-1) at least, and for each the errors (of ERRORS, by name) that adding it makes."""
+        content = p.df.agg(F.count("id"), F.sum(F.xxhash64("id", "value").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("value", "id"))).first()
+        key = (id(graph), normalization, *content)
+        names, a = ("mabs", "max", "l1", "l2", "msq"), F.lit(0.0)
+        if key in self._held:
+            _, state, sizes = self._held.pop(key)
+        else:
+            steps = Steps()
+            state, seen = steps.written(p.df.withColumnRenamed("value", "h0"), "hops", **{m: ERRORS[m](a, F.col("h0")) for m in names})
+            sizes = [seen]
+        edges, steps = normalization.adjacency(graph), Steps()
+        for i in range(len(sizes), n):
+            moved = conv(edges, state.select("id", F.col(f"h{i - 1}").alias(f"h{i}")), f"h{i}")
+            state, seen = steps.written(state.join(moved, "id", "left").fillna(0.0, [f"h{i}"]), "hops", **{m: ERRORS[m](a, F.col(f"h{i}")) for m in names})
+            sizes = [*sizes, seen]
+            self.moves += 1
+        self._held[key] = (graph, state, sizes)  # the graph too, so that its id isn't given to another
+        while len(self._held) > self.keep:
+            self._held.pop(next(iter(self._held)))
+        return state, sizes
 
 
 class ClosedForm(GraphFilter):
@@ -271,30 +373,38 @@ class ClosedForm(GraphFilter):
 
     chebyshev: from the third term on, twice the moved term less the term before takes its
     place. krylov: the number of dimensions in which powers are taken instead (Lanczos).
+    hops: a store in which moved signals are kept for other filters.
     """
 
-    def __init__(self, *args: Any, chebyshev: bool = False, krylov: int | None = None, **options: Any):
+    def __init__(self, *args: Any, chebyshev: bool = False, krylov: int | None = None, hops: HopStore | None = None, **options: Any):
         super().__init__(*args, **options)
-        self.chebyshev, self.krylov = chebyshev, krylov
+        self.chebyshev, self.krylov, self.hops = chebyshev, krylov, hops
 
     def coefficients(self, n: int) -> list[float]:
         """The first n."""
         raise NotImplementedError
 
-    def start(self, graph, edges, state, more):
-        return state.withColumn("r", F.lit(0.0)).withColumn("t", F.col("p"))
+    def first(self, c):
+        return {"r": F.lit(0.0), "t": c("p")}
 
     def moved(self):
         return ["t"]
 
-    def step(self, k):
-        return {"r": F.col("r") + self.coefficients(k)[-1] * F.col("t"), "t": F.col("t_in")}
+    def step(self, k, c):
+        return {"r": c("r") + self.coefficients(k)[-1] * c("t"), "t": c("t_in")}
+
+    def ranks_many(self):
+        return super().ranks_many() and not (self.chebyshev or self.krylov)
 
     def rank(self, graph, signal=None, **more):
         self.checked(more)
         if self.chebyshev:
             return self._chebyshev(graph, signal, **more)
-        return self._krylov(graph, signal) if self.krylov else super().rank(graph, signal, **more)
+        if self.krylov:
+            return self._krylov(graph, signal)
+        if self.hops is not None and not (self.dropout or self.before or more) and isinstance(self.convergence, Convergence) and self.convergence.error != "rmabs":
+            return self._from_hops(graph, signal)
+        return super().rank(graph, signal, **more)
 
     def _chebyshev(self, graph, signal, **more):
         parent = self
@@ -303,17 +413,17 @@ class ClosedForm(GraphFilter):
             def coefficients(self, n):
                 return parent.coefficients(n)
 
-            def start(self, graph, edges, state, more):
-                return state.withColumn("r", F.lit(0.0)).withColumn("t", F.col("p")).withColumn("before", F.lit(0.0)).withColumn("now", F.col("p"))
+            def first(self, c):
+                return {"r": F.lit(0.0), "before": F.lit(0.0), "now": c("p")}
 
             def moved(self):
                 return ["now"]
 
-            def step(self, k):
+            def step(self, k, c):
                 # now: this iteration's term, adjusted when it was made
-                r = F.col("r") + self.coefficients(k)[-1] * F.col("now")
-                before = F.col("now") if k >= 2 else F.col("before")
-                term = F.col("now_in") if k + 1 <= 2 else 2 * F.col("now_in") - before
+                r = c("r") + self.coefficients(k)[-1] * c("now")
+                before = c("now") if k >= 2 else c("before")
+                term = c("now_in") if k + 1 <= 2 else 2 * c("now_in") - before
                 return {"r": r, "before": before, "now": term}
 
         out = Adjusted(self.normalization, self.convergence, self.preserve_norm, self.before, self.dropout)
@@ -325,8 +435,9 @@ class ClosedForm(GraphFilter):
         if norm == 0:
             return p
         p = (p / norm).stored()
-        base, h = lanczos(self.normalization.edges(graph), p.df.withColumnRenamed("value", "v0"), self.krylov)
-        if (error := krylov_error(self.normalization.edges(graph), base, h)) > KRYLOV_ERROR:
+        edges = self.normalization.adjacency(graph)
+        base, h = lanczos(edges, p.df.withColumnRenamed("value", "v0"), self.krylov)
+        if (error := krylov_error(edges, base, h)) > KRYLOV_ERROR:
             raise NotConverged(f"{self.krylov} dimensions are too few: a moved signal is missed by {error}")
         convergence, power, result, n = copy.copy(self.convergence), np.eye(len(h)), np.zeros_like(h), 0
         last = None
@@ -344,15 +455,29 @@ class ClosedForm(GraphFilter):
         return Signal(graph, base.select("id", (value * float(length) * (norm if self.preserve_norm else 1.0)).alias("value")))
 
     def hop_columns(self, graph: Graph, signal: Any, n: int) -> DataFrame:
-        """id, h0..h(n-1): the normalized signal moved 0, 1, ... times, kept for reuse by tuners."""
-        p = Signal.of(graph, signal).normalized()
-        edges = self.normalization.edges(graph)
-        steps = Steps()
-        state, _ = steps.written(p.df.withColumnRenamed("value", "h0"), "hops")
-        for i in range(1, n):
-            moved = conv(edges, state.select("id", F.col(f"h{i - 1}").alias(f"h{i}")), f"h{i}")
-            state, _ = steps.written(state.join(moved, "id", "left").fillna(0.0, [f"h{i}"]), "hops")
-        return state
+        """id, h0..h(n-1) at least: the normalized signal moved 0, 1, ... times, from the store if there is one."""
+        store = self.hops if self.hops is not None else HopStore()
+        return store.columns(graph, self.normalization, Signal.of(graph, signal).normalized(), n)[0]
+
+    def _from_hops(self, graph: Graph, signal: Any) -> Signal:
+        """As the loop does it, with what is moved taken from the store. Errors of sums follow from those of hops, without jobs."""
+        p = Signal.of(graph, signal).stored()
+        if (norm := p.norm()) == 0:
+            return p
+        c, n = copy.copy(self.convergence), 0
+        c.start()
+        state, sizes, error = None, [], None
+        while not c.stop(None, None if error is None else "old", "r", {"error": error}):
+            n += 1
+            if len(sizes) < n:  # a few hops ahead
+                state, sizes = self.hops.columns(graph, self.normalization, p / norm, n if c.error == "iters" else n + 4)
+            w = abs(self.coefficients(n)[-1])
+            error = w * sizes[n - 1][c.error] if c.error in ("mabs", "max", "l1") else w * w * sizes[n - 1][c.error] if c.error != "iters" else None
+        value = reduce(lambda a, b: a + b, [F.col(f"h{i}") * w for i, w in enumerate(self.coefficients(n))], F.lit(0.0))
+        rows = p.df.select("id", F.lit(0.0).alias("h0")) if state is None else state
+        found = Signal(graph, rows.select("id", (value * (norm if self.preserve_norm else 1.0)).alias("value")))
+        found.iterations = c.iteration
+        return found
 
 
 class PageRankClosed(ClosedForm):
@@ -416,7 +541,7 @@ class FairPageRank(Recursive):
         return super().rank(graph, p, sensitive=_Inputs(s, p), **more)
 
     def adjacency(self, graph, more):
-        raw = Normalization("none").edges(graph)
+        raw = Normalization("none").adjacency(graph)
         s, p = more["sensitive"]
         n = graph.number_of_nodes()
         phi = s.sum() / n * self.target
@@ -435,8 +560,8 @@ class FairPageRank(Recursive):
         total = x.agg(F.sum("xr"), F.sum("xb")).first()
         x = x.select("id", (F.col("xr") / (total[0] or 1.0)).alias("xr"), (F.col("xb") / (total[1] or 1.0)).alias("xb"))
         more["tables"] = written(out.select("id", scale.alias("scale"), d_red.alias("dr"), d_blue.alias("db")).join(x, "id"), "fair")
-        scaled = raw.join(more["tables"].select(F.col("id").alias("src"), "scale"), "src")
-        return Normalization.stored(scaled.select("src", "dst", (F.col("w") * F.col("scale")).alias("w")))
+        scaled = raw.plain.join(more["tables"].select(F.col("id").alias("src"), "scale"), "src")
+        return Normalization.stored(scaled.select("src", "dst", (F.col("w") * F.col("scale")).alias("w")), graph)
 
     def start(self, graph, edges, state, more):
         return state.join(more["tables"].drop("scale"), "id")
@@ -455,11 +580,14 @@ class FairPageRank(Recursive):
             seen = out.agg(*[v.alias(k) for k, v in self.observed().items()]).first().asDict()
         return self.begun(out, {k: (seen[k] or 0) / scale for k in ("red", "blue")})
 
-    def formula(self, k):
-        return self.alpha * (F.col("r_in") + F.col("red") * F.col("xr") + F.col("blue") * F.col("xb")) + (1 - self.alpha) * F.col("p")
+    def formula(self, k, c):
+        return self.alpha * (c("r_in") + c("red") * c("xr") + c("blue") * c("xb")) + (1 - self.alpha) * c("p")
 
-    def end(self, state):
-        return F.col("r") - (1 - self.alpha) * F.col("p")
+    def end(self, c):
+        return c("r") - (1 - self.alpha) * c("p")
+
+    def ranks_many(self):
+        return False  # two sums over all nodes take part in each step
 
 
 class _Inputs(NamedTuple):
@@ -469,12 +597,12 @@ class _Inputs(NamedTuple):
     personalization: Signal
 
 
-def _orthonormal(state: DataFrame, edges: DataFrame, i: int) -> DataFrame:
+def _orthonormal(state: DataFrame, edges: Adjacency | DataFrame, i: int) -> DataFrame:
     moved = conv(edges, state.select("id", F.col(f"v{i}").alias("m")), "m")
     return state.join(moved, "id", "left").fillna(0.0, ["m"])
 
 
-def lanczos(edges: DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
+def lanczos(edges: Adjacency | DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
     """An orthonormal basis v0.. of the Krylov space of start (id, v0) and the tridiagonal matrix of the edges in it."""
     norm = start.agg(F.sqrt(F.sum(F.col("v0") * F.col("v0")))).first()[0]
     steps = Steps(4)  # two tables a dimension
@@ -504,14 +632,14 @@ def lanczos(edges: DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, n
 KRYLOV_ERROR = 0.01
 
 
-def krylov_error(edges: DataFrame, base: DataFrame, h: np.ndarray) -> float:
+def krylov_error(edges: Adjacency | DataFrame, base: DataFrame, h: np.ndarray) -> float:
     """The mean error of the first basis vector after a move, as the basis and its matrix have it."""
     moved = _orthonormal(base, edges, 0)
     held = reduce(lambda a, b: a + b, [F.col(f"v{i}") * float(h[i, 0]) for i in range(len(h))])
     return float(moved.agg(F.avg(F.abs(F.col("m") - held))).first()[0] or 0.0)
 
 
-def arnoldi(edges: DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
+def arnoldi(edges: Adjacency | DataFrame, start: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
     """A basis by modified Gram-Schmidt; the first vector has absolute sum 1. Returns it and its coefficients."""
     norm = start.agg(F.sum(F.abs("v0"))).first()[0]
     steps = Steps(4)  # two tables a dimension
@@ -539,5 +667,8 @@ class CustomFilter(Recursive):
         super().__init__(**options)
         self.own = formula
 
-    def formula(self, k):
+    def formula(self, k, c):
         return self.own(k)
+
+    def ranks_many(self):
+        return False  # the function names columns itself

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from diffusio.functions.math import conv, safe_inv
+from diffusio.functions.math import Adjacency, conv, safe_inv
 from diffusio.graph import Graph, Signal
-from diffusio.session import Steps, bucketed
+from diffusio.session import Steps, bucketed, written
 
 #: How many edges of one source may be in one bucket.
 HUB = 1_000_000
@@ -32,21 +32,23 @@ class Normalization:
     reduction: Edges | None = None
 
     def edges(self, graph: Graph) -> DataFrame:
-        """src, dst, w, kept for the graph in buckets by source, so that a step doesn't shuffle edges.
+        """src, dst, w, written once for the graph."""
+        return self.adjacency(graph).plain
 
-        If a source has more than HUB edges, all sources of that kind have them in several
-        parts, numbered in one more column.
-        """
-        return graph.remembered(self, lambda: self.stored(self._made(graph)))
+    def adjacency(self, graph: Graph) -> Adjacency:
+        """The same edges in buckets by source, so that a step doesn't shuffle them."""
+        return graph.remembered(self, lambda: self.stored(self._made(graph), graph))
 
     @staticmethod
-    def stored(edges: DataFrame) -> DataFrame:
-        kept = bucketed(edges, "adjacency", "src")
-        sizes = kept.groupBy("src").agg(F.ceil(F.count("dst") / HUB).cast("int").alias("parts")).where("parts > 1")
-        if sizes.isEmpty():
-            return kept
-        split = kept.join(F.broadcast(sizes), "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        return bucketed(split, "adjacency", "src", "part")
+    def stored(edges: DataFrame, graph: Graph) -> Adjacency:
+        """Edges of a graph written in buckets. Sources with more than HUB edges in the graph are dealt into parts before."""
+        parts = F.ceil(F.count("dst") / HUB).cast("int")
+        hubs = graph.remembered("hubs", lambda: written(graph.edges.groupBy("src").agg(parts.alias("parts")).where("parts > 1"), "hubs"))
+        if graph.remembered("no hubs", hubs.isEmpty):
+            return Adjacency(*bucketed(edges, "adjacency", "src"))
+        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = bucketed(edges.join(F.broadcast(hubs), "src", "left").withColumn("part", part).drop("parts"), "adjacency", "src", "part")
+        return Adjacency(dealt.rows, dealt.plain.drop("part"), hubs)
 
     def _made(self, graph: Graph) -> DataFrame:
         e = graph.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -76,7 +78,7 @@ class Normalization:
 
 def eigdegree(graph: Graph, tol: float = 1e-16, max_iters: int = 1000) -> DataFrame:
     """Degrees (id, d) by power iteration: the eigenvalue over the squared eigenvector."""
-    e = graph.remembered("raw", lambda: Normalization("none").edges(graph))
+    e = graph.remembered("raw", lambda: Normalization("none").adjacency(graph))
     v, last, states = graph.nodes.withColumn("v", F.lit(1.0)), float("inf"), Steps()
     norm = float(graph.number_of_nodes()) ** 0.5
     for _ in range(max_iters):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
+from statistics import NormalDist
 from time import perf_counter
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from diffusio.functions.measures import AUC, Measure
@@ -79,21 +82,45 @@ def scores(results: DataFrame) -> DataFrame:
     return results.select("value")
 
 
-#: Quantiles of the studentized range over the root of 2 at 5 percent, for 2 to 10 algorithms.
-NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
+def studentized_range(q: float, k: int) -> float:
+    """The probability that k standard normal values lie within a range of q (quadrature by Simpson's rule)."""
+    if q <= 0:
+        return 0.0
+    z = np.linspace(-9.0, 9.0, 2001)
+    normal = np.array([NormalDist().cdf(x) for x in z])
+    below = np.array([NormalDist().cdf(x - q) for x in z])
+    weights = np.ones(len(z))
+    weights[1:-1:2], weights[2:-1:2] = 4, 2
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return float(min(1.0, k * (weights * density * (normal - below) ** (k - 1)).sum() * (z[1] - z[0]) / 3))
 
 
-def nemenyi(results: DataFrame) -> DataFrame:
-    """algorithm, other, difference of their mean ranks, least (the critical difference), differ: the Nemenyi test at 5 percent."""
+def range_quantile(p: float, k: int) -> float:
+    """The range within which k standard normal values lie with probability p."""
+    low, high = 0.0, 40.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if studentized_range(middle, k) < p else (low, middle)
+    return high
+
+
+def nemenyi(results: DataFrame, level: float = 0.05) -> DataFrame:
+    """algorithm, other, difference of their mean ranks, least (the critical difference), p (the probability of such a difference by chance), differ: the Nemenyi test.
+
+    There is a row for each pair of algorithms, so algorithms are few: their mean ranks come to the driver.
+    """
     ranked = ranks(results)
-    mean = ranked.groupBy("algorithm").agg(F.avg("value").alias("rank"), F.count("value").alias("n"))
-    k = mean.count()
-    if not 2 <= k <= len(NEMENYI) + 1:
-        raise ValueError(f"quantiles are known for 2 to {len(NEMENYI) + 1} algorithms")
-    both = mean.join(mean.select(F.col("algorithm").alias("other"), F.col("rank").alias("far")), F.col("algorithm") < F.col("other"))
-    least = F.lit(NEMENYI[k - 2]) * F.sqrt(k * (k + 1) / (6.0 * F.col("n")))
-    out = both.select("algorithm", "other", F.abs(F.col("rank") - F.col("far")).alias("difference"), least.alias("least"))
-    return out.withColumn("differ", F.col("difference") > F.col("least"))
+    mean = sorted(tuple(r) for r in ranked.groupBy("algorithm").agg(F.avg("value"), F.count("value")).collect())
+    k = len(mean)
+    if k < 2:
+        raise ValueError("a comparison needs two algorithms")
+    quantile, rows = range_quantile(1 - level, k), []
+    for i, (a, rank, n) in enumerate(mean):
+        error = math.sqrt(k * (k + 1) / (12.0 * n))  # ranges are of values with this deviation
+        for b, far, _ in mean[i + 1 :]:
+            gap = abs(rank - far)
+            rows.append((a, b, gap, quantile * error, 1 - studentized_range(gap / error, k), gap > quantile * error))
+    return results.sparkSession.createDataFrame(rows, "algorithm string, other string, difference double, least double, p double, differ boolean")
 
 
 def as_dict(results: DataFrame) -> dict[str, dict[str, float]]:

@@ -59,6 +59,4 @@ def predictions(features: DataFrame) -> DataFrame:
 def accuracy(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """The share of labels (id, label) that predicted (id, label) gives."""
     both = labels.join(predicted.select("id", F.col("label").alias("p")), "id", "left")
-    return both.agg(F.avg((F.col("label") == F.coalesce("p", F.lit(-1))).cast("double")).alias("value"))
-
-
+    return both.agg(F.avg(F.coalesce(F.col("label") == F.col("p"), F.lit(False)).cast("double")).alias("value"))

@@ -9,14 +9,14 @@ from typing import Any
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from diffusio.functions.measures import AUC, Cos, Measure, of_columns
+from diffusio.functions.measures import AUC, Cos, Measure, Supervised, of_columns, of_slots
 from diffusio.graph import Graph, Signal
-from diffusio.operators.filters import GenericFilter, HeatKernel, PageRank, arnoldi
+from diffusio.operators.filters import GenericFilter, GraphFilter, HeatKernel, HopStore, PageRank, arnoldi, rank_slots
 from diffusio.operators.normalize import Normalization
 from diffusio.operators.postprocess import Normalize, Tautology
 from diffusio.plans.optimize import optimize
 from diffusio.plans.ranker import Ranker
-from diffusio.session import written
+from diffusio.session import scope, written
 
 
 def halves(signal: Signal, share: float, seed: int = 0) -> tuple[Signal, Signal]:
@@ -65,11 +65,12 @@ class ParameterTuner(Tuner):
 
     By default make gives hop weights (the first is 1). Their hops are propagated once for
     each fold and kept as columns; each candidate is then one linear combination.
+    hops: a store in which the hops are kept for other runs on the same seeds.
     combined: rank with all seeds in the end, not with those of the last fold's training alone.
     """
 
-    def __init__(self, make: Callable[[list[float]], Ranker] | None = None, highest: Sequence[float] = (1.0,) * 40, lowest: Sequence[float] | None = None, measure: Callable[..., Measure] = AUC, training: float = 0.9, folds: int = 1, optimizer: Callable = optimize, normalization: Normalization | str = "auto", seed: int = 0, combined: bool = True, **options: Any):
-        self.combined = combined
+    def __init__(self, make: Callable[[list[float]], Ranker] | None = None, highest: Sequence[float] = (1.0,) * 40, lowest: Sequence[float] | None = None, measure: Callable[..., Measure] = AUC, training: float = 0.9, folds: int = 1, optimizer: Callable = optimize, normalization: Normalization | str = "auto", seed: int = 0, combined: bool = True, hops: HopStore | None = None, **options: Any):
+        self.combined, self.hops = combined, hops
         self.make, self.highest, self.lowest = make, list(highest), lowest
         self.measure, self.training, self.folds, self.optimizer, self.normalization, self.seed = measure, training, folds, optimizer, normalization, seed
         self.options = {"deviation_tol": 1e-6, **options}
@@ -81,12 +82,15 @@ class ParameterTuner(Tuner):
             training, validation = halves(p, self.training, self.seed + fold)
             measure = self.measure(validation, exclude=training)
             if self.make is None:
-                hops = GenericFilter(normalization=self.normalization).hop_columns(graph, training, len(self.highest) + 1)
+                n = len(self.highest) + 1
+                hops = GenericFilter(normalization=self.normalization, hops=self.hops).hop_columns(graph, training, n).select("id", *[f"h{i}" for i in range(n)])
                 rows = written(measure.rows(hops.select("id", F.lit(0.0).alias("value"))).select("id", "y").join(hops, "id"), "hops")
                 loss = lambda w, rows=rows, m=measure: -m.direction * float(m.of(rows.select("id", "y", _mixed([1.0, *w]).alias("x"))).first()[0] or 0.0)
             else:
                 loss = lambda w, t=training, m=measure: -m.direction * m(self.make(w).passed(graph, t, more).stored())
             options = self.options
+            if self.make is not None and self.optimizer is optimize and _in_slots(self.make(list(self.highest))) and isinstance(measure, Supervised) and not more:
+                options = {"many": _candidates(self.make, graph, training, measure), **options}
             if self.make is None and self.optimizer is optimize:
                 options = {"many": lambda ws, rows=rows, m=measure: [-m.direction * v for v in of_columns(m, rows, [_mixed([1.0, *w]) for w in ws])], **options}
             found.append(self.optimizer(loss, self.highest, self.lowest, **options))
@@ -95,6 +99,23 @@ class ParameterTuner(Tuner):
         return ranker, p if self.combined else training
 
 
+def _in_slots(ranker: Ranker) -> bool:
+    return isinstance(ranker, GraphFilter) and ranker.ranks_many()
+
+
+def _candidates(make: Callable[[list[float]], Ranker], graph: Graph, training: Signal, measure: Supervised) -> Callable[[list[list[float]]], list[float]]:
+    """Losses of a turn's candidates: each is a slot of one state, with its own coefficients."""
+    known = written(measure.rows(training).select("id", F.array("y").alias("y")), "known")
+
+    def many(candidates: list[list[float]]) -> list[float]:
+        with scope(graph.spark):
+            p = training.df.select("id", F.array_repeat("value", len(candidates)).alias("p"))
+            ranks, _ = rank_slots([make(w) for w in candidates], graph, p)
+            return [-measure.direction * v for v in of_slots([measure], ranks, known, len(candidates))[0]]
+
+    return many
+
+
 def _mixed(weights: Sequence[float]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"h{i}") * float(w) for i, w in enumerate(weights)])
 

@@ -13,7 +13,9 @@ from diffusio.graph import Graph, Signal
 from diffusio.operators import fairness, filters as O, postprocess as P
 from diffusio.operators.convergence import RankOrder
 from diffusio.operators.normalize import Normalization, eigdegree
+from diffusio.operators.projections import CoSimRank
 from diffusio.plans import benchmark as B, recipes as R, sql as S, tuning as T
+from diffusio.plans.ranker import Chain
 from diffusio.plans.fixtures import COMMUNITIES_SQL, GRAPH_SQL, GRAPHS, KEY_SQL, SEED_SQL, SENSITIVE_SQL, communities, key, seeds, sensitive, settled, shown, table
 from diffusio.session import shared_folder
 from diffusio.sources import loaders as L
@@ -66,17 +68,17 @@ add(
 add("two_hop", on("reg", lambda g: g.hops(2)), f"WITH {GRAPH_SQL['reg']} SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst")
 
 
-def _all_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every customer with every supplier."""
-    c = table(spark, folder, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"))
-    return c.crossJoin(table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("dst")))
+def _probes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer with the suppliers it has bought from, and with those of the next number."""
+    rows = GRAPHS["cs"](spark, folder).edges.where("src LIKE 'c%'").select("src", "dst")
+    return rows.unionByName(rows.select("src", F.concat(F.lit("s"), key("dst") + 1).alias("dst"))).distinct()
 
 
-# The same on the customers and suppliers.
+# The same on the customers and suppliers, linear in the edges.
 add(
     "has_edge_whole",
-    lambda spark, folder: GRAPHS["cs"](spark, folder).has_edges(_all_pairs(spark, folder)),
-    f"{CS} SELECT a.src, a.dst, e.src IS NOT NULL AS has_edge FROM (SELECT 'c' || c_custkey AS src, 's' || s_suppkey AS dst FROM customer, supplier) a LEFT JOIN edges e ON e.src = a.src AND e.dst = a.dst",
+    lambda spark, folder: GRAPHS["cs"](spark, folder).has_edges(_probes(spark, folder)),
+    f"{CS}, probes AS (SELECT a AS src, b AS dst FROM pairs UNION SELECT a, 's' || (CAST(substr(b, 2) AS BIGINT) + 1) FROM pairs) SELECT p.src, p.dst, e.src IS NOT NULL AS has_edge FROM probes p LEFT JOIN edges e ON e.src = p.src AND e.dst = p.dst",
 )
 add("two_hop_whole", on("cs", lambda g: g.hops(2)), f"{CS} SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst")
 
@@ -160,6 +162,84 @@ _F2 = S.diffusion("nat", "col", 2, lambda k: "0.85::DOUBLE * x + 0.1500000000000
 add("propagate_features_k", _propagate, f"{_F2} SELECT id, {S.ROUND.format('one.value')} AS f0, {S.ROUND.format('two.value')} AS f1 FROM one JOIN two USING (id)")
 
 
+
+
+def _embeddings_of(g: Graph, spark: SparkSession, folder: str) -> DataFrame:
+    """The 64 numbers of the embedding that has a node's number; nodes without one have 0."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return g.nodes.join(rows, key() == F.col("vec_id"), "left").select("id", *[F.coalesce(F.col("e")[i], F.lit(0.0)).alias(f"e{i}") for i in range(64)])
+
+
+def propagated(make: Callable[[], O.GraphFilter]) -> Query:
+    """All 64 columns of embeddings moved over customers and suppliers: id, place, v."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        g = GRAPHS["cs"](spark, folder)
+        out = make().propagate(g, _embeddings_of(g, spark, folder))
+        cells = out.select("id", F.posexplode(F.array(*[F.col(f"e{i}") for i in range(64)])).alias("place", "v"))
+        return cells.select("id", F.col("place").cast("long").alias("place"), (F.floor(F.col("v") * 1e6 + 0.5) / 1e6).alias("v"))
+
+    return run
+
+
+def _propagated_sql(steps: int, formula: Callable[[int], str], first: str, last: str = "r", quotient: bool = False, tables: str = "") -> str:
+    """The same in long form. Cells have p, r, t and x (t moved); first: r and t at the start; formula: r and t after a step."""
+    features = f"f AS MATERIALIZED (SELECT id, unnest(CAST(range(0, 64) AS BIGINT[])) AS place, unnest(CAST(coalesce(embedding, list_transform(range(0, 64), lambda i: 0.0::FLOAT)) AS DOUBLE[])) AS v FROM nodes LEFT JOIN embeddings ON vec_id = {KEY_SQL})"
+    out = [f"{S.adjacency('cs', 'symmetric')}{tables}", features]
+    out.append("nrm AS MATERIALIZED (SELECT place, sum(abs(v)) AS norm FROM f GROUP BY place)")
+    out.append(f"z0 AS MATERIALIZED (SELECT id, place, p, {first} FROM (SELECT id, f.place, v / norm AS p FROM f JOIN nrm ON f.place = nrm.place))")
+    for k in range(1, steps + 1):
+        out.append(f"zx{k} AS MATERIALIZED (SELECT dst AS id, place, sum(t * w) AS x FROM z{k - 1} JOIN m ON id = src GROUP BY dst, place)")
+        body = f"SELECT id, place, p, {formula(k)} FROM (SELECT z.id, z.place, p, r, t, coalesce(x, 0) AS x{', d, a0 AS a' if tables else ''} FROM z{k - 1} z LEFT JOIN zx{k} ON z.id = zx{k}.id AND z.place = zx{k}.place{' JOIN deg ON deg.id = z.id JOIN ab ON ab.id = z.id' if tables else ''})"
+        if quotient:
+            out.append(f"zu{k} AS MATERIALIZED ({body})")
+            out.append(f"zt{k} AS MATERIALIZED (SELECT place, sum(r) AS total FROM zu{k} GROUP BY place)")
+            body = f"SELECT id, zu{k}.place, p, r / total AS r, r / total AS t FROM zu{k} JOIN zt{k} ON zu{k}.place = zt{k}.place"
+        out.append(f"z{k} AS MATERIALIZED ({body})")
+    return ",\n".join(out) + f"\nSELECT id, z.place, floor({last} * norm * 1e6 + 0.5) / 1e6 AS v FROM z{steps} z JOIN nrm ON nrm.place = z.place"
+
+
+_HEAT3 = O.HeatKernel(3).coefficients(3)
+add("propagate_pagerank_k", propagated(lambda: O.PageRank(0.85, quotient=False, **steps(3))), _propagated_sql(3, lambda k: "0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * p AS r, 0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * p AS t", "p AS r, p AS t"))
+add("propagate_heat_k", propagated(lambda: O.HeatKernel(3, **steps(3))), _propagated_sql(3, lambda k: f"r + {_HEAT3[k - 1]!r}::DOUBLE * t AS r, x AS t", "0.0::DOUBLE AS r, p AS t"))
+add(
+    "propagate_absorbing_k",
+    propagated(lambda: O.AbsorbingWalks(0.9, quotient=False, **steps(2))),
+    _propagated_sql(2, lambda k: "(x * d + p * a) / (d + a) AS r, (x * d + p * a) / (d + a) AS t", "p AS r, p AS t", tables=f", {out_degree()}, ab AS (SELECT id, {_A!r}::DOUBLE AS a0 FROM nodes)"),
+)
+add("propagate_tol", propagated(lambda: O.PageRank(0.5, quotient=False, tol=1e-7)))
+
+
+def _hops_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """Two closed forms of one seed, which is moved once."""
+    g, store = GRAPHS["cs"](spark, folder), O.HopStore()
+    p = seeds(g).stored()
+    heat, closed = O.HeatKernel(3, hops=store, **steps(4)).rank(g, p), O.PageRankClosed(0.85, hops=store, **steps(4)).rank(g, p)
+    return heat.df.withColumnRenamed("value", "heat").join(closed.df.withColumnRenamed("value", "closed"), "id").select("id", rounded("heat").alias("heat"), rounded("closed").alias("closed"))
+
+
+add(
+    "hop_store_k",
+    _hops_shared,
+    f"{S.closed('cs', 'symmetric', [0.85**k for k in range(4)], name='two', prefix='b', head=S.closed('cs', 'symmetric', O.HeatKernel(3).coefficients(4), name='one', prefix='a'))} SELECT id, {S.ROUND.format('one.value')} AS heat, {S.ROUND.format('two.value')} AS closed FROM one JOIN two USING (id)",
+)
+
+
+def _draw_sql(k: int) -> str:
+    return f"('0x' || substr(md5(src || chr(9) || dst || chr(9) || '{k}' || chr(9) || '7'), 1, 8))::BIGINT >= {int(0.25 * (1 << 32))}"
+
+
+add("dropout_edges", on("cs", lambda g: O.dropped(Normalization("symmetric").edges(g), 0.25, 1, 7).select("src", "dst", rounded("w").alias("w"))), f"{S.adjacency('cs', 'symmetric')} SELECT src, dst, {S.ROUND.format('w / 0.75::DOUBLE')} AS w FROM m WHERE {_draw_sql(1)}")
+_THIN = S.adjacency("cs", "symmetric") + "".join(f", m{k} AS MATERIALIZED (SELECT src, dst, w / 0.75::DOUBLE AS w FROM m WHERE {_draw_sql(k)})" for k in (1, 2))
+add(
+    "dropout_k",
+    ranked("cs", lambda: O.PageRank(0.85, quotient=False, dropout=0.25, dropout_seed=7, **steps(2))),
+    S.shown(S.diffusion("cs", "symmetric", 1, lambda k: "0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * p", quotient=False, m="m2", prefix="b", start="(SELECT value FROM one WHERE one.id = bp.id) / norm", name="two", head=S.diffusion("cs", "symmetric", 1, lambda k: "0.85::DOUBLE * x + 0.15000000000000002::DOUBLE * p", quotient=False, m="m1", prefix="a", name="one", head=_THIN)).replace("FROM bp)", "FROM bp, bn)"), "two"),
+)
+add("tautology", ranked("cs", lambda: O.PageRank(0.85, **steps(3)) >> P.Tautology()), S.shown(S.pagerank()))
+add("sequential", ranked("cs", lambda: Chain(O.PageRank(0.85, **steps(2)), O.HeatKernel(3, **steps(2)))), ORACLE_SQL["personalized_filter_k"])
+
+
 def _fair_sql(base: str, head: str) -> str:
     """Locally fair PageRank of three steps after a head with raw edges; base is what is redistributed by, of n (id, v)."""
     tables = f"""sens AS MATERIALIZED (SELECT id, {SENSITIVE_SQL} AS s FROM nodes), phi AS MATERIALIZED (SELECT sum(s) / count(*) AS phi FROM sens),
@@ -485,6 +565,34 @@ def _multi_un(spark: SparkSession, folder: str) -> DataFrame:
 
 
 add("measure_multi_unsupervised", _multi_un, f"{_SIM}, e AS (SELECT a.group_id, sum(w * a.value * b.value) AS i FROM edges JOIN gs a ON src = a.id JOIN gs b ON dst = b.id AND a.group_id = b.group_id GROUP BY 1), n AS (SELECT group_id, sum(value) * sum(value) - sum(value * value) AS n FROM gs GROUP BY 1) SELECT {S.ROUND.format('avg(i / n)')} AS value FROM e JOIN n USING (group_id) WHERE group_id < 3")
+
+
+def _segments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores and known values (group_id, id, value) of all customers for each market segment."""
+    who = table(spark, folder, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), "c_mktsegment", "c_acctbal")
+    all_groups = F.array(*[F.lit(x) for x in SEGMENTS])
+    scores = who.select(F.explode(all_groups).alias("group_id"), "id", "c_acctbal", "c_mktsegment")
+    value = F.pmod(key() * 7 + F.length("group_id"), F.lit(101)).cast("double")
+    known = F.when(F.col("c_mktsegment") == F.col("group_id"), 1.0).otherwise(0.0)
+    return scores.select("group_id", "id", value.alias("value")), scores.select("group_id", "id", known.alias("value"))
+
+
+#: The market segments of customers.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_SEGMENTS_SQL = f"""WITH s AS (SELECT unnest({list(SEGMENTS)!r}) AS group_id), r AS MATERIALIZED (SELECT group_id, 'c' || c_custkey AS id, ((c_custkey * 7 + length(group_id)) % 101)::DOUBLE AS x, CASE WHEN c_mktsegment = group_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM customer, s)"""
+
+
+def by_group(measure: Callable[[], M.Supervised]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        scores, known = _segments(spark, folder)
+        return M.by_group(measure(), scores, known).select("group_id", rounded("value").alias("value"))
+
+    return run
+
+
+add("measure_auc_by_group", by_group(M.AUC), f"{_SEGMENTS_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY group_id ORDER BY x) + (count(*) OVER (PARTITION BY group_id, x) - 1) / 2.0::DOUBLE AS k FROM r) SELECT group_id, {S.ROUND.format('(sum(k * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))')} AS value FROM k GROUP BY 1")
+add("measure_ndcg_by_group", by_group(lambda: M.NDCG(k=50)), f"{_SEGMENTS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY x DESC, id) AS a, row_number() OVER (PARTITION BY group_id ORDER BY y DESC, id) AS b FROM r) SELECT group_id, {S.ROUND.format('sum(CASE WHEN a <= 50 THEN y / log2(a + 1) ELSE 0 END) / sum(CASE WHEN b <= 50 THEN y / log2(b + 1) ELSE 0 END)')} AS value FROM k GROUP BY 1")
+add("measure_cos_by_group", by_group(M.Cos), f"{_SEGMENTS_SQL} SELECT group_id, {S.ROUND.format('sum(x * y) / sqrt(sum(x * x) * sum(y * y))')} AS value FROM r GROUP BY 1")
 add(
     "split_groups",
     lambda spark, folder: M.split(communities(spark, folder), 0.5)[0].groupBy("group_id").agg(F.count("id").alias("n")),  # which members is by hash, which SQL engines don't share
@@ -554,6 +662,20 @@ add(
 )
 
 
+
+
+def _projected_links(spark: SparkSession, folder: str) -> DataFrame:
+    """For each node whose number is divisible by 50, the ten best links among all nodes."""
+    g = GRAPHS["cs"](spark, folder)
+    return CoSimRank(dims=256).links(g, g.nodes.where(key() % 50 == 0), 10).select("src", "dst", rounded("score").alias("score"), F.col("place").cast("long").alias("place"))
+
+
+add("cosimrank_links", _projected_links)
+add("cosimrank_k", ranked("cs", lambda: CoSimRank(dims=256)))
+add("tune_impulse", ranked("cs", lambda: T.ParameterTuner(lambda w: O.Impulse(w, **steps(3)), [1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=1e-3, divide_range=2)))
+add("tune_lowpass", ranked("cs", lambda: T.ParameterTuner(lambda w: O.LowPass(w, **steps(3)), [1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=1e-3, divide_range=2)))
+
+
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("features"), F.col("label").cast("long").alias("label"))
 

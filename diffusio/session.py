@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
-from typing import Any
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -40,8 +42,25 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return _kept(df, _path(df.sparkSession, name), **options)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is written within it is deleted at its end, so results have to be written elsewhere or read by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            deleted(spark, path)
+
+
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def _kept(df: DataFrame, path: str, **options: str) -> DataFrame:
@@ -49,16 +68,29 @@ def _kept(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+class Bucketed(NamedTuple):
+    """A written table in buckets, for joins by its keys, and the same files read without them.
+
+    Spark takes the union of two scans by bucket as still dealt by the keys and leaves an exchange out
+    that is needed, so only ``plain`` is handed out.
+    """
+
+    rows: DataFrame
+    plain: DataFrame
+
+
+def bucketed(df: DataFrame, name: str, *keys: str) -> Bucketed:
     """Write df as written() does, dealt into buckets by keys and sorted in them.
 
     Joins and groups by the keys read the buckets as they are: df isn't shuffled again. The
-    table is an external one of the session's catalog, with its files in the shared folder.
+    catalog knows the table for the moment only in which its plan is made.
     """
     spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", _path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), _path(spark, name)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external one: its files stay
+    return Bucketed(rows, spark.read.schema(df.schema).parquet(path))
 
 
 class Steps:

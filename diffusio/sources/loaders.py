@@ -72,23 +72,44 @@ def read_graph(spark: SparkSession, folder: str, directed: bool = False, pairs:
     return graph, read_groups(spark, f"{folder}/{groups}", graph.nodes, **limits) if groups else None
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _filled(words: Column, width: int) -> Column:
+    """The numbers of a dense row, with zeros up to the width."""
+    return F.concat(F.transform(words, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), F.lit(width) - F.size(words)))
+
+
+def _spread(words: Column, width: int) -> Column:
+    """The numbers of a sparse row (``k=v`` words) at their places, zeros between; the last one of a place counts.
+
+    Entries are sorted, and each is followed by as many zeros as there are places to the next.
+    """
+    entry = lambda x, i: F.struct(F.split_part(x, F.lit("="), F.lit(1)).cast("int").alias("k"), i.alias("i"), F.split_part(x, F.lit("="), F.lit(2)).cast("double").alias("v"))
+    after = lambda es, i: F.when(i + 1 < F.size(es), F.get(es, i + 1)["k"]).otherwise(F.lit(width))
+    run = lambda es: lambda e, i: F.when(after(es, i) == e["k"], F.array().cast("array<double>")).otherwise(F.concat(F.array(e["v"]), F.array_repeat(F.lit(0.0), after(es, i) - e["k"] - 1)))
+    first = lambda es: F.array_repeat(F.lit(0.0), F.coalesce(F.get(es, F.lit(0))["k"], F.lit(width)))
+    return _let(F.array_sort(F.transform(words, entry)), lambda es: F.concat(first(es), F.flatten(F.transform(es, run(es)))))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """id and features: ``id v1 v2 ...`` or ``id k=v ...``; short rows are filled with zeros."""
+    """id and features: ``id v1 v2 ...`` or ``id k=v ...``; short rows are filled with zeros. Work is linear in the width."""
     rows = _lines(spark, path).select(F.col("words")[0].alias("id"), F.slice("words", 2, 1 << 30).alias("words"))
     sparse = F.exists("words", lambda x: F.contains(x, F.lit("=")))
-    entry = lambda x, i: F.struct(F.when(sparse, F.split_part(x, F.lit("="), F.lit(1)).cast("int")).otherwise(i).alias("k"), F.when(sparse, F.split_part(x, F.lit("="), F.lit(2))).otherwise(x).cast("double").alias("v"))
-    rows = rows.select("id", F.transform("words", entry).alias("e"))
-    width = rows.agg(F.max(F.array_max(F.transform("e", lambda x: x["k"])))).first()[0]
+    last = F.when(F.col("sparse"), F.array_max(F.transform("words", lambda x: F.try_to_number(F.split_part(x, F.lit("="), F.lit(1)), F.lit("9999999999")).cast("int")))).otherwise(F.size("words") - 1)
+    rows = rows.select("id", "words", sparse.alias("sparse"))
+    width = rows.agg(F.max(last)).first()[0]
     width = 0 if width is None else width + 1
-    at = F.map_from_entries(F.transform("e", lambda x: F.struct(x["k"], x["v"])))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at(at, k), F.lit(0.0))) if width else F.array().cast("array<double>")
-    return rows.select("id", cells.alias("features"))
+    words = F.col("words")
+    return rows.select("id", F.when(F.col("sparse"), _spread(words, width)).otherwise(_filled(words, width)).alias("features"))
 
 
 def normalized_features(features: DataFrame) -> DataFrame:
     """Rows divided by their sums; rows with sum 0 become 0."""
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
-    return features.select("id", F.transform("features", lambda x: safe_div(x, total)).alias("features"))
+    cells = _let(F.col("features"), lambda f: _let(F.aggregate(f, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(f, lambda x: safe_div(x, total))))
+    return features.select("id", cells.alias("features"))
 
 
 def groups_of(rows: DataFrame, label: str = "label") -> DataFrame:

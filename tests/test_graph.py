@@ -111,7 +111,7 @@ def test_steps_read_edges_in_buckets(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         graph = Graph.from_pairs(spark, [(i, (i * 7 + 1) % 50) for i in range(50)]).stored()
-        edges = Normalization("symmetric").edges(graph)
+        edges = Normalization("symmetric").adjacency(graph)
         plan = conv(edges, graph.nodes.withColumn("value", F.lit(1.0)), "value")._jdf.queryExecution().executedPlan().toString()
         assert "Bucketed: true" in plan and not re.search(r"Exchange hashpartitioning\(src#\d+, 4\)[^\n]*\n[^\n]*\n?[^\n]*FileScan parquet[^\n]*dst", plan)
         assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2  # the values by source, the sums by target
@@ -124,7 +124,8 @@ def test_hubs_are_split(spark, monkeypatch):
     whole = O.PageRank(0.85, **steps(3))(Graph.from_pairs(spark, pairs).stored(), ["hub"]).to_dict()
     monkeypatch.setattr(normalize, "HUB", 7)
     graph = Graph.from_pairs(spark, pairs).stored()
-    assert Normalization().edges(graph).agg(F.max("part")).first()[0] > 0
+    found = Normalization().adjacency(graph)
+    assert found.rows.agg(F.max("part")).first()[0] > 0 and found.hubs.collect()[0]["src"] == "hub" and found.plain.columns == ["src", "dst", "w"]
     near(O.PageRank(0.85, **steps(3))(graph, ["hub"]).to_dict(), whole)
 
 
@@ -134,6 +135,48 @@ def test_laplacian_and_symmetric_are_identity(five):
     assert all(abs(r[2] - (r[0] == r[1])) < 1e-12 for r in both)
 
 
+def test_unions_of_stored_edges(spark, monkeypatch):
+    """Sums by source over unions of stored, added and normalized edges, directed or not, with hubs or without."""
+    pairs = [("hub", i) for i in range(30)] + [(i, (i + 1) % 30) for i in range(30)]
+    for most, directed in ((normalize.HUB, False), (7, True)):
+        monkeypatch.setattr(normalize, "HUB", most)
+        graph = Graph.from_pairs(spark, pairs, directed).stored()
+        added = graph.add_edges(spark.createDataFrame([("x", "hub"), ("0", "5")], "a string, b string"))
+        again = added.stored()
+        for one in (graph, added, again):
+            normal = Normalization("col").edges(one)
+            for a, b in ((one.edges, one.edges), (one.edges, normal), (normal, normal)):
+                both = a.unionByName(b).groupBy("src").agg(F.sum("w").alias("w")).collect()
+                assert len(both) == len({r["src"] for r in both}) and sum(r["w"] for r in both) == pytest.approx(a.agg(F.sum("w")).first()[0] + b.agg(F.sum("w")).first()[0])
+        assert again.edges.count() == graph.edges.count() + (2 if directed else 4)
+
+
+def test_nothing_stays_in_the_catalog(spark):
+    from diffusio.session import scope, shared_folder
+    import os
+
+    graph = Graph.from_pairs(spark, [(i, (i * 7 + 1) % 50) for i in range(50)]).stored()
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scope(spark):
+        O.PageRank(0.85, **steps(3)).rank(graph, ["1"]).to_dict()
+        assert set(os.listdir(folder)) - before
+    assert not [x for x in set(os.listdir(folder)) - before if not x.startswith(".")]
+    assert not [t for t in spark.catalog.listTables() if not t.isTemporary]
+
+
+def test_dropout_is_the_same_in_any_layout(spark):
+    """Which edges go depends on edge, step and seed; a share near the given one goes and the rest weighs more."""
+    graph = Graph.from_pairs(spark, [(i, j) for i in range(40) for j in range(40)], True)
+    left = [{(r["src"], r["dst"]) for r in O.dropped(graph.edges.repartition(n), 0.25, 2, 7).collect()} for n in (1, 7)]
+    assert left[0] == left[1] and 1100 < len(left[0]) < 1300
+    assert {(r["src"], r["dst"]) for r in O.dropped(graph.edges, 0.25, 3, 7).collect()} != left[0]
+    assert O.dropped(graph.edges, 0.25, 2).first()["w"] == pytest.approx(4 / 3)
+    f = O.PageRank(0.85, dropout=0.3, dropout_seed=3, **steps(3))
+    stored = graph.stored()
+    near(f.rank(stored, ["1"]).to_dict(), f.rank(Graph(graph.edges.repartition(5), True).stored(), ["1"]).to_dict())
+
+
 def test_postprocessors(five):
     s = Signal.of(five, {"A": 0.5, "B": 0.4, "C": 0.1, "D": 0.1, "E": 0.0})
     assert P.Ordinals().transform(s).to_dict() == {"A": 1, "B": 2, "C": 3, "D": 4, "E": 5}

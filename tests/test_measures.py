@@ -2,12 +2,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from diffusio.functions import measures as M
 from diffusio.graph import Graph, Signal
 from diffusio.operators import filters as O
 from diffusio.plans import benchmark as B, recipes as R, tuning as T
-from diffusio.plans.optimize import gradient_descent, nelder_mead, optimize
+from diffusio.plans.optimize import optimize
 
 
 @pytest.fixture(scope="module")
@@ -72,11 +73,9 @@ def booth(p):
     return (p[0] + 2 * p[1] - 7) ** 2 + (2 * p[0] + p[1] - 5) ** 2
 
 
-@pytest.mark.parametrize("search", [optimize, nelder_mead, gradient_descent])
-def test_optimizers(search):
-    more = {"parameter_tol": 1e-8} if search is optimize else {}
-    assert search(booth, [10, 10], [-10, -10], **more) == pytest.approx([1, 3], abs=1e-3)
-    assert beale(search(beale, [4.5, 4.5], [-4.5, -4.5], **more)) < 1e-3
+def test_optimizer():
+    assert optimize(booth, [10, 10], [-10, -10], parameter_tol=1e-8) == pytest.approx([1, 3], abs=1e-3)
+    assert beale(optimize(beale, [4.5, 4.5], [-4.5, -4.5], parameter_tol=1e-8)) < 1e-3
     with pytest.raises(ValueError):
         optimize(booth, [1], [2])
 
@@ -109,8 +108,76 @@ def test_nemenyi(spark):
     rows = [(f"d{i}", 0.5, 0, a, "auc", v) for i in range(12) for a, v in (("x", 0.9), ("y", 0.5), ("z", 0.1))]
     results = spark.createDataFrame(rows, "dataset string, share double, seed int, algorithm string, measure string, value double")
     got = {(r["algorithm"], r["other"]): (r["difference"], round(r["least"], 3), r["differ"]) for r in B.nemenyi(results).collect()}
-    assert got == {("x", "y"): (1.0, 0.956, True), ("x", "z"): (2.0, 0.956, True), ("y", "z"): (1.0, 0.956, True)}
+    assert got == {("x", "y"): (1.0, 0.957, True), ("x", "z"): (2.0, 0.957, True), ("y", "z"): (1.0, 0.957, True)}
+    p = {(r["algorithm"], r["other"]): r["p"] for r in B.nemenyi(results).collect()}
+    assert 0.03 < p["x", "y"] == pytest.approx(p["y", "z"]) < 0.05 and p["x", "z"] < 1e-4
     assert B.scores(results).count() == 36
+    many = spark.createDataFrame([(f"d{i}", 0.5, 0, f"a{j:02}", "auc", float((i * 7 + j) % 24)) for i in range(9) for j in range(24)], results.schema)
+    assert B.nemenyi(many).count() == 24 * 23 // 2
+
+
+def test_studentized_range():
+    """Upper points of the usual tables (infinite degrees of freedom) to three digits."""
+    for k, five, one in ((2, 2.772, 3.643), (3, 3.314, 4.120), (5, 3.858, 4.603), (10, 4.474, 5.157), (20, 5.012, 5.645)):
+        assert B.range_quantile(0.95, k) == pytest.approx(five, abs=2e-3) and B.range_quantile(0.99, k) == pytest.approx(one, abs=2e-3)
+    assert B.studentized_range(0.0, 4) == 0 and B.studentized_range(39.0, 4) == pytest.approx(1.0)
+
+
+def test_measures_by_group(spark):
+    """Every group's AUC, NDCG and means in one plan, as each alone has them."""
+    rng = np.random.default_rng(3)
+    rows = [(f"g{g}", f"n{i:03}", float(rng.integers(0, 6) if g % 2 else rng.normal()), float(rng.random() < 0.4)) for g in range(5) for i in range(60)]
+    rows += [("one", "n000", 0.5, 1.0)]
+    table = spark.createDataFrame(rows, "group_id string, id string, value double, y double")
+    known = table.select("group_id", "id", F.col("y").alias("value")).where("value <> 0")
+    out = table.where("id LIKE 'n00%'").select("group_id", "id")
+    for m in (M.AUC(), M.NDCG(), M.NDCG(k=7), M.Cos(), M.Mabs(), M.MannWhitneyParity()):
+        for exclude in (None, out):
+            got = {r["group_id"]: r["value"] for r in M.by_group(m, table, known, exclude).collect()}
+            for g in {r[0] for r in rows}:
+                one = table.where(F.col("group_id") == g).select("id", F.col("value").alias("x"), "y")
+                one = one if exclude is None else one.where("NOT id LIKE 'n00%'")
+                if one.isEmpty():
+                    assert g not in got
+                    continue
+                want = m.of(one).first()[0]
+                assert got[g] == (None if want is None else pytest.approx(want, abs=1e-9)), (type(m), g)
+    with pytest.raises(TypeError):
+        M.by_group(M.Spearman(), table, known)
+
+
+def test_spearman_and_auc_of_ties(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 5, 300).astype(float), rng.integers(0, 3, 300).astype(float)
+
+    def ranks(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    rows = spark.createDataFrame([(str(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id string, x double, y double")
+    assert M.Spearman().of(rows).first()[0] == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
+    pos = y > 0
+    want = np.mean([(a > b) + 0.5 * (a == b) for a in x[pos] for b in x[~pos]])
+    assert M.AUC().of(rows).first()[0] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("kind", ["cos", "dot"])
+def test_clustering_without_wedges(spark, directed, kind):
+    """Against all wedges, with self-loops, one-way and two-way edges, and a hub."""
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 14, (60, 2))} | {(0, i) for i in range(1, 14)} | {(3, 3)}
+    graph = Graph.from_pairs(spark, sorted(pairs), directed)
+    near = {(str(a), str(b)) for a, b in pairs} | (set() if directed else {(str(b), str(a)) for a, b in pairs})
+    vectors = {str(i): rng.integers(0, 3, 4).astype(float) for i in range(14)}
+    scores = spark.createDataFrame([(g, i, float(v[g])) for i, v in vectors.items() for g in range(4)], "group_id int, id string, value double")
+    size = lambda v: np.sqrt(v @ v) if kind == "cos" else 1.0
+    sim = lambda a, b: 0.0 if size(a) * size(b) == 0 else a @ b / (size(a) * size(b))
+    wedges = [(u, t) for v in vectors for a, u in near if a == v for b, t in near if b == v]
+    want = sum(sim(vectors[u], vectors[t]) for u, t in wedges) / sum((u, t) in near for u, t in wedges)
+    assert M.ClusteringCoefficient(graph, kind)(scores) == pytest.approx(want)
+    plan = M.closed_wedges(graph.neighbors())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan
+    assert M.closed_wedges(graph.neighbors()).first()["n"] == sum((u, t) in near for u, t in wedges)
 
 
 def test_autoregression_predicts_a_geometric_series():
