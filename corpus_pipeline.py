@@ -20,6 +20,13 @@ from diffusio.llm.queries import tokenizer_path
 from diffusio.session import written
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity is below the threshold; the model is learnt from all labels of docs.
 
@@ -27,8 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows stay or go together; an empty table stays empty.
     """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model)
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select("row.*")
+    name = _unused(docs, "toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no words and stay, and so does all if the benchmark is empty;
     repeated rows stay or go together; an empty table stays empty.
     """
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contamination.contaminated")).select("row.*")
+    name = _unused(docs, "contamination")
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name)
+    return found.where(~F.col(name)["contaminated"]).drop(name)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
