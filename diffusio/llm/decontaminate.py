@@ -223,12 +223,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, into: str = "conta
         found = docs.withColumn(into, _judge(next(indexes()), spark.sparkContext)(F.col(text)))
     else:
         rows = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "documents")
-        parts = None
+        counts, parts = None, None
         for index in indexes():
-            part = written(rows.select("_row", _judge(index, spark.sparkContext)(F.col(f"_doc.{text}")).alias("r")), "hits")
+            judged = rows.select("_row", _judge(index, spark.sparkContext)(F.col(f"_doc.{text}")).alias("r"))
+            if counts is None:  # the first block's rows have the counts of words; others are kept if they have hits
+                judged = counts = written(judged, "hits")
+            part = judged.where("length(r.hits) > 0").select("_row", "r.hits", "r.items")
+            part = part if judged is counts else written(part, "hits")
             parts = part if parts is None else parts.unionByName(part)
-        one = parts.groupBy("_row").agg(F.max("r.n_words").alias("n_words"), F.collect_list("r.hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("r.items")))).alias("items"))
-        one = one.select("_row", F.struct("n_words", _united(F.col("hits")).alias("hits"), "items").alias("_found"))
+        hit = parts.groupBy("_row").agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hit = hit.select("_row", _united(F.col("hits")).alias("hits"), "items")
+        one = counts.select("_row", "r.n_words").join(hit, "_row", "left")
+        none = F.array().cast("array<string>")
+        one = one.select("_row", F.struct("n_words", F.coalesce("hits", F.lit(b"")).alias("hits"), F.coalesce("items", none).alias("items")).alias("_found"))
         found = rows.join(one, "_row").select("_doc.*", F.col("_found").alias(into))
     c = F.col(into)
     n_hit = (F.length(c["hits"]) / 4).cast("long")

@@ -58,8 +58,8 @@ WORDS, EPSILON = 5, 0.2
 WIDTH_BITS = 21
 #: What fits into a task: texts and shingles of one region.
 CELL_ROWS, CELL_SHINGLES = 256, 1 << 22
-#: Pivots of a division in Spark, and shares of a region that are measured apart.
-PIVOTS, SALTS = 8, 16
+#: Pivots of a division in Spark.
+PIVOTS = 8
 #: How many rows of a few numbers are broadcast (some 100 bytes each in memory); more are shuffled.
 SENT_ROWS = 1_000_000
 _SLACK = 2 * EPSILON + 1e-9
@@ -307,35 +307,44 @@ def _joined(rows: DataFrame) -> DataFrame:
     return _dealt(rows).mapInArrow(made, "a long, b long")
 
 
+def _shares(count: Column, shingles: Column, part: float = 1.0) -> Column:
+    """How many parts of a share of what fits into a task so many texts and shingles make."""
+    return F.greatest(F.ceil(count / (part * CELL_ROWS)), F.ceil(shingles / (part * CELL_SHINGLES))).cast("int")
+
+
 def _measured(rows: DataFrame, level: int) -> DataFrame:
-    """For rows (r, x, settled, at, members) of regions that don't fit: r, x, mask, pivots (their x) and d, the distances from them.
+    """For rows (r, x, settled, at, members) of regions that don't fit: r, x, n, mask, pivots (their x) and d, the distances from them.
 
-    mask has a bit for each pivot that x links with, and one more if it is settled.
+    mask has a bit for each pivot that x links with, and one more if it is settled. A region's texts are
+    measured in shares that fit into a task, each of which gets the sets of the pivots once.
     """
     order = F.xxhash64("x", F.lit(level))
     best = [F.min(F.struct("settled", F.pmod(order, F.lit(PIVOTS)) != k, "at", order.alias("o"), "x"))["x"] for k in range(PIVOTS)]
-    chosen = rows.groupBy("r").agg(F.array_distinct(F.array(*best)).alias("p")).select("r", F.explode("p").alias("x"))
-    pivots = rows.select("r", "x", "members").join(chosen, ["r", "x"]).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("x", "members"))).alias("pivots"))  # PIVOTS at most
-    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(pivots, ["r", "salt"])
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, distances, masks = [], [], []
-            for own, there, settled in zip(b.column("members"), b.column("pivots").to_pylist(), b.column("settled").to_pylist(), strict=True):
-                own, out, mask = np.frombuffer(own.as_buffer(), dtype=np.uint64), [], settled << PIVOTS
-                for k, p in enumerate(there):
-                    far = np.frombuffer(p["members"], dtype=np.uint64)
-                    shared = int((far[np.minimum(np.searchsorted(far, own), len(far) - 1)] == own).sum())
-                    union = len(own) + len(far) - shared
-                    mask |= (100 * shared >= 80 * union) << k
-                    out.append(1 - shared / union)
-                names.append([p["x"] for p in there])
-                distances.append(out)
-                masks.append(mask)
-            yield pa.RecordBatch.from_arrays([b.column("r"), b.column("x"), pa.array(masks, pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))], names=["r", "x", "mask", "pivots", "d"])
-
-    return written(both.select("r", "x", "settled", "members", "pivots").mapInArrow(made, "r long, x long, mask int, pivots array<long>, d array<double>"), "distances")
+    chosen = rows.groupBy("r").agg(F.array_distinct(F.array(*best)).alias("p"), _shares(F.count("x"), F.sum(F.length("members")) / 8).alias("shares"))
+    chosen = _sent(written(chosen, "pivots"))
+    pivots = rows.select("r", "x", "members").join(chosen.select("r", "shares", F.explode("p").alias("x")), ["r", "x"])
+    pivots = pivots.select("r", "x", "members", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    mine = rows.join(chosen.select("r", "shares"), "r").select("r", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"), "x", "settled", "members")
+
+    def made(key, own: pa.Table, pivots: pa.Table) -> pa.Table:
+        pivots = pivots.sort_by("x")
+        names, far = pivots["x"].to_pylist(), [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pivots["members"]]
+        distances, masks, sizes = [], [], []
+        for v, settled in zip(own["members"], own["settled"].to_pylist(), strict=True):
+            v, out, mask = np.frombuffer(v.as_buffer(), dtype=np.uint64), [], settled << PIVOTS
+            for k, p in enumerate(far):
+                shared = int((p[np.minimum(np.searchsorted(p, v), len(p) - 1)] == v).sum())
+                union = len(v) + len(p) - shared
+                mask |= (100 * shared >= 80 * union) << k
+                out.append(1 - shared / union)
+            distances.append(out)
+            masks.append(mask)
+            sizes.append(len(v))
+        columns = [own["r"], own["x"], pa.array(sizes, pa.int64()), pa.array(masks, pa.int32()), pa.array([names] * len(own), pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))]
+        return pa.table(columns, names=["r", "x", "n", "mask", "pivots", "d"])
+
+    found = mine.groupBy("r", "share").cogroup(pivots.groupBy("r", "share")).applyInArrow(made, "r long, x long, n long, mask int, pivots array<long>, d array<double>")
+    return written(found, "distances")
 
 
 def _main(groups: pa.Table) -> pa.Table:
@@ -356,25 +365,27 @@ def _divided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFra
     links = measured.select("x", "mask", F.posexplode("pivots").alias("k", "p")).where("shiftright(mask, k) & 1 = 1 AND p <> x").select(F.col("x").alias("a"), F.col("p").alias("b"))
     main = measured.groupBy("r", "mask").agg(F.count("x").alias("k")).where("mask > 0").groupBy("r").applyInArrow(_main, "r long, main int, size long")
     sizes = measured.groupBy("r").agg(F.count("x").alias("whole"))
-    now = measured.where(~F.array_contains("pivots", F.col("x"))).join(main.drop("size"), "r").join(sizes, "r")
+    regions = _sent(written(main.drop("size").join(sizes, "r"), "regions"))
+    now = measured.where(~F.array_contains("pivots", F.col("x"))).join(regions, "r")
     now = now.withColumn("settled", F.col("mask").bitwiseAND(F.col("main")) != 0)
     least = F.array_min("d")
     home = F.array(F.array_position("d", least).cast("int") - 1)
     window = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda k: F.get("d", k) <= least + _SLACK)
-    now = written(now.select("r", "whole", "x", "settled", F.when(F.col("settled"), home).otherwise(window).alias("k")), "windows")
+    now = written(now.select("r", "whole", "x", "n", "settled", F.when(F.col("settled"), home).otherwise(window).alias("k")), "windows")
     cells = now.select("r", "whole", "x", "settled", F.explode("k").alias("k"))
     sizes = written(cells.groupBy("r", "k").agg(F.count("x").alias("rows"), F.max("whole").alias("whole"), F.min("settled").alias("done")), "sizes")
     whole = sizes.groupBy("r").agg((F.max("rows") > 0.9 * F.max("whole")).alias("whole"), F.min("done").alias("done")).where("whole AND NOT done").select("r")
-    one = sizes.where("NOT done AND rows > 1").select("r", "k").join(whole, "r", "left_anti")
+    whole = _sent(written(whole, "whole"))
+    one = _sent(written(sizes.where("NOT done AND rows > 1").select("r", "k").join(whole, "r", "left_anti"), "kept"))
     cells = cells.join(one, ["r", "k"]).select(F.xxhash64("r", "k", F.lit(level)).alias("r"), "x", "settled")
-    return written(links, "links"), written(cells, "cells"), _salted(now.join(whole, "r", "left_semi").select(F.xxhash64("r", F.lit(level)).alias("r"), "x", "settled"))
+    return written(links, "links"), written(cells, "cells"), _salted(now.join(whole, "r", "left_semi").select(F.xxhash64("r", F.lit(level)).alias("r"), "x", "n", "settled"))
 
 
 def _salted(rows: DataFrame) -> DataFrame:
-    """Regions (r, x, settled) as parts in which every unsettled text meets all others."""
-    half = CELL_ROWS / 2
-    own = rows.groupBy("r").agg(F.ceil(F.count_if("settled") / half).cast("int").alias("b"), F.ceil(F.count_if(~F.col("settled")) / half).cast("int").alias("c"))
-    rows = rows.join(own, "r")
+    """Regions (r, x, n, settled) as parts in which every unsettled text meets all others, of half a task's texts and shingles of each kind."""
+    known, n = F.col("settled"), F.col("n")
+    own = rows.groupBy("r").agg(_shares(F.count_if(known), F.sum(F.when(known, n).otherwise(0)), 0.5).alias("b"), _shares(F.count_if(~known), F.sum(F.when(known, 0).otherwise(n)), 0.5).alias("c"))
+    rows = rows.join(_sent(written(own, "parts")), "r")
     salt = F.xxhash64("x", F.lit("part"))
     mine = F.pmod(salt, F.when(F.col("settled"), F.col("b")).otherwise(F.col("c"))).cast("int")
     # kinds of parts: b settled ones with c unsettled ones, and unsettled ones with each other

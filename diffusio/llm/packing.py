@@ -32,7 +32,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from diffusio.llm.tokens import encoder, pieces, tokenized
 from diffusio.session import ship, written
@@ -214,7 +214,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end: int, with_ids: b
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long" + ", ids binary" * with_ids
-    return written(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces")
+    return written(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces", compression="zstd")
 
 
 def pack(table: DataFrame, capacity: int, method: str) -> DataFrame:
@@ -312,7 +312,25 @@ def pack_matrices(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0
         if made:
             yield batch()
 
-    return rows.mapInArrow(built, "sequence_id long, n_segments int, n_tokens int, ids binary, width int, cu_seqlens array<int>, positions_reset array<int>, doc_ids array<long>")
+    return rows.mapInArrow(built, MATRICES)
+
+
+def write_matrices(packed: DataFrame, path: str) -> None:
+    """The matrices as files: Parquet rows of pack_matrices(), ids as raw little-endian numbers, sequences in order in each file."""
+    packed.write.option("compression", "zstd").parquet(path)
+
+
+MATRICES = "sequence_id long, n_segments int, n_tokens int, ids binary, width int, cu_seqlens array<int>, positions_reset array<int>, doc_ids array<long>"
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """What write_matrices() has written; numbers() gives a row's ids."""
+    return spark.read.schema(MATRICES).parquet(path)
+
+
+def numbers(row) -> np.ndarray:
+    """The ids of one row, padding included."""
+    return np.frombuffer(bytes(row["ids"]), dtype=f"<u{row['width']}")
 
 
 def digest_matrices(packed: DataFrame) -> DataFrame:

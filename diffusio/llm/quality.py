@@ -1,16 +1,16 @@
 """Quality rules: fixed base rules and adaptive ones from mergeable quantile sketches.
 
 Everything is DataFrame functions. Measures of each text are computed once and written as a
-table. Each (language, source) gets KLL sketches of its measures over all its rows; the
-sketches of a language are merged from those of its sources. A measure's fence is
-``high + reach * max(high - low, spread)`` (and mirrored below), with two quantiles of the
-measure, so that a clean group loses nothing whatever its level is. Repeats are 0 in most
-rows, so their quantiles are the median and the 9th decile, of rows within the base cutoff
+table. Each (language, source) gets a quantile sketch of each measure over all its rows: counts of
+buckets whose bounds grow by two percent, so that a quantile is within a percent of its value
+whatever the rows (DDSketch). Sketches are merged by adding counts: those of a language from its
+sources, that of the corpus from all; nothing is drawn at random, so any run and any layout gives the same.
+A measure's fence is ``high + reach * max(high - low, spread)`` (and mirrored below), with two
+quantiles of the measure, so that a clean group loses nothing whatever its level is. Repeats are 0 in
+most rows, so their quantiles are the median and the 9th decile, of rows within the base cutoff
 alone, and their spread puts the fence of a group without repeats at half the cutoff. Groups
 with fewer than ``least`` rows take the fence of their language, and small languages that of
-the corpus. Thresholds are then joined to the rows. Sketches keep some values at random: with
-k = 200 a quantile's rank is off by a percent or two, so that a row right at a fence may be
-kept in one run and not in another; the base rules are exact.
+the corpus. Thresholds are then joined to the rows.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources
 are groups of their own; repeated rows are each kept or not alike; an empty table gives no
@@ -19,7 +19,9 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffusio.session import written
 
@@ -28,6 +30,8 @@ _SPACE = "\t\n\x0b\x0c\r"
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEAT_PERCENT = 5, 10, 20
+#: Buckets of the sketches: each ends at GAMMA times its beginning; what is at most TINY is 0.
+GAMMA, TINY, LOWEST = 1.02, 1e-9, -2_000
 #: How many spreads beyond the quantile a fence is.
 REACH = 3.0
 #: measure: (smallest spread taken as meaningful, whether too small a value fails as well, the two quantiles)
@@ -80,26 +84,55 @@ def _repetitive() -> Column:
     return 100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words")
 
 
-def fences(measured: DataFrame, reach: float = REACH, least: int = 100, k: int = 200) -> DataFrame:
-    """For each (lang, source): low and high of each measure, from merged sketches of all rows (for repeats, of those within the base cutoff)."""
-    values = _values()
+def _bucket(value: Column) -> Column:
+    """The number of a value's bucket: values of one bucket differ by GAMMA at most; LOWEST is that of 0."""
+    return F.when(value <= TINY, F.lit(LOWEST)).otherwise(F.ceil(F.ln(F.when(value > TINY, value)) / math.log(GAMMA)).cast("int"))
+
+
+def _middle(bucket: Column) -> Column:
+    """The value that stands for a bucket's values."""
+    return F.when(bucket == LOWEST, 0.0).otherwise(F.pow(F.lit(GAMMA), bucket.cast("double")) * (2 / (GAMMA + 1)))
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """Counts k of rows by lang, source, measure m and bucket b. Sums over groups are the sketches of their union.
+
+    Repeats are of rows within the base cutoff. Measure "rows" counts all rows.
+    """
+    values = _values() | {"rows": F.lit(0.0)}
     values["repeats"] = F.when(~_repetitive(), values["repeats"])
-    own = written(measured.groupBy("lang", "source").agg(F.count("n_words").alias("n"), *[F.kll_sketch_agg_double(v, F.lit(k)).alias(m) for m, v in values.items()]), "sketches")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), v.alias("v")) for m, v in values.items()]))
+    rows = measured.select("lang", "source", each.alias("x")).where("x.v IS NOT NULL")
+    return rows.groupBy("lang", "source", F.col("x.m").alias("m"), _bucket(F.col("x.v")).alias("b")).agg(F.count("x.m").alias("k"))
+
 
-    def merged(*by: str) -> DataFrame:
-        return own.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """For each group: n (rows), and for each measure a struct of its two quantiles, from counts (by, m, b, k)."""
+    merged = sketch.groupBy(*by, "m", "b").agg(F.sum("k").alias("k"))
+    group = Window.partitionBy(*by, "m")  # some hundred buckets at most
+    rows = merged.select(*by, "m", "b", F.sum("k").over(group.orderBy("b")).alias("upto"), F.sum("k").over(group).alias("n"))
+    out = [F.max(F.when(F.col("m") == "rows", F.col("n"))).alias("n")]
+    for m, (_, _, qs) in MEASURES.items():
+        q1, q3 = (_middle(F.min(F.when((F.col("m") == m) & (F.col("upto") >= F.ceil(F.col("n") * q)), F.col("b")))) for q in qs)
+        out.append(F.struct(q1.alias("low"), q3.alias("high")).alias(m))
+    return rows.groupBy(*by).agg(*out)
+
+
+def fences(measured: DataFrame, reach: float = REACH, least: int = 100) -> DataFrame:
+    """For each (lang, source): low and high of each measure, from merged sketches of all rows (for repeats, of those within the base cutoff)."""
+    own = written(sketches(measured), "sketches")
 
-    def fenced(df: DataFrame, *by: str) -> DataFrame:
+    def fenced(*by: str) -> DataFrame:
         out = [*by, "n"]
-        for m, (spread, both, quantiles) in MEASURES.items():
-            q1, q3 = (F.when(F.kll_sketch_get_n_double(m) > 0, F.kll_sketch_get_quantile_double(m, F.lit(q))) for q in quantiles)
+        for m, (spread, both, _) in MEASURES.items():
+            q1, q3 = F.col(m)["low"], F.col(m)["high"]
             width = reach * F.greatest(q3 - q1, F.lit(spread))
             out.append(F.struct((q1 - width if both else F.lit(float("-inf"))).alias("low"), (q3 + width).alias("high")).alias(m))
-        return df.select(*out)
+        return quantiles(own, *by).select(*out)
 
-    a = fenced(own, "lang", "source").alias("a")
-    b = fenced(merged("lang"), "lang").alias("b")
-    c = fenced(merged()).alias("c")
+    a = fenced("lang", "source").alias("a")
+    b = fenced("lang").alias("b")
+    c = fenced().alias("c")
     rows = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").join(c, F.lit(True), "left")  # c is one row
     pick = [F.when(F.col("a.n") >= least, F.col(f"a.{m}")).when(F.col("b.n") >= least, F.col(f"b.{m}")).otherwise(F.col(f"c.{m}")).alias(m) for m in MEASURES]
     return rows.select("a.lang", "a.source", *pick)

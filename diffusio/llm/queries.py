@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from diffusio.llm import alignment, chat, decontaminate, exactdup, langid, manifest, neardup, packing, quality, secrets, toxicity, urls
+from diffusio.session import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,8 +93,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as matrices of 2048 ids, by checksums and listings."""
-    return packing.digest_matrices(packing.pack_matrices(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0))
+    """All documents as matrices of 2048 ids, written and read back, by checksums and listings."""
+    place = f"{shared_folder(spark)}/matrices-{uuid.uuid4().hex}"
+    packing.write_matrices(packing.pack_matrices(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0), place)
+    return packing.digest_matrices(packing.read_matrices(spark, place))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +108,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt from rows whose crc32(doc_id) mod 3 isn't 1; all predicted."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(_crc() % 3 != 1))
-    return langid.identify(docs, model, "doc_id", (_crc() % 3 == 1).alias("held_out"))
+    return langid.identify(docs, model, "doc_id", F.coalesce(_crc() % 3 == 1, F.lit(False)).alias("held_out"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(_crc() % 4 != 2))
     scored = toxicity.score(docs, model)
     predicted = (F.col("toxicity") >= toxicity.THRESHOLD).cast("int")
-    return scored.select("doc_id", (_crc() % 4 == 2).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_crc() % 4 == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

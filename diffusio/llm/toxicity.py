@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,22 +40,23 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tup
     for lo, _, buf, offsets in slices(column):
         words = Words(buf, offsets, table)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
-        h = [words.hashes]
-        rows = [row]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(h: np.ndarray, rows: np.ndarray) -> None:
+            """Features of one kind; those without a weight go at once, so that long texts take little memory."""
+            at = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            some = slice(None) if wanted is None else wanted[at]  # noqa: B023
+            found.append((at[some], rows[some]))  # noqa: B023
+
+        add(words.hashes, row)
         for size in _STEMS:
             long = words.ends - words.starts > size
-            h.append(mix(words.stems(size)[long] + np.uint64(size)))
-            rows.append(row[long])
+            add(mix(words.stems(size)[long] + np.uint64(size)), row[long])
         with np.errstate(over="ignore"):
             for skip in _SKIPS:
                 same = row[skip:] == row[:-skip]
-                h.append(mix(words.hashes[:-skip] * np.uint64(2 * skip + 1) + words.hashes[skip:])[same])
-                rows.append(row[skip:][same])
-        at = (np.concatenate(h) >> np.uint64(64 - BITS)).astype(np.int64)
-        rows = np.concatenate(rows)
-        if wanted is not None:
-            some = wanted[at]
-            at, rows = at[some], rows[some]
+                add(mix(words.hashes[:-skip] * np.uint64(2 * skip + 1) + words.hashes[skip:])[same], row[skip:][same])
+        at, rows = (np.concatenate(c) for c in zip(*found, strict=True))
         yield lo, *_distinct(at, rows), len(offsets) - 1
 
 
@@ -128,17 +128,17 @@ def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         table = m.table()
         wanted = table != 0
-        for t in texts:
-            out = np.zeros(len(t))
+        for texts in batches:
+            out = np.zeros(len(texts))
             if m.known:
-                for lo, at, row, n in features(pa.array(t, pa.string()), wanted):
+                for lo, at, row, n in features(texts, wanted):
                     total = m.bias + np.bincount(row, weights=table[at], minlength=n)
                     out[lo : lo + n] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return docs.withColumn(into, scored("text"))

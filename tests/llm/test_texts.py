@@ -228,6 +228,23 @@ def test_pack_matrices(spark):
     assert packing.pack_matrices(df.limit(0), tokenizer_path(), capacity).count() == 0
 
 
+def test_matrices_are_written_and_read(spark, tmp_path):
+    """What is read back holds every text's ids in order, by the cumulative lengths, and zeros behind them."""
+    texts = [None, "", "one two three", "x y " * 300, "é" * 90]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    packing.write_matrices(packing.pack_matrices(df, tokenizer_path(), 64), str(tmp_path / "m"))
+    back, ids = packing.read_matrices(spark, str(tmp_path / "m")), {i: 0 for i in range(len(texts))}
+    for row in back.collect():
+        n = packing.numbers(row)
+        assert len(n) == 64 and not n[row["n_tokens"] :].any() and row["cu_seqlens"][-1] == row["n_tokens"] and row["positions_reset"] == row["cu_seqlens"][:-1]
+        for doc, lo, hi in zip(row["doc_ids"], row["cu_seqlens"], row["cu_seqlens"][1:], strict=False):
+            ids[doc] += int(n[lo:hi].astype(np.int64).sum())
+    enc = tokens.encoder(tokenizer_path())
+    assert ids == {i: int(np.frombuffer(enc.encode(t or ""), "<u4").astype(np.int64).sum()) for i, t in enumerate(texts)}
+    assert sorted(map(str, back.collect())) == sorted(map(str, packing.pack_matrices(df, tokenizer_path(), 64).collect()))
+
+
+
 def pieces_of(n, capacity):
     return [(a, len(p) // 4) for a, p in tokens.pieces(bytes(4 * n), capacity)]
 

@@ -1,4 +1,6 @@
 import datetime
+import math
+import random
 
 from diffusio.llm import quality, urls
 from tests.llm.plain import measures
@@ -45,3 +47,20 @@ def test_fences_adapt(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     lost = {r["doc_id"] for r in quality.quality(df).where("NOT kept").collect()}
     assert lost == {5000}  # symbols are usual in one source and not in the other
+
+
+def test_sketches_are_exact_sums_and_near_quantiles(spark):
+    """Quantiles within a percent of those of sorted values, the same for any layout and merged from parts."""
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice("ab#") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 60))), rng.choice(["en", "fr", None]), rng.choice("xy")) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    one, two = (quality.measure(df.repartition(n)) for n in (1, 9))
+    found = {r["lang"]: r for r in quality.quantiles(quality.sketches(two), "lang").collect()}
+    assert found == {r["lang"]: r for r in quality.quantiles(quality.sketches(one), "lang").collect()}
+    for lang in ("en", "fr", None):
+        values = sorted(sum(len(w) for w in t.split()) / len(t.split()) for _, t, x, _ in rows if x == lang)
+        assert found[lang]["n"] == len(values)
+        for q, got in zip((0.25, 0.75), found[lang]["word_length"], strict=True):
+            assert abs(got / values[math.ceil(q * len(values)) - 1] - 1) < 0.011
+    kept = [sorted((r["doc_id"], r["kept"]) for r in quality.quality(df.repartition(n)).collect()) for n in (1, 9)]
+    assert kept[0] == kept[1]
