@@ -205,8 +205,8 @@ def _bucket(table_bytes: int, go_on: bool):
 def _round(rows: DataFrame, table_bytes: int, go_on: bool, *keys) -> DataFrame:
     """One round over records: they are dealt by keys, and each bucket's result is written."""
     spark = rows.sparkSession
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // table_bytes + 1)
+    total, count = rows.agg(F.sum("bytes"), F.count("bytes")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(count, 2 * (total or 0) // table_bytes + 1))
     dealt = rows.repartition(n, *keys).select("record", "h", "content", "size", "best_chars", "best_doc", "best_record", "best_place")
     return written(dealt.mapInArrow(_bucket(table_bytes, go_on), FOUND), "buckets", compression="zstd")
 

@@ -323,12 +323,12 @@ def _measured(rows: DataFrame, level: int) -> DataFrame:
     chosen = rows.groupBy("r").agg(F.array_distinct(F.array(*best)).alias("p"), _shares(F.count("x"), F.sum(F.length("members")) / 8).alias("shares"))
     chosen = _sent(written(chosen, "pivots"))
     pivots = rows.select("r", "x", "members").join(chosen.select("r", "shares", F.explode("p").alias("x")), ["r", "x"])
-    pivots = pivots.select("r", "x", "members", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    pivots = pivots.select(F.col("r").alias("at_r"), F.col("x").alias("pivot"), F.col("members").alias("set"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("at_share"))
     mine = rows.join(chosen.select("r", "shares"), "r").select("r", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"), "x", "settled", "members")
 
     def made(key, own: pa.Table, pivots: pa.Table) -> pa.Table:
-        pivots = pivots.sort_by("x")
-        names, far = pivots["x"].to_pylist(), [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pivots["members"]]
+        pivots = pivots.sort_by("pivot")
+        names, far = pivots["pivot"].to_pylist(), [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pivots["set"]]
         distances, masks, sizes = [], [], []
         for v, settled in zip(own["members"], own["settled"].to_pylist(), strict=True):
             v, out, mask = np.frombuffer(v.as_buffer(), dtype=np.uint64), [], settled << PIVOTS
@@ -343,7 +343,7 @@ def _measured(rows: DataFrame, level: int) -> DataFrame:
         columns = [own["r"], own["x"], pa.array(sizes, pa.int64()), pa.array(masks, pa.int32()), pa.array([names] * len(own), pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.float64()))]
         return pa.table(columns, names=["r", "x", "n", "mask", "pivots", "d"])
 
-    found = mine.groupBy("r", "share").cogroup(pivots.groupBy("r", "share")).applyInArrow(made, "r long, x long, n long, mask int, pivots array<long>, d array<double>")
+    found = mine.groupBy("r", "share").cogroup(pivots.groupBy("at_r", "at_share")).applyInArrow(made, "r long, x long, n long, mask int, pivots array<long>, d array<double>")
     return written(found, "distances")
 
 
