@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from diffusio.functions.math import safe_div
 from diffusio.session import written
@@ -22,12 +22,15 @@ class Graph:
     Parallel edges add up when weights are read; degrees and neighbours count distinct ones.
     """
 
-    def __init__(self, edges: DataFrame, directed: bool = False, nodes: DataFrame | None = None):
-        self.edges, self.directed = edges.select("src", "dst", F.col("w").cast("double").alias("w")), directed
+    def __init__(self, edges: DataFrame, directed: bool = False, nodes: DataFrame | None = None, known: dict[Any, Any] | None = None):
+        """known: what stored() has found out; nodes are unique then."""
+        self.edges, self.directed, self._made = edges.select("src", "dst", F.col("w").cast("double").alias("w")), directed, dict(known or {})
+        if known is not None:
+            self.nodes, self._given = nodes, True
+            return
         ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select(F.col("dst").alias("id"))).distinct()
         self.nodes = ends if nodes is None else nodes.select("id").distinct()
         self._given = nodes is not None
-        self._made: dict[Any, Any] = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -51,8 +54,12 @@ class Graph:
     def stored(self) -> Graph:
         """The same graph as written tables, with parallel edges added up."""
         edges = written(self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "edges")
-        nodes = self.nodes if self._given else Graph(edges, self.directed).nodes
-        return Graph(edges, self.directed, written(nodes, "nodes"))
+        ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("n")).union(edges.select("dst", F.lit(0)))
+        if self._given:
+            ends = ends.union(self.nodes.select("id", F.lit(0)))
+        seen = Observation()
+        nodes = written(ends.groupBy("id").agg(F.sum("n").alias("n")).observe(seen, F.max("n").alias("most")).select("id"), "nodes")
+        return Graph(edges, self.directed, nodes, known={"most": seen.get["most"] or 0, "summed": True})
 
     def add_edges(self, pairs: DataFrame) -> Graph:
         """Edges that are there already are not added again."""
@@ -83,7 +90,8 @@ class Graph:
 
     def neighbors(self) -> DataFrame:
         """id and neighbor, each pair once."""
-        return self.edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor")).distinct()
+        pairs = self.edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
+        return pairs if self._made.get("summed") else pairs.distinct()
 
     def degrees(self) -> DataFrame:
         """id and degree (distinct neighbours), 0 for isolated nodes."""
@@ -112,6 +120,14 @@ class Graph:
             reach = reach.union(last).distinct()
         return reach.where("src <> dst")
 
+    def most_edges(self) -> int:
+        """The most edges of a source."""
+        return self.remembered("most", lambda: self.edges.groupBy("src").agg(F.count("dst").alias("n")).agg(F.max("n")).first()[0] or 0)
+
+    def summed(self) -> DataFrame:
+        """Edges with parallel ones added up."""
+        return self.edges if self._made.get("summed") else self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
     def remembered(self, key: Any, make: Callable[[], Any]) -> Any:
         """What make() gives, kept under a key for the life of this object."""
         if key not in self._made:

@@ -42,16 +42,16 @@ class Normalization:
     @staticmethod
     def stored(edges: DataFrame, graph: Graph) -> Adjacency:
         """Edges of a graph written in buckets. Sources with more than HUB edges in the graph are dealt into parts before."""
+        if graph.most_edges() <= HUB:
+            return Adjacency(*bucketed(edges, "adjacency", "src"))
         parts = F.ceil(F.count("dst") / HUB).cast("int")
         hubs = graph.remembered("hubs", lambda: written(graph.edges.groupBy("src").agg(parts.alias("parts")).where("parts > 1"), "hubs"))
-        if graph.remembered("no hubs", hubs.isEmpty):
-            return Adjacency(*bucketed(edges, "adjacency", "src"))
         part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
         dealt = bucketed(edges.join(F.broadcast(hubs), "src", "left").withColumn("part", part).drop("parts"), "adjacency", "src", "part")
         return Adjacency(dealt.rows, dealt.plain.drop("part"), hubs)
 
     def _made(self, graph: Graph) -> DataFrame:
-        e = graph.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+        e = graph.summed()
         loops = graph.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
         if self.renormalize:
             e = e.union(loops.withColumn("w", F.lit(float(self.renormalize)))).groupBy("src", "dst").agg(F.sum("w").alias("w"))

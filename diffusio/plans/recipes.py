@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from diffusio.functions.measures import Conductance, similarities
 from diffusio.graph import Graph, Signal
+from diffusio.operators.filters import SLOTS, GraphFilter, rank_slots
 from diffusio.operators.postprocess import Normalize, Threshold
 from diffusio.plans.optimize import optimize
 from diffusio.plans.ranker import Ranker
+from diffusio.session import written
 
 
 def detect_community(graph: Graph, ranker: Ranker, seeds: Signal, tol: float = 0.01) -> Signal:
@@ -20,19 +22,25 @@ def detect_community(graph: Graph, ranker: Ranker, seeds: Signal, tol: float = 0
 
 
 def group_scores(graph: Graph, ranker: Ranker, groups: DataFrame) -> DataFrame:
-    """group_id, id, value for each of a few groups (group_id, id): one run for all where the ranker can do so, else one each."""
+    """group_id, id, value for each group (group_id, id): SLOTS groups a state where the ranker can do so, else one run each.
+
+    The groups' names come to the driver; their members don't.
+    """
+    groups = written(groups.join(graph.nodes, "id", "left_semi").select("group_id", "id").distinct(), "groups")
+    names = [r[0] for r in groups.select("group_id").distinct().orderBy("group_id").collect()]
+    together = isinstance(ranker, GraphFilter) and ranker.ranks_many()
     out: DataFrame | None = None
-    names = groups.select("group_id").distinct().orderBy("group_id").collect()
-    if (many := getattr(ranker, "ranks_many", None)) and many():
-        members = groups.join(graph.nodes, "id", "left_semi").groupBy("id").agg(*[F.max((F.col("group_id") == r[0]).cast("double")).alias(f"g{i}") for i, r in enumerate(names)])
-        found = ranker.rank_many(graph, graph.nodes.join(members, "id", "left").fillna(0.0))
-        rows = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("group_id"), F.col(f"g{i}").alias("value")) for i, r in enumerate(names)])).alias("v")
-        return found.select("id", rows).select("v.group_id", "id", "v.value")
-    for row in names:
-        chosen = groups.where(F.col("group_id") == row[0]).select("id").join(graph.nodes, "id", "left_semi")
-        one = ranker.rank(graph, Signal.of(graph, chosen)).df.select(F.lit(row[0]).alias("group_id"), "id", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    for at in range(0, len(names), SLOTS if together else 1):
+        some = names[at : at + (SLOTS if together else 1)]
+        if together:
+            inside = F.array(*[F.max((F.col("group_id") == g).cast("double")) for g in some])
+            ranks, _ = rank_slots([ranker] * len(some), graph, groups.where(F.col("group_id").isin(some)).groupBy("id").agg(inside.alias("p")))
+            rows = ranks.select("id", F.posexplode("value").alias("k", "value"))
+            rows = rows.select(F.array(*[F.lit(g) for g in some])[F.col("k")].alias("group_id"), "id", "value")
+        else:
+            rows = ranker.rank(graph, Signal.of(graph, groups.where(F.col("group_id") == some[0]).select("id"))).df.select(F.lit(some[0]).alias("group_id"), "id", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else groups.select("group_id", "id", F.lit(0.0).alias("value"))
 
 
 def partition(scores: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,13 +14,16 @@ from diffusio.graph import Graph, Signal
 from diffusio.operators import fairness, filters as O, postprocess as P
 from diffusio.operators.convergence import RankOrder
 from diffusio.operators.normalize import Normalization, eigdegree
+from diffusio.operators.dictionary import OnNumbers
 from diffusio.operators.projections import CoSimRank
 from diffusio.plans import benchmark as B, recipes as R, sql as S, tuning as T
-from diffusio.plans.ranker import Chain
 from diffusio.plans.fixtures import COMMUNITIES_SQL, GRAPH_SQL, GRAPHS, KEY_SQL, SEED_SQL, SENSITIVE_SQL, communities, key, seeds, sensitive, settled, shown, table
+from diffusio.plans.heads import SoftmaxHead
+from diffusio.plans.ranker import Chain
 from diffusio.session import shared_folder
-from diffusio.sources import loaders as L
+from diffusio.sources import conversions as C, loaders as L
 from diffusio.streaming.edges import StreamRanker
+from diffusio.streaming.push import PushRanker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -791,3 +795,86 @@ m{n} AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY
 
 _ONE = S.pagerank(m="m1", nodes="nodes1", name="one", prefix="a", head=f"{NAT},\n{_batch_sql(1, 'CAST(substr(src, 2) AS BIGINT) % 2 = 0')},\n{_batch_sql(2, 'true')}")
 add("edge_stream", _stream, S.shown(S.pagerank(m="m2", nodes="nodes2", name="two", head=_ONE, start="coalesce((SELECT value FROM one WHERE one.id = sp.id), 0)"), "two"))
+
+# ---- node numbers, archives and several datasets -------------------------------------------
+
+add("numbered_pagerank_k", ranked("cs", lambda: OnNumbers(O.PageRank(0.85, **steps(5)))), ORACLE_SQL["pagerank_quotient_k"])
+
+
+def _compressed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Lines (value) written as gz files and read as archives."""
+    place = _place(spark, name)
+    rows.write.option("compression", "gzip").text(place)
+    return C.archive_lines(spark, f"{place}/*.gz")
+
+
+def _convert_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges with a mark in the third word, of which marked ones are pairs."""
+    rows = GRAPHS["cs"](spark, folder).edges.select(F.concat_ws(" ", "src", "dst", (key("dst") % 3).cast("string")).alias("value"))
+    return C.converted_pairs(_compressed(spark, rows, "marked"), C.Conversion(pair=lambda words: F.when(words[2] != "0", F.slice(words, 1, 2))))
+
+
+def _vector_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of an id, the numbers of its embedding and its label."""
+    return _embedded(spark, folder).select(F.concat_ws(" ", "id", F.array_join(F.transform("features", lambda x: x.cast("string")), " "), F.concat(F.lit("L"), F.col("label").cast("string"))).alias("value"))
+
+
+add("convert_pairs", _convert_pairs, f"{CS} SELECT src AS a, dst AS b FROM edges WHERE CAST(substr(dst, 2) AS BIGINT) % 3 <> 0")
+add("convert_node_groups", lambda spark, folder: C.groups_of_nodes(_convert_pairs(spark, folder), C.Conversion(node_group=lambda n: F.when(key("a") % 4 != 1, F.concat(F.substring(n, 1, 1), (key("a") % 4).cast("string"))))), f"{CS} SELECT DISTINCT substr(src, 1, 1) || (CAST(substr(src, 2) AS BIGINT) % 4) AS group_id, src AS id FROM edges WHERE CAST(substr(dst, 2) AS BIGINT) % 3 <> 0 AND CAST(substr(src, 2) AS BIGINT) % 4 <> 1")
+add("convert_features", lambda spark, folder: _cells(C.converted_features(_compressed(spark, _vector_lines(spark, folder), "vectors"))), f"SELECT id, place, floor(x * 1e6 + 0.5) / 1e6 AS v FROM ({_CELLS})")
+add("convert_groups", lambda spark, folder: C.converted_groups(_compressed(spark, _vector_lines(spark, folder), "vectors"), C.Conversion(least=3)), "SELECT 'L' || label AS group_id, CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 3)")
+
+
+def _datasets(spark: SparkSession, folder: str) -> str:
+    """A folder with two registered datasets: customers by segment, and nations by region."""
+    place, names = _place(spark, "datasets"), _nation_names(spark, folder)
+    for name, edges, groups in (("regions", GRAPHS["reg"](spark, folder).edges, names.select(F.col("region").alias("group_id"), "id")), ("segments", GRAPHS["cs"](spark, folder).edges, communities(spark, folder))):
+        L.register(name)
+        L.write_pairs(edges, f"{place}/{name}/pairs.txt")
+        L.write_groups(groups, f"{place}/{name}/groups.txt")
+    return place
+
+
+def loaded(load: Callable[..., Any]) -> Query:
+    """name and id of what a loader of several datasets gives."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        found = None
+        for name, _, ids in load(spark, _datasets(spark, folder), ["regions", "segments"]):
+            rows = ids.select(F.lit(name).alias("name"), *[F.col(c).cast("string").alias(c) for c in ids.columns])
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
+    return run
+
+
+_BOTH = f"{CS}, {COMMUNITIES_SQL}, sets AS (SELECT 'regions' AS name, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS group_id, 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'segments', dense_rank() OVER (ORDER BY group_id) - 1, id FROM groups WHERE id IN (SELECT id FROM nodes))"
+add("load_multiple", loaded(L.load_multiple), f"{_BOTH} SELECT name, CAST(group_id AS VARCHAR) AS group_id, id FROM sets")
+add("load_all_communities", loaded(L.load_all_communities), f"{_BOTH} SELECT name || group_id AS name, id FROM sets")
+add("load_one_community", loaded(L.load_one_community), f"{_BOTH} SELECT name, id FROM sets WHERE group_id = 4")
+add("load_graphs", lambda spark, folder: list(L.load_graphs(spark, _datasets(spark, folder), ["regions", "segments"]))[1].edges, f"{CS} SELECT src, dst, 2 * w AS w FROM edges")
+
+
+def _head(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of embeddings, learnt from those whose number isn't divisible by 3: id, held_out, label, predicted."""
+    rows = _embedded(spark, folder)
+    held = (F.col("id").cast("long") % 3 == 0).alias("held_out")
+    head = SoftmaxHead(epochs=40).fit(rows.where(~held), None)
+    return head.predict(rows.withColumnRenamed("label", "known").withColumn("held_out", held)).select("id", "held_out", F.col("known").alias("label"), F.col("label").cast("long").alias("predicted"))
+
+
+add("softmax_head", _head)
+
+
+def _stream_pushed(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of nations as two files, each a batch that pushes what it changes."""
+    edges, place = GRAPHS["nat"](spark, folder).edges.select("src", "dst"), _place(spark, "pairs")
+    for part in (0, 1):
+        edges.where(key("src") % 2 == part).coalesce(1).write.mode("append").parquet(place)
+    seed = (F.substring("id", 1, 1) != "c") & (key() % 5 == 0)
+    ranker = PushRanker(f"{place}-state", lambda nodes: nodes.select("id", seed.cast("double").alias("value")), 0.5, 1e-5, True)
+    ranker.start(spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(place), f"{place}-checkpoint").awaitTermination()
+    return ranker.scores(spark).select("id", F.round("value", 3).alias("score"))
+
+
+add("edge_stream_push", _stream_pushed)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from diffusio.graph import Graph, Signal
 from diffusio.plans.ranker import Ranker
-from diffusio.session import deleted, exists, shared_folder
+from diffusio.session import deleted, exists
 
 
 class StreamRanker:
@@ -60,8 +60,7 @@ class StreamRanker:
         if self.sink is not None:
             self.sink(self.scores(spark), batch)
 
-    def start(self, stream: DataFrame, checkpoint: str | None = None) -> StreamingQuery:
-        """Run on a stream of pairs; what is available is read in batches, then it stops. The same checkpoint goes on."""
-        place = checkpoint or f"{shared_folder(stream.sparkSession)}/stream-{id(self)}"
-        self.folder = self.folder or f"{place}-graph"
-        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", place).trigger(availableNow=True).start()
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Run on a stream of pairs; what is available is read in batches, then it stops. The same checkpoint, a folder that all machines share, goes on."""
+        self.folder = self.folder or f"{checkpoint}-graph"
+        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
