@@ -40,7 +40,7 @@ def conv(edges: DataFrame | Adjacency, values: DataFrame, *columns: str) -> Data
 
     The values of sources whose edges are in several parts are repeated for each.
     """
-    sums, values, keys = [F.sum(F.col(c) * F.col("w")).alias(c) for c in columns], values.select(F.col("id").alias("src"), *columns), ["src"]
+    sums, values, keys = [F.expr(f"sum({c} * w) AS {c}") for c in columns], values.select(F.col("id").alias("src"), *columns), ["src"]
     if isinstance(edges, Adjacency):
         if edges.hubs is not None:  # a row for each part's size of edges at most
             values = values.join(F.broadcast(edges.hubs), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")

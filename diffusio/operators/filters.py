@@ -52,41 +52,62 @@ def rank_slots(filters: Sequence[GraphFilter], graph: Graph, table: DataFrame, *
         raise ValueError("filters of one state need one class, normalization and quotient")
     lead.checked(more)
     slots, steps = range(n), Steps()
-    whole = graph.nodes.join(table.select("id", "p"), "id", "left").select("id", F.coalesce("p", F.array(*[F.lit(0.0)] * n)).cast("array<double>").alias("p"))
+    zero = f"array_repeat(0.0D, {n})"
+    whole = graph.nodes.join(table.select("id", "p"), "id", "left").select("id", F.coalesce(F.col("p").cast("array<double>"), F.expr(zero)).alias("p"))
     edges = lead.adjacency(graph, more)
-    state, norms = steps.written(lead.start(graph, edges, whole.withColumn("r", F.col("p")), more), "slots", **{f"n{i}": F.sum(F.abs(F.col("p")[i])) for i in slots})
+    state, norms = steps.written(lead.start(graph, edges, whole.withColumn("r", F.col("p")), more), "slots", **{f"n{i}": F.expr(f"sum(abs(p[{i}]))") for i in slots})
     norm = [norms[f"n{i}"] or 1.0 for i in slots]
-    state = state.withColumn("p", F.array(*[F.col("p")[i] / norm[i] for i in slots])).withColumn("r", F.col("p"))
+    state = state.withColumn("p", F.expr(f"zip_with(p, {_numbers(norm)}, (x, y) -> x / y)")).withColumn("r", F.col("p"))
     shared = set(state.columns) - {"p", "r"}  # columns of nodes, the same for all slots
-    at = [lambda name, i=i: F.col(name) if name in shared else F.col(f"{name}_{i}") if name.endswith("_in") else F.col(name)[i] for i in slots]
-    begun = [f.first(at[i]) for i, f in enumerate(filters)]
-    state = state.withColumns({name: F.array(*[b[name].cast("double") for b in begun]) for name in begun[0]})
+    state = state.withColumns(_each(filters, lambda f, c: f.first(c), ["p", "r"], shared))
+    own = [c for c in state.columns if c != "id" and c not in shared]
     stops = [copy.copy(f.convergence) for f in filters]
     for s in stops:
         s.start()
-    live, errors = list(slots), None
+    live, errors, totals = list(slots), None, getattr(lead, "quotient", False) is True
     while live := [i for i in live if not stops[i].stop(state, None if errors is None else "old", "r", {} if errors is None else {"error": errors[i]})]:
-        k = stops[live[0]].iteration
-        columns = {f"{name}_in_{i}": filters[i].moving(name, at[i]) for name in lead.moved() for i in live}
-        arrived = conv(edges, state.select("id", *[v.alias(c) for c, v in columns.items()]), *columns)
-        joined = state.drop("old").join(arrived, "id", "left").fillna(0.0, list(columns))
-        changed = {i: filters[i].step(k, at[i]) for i in live}
-        names = list(changed[live[0]])
-        new = [F.array(*[changed[i][c].cast("double") if i in changed else F.col(c)[i] for i in slots]).alias(c) for c in names]
-        kept = [c for c in state.columns if c not in ("id", "old", *names)]
-        totals = getattr(lead, "quotient", False) is True
+        k, names = stops[live[0]].iteration, lead.moved()
+        moving = _each(filters, lambda f, c: {m: f.moving(m, c) for m in names}, own, shared)
+        columns = [f"{m}_{i}" for m in names for i in live]
+        moved = state.select("id", *[v.alias(m) for m, v in moving.items()]).selectExpr("id", *[f"{m}[{i}] AS {m}_{i}" for m in names for i in live])
+        came = conv(edges, moved, *columns).selectExpr("id", *[f"array({', '.join(f'{m}_{i}' if i in live else '0.0D' for i in slots)}) AS {m}_in" for m in names])
+        joined = state.drop("old").join(came, "id", "left").withColumns({f"{m}_in": F.coalesce(f"{m}_in", F.expr(zero)) for m in names})
+        new = _each(filters, lambda f, c: f.step(k, c), [*own, *[f"{m}_in" for m in names]], shared)
+        if len(live) < n:  # the others stay as they are
+            new = {c: F.zip_with(F.zip_with(v, F.col(c), lambda x, y: F.struct(x.alias("new"), y.alias("old"))), F.expr(f"array({', '.join('true' if i in live else 'false' for i in slots)})"), lambda x, on: F.when(on, x["new"]).otherwise(x["old"])) for c, v in new.items()}
         watched = [i for i in live if stops[i].error != "iters"]
-        seeing = {f"t{i}": F.sum(F.col("r")[i]) for i in live} if totals else {}
-        if not totals:
-            seeing |= {f"e{i}": ERRORS[stops[i].error](F.col("old")[i], F.col("r")[i]) for i in watched}
-        state, seen = steps.written(joined.select("id", F.col("r").alias("old"), *kept, *new), "slots", **seeing)
+        seeing = {f"t{i}": F.expr(f"sum(r[{i}])") for i in live} if totals else {f"e{i}": ERRORS[stops[i].error](F.col("old")[i], F.col("r")[i]) for i in watched}
+        kept = [c for c in state.columns if c not in ("id", "old", *new)]
+        state, seen = steps.written(joined.select("id", F.col("r").alias("old"), *kept, *[v.alias(c) for c, v in new.items()]), "slots", **seeing)
         if totals:
-            state = state.withColumn("r", F.array(*[F.col("r")[i] / seen[f"t{i}"] if i in changed and seen[f"t{i}"] else F.col("r")[i] for i in slots]))
+            state = state.withColumn("r", F.expr(f"zip_with(r, {_numbers([(seen[f't{i}'] or 1.0) if i in live else 1.0 for i in slots])}, (x, y) -> x / y)"))
             if watched:
                 seen = state.agg(*[ERRORS[stops[i].error](F.col("old")[i], F.col("r")[i]).alias(f"e{i}") for i in watched]).first().asDict()
         errors = {i: seen[f"e{i}"] if i in watched else None for i in live}
-    value = F.array(*[f.end(at[i]) * (norm[i] if f.preserve_norm else 1.0) for i, f in enumerate(filters)])
-    return state.select("id", value.alias("value")), [s.iteration for s in stops]
+    value = _each(filters, lambda f, c: {"value": f.end(c)}, own, shared)["value"]
+    scale = _numbers([norm[i] if f.preserve_norm else 1.0 for i, f in enumerate(filters)])
+    return state.withColumn("value", value).select("id", F.expr(f"zip_with(value, {scale}, (x, y) -> x * y)").alias("value")), [s.iteration for s in stops]
+
+
+def _numbers(values: Sequence[float]) -> str:
+    """An array of numbers as SQL."""
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
+
+
+def _each(filters: Sequence[GraphFilter], make: Callable[[GraphFilter, At], dict[str, Column]], own: list[str], shared: set[str]) -> dict[str, Column]:
+    """Arrays of what make() gives for each slot, from the slots of columns and from columns of nodes.
+
+    If the filters are one, the formula is one function of a slot's values; else there is an expression for each slot.
+    """
+    if all(f is filters[0] for f in filters):
+        zipped = F.arrays_zip(*own)
+
+        def one(c: str) -> Callable[[Column], Column]:
+            return lambda x: make(filters[0], lambda name: F.col(name) if name in shared else x[name])[c].cast("double")
+
+        return {c: F.transform(zipped, one(c)) for c in make(filters[0], F.col)}
+    found = [make(f, lambda name, i=i: F.col(name) if name in shared else F.col(name)[i]) for i, f in enumerate(filters)]
+    return {c: F.array(*[v[c].cast("double") for v in found]) for c in found[0]}
 
 
 class GraphFilter(Ranker):

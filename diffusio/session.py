@@ -14,6 +14,9 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts have kilobytes each, and a task holds
+#: several copies of a batch.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -126,7 +129,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (``addPyFile``)."""
+    """Send this package to the executors once per application (``addPyFile``), and see to small Arrow batches."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
