@@ -811,7 +811,7 @@ def _compressed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 def _convert_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Edges with a mark in the third word, of which marked ones are pairs."""
     rows = GRAPHS["cs"](spark, folder).edges.select(F.concat_ws(" ", "src", "dst", (key("dst") % 3).cast("string")).alias("value"))
-    return C.converted_pairs(_compressed(spark, rows, "marked"), C.Conversion(pair=lambda words: F.when(words[2] != "0", F.slice(words, 1, 2))))
+    return C.converted_pairs(_compressed(spark, rows, "marked"), C.Conversion(pair=lambda words: F.when(F.get(words, F.lit(2)) != "0", F.slice(words, 1, 2))))
 
 
 def _vector_lines(spark: SparkSession, folder: str) -> DataFrame:

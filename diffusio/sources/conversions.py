@@ -26,7 +26,7 @@ LINES = 50_000
 
 @dataclass(frozen=True)
 class Conversion:
-    """What a dataset's files hold. Rules take words (array of strings).
+    """What a dataset's files hold. Rules take words (array of strings) and have to bear lines with few of them (``F.get``).
 
     pair: [a, b]; node_group: the group of a node, from its name alone (not of words); feature_row: [id, value, ...,
     label]; member_row: [id, group, ...]. least: groups of fewer members are left out.
@@ -102,7 +102,7 @@ def _ruled(lines: DataFrame, rule: Rule) -> DataFrame:
 
 def converted_pairs(lines: DataFrame, how: Conversion = Conversion()) -> DataFrame:  # noqa: B008
     """a and b of lines (value)."""
-    return _ruled(lines, how.pair).where("size(r) > 1").select(F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
+    return _ruled(lines, how.pair).where("size(r) > 1").select(F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
 
 
 def large_groups(groups: DataFrame, least: int) -> DataFrame:
@@ -121,13 +121,13 @@ def groups_of_nodes(pairs: DataFrame, how: Conversion) -> DataFrame:
 def converted_groups(lines: DataFrame, how: Conversion) -> DataFrame:
     """group_id and id of lines that name a node and its groups, or end in its group if there is no rule."""
     if how.member_row is not None:
-        rows = _ruled(lines, how.member_row).select(F.explode(F.slice("r", 2, 1 << 30)).alias("group_id"), F.col("r")[0].alias("id"))
+        rows = _ruled(lines, how.member_row).select(F.explode(F.slice("r", 2, 1 << 30)).alias("group_id"), F.get("r", F.lit(0)).alias("id"))
     else:
-        rows = _ruled(lines, how.feature_row).where("size(r) > 1").select(F.element_at("r", -1).alias("group_id"), F.col("r")[0].alias("id"))
+        rows = _ruled(lines, how.feature_row).where("size(r) > 1").select(F.try_element_at("r", F.lit(-1)).alias("group_id"), F.get("r", F.lit(0)).alias("id"))
     return large_groups(rows, how.least)
 
 
 def converted_features(lines: DataFrame, how: Conversion = Conversion()) -> DataFrame:  # noqa: B008
     """id and features (array of numbers) of lines: what stands between the id and the label."""
     rows = _ruled(lines, how.feature_row).where("size(r) > 1")
-    return rows.select(F.col("r")[0].alias("id"), F.transform(F.slice("r", F.lit(2), F.size("r") - 2), lambda x: x.cast("double")).alias("features"))
+    return rows.select(F.get("r", F.lit(0)).alias("id"), F.transform(F.slice("r", F.lit(2), F.greatest(F.size("r") - 2, F.lit(0))), lambda x: x.cast("double")).alias("features"))

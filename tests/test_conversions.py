@@ -39,7 +39,7 @@ def test_archives(spark, tmp_path, kind):
     place = archive(tmp_path, kind)
     lines = C.archive_lines(spark, place, "*pairs.txt")
     assert [(r["number"], r["value"]) for r in lines.orderBy("number").collect()] == list(enumerate(PAIRS.replace("\r", "").split("\n")))
-    how = C.Conversion(pair=lambda w: F.when(w[2] != "0", F.slice(w, 1, 2)), node_group=lambda n: F.when(n != "c", F.lit("vowels or b")), member_row=lambda w: F.array(w[0], F.element_at(w, -1), F.lit("all")))
+    how = C.Conversion(pair=lambda w: F.when(F.get(w, F.lit(2)) != "0", F.slice(w, 1, 2)), node_group=lambda n: F.when(n != "c", F.lit("vowels or b")), member_row=lambda w: F.array(F.get(w, F.lit(0)), F.try_element_at(w, F.lit(-1)), F.lit("all")))
     pairs = C.converted_pairs(lines, how)
     assert sorted(map(tuple, pairs.collect())) == [("a", "b"), ("a", "c"), ("c", "a")]
     assert C.groups_of_nodes(pairs, how).count() == 0  # one node in all of its rows
