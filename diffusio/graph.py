@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from diffusio.functions.math import safe_div
-from diffusio.session import written
+from diffusio.session import outside, written
 
 
 class Graph:
@@ -129,9 +129,10 @@ class Graph:
         return self.edges if self._made.get("summed") else self.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
     def remembered(self, key: Any, make: Callable[[], Any]) -> Any:
-        """What make() gives, kept under a key for the life of this object."""
+        """What make() gives, kept under a key for the life of this object, whatever scope it is made in."""
         if key not in self._made:
-            self._made[key] = make()
+            with outside():
+                self._made[key] = make()
         return self._made[key]
 
 

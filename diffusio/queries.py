@@ -676,8 +676,8 @@ def _projected_links(spark: SparkSession, folder: str) -> DataFrame:
 
 add("cosimrank_links", _projected_links)
 add("cosimrank_k", ranked("cs", lambda: CoSimRank(dims=256)))
-add("tune_impulse", ranked("cs", lambda: T.ParameterTuner(lambda w: O.Impulse(w, **steps(3)), [1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=1e-3, divide_range=2)))
-add("tune_lowpass", ranked("cs", lambda: T.ParameterTuner(lambda w: O.LowPass(w, **steps(3)), [1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=1e-3, divide_range=2)))
+add("tune_impulse", ranked("cs", lambda: T.ParameterTuner(lambda w: O.Impulse(w, **steps(3)), [1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=1e-2, divide_range=2)))
+add("tune_lowpass", ranked("cs", lambda: T.ParameterTuner(lambda w: O.LowPass(w, **steps(3)), [1.0] * 3, measure=M.Cos, training=0.5, deviation_tol=1e-2, divide_range=2)))
 
 
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:

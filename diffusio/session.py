@@ -59,6 +59,16 @@ def scope(spark: SparkSession) -> Iterator[None]:
             deleted(spark, path)
 
 
+@contextmanager
+def outside() -> Iterator[None]:
+    """What is written within it belongs to no scope: it is kept for longer, as the edges of a graph are."""
+    held, _SCOPES[:] = _SCOPES[:], []
+    try:
+        yield
+    finally:
+        _SCOPES[:] = held
+
+
 def _path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCOPES:

@@ -160,8 +160,10 @@ def test_nothing_stays_in_the_catalog(spark):
     before = set(os.listdir(folder))
     with scope(spark):
         O.PageRank(0.85, **steps(3)).rank(graph, ["1"]).to_dict()
-        assert set(os.listdir(folder)) - before
-    assert not [x for x in set(os.listdir(folder)) - before if not x.startswith(".")]
+        assert len(set(os.listdir(folder)) - before) > 2
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before if not x.startswith(".")}
+    assert left == {"adjacency"}  # the graph's own, which other runs read
+    assert O.PageRank(0.85, **steps(2)).rank(graph, ["1"]).to_dict()
     assert not [t for t in spark.catalog.listTables() if not t.isTemporary]
 
 
