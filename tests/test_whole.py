@@ -2,6 +2,8 @@
 
 import math
 import random
+import shutil
+from collections import Counter
 from itertools import product
 
 import pytest
@@ -47,6 +49,24 @@ def test_all_pairs(spark, folder):
     assert got == {p: p in pairs for p in product([f"c{i}" for i in range(CUSTOMERS)], [f"s{i}" for i in range(SUPPLIERS)])}
 
 
+def test_all_pairs_in_blocks(spark, folder, tmp_path, monkeypatch):
+    """Suppliers far from any sold one, repeated and missing numbers: a row for each pair, from blocks of a few suppliers."""
+    monkeypatch.setattr("diffusio.graph.BLOCK", 3)
+    at, pairs = folder
+    for name in ("orders", "lineitem"):
+        shutil.copytree(f"{at}/{name}.parquet", tmp_path / f"{name}.parquet")
+    customers, suppliers = [0, 1, 1, 44, 77, None], [*range(SUPPLIERS), 3, 500, 501, None]
+    spark.createDataFrame([(c,) for c in customers], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(s,) for s in suppliers], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    c, s = ([None if v is None else f"{k}{v}" for v in values] for k, values in (("c", customers), ("s", suppliers)))
+    got = Q.QUERIES["has_edge_whole"](spark, str(tmp_path))
+    assert got.columns == ["src", "dst", "has_edge"]
+    assert Counter(map(tuple, got.collect())) == Counter((a, b, (a, b) in pairs) for a, b in product(c, s))
+    for name, side in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        spark.createDataFrame([], f"{side} long").write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+        assert Q.QUERIES["has_edge_whole"](spark, str(tmp_path)).isEmpty()
+
+
 def test_whole_hops_and_links(spark, folder):
     at, pairs = folder
     one = pairs | {(b, a) for a, b in pairs}
