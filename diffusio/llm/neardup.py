@@ -8,7 +8,8 @@ texts link when d <= EPSILON. Regions are split by pivots until they fit into a
   d(x, P) = |x - P| / |x|. Distances from a pool obey the triangle inequality,
   |d(x, P) - d(y, P)| <= d(x, y). Each text is in the pool of the most frequent of its
   window shingles, at distance 0, which makes the pools' Voronoi regions; so a text at
-  d(y, P) <= EPSILON is replicated into the region of P, and linked texts share a region.
+  d(y, P) <= EPSILON is replicated into the region of P if that is before y's own in an order
+  of pools, and linked texts share a region, the lesser of their two.
   (Single texts can't be pivots here: unrelated texts are all at distance about 1 of each
   other, so that windows would copy all texts into all regions.) The window test is decided
   by a text's EPSILON |x| + 1 first shingles in one global order, rare ones first: if P
@@ -49,7 +50,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diffusio.llm.text import Words, grams, mix, not_space, slices
 from diffusio.session import ship, written
@@ -402,19 +403,22 @@ def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     at: the less, the more usual a text's window shingles are among the others, which makes it central.
     """
     tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
-    # most shingles have one text: those go first, by counts alone, as all of them are shuffled
-    several = tokens.groupBy("s").agg(F.count("x").alias("size")).where("size > 1")
-    shared = written(tokens.join(several, "s"), "shared")
     # two sets whose first shared shingle is at places i and j link only if 9 min(n - i, m - j) >= 4 (n + m);
     # of a shingle's or pool's members, the least m and the greatest 5 m - 9 j decide whether any can
-    reach = (F.min("n").alias("lo"), F.max(5 * F.col("n") - 9 * F.col("i")).alias("far"))
+    reach = {"lo": F.min("n"), "far": F.max(5 * F.col("n") - 9 * F.col("i"))}
     enough = "9 * (n - i) >= 4 * (n + lo) AND far >= 4 * n"
-    left = shared.join(shared.groupBy("s").agg(*reach), "s").where(enough).select("s", "x", "n", "i", "size")
-    again = left.groupBy("s").agg(F.count("x").alias("k")).where("k > 1").select("s")
-    left = written(left.join(again, "s", "left_semi"), "shared")
+    # tokens are shuffled once, by shingle: counts and bounds come from windows over the same rows, and most, of one text, go
+    by_shingle = Window.partitionBy("s")
+    left = tokens.select("*", F.count("x").over(by_shingle).alias("size"), *[v.over(by_shingle).alias(k) for k, v in reach.items()]).where("size > 1").where(enough)
+    left = written(left.select("s", "x", "n", "i", "size", F.count("x").over(by_shingle).alias("k")).where("k > 1").drop("k"), "shared")
     home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r"), (-F.sum("size") / F.first("n")).alias("at")), "homes")
-    pools = left.join(home.select("x", "r"), "x").groupBy("s", "r").agg(*reach)
-    cells = left.join(pools, "s").where(enough).select("r", "x").unionByName(home.select("r", "x")).distinct()
+    placed = left.join(home.select("x", F.col("r").alias("home")), "x")
+    # shingles whose texts all have one pool bring nobody elsewhere
+    placed = placed.select("*", F.min("home").over(by_shingle).alias("first"), F.max("home").over(by_shingle).alias("last"))
+    placed = written(placed.where("first < last").drop("first", "last"), "placed")
+    pools = placed.groupBy("s", F.col("home").alias("r")).agg(*[v.alias(k) for k, v in reach.items()])
+    # each of two linked texts is in reach of the other's pool; they need to meet once, which is in the lesser pool of the two
+    cells = placed.join(pools, "s").where(enough).where("r < home").select("r", "x").unionByName(home.select("r", "x")).distinct()
     cells = written(cells, "cells")
     several = written(cells.groupBy("r").agg(F.count("x").alias("k")).where("k > 1").select("r"), "regions")
     return written(cells.join(_sent(several), "r"), "cells"), home.select("x", "at")

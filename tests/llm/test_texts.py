@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from diffusio.llm import decontaminate, langid, neardup, packing, tokens, toxicity
 from diffusio.llm.queries import tokenizer_path
-from tests.llm.plain import components, contamination
+from tests.llm.plain import components, contamination, shingles
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(4000)]
@@ -306,6 +306,34 @@ def test_near_duplicates_of_shipped_tables(spark, monkeypatch):
     assert seen["regions"] > 5 and seen["copied"] >= 0  # pools make regions; windows copy texts where pools share shingles
 
 
+def test_tokens_are_shuffled_once_and_linked_texts_meet(spark, monkeypatch):
+    """One exchange for the counts and bounds of all shingles; two linked texts share a region, in the lesser of their pools."""
+    plans, kept, real, cells_of = [], {}, neardup.written, neardup.pooled_cells
+
+    def watched(df, name, **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, **options)
+
+    def pooled(points):
+        kept["points"] = points
+        kept["cells"], places = cells_of(points)
+        return kept["cells"], places
+
+    monkeypatch.setattr(neardup, "written", watched)
+    monkeypatch.setattr(neardup, "pooled_cells", pooled)
+    rows = [r for r in corpus() if shingles(r[1])]
+    neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(p.count("Exchange hashpartitioning(") + p.count("BroadcastExchange") for name, p in plans if name == "shared") == 1
+    regions = {}
+    for r, i in kept["cells"].join(kept["points"], "x").select("r", "rep").collect():
+        regions.setdefault(i, set()).add(r)
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t), i)
+    linked = [(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    assert linked and all(regions[a] & regions[b] for a, b in linked)
+
+
 def plain_links(sets):
     return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)}
 
