@@ -31,9 +31,12 @@ texts link when d <= EPSILON. Regions are split by pivots until they fit into a
 * A region that fits is divided in the same way, by two pivots at a time, in one task.
 
 Equal sets are one point from the start. All distances are exact, from the hashes of whole
-sets. Steps are Spark joins on written tables; what reaches the driver are counts of rows and
-the sketch of shingle frequencies (WIDTH counters), which only orders shingles: any order
-gives exact results.
+sets. Steps are Spark joins on written tables; what reaches the driver are counts of rows, a
+bit for each row (which of equal sets is the point) and the sketch of shingle frequencies
+(WIDTH counters), which only orders shingles: any order gives exact results.
+
+What is moved: a text's window shingles once, packed by ranges of hashes, and the whole texts
+of the regions that fit into a task, where their sets are made.
 
 Defined cases: a text of fewer than five words, but not none, has one shingle; null texts
 and texts without words link with nothing; texts of any length count whole; repeated rows are
@@ -47,6 +50,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +68,10 @@ CELL_ROWS, CELL_SHINGLES = 256, 1 << 22
 PIVOTS = 8
 #: How many rows of a few numbers are broadcast (some 100 bytes each in memory); more are shuffled.
 SENT_ROWS = 1_000_000
+#: The same for blocks of rows with a bit for each (4 KB), as bitmap_construct_agg makes them.
+SENT_BLOCKS, _BLOCK = 8_192, 32_768
+#: Window tokens that a task packs at a time, and those of one bucket that it holds before it lets shared ones go unpruned.
+PACKED_TOKENS, HELD_TOKENS = 1 << 18, 1 << 22
 _SLACK = 2 * EPSILON + 1e-9
 
 
@@ -72,6 +81,16 @@ def _shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield lo, hi, *grams(Words(buf, offsets, not_space()), WORDS)
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: those of small ones are runs of zeros, which compress."""
+    return v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _frequencies(docs: DataFrame) -> np.ndarray:
     """Counts of shingles by hash bucket over all texts, added up in a tree."""
     shift = np.uint64(64 - WIDTH_BITS)
@@ -81,13 +100,13 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for _, _, h, _ in _shingles(b.column(0)):
                 total += np.bincount((h >> shift).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(_planes(total), 1)], pa.binary())], names=["counts"])
 
     def summed(parts: Iterator) -> Iterator[bytes]:
         total = np.zeros(1 << WIDTH_BITS, dtype=np.uint32)
         for p in parts:
-            total += np.frombuffer(zlib.decompress(p), dtype=np.uint32)
-        yield zlib.compress(total.tobytes(), 1)
+            total += _numbers(zlib.decompress(p), np.uint32)
+        yield zlib.compress(_planes(total), 1)
 
     parts = docs.select("text").mapInArrow(partial, "counts binary").rdd.map(lambda r: bytes(r[0]))
     if parts.getNumPartitions() == 0:
@@ -95,7 +114,7 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
     while parts.getNumPartitions() > 8:
         parts = parts.mapPartitions(summed).repartition(max(1, parts.getNumPartitions() // 8))
     got = parts.mapPartitions(summed).reduce(lambda a, b: next(summed(iter((a, b)))))
-    return np.frombuffer(zlib.decompress(got), dtype=np.uint32)
+    return _numbers(zlib.decompress(got), np.uint32)
 
 
 def _distinct(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -171,22 +190,28 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """x, at and members, the whole set, sorted, for points (x, at, rep, h, d1, d2), one row each."""
+def _with_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """Rows of need (rep, h, ...), a written table, with the texts they name; rows of docs that are repeated repeat them."""
+    keys = docs.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), _text_hash().alias("h"), "text")
+    return keys.join(_sent(need.withColumn("rep", F.coalesce("rep", F.lit(0)))), ["rep", "h"]).drop("rep", "h")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            want1, want2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
-            for lo, hi, h, bounds in _shingles(b.column("text")):
-                h, bounds = _distinct(h, bounds, None)
-                d1, d2 = _digests(h, bounds)
-                own = np.flatnonzero((d1 == want1[lo:hi]) & (d2 == want2[lo:hi]))
-                sets, at = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.array(own + lo)
-                yield pa.RecordBatch.from_arrays([b.column("x").take(at), b.column("at").take(at), pa.array(sets, pa.binary())], names=["x", "at", "members"])
 
-    keys = docs.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), _text_hash().alias("h"), "text")
-    rows = keys.join(_sent(need.withColumn("rep", F.coalesce("rep", F.lit(0)))), ["rep", "h"])
-    full = written(rows.select("x", "at", "d1", "d2", "text").mapInArrow(made, "x long, at double, members binary"), "sets")
+def _sets_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Columns and members, the whole sets, sorted, of rows (..., d1, d2, text) whose texts have these digests."""
+    for b in batches:
+        want1, want2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
+        for lo, hi, h, bounds in _shingles(b.column("text")):
+            h, bounds = _distinct(h, bounds, None)
+            d1, d2 = _digests(h, bounds)
+            own = np.flatnonzero((d1 == want1[lo:hi]) & (d2 == want2[lo:hi]))
+            sets, at = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.array(own + lo)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in columns), pa.array(sets, pa.binary())], names=[*columns, "members"])
+
+
+def _full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """x, at and members, the whole set, sorted, for points (x, at, rep, h, d1, d2), one row each."""
+    rows = _with_texts(docs, need).select("x", "at", "d1", "d2", "text")
+    full = written(rows.mapInArrow(lambda batches: _sets_of(batches, "x", "at"), "x long, at double, members binary"), "sets")
     return full if full.count() == need.count() else written(full.groupBy("x").agg(F.first("at").alias("at"), F.first("members").alias("members")), "sets")
 
 
@@ -296,10 +321,13 @@ class _Region:
 
 
 def _joined(rows: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what is linked in regions (r, x, settled, members) that fit into a task."""
+    """Links (a, b) that connect what is linked in regions (r, x, settled, d1, d2, text) that fit into a task.
+
+    Texts are dealt out, as they are shorter than their sets, which have 8 bytes a word that don't compress.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (x, settled, sets) in _by_region(batches, "x", "settled", "members"):
+        for _, (x, settled, sets) in _by_region(_sets_of(batches, "r", "x", "settled"), "x", "settled", "members"):
             region = _Region(sets, settled)
             region.join(np.arange(len(x)))
             if region.links:
@@ -397,20 +425,127 @@ def _salted(rows: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("r", "part.u", "part.v").alias("r"), "x", "settled")
 
 
+class _First:
+    """Which rows (x, d1, d2, ...) are the first with their set, a bit for each: what else they have needn't be shuffled for that."""
+
+    def __init__(self, rows: DataFrame):
+        first = rows.groupBy("d1", "d2").agg(F.min("x").alias("x"))
+        bits = written(first.groupBy(F.bitmap_bucket_number("x").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")), "bits")
+        self.rows, self.sent = rows, None
+        if bits.count() <= SENT_BLOCKS:
+            self.sent = rows.sparkSession.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in bits.collect()})
+        else:
+            self.rows = written(rows.join(written(first.select("x"), "first"), "x", "left_semi"), "firsts")
+
+    @staticmethod
+    def among(x: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
+        at, out = x - (x > 0), np.zeros(len(x), dtype=bool)
+        blocks = (x > 0) + at // _BLOCK
+        for b in np.unique(blocks):
+            own = blocks == b
+            out[own] = np.unpackbits(np.frombuffer(bits.get(int(b), bytes(_BLOCK // 8)), dtype=np.uint8), bitorder="little")[at[own] % _BLOCK]
+        return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch], buckets: int, most: int, bits: dict[int, bytes] | None) -> Iterator[pa.RecordBatch]:
+    """Window tokens of rows (x, n, prefix), packed by bucket r, a range of hashes: steps of s, x less x0, n and i, the places.
+
+    bits: those of _First, of rows that aren't chosen yet.
+    """
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        s, x, n, i = (np.concatenate(v) for v in zip(*held, strict=True))
+        order, x0 = np.argsort(s), x.min()
+        s, x, n, i = s[order], x[order] - x0, n[order], i[order]
+        r = (s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cuts = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)]))
+        parts = [slice(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = [pa.array(r[cuts[:-1]].view(np.int64)), pa.array([x0] * len(parts), pa.int64()), pa.array([_planes(np.diff(s[p], prepend=np.uint64(0))) for p in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns + [pa.array([_planes(v[p]) for p in parts], pa.binary()) for v in (x, n, i)], names=["r", "x0", "s", "x", "n", "i"])
+
+    held, count = [], 0
+    for b in batches:
+        if bits is not None:
+            b = b.filter(pa.array(_First.among(b.column("x").to_numpy(zero_copy_only=False), bits)))
+        prefix = b.column("prefix")
+        ends = np.concatenate(([0], np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        sizes = np.diff(ends)
+        x, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("x", "n"))
+        held.append((prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64), x, n, np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)))
+        count += int(ends[-1])
+        if count >= most:
+            yield packed(held)
+            held, count = [], 0
+    if count:
+        yield packed(held)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Tokens (s, x, n, i) that more than one text has, and that may bring a link, with how many have them, from packed ones by r.
+
+    Of a bucket of more tokens than fit, those of several texts go on as they come, without the test: it only prunes.
+    """
+
+    def rows(s, x, n, i, size) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (s, x, n, i, size)], names=["s", "x", "n", "i", "size"])
+
+    def counted(tokens: list[np.ndarray]) -> tuple:
+        """Tokens in the order of s, the first one of each s, the number of the s of each, and sizes."""
+        order = np.argsort(tokens[0], kind="stable")
+        tokens = [v[order] for v in tokens]
+        s = tokens[0]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        size = np.diff(np.append(first, len(s)))
+        return tokens, first, np.repeat(np.arange(len(first)), size), size
+
+    def bucket(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held, count, known = [], 0, np.zeros(0, dtype=np.uint64)
+        for _, x0, s, x, n, i in parts:
+            now = [np.cumsum(_numbers(s, np.uint64), dtype=np.uint64), _numbers(x, np.int64) + x0, _numbers(n, np.int64), _numbers(i, np.int64)]
+            if len(known):
+                had = np.isin(now[0], known)
+                yield rows(*(v[had] for v in now), np.full(had.sum(), 2))
+                now = [v[~had] for v in now]
+            held.append(now)
+            count += len(now[0])
+            if count >= most:
+                tokens, first, k, size = counted([np.concatenate(v) for v in zip(*held, strict=True)])
+                more = size[k] > 1
+                yield rows(*(v[more] for v in tokens), size[k][more])
+                known = np.union1d(known, tokens[0][more])
+                held, count = [[v[~more] for v in tokens]], 0
+        tokens, first, k, size = counted([np.concatenate(v) for v in zip(*held, strict=True)])
+        s, x, n, i = tokens
+        if not len(s):
+            return
+        # two sets whose first shared shingle is at places i and j link only if 9 min(n - i, m - j) >= 4 (n + m);
+        # of a shingle's members, the least m and the greatest 5 m - 9 j decide whether any can
+        lo, far = np.minimum.reduceat(n, first), np.maximum.reduceat(5 * n - 9 * i, first)
+        left = (size[k] > 1) & (9 * (n - i) >= 4 * (n + lo[k])) & (far[k] >= 4 * n)
+        left &= np.bincount(k[left], minlength=len(first))[k] > 1
+        yield rows(*(v[left] for v in tokens), size[k][left])
+
+    packed = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("r", "x0", "s", "x", "n", "i")), strict=True))
+    for _, parts in groupby(packed, itemgetter(0)):
+        yield from bucket(parts)
+
+
 def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level 0, for points (x, n, prefix): r, x of all members of regions of more than one text; x, at.
+    """Level 0, for points (x, n, d1, d2, prefix): r, x of all members of regions of more than one text; x, at.
+
+    Of points of equal digests, the one of the least x stands for all.
 
     at: the less, the more usual a text's window shingles are among the others, which makes it central.
     """
-    tokens = points.select("x", "n", F.posexplode("prefix").alias("i", "s"))
-    # two sets whose first shared shingle is at places i and j link only if 9 min(n - i, m - j) >= 4 (n + m);
-    # of a shingle's or pool's members, the least m and the greatest 5 m - 9 j decide whether any can
     reach = {"lo": F.min("n"), "far": F.max(5 * F.col("n") - 9 * F.col("i"))}
-    enough = "9 * (n - i) >= 4 * (n + lo) AND far >= 4 * n"
-    # tokens are shuffled once, by shingle: counts and bounds come from windows over the same rows, and most, of one text, go
+    enough = "9 * (n - i) >= 4 * (n + lo) AND far >= 4 * n"  # as in _unpacked, for a pool's members
     by_shingle = Window.partitionBy("s")
-    left = tokens.select("*", F.count("x").over(by_shingle).alias("size"), *[v.over(by_shingle).alias(k) for k, v in reach.items()]).where("size > 1").where(enough)
-    left = written(left.select("s", "x", "n", "i", "size", F.count("x").over(by_shingle).alias("k")).where("k > 1").drop("k"), "shared")
+    # tokens are shuffled once, by ranges of their hashes and packed; most, of one text, go
+    buckets, packs, most = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), PACKED_TOKENS, HELD_TOKENS
+    first = _First(points)
+    sent = first.sent
+    tokens = first.rows.select("x", "n", "prefix").mapInArrow(lambda batches: _packed(batches, buckets, packs, sent and sent.value), "r long, x0 long, s binary, x binary, n binary, i binary")
+    left = written(_dealt(tokens).mapInArrow(lambda batches: _unpacked(batches, most), "s long, x long, n long, i long, size long"), "shared")
     home = written(left.groupBy("x").agg(F.max(F.struct("size", "s"))["s"].alias("r"), (-F.sum("size") / F.first("n")).alias("at")), "homes")
     placed = left.join(home.select("x", F.col("r").alias("home")), "x")
     # shingles whose texts all have one pool bring nobody elsewhere
@@ -424,36 +559,45 @@ def pooled_cells(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(cells.join(_sent(several), "r"), "cells"), home.select("x", "at")
 
 
-def _fitting(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _fitting(cells: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells (r, x, ...) with n and hist, those that fit into a task and those that don't."""
-    rows = written(points.select("x", "n", "hist").join(_sent(cells), "x"), "members")
+    rows = written(sets.select("x", "n", "hist").join(_sent(cells), "x"), "members")
     fits = rows.groupBy("r").agg(((F.count("x") <= CELL_ROWS) & (F.sum("n") <= CELL_SHINGLES)).alias("fits"))
     rows = rows.join(_sent(written(fits, "regions")), "r")
     return rows.where("fits").drop("fits"), rows.where("NOT fits").drop("fits")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, h, n, d1, d2), points (x, rep, d1, d2), labels (x, c) of linked points."""
-    sets = written(shingle_sets(docs), "shingles")
+    """Rows (doc_id, h, n, d1, d2), points (x, rep, d1, d2), labels (x, c) of linked points.
+
+    A point is a set, its x the number of the first row that has it, and rep and h name the row of the least id.
+    """
+    sets = written(shingle_sets(docs).withColumn("x", F.monotonically_increasing_id()), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one")
-    points = sets.where("n > 0").groupBy("d1", "d2").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
-    points = points.select("d1", "d2", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("h"), "n", "prefix", "hist", F.monotonically_increasing_id().alias("x"))
-    points = written(points, "points")
+    points = sets.where("n > 0").groupBy("d1", "d2").agg(first, F.min("x").alias("x"))
+    points = written(points.select("d1", "d2", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("h"), "x"), "points")
 
-    cells, places = pooled_cells(points)
-    small, large = _fitting(cells.withColumn("settled", F.lit(False)), points)
+    cells, places = pooled_cells(sets.where("n > 0").select("x", F.col("doc_id").alias("rep"), "n", "d1", "d2", "prefix"))
+    small, large = _fitting(cells.withColumn("settled", F.lit(False)), sets)
     ready, large = [_partnered(small)], large.select("r", "x", "settled")
-    need = written(ready[0].select("x").union(large.select("x")).distinct().join(places, "x"), "need")
-    full = _full_sets(docs, written(points.select("x", "rep", "h", "d1", "d2").join(_sent(need), "x"), "need"))
     links, level = [], 0
+    keys = points.select("x", "rep", "h", "d1", "d2")
+    if not large.isEmpty():
+        need = written(large.select("x").distinct().join(places, "x"), "need")
+        full = _full_sets(docs, written(keys.join(_sent(need), "x"), "need"))
     while not large.isEmpty():
         found, cells, parts = _divided(written(_with_sets(large, full), "large"), level)
         links.append(found)
-        small, large = _fitting(cells, points)
-        ready.append(_partnered(small.unionByName(points.select("x", "n", "hist").join(_sent(written(parts, "parts")), "x"))))
+        small, large = _fitting(cells, sets)
+        ready.append(_partnered(small.unionByName(sets.select("x", "n", "hist").join(_sent(written(parts, "parts")), "x"))))
         large, level = large.select("r", "x", "settled"), level + 1
-    rows = reduce(DataFrame.unionByName, ready)
-    links.append(written(_joined(_with_sets(rows, full).select("r", "x", "settled", "members")), "links"))
+    rows = written(reduce(DataFrame.unionByName, ready), "ready")
+    need = written(keys.join(_sent(rows), "x"), "need")
+    texts = _with_texts(docs, need).select("r", "x", "settled", "d1", "d2", "text")
+    named = sets.select(F.coalesce("doc_id", F.lit(0)).alias("rep"), "h").join(_sent(need.select(F.coalesce("rep", F.lit(0)).alias("rep"), "h")), ["rep", "h"])
+    if named.count() != need.count():  # repeated rows, or texts of one hash
+        texts = texts.groupBy("r", "x", "settled", "d1", "d2", F.md5("text").alias("other")).agg(F.first("text").alias("text")).drop("other")
+    links.append(written(_joined(texts), "links"))
     edges = reduce(DataFrame.unionByName, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = connected(edges).select(F.col("v").alias("x"), "c")
     return sets.select("doc_id", "h", "n", "d1", "d2"), points.select("x", "rep", "d1", "d2"), labels

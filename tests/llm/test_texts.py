@@ -334,6 +334,50 @@ def test_tokens_are_shuffled_once_and_linked_texts_meet(spark, monkeypatch):
     assert linked and all(regions[a] & regions[b] for a, b in linked)
 
 
+def test_windows_and_sets_are_written_once(spark, monkeypatch):
+    """Windows are in one written table and cross one exchange, packed; no sets are written where all regions fit into a task."""
+    tables, real = [], neardup.written
+
+    def watched(df, name, **options):
+        out = real(df, name, **options)
+        tables.append((name, out.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(neardup, "written", watched)
+    rows = corpus()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows)
+    assert [name for name, columns, _ in tables if "prefix" in columns] == ["shingles"]
+    assert not [name for name, columns, _ in tables if "members" in columns]
+    assert [name for name, _, plan in tables if "prefix" in plan.split("Relation")[0]] == ["shingles", "shared"]
+
+
+@pytest.mark.parametrize(("packed", "held", "blocks"), [(50, 1 << 22, 8_192), (1 << 18, 3, 8_192), (400, 40, 0)])
+def test_near_duplicates_of_packed_tokens(spark, monkeypatch, packed, held, blocks):
+    for name, value in (("PACKED_TOKENS", packed), ("HELD_TOKENS", held), ("SENT_BLOCKS", blocks)):
+        monkeypatch.setattr(neardup, name, value)  # few: packs of some texts, buckets that don't fit, firsts by a join
+    rows = corpus()
+    long = [t for _, t in rows if len((t or "").split()) > 40]
+    twice = [*rows, *rows[::7], *[(i, long[k] + " more") for i, k in ((1_001, 0), (1_002, 50), (1_002, 50))]]  # repeated rows, too
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    want = components(list(dict.fromkeys(twice)))
+    assert got == sorted((i, *want[i]) for i, _ in twice)
+
+
+@given(st.lists(st.integers(0, (1 << 64) - 1), max_size=50), st.sampled_from([np.uint32, np.uint64]))
+def test_planes(values, kind):
+    v = np.array(values, dtype=np.uint64).astype(kind)
+    assert (neardup._numbers(neardup._planes(v), kind) == v).all() and len(neardup._planes(v)) == v.nbytes
+
+
+def test_bits_of_first_rows(spark):
+    x = [0, 1, 2, 32_767, 32_768, 32_769, 65_536, 65_537, (3 << 33) - 1, 3 << 33, (3 << 33) + 1]
+    rows = spark.createDataFrame([(v, k // 2, 0) for k, v in enumerate(x)], "x long, d1 long, d2 long")
+    bits = neardup._First(rows).sent.value
+    assert neardup._First.among(np.array(x), bits).tolist() == [k % 2 == 0 for k in range(len(x))]
+    assert not neardup._First.among(np.array([3, 1 << 40]), bits).any()
+
+
 def plain_links(sets):
     return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)}
 
