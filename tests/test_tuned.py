@@ -6,6 +6,7 @@ import pytest
 from diffusio.functions import measures as M
 from diffusio.graph import Graph, Signal
 from diffusio.operators import filters as O
+from diffusio.operators.blocks import Blocks
 from diffusio.plans import tuning as T
 
 
@@ -47,6 +48,14 @@ def test_all_turns_of_hop_weights_are_one_job(spark, graph, monkeypatch):
     assert ranks == pytest.approx(ranker.rank(graph, p).to_dict())
 
 
+def test_blocks_move_as_edges_do(spark, graph):
+    table = graph.nodes.where("id LIKE 'a%'").selectExpr("id", "array(1.0D, length(id) * 1.0D) AS p")
+    n = O.Normalization("symmetric")
+    rows = lambda df: {r["id"]: list(r.asDict().values())[1:] for r in df.collect()}
+    got, want = rows(Blocks(graph, n).hops(table, 2, 4)), rows(O.moved_hops(graph, n, table, 2, 4))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_hop_tuner_moves_parts_together(spark, graph, monkeypatch):
     n, seeds = _counted(monkeypatch), [s for s in SEEDS if graph.nodes.where(f"id = '{s}'").count()]
     ranks = T.HopTuner(hops=4).rank(graph, seeds).to_dict()
